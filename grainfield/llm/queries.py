@@ -1,7 +1,7 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from grainfield.llm import bpe_query, dac_query, licences_query, mixing_query, rabitq_query, simhash_query, toxicity_query, url_query
+from grainfield.llm import bpe_query, dac_query, html_query, licences_query, mixing_query, rabitq_query, simhash_query, toxicity_query, url_query
 
-_MODULES = [bpe_query, dac_query, url_query, mixing_query, simhash_query, rabitq_query, toxicity_query, licences_query]
+_MODULES = [bpe_query, dac_query, url_query, mixing_query, simhash_query, html_query, rabitq_query, toxicity_query, licences_query]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
