@@ -7,7 +7,7 @@ bound; whatever could still be among the nearest by its bound is measured again
 precision.
 
 The centroids are fitted on at most SAMPLE rows (in the order of a hash of the id); every valid row is coded. A query
-visits the PROBES nearest lists, and more until they hold CANDIDATES rows. Lists over LIST rows are cut into parts by a
+visits the nearest SHARE of the lists, and more until they hold CANDIDATES rows. Lists over LIST rows are cut into parts by a
 hash of the id; each part is one task's group, and parts meet as top-k rows alone.
 
 Cases: vectors that are null, empty, zero, of another length than the most common one, or with null or non-finite parts
