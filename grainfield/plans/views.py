@@ -50,6 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _needs(sql)}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in frames:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}} AS {t}" if not re.search(rf"\b(?:FROM|JOIN) {t} [dl]\b", sql) else rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **frames)
