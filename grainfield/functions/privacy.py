@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from grainfield.functions.text import _col
 
-# Patterns and placeholders of personal data.
+# Patterns and placeholders of personal data (the last group of an account number may be short).
 PATTERNS = {
     "email": (r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "[E-MAIL ENTFERNT]"),
-    "iban": (r"\b[A-Z]{2}\d{2}(?:\s?[0-9A-Z]{4}){3,7}\b", "[IBAN ENTFERNT]"),
+    "iban": (r"\b[A-Z]{2}\d{2}(?:\s?[0-9A-Z]{4}){3,7}(?:\s?[0-9A-Z]{1,3})?\b", "[IBAN ENTFERNT]"),
     "svn": (r"\b\d{2}[\s\-.]?(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])\d{2}[\s\-.]?[A-Z][\s\-.]?\d{3}\b", "[SVN ENTFERNT]"),
     "phone": (r"(?:(?:\+49|0049|0)[\s\-.]?)?(?:\(?\d{2,5}\)?[\s\-.]?)?\d{3,}[\s\-.]?\d{3,}(?:[\s\-.]?\d{1,4})?", "[TEL ENTFERNT]"),
 }
