@@ -28,7 +28,7 @@ from grainfield.llm.wordsplit import LETTER, NUMBER, Flat, char_classes
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 WINDOW, STRIDE = 12, 6
-TRAIN_ROWS, TRAIN_CHARS = 4000, 30_000_000
+TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000_000
 ROUNDS, STEPS, POWER, RIDGE, DECAY = 6, 20, 6, 1500, 1e-4
 _PRIME = np.uint32(16777619)
 
@@ -68,7 +68,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     found.append(np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.uint32, len(words)))
     of, found = np.concatenate(of), np.concatenate(found)
     order = np.argsort(of, kind="stable")
-    return found[order].astype(np.int64), np.bincount(of, minlength=len(words))
+    return found[order].astype(np.int32), np.bincount(of, minlength=len(words))
 
 
 class WordValues(dict):
@@ -165,7 +165,7 @@ class _Bags:
         self.share = times / np.maximum(length, 1)[self.row]
         self.words, grams = len(used), count[used]
         self.bucket = bucket[np.repeat(start[used] - (np.cumsum(grams) - grams), grams) + np.arange(grams.sum())]
-        self.of, self.part = np.repeat(np.arange(self.words), grams), np.repeat(1 / grams, grams)
+        self.of, self.part = np.repeat(np.arange(self.words, dtype=np.int32), grams), np.repeat((1 / grams).astype(np.float32), grams)
 
     def forward(self, per_bucket: np.ndarray) -> np.ndarray:
         per_word = np.bincount(self.of, per_bucket[self.bucket] * self.part, self.words)
@@ -197,9 +197,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     apart = np.arange(len(label)) % 5 == 4
     if not 0 < label[~apart].sum() < (~apart).sum() or not 0 < label[apart].sum() < apart.sum():
         apart[:] = False
-    words, size = words_of(texts)
     number: dict[bytes, int] = {}
-    word = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    some, sizes = [], []
+    for at in range(0, len(texts), 100):
+        words, size = words_of(texts[at : at + 100])
+        some.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+        sizes.append(size)
+    word, size = np.concatenate(some), np.concatenate(sizes)
+    del some, words
     keep = fresh(word, size)
     word, size = word[keep], np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
     bucket, count = subwords(list(number)) if number else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -273,15 +278,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Fits on labelled rows that are not held out, bounded as the module's text says."""
+    """Fits on labelled rows that are not held out, bounded as the module's text says; one task trains, the driver gets the weights."""
     label = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     order = [F.xxhash64(id_col), F.col(id_col)]
     picked = label.where("_y = 1").orderBy(*order).limit(TRAIN_ROWS // 2).union(label.where("_y <> 1").orderBy(*order).limit(TRAIN_ROWS // 2))
     rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(picked), id_col)
     size = Window.orderBy(*order, "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sample = rows.orderBy(*order, "_t").limit(TRAIN_ROWS).withColumn("_n", F.sum(F.length("_t")).over(size)).withColumn("_k", F.row_number().over(Window.orderBy(*order, "_t")))
-    found = sample.where(f"_n <= {TRAIN_CHARS} or _k = 1").select("_t", "_y").collect()
-    return fit([r[0] for r in found], [int(r[1] == 1) for r in found])
+    sample = sample.where(f"_n <= {TRAIN_CHARS} or _k = 1").select("_t", "_y")
+
+    def one(frames):
+        rows = pd.concat([pd.DataFrame({"_t": [], "_y": []}), *frames])
+        model = fit(rows["_t"].tolist(), [int(y == 1) for y in rows["_y"]])
+        if model:
+            yield pd.DataFrame({"weights": [model.per_bucket.tobytes()], "slope": [model.slope], "shift": [model.shift]})
+
+    found = sample.coalesce(1).mapInPandas(one, "weights binary, slope double, shift double").collect()
+    return Model(np.frombuffer(found[0].weights, np.float32), found[0].slope, found[0].shift) if found else None
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
