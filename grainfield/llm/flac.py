@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -249,6 +250,8 @@ def _metadata(data: bytes) -> tuple[bytes, int, list[tuple[int, int, int]], int]
         elif kind == 3:
             points = [struct.unpack_from(">QQH", body, k) for k in range(0, size, 18)]
         at += 4 + size
+    if [p[0] for p in points] != [0, *itertools.accumulate(p[2] for p in points)][: len(points)]:
+        raise FlacError("the seek table has gaps")
     return md5, total, points, at
 
 
@@ -305,7 +308,7 @@ def _decode_frames(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.nda
 
     order = np.where(kind >= LPC, kind - LPC + 1, kind - FIXED)
     most = int(order.max(initial=0))
-    x = np.zeros((most + out.shape[1], len(row)), np.int64)  # a sample of all frames lies together; the first rows stay zero
+    x = np.zeros((most + int(size[0]), len(row)), np.int64)  # a sample of all frames lies together; the first rows stay zero
     for i in range(most):
         on = np.flatnonzero(order > i)
         v = take(8, on)
@@ -329,7 +332,7 @@ def _decode_frames(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.nda
     rice = np.zeros(len(row), np.int64)
     live = len(row)
     least = int(np.gcd.reduce(span))
-    for i in range(out.shape[1]):
+    for i in range(int(size[0])):
         while size[live - 1] <= i:
             live -= 1
         if i % least == 0:
@@ -355,7 +358,7 @@ def _decode_frames(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.nda
         for j in range(most):
             total += coef[j, on] * x[most + i - 1 - j, on]
         x[most + i, on] = (z >> 1 ^ -(z & 1)) + (total >> shift[on])
-    out[row] = x[most:].T
+    out[row, : int(size[0])] = x[most:].T
     return out.astype(np.int16)
 
 
