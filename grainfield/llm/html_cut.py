@@ -219,7 +219,7 @@ def min_cut(unary: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """
     n = len(unary)
     if all(u >= 0 for u in unary) or all(u <= 0 for u in unary):
-        return [u > 0 for u in unary] if any(unary) else [False] * n
+        return [max(unary, default=0) > 0] * n
     to: list[int] = []
     room: list[int] = []
     out: list[list[int]] = [[] for _ in range(n + 2)]
