@@ -169,16 +169,16 @@ class _Bags:
 
     def forward(self, per_bucket: np.ndarray) -> np.ndarray:
         per_word = np.bincount(self.of, per_bucket[self.bucket] * self.part, self.words)
-        return np.bincount(self.row, per_word[self.word] * self.share, self.rows)
+        return np.bincount(self.row, per_word[self.word] * self.share, self.rows).astype(np.float64)
 
     def back(self, slope: np.ndarray) -> np.ndarray:
         per_word = np.bincount(self.word, slope[self.row] * self.share, self.words)
-        return np.bincount(self.bucket, per_word[self.of] * self.part, BUCKETS)
+        return np.bincount(self.bucket, per_word[self.of] * self.part, BUCKETS).astype(np.float64)
 
     def curvature(self, cost: np.ndarray) -> np.ndarray:
         """A bound of the loss's second derivative by each bucket, as far as its words stand alone."""
         per_word = np.bincount(self.word, cost[self.row] / 4 * self.share**2, self.words)
-        return np.bincount(self.bucket, per_word[self.of] * self.part**2, BUCKETS)
+        return np.bincount(self.bucket, per_word[self.of] * self.part**2, BUCKETS).astype(np.float64)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
