@@ -46,6 +46,8 @@ def domain_of(host: Column) -> Column:
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The longest of the rules (verdict, host/path) that fits, as a struct(verdict, rule); null if none. The list is part of the plan."""
+    if not rules:
+        return F.lit(None).cast("struct<size:int,rule:string,verdict:string,host:string,path:string>")
     table = [F.struct(F.lit(len(r)).alias("size"), F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.partition("/")[0]).alias("host"), F.lit("/" + r.partition("/")[2]).alias("path")) for v, r in rules]
     fits = F.filter(F.array(*table), lambda r: ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"]))) & path.startswith(r["path"]))
     return F.array_max(fits)
