@@ -5,7 +5,7 @@ by weight until none is above. A document's expected copies are target over sour
 column is given, over the source's mean merit, at most MOST). The whole part of that is taken for certain. The rest is
 its inclusion probability p: with u uniform from a hash of the row, documents are ranked by u/(1-u) over p/(1-p), the
 Pareto order, and taken in that order up to the sum of size x p; documents that still fit into what is left over are
-taken in further passes, in the same order.
+taken in further passes, in the same order; a last one is added if that comes closer than leaving it.
 
 Sources are ranked in strata of about STRATUM rows, dealt by the same hash, so that a source of any size is many groups.
 
@@ -80,6 +80,9 @@ def mix(sized: DataFrame, weights: Sequence[float], key: Sequence[str], source:
         ranked = ranked.withColumn("_t", F.sum(F.when(asks, F.col(size)).otherwise(0)).over(line))
         taken = asks & (F.col("_t") <= F.col("_gap"))
         ranked = ranked.withColumn("_n", taken).withColumn("_gap", F.col("_gap") - F.sum(F.when(F.col("_n"), F.col(size)).otherwise(0)).over(part)).withColumn("_in", F.col("_in") | F.col("_n"))
+    free = ~F.col("_in") & F.col("_q").isNotNull() & (F.col(size) < 2 * F.col("_gap"))
+    close = F.row_number().over(part.orderBy(F.when(free, F.abs(F.col(size) - F.col("_gap"))).asc_nulls_last(), "_u")) == 1
+    ranked = ranked.withColumn("_in", F.col("_in") | (free & close))
     copies = (F.col("_c") + F.col("_in").cast("long")).alias("copies")
     return ranked.select(*[F.col(f"`{c}`") for c in sized.columns], "source_size", "target", copies)
 
