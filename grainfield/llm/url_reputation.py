@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainfield.llm.shared import written
+
 #: Block if posterior mean - Z deviations is over LIMIT. Strengths stay within bounds, so that no level is ignored.
 LIMIT, Z, WEAKEST, STRONGEST = 0.3, 1.645, 2.0, 1000.0
 #: Suffixes of two labels; a parameter.
@@ -72,10 +74,11 @@ def _shrunk(level: DataFrame, key: str, parent: str | None) -> DataFrame:
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: host, bad (0/1, or null if not labelled), a row per page. Returns host, n, mean, lower for every host.
 
-    Counts are taken per host first, so a host with many pages is summed where its pages lie.
+    Counts are taken per host first, so a host with many pages is summed where its pages lie; that table is written once,
+    as every level is made from it.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = written(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
