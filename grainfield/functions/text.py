@@ -58,8 +58,12 @@ def keyword_pattern(keyword: str) -> str:
 
 
 def keyword_hits(norm: Column, keywords: list[str]) -> Column:
-    """The keywords of a list that occur in a normalised text, in the order of the list (J14 as one projection)."""
-    return F.array_compact(F.array(*[F.when(norm.rlike(keyword_pattern(k)), F.lit(k)) for k in keywords]))
+    """The keywords of a list that occur in a normalised text, in the order of the list (J14 as one projection).
+
+    A plain substring test goes first, so that the pattern only runs over texts that hold the keyword's longest part.
+    """
+    part = lambda k: max(re.split("[- ]", normalized(k)), key=len)
+    return F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(part(k))) & norm.rlike(keyword_pattern(k)), F.lit(k)) for k in keywords]))
 
 
 def category_hits(norm: Column, model: dict[str, list[str]]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from grainfield.functions.text import _col, category_hits, coverage_score, normalize_url_text
+from grainfield.functions.text import _col, normalize_url_text
 
 # File endings that are never pages.
 SKIP_ENDINGS = [
@@ -97,9 +97,9 @@ def redirect_accepted(base_host: Column | str, final_url: Column | str) -> Colum
     return F.arrays_overlap(slug_variants(base_host), F.transform(segments(final_url), lambda s: F.lower(s)))
 
 
-def url_score(url: Column | str, model: dict[str, list[str]]) -> Column:
-    """F32: keyword score of path and query."""
-    return coverage_score(category_hits(F.concat(normalize_url_text(path(url)), F.lit(" "), normalize_url_text(query(url))), model), model)
+def url_text(url: Column | str) -> Column:
+    """F32: the words of path and query, for a keyword score."""
+    return F.concat(normalize_url_text(path(url)), F.lit(" "), normalize_url_text(query(url)))
 
 
 def absolute_url(url: Column | str, base: Column | str) -> Column:

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfield.functions.text import category_hits, coverage_score, normalize_text
+from grainfield.functions.text import coverage_score
 from grainfield.functions.urls import authority, is_skipped, path, same_site
+from grainfield.operators.relevance import with_hits
 
 DROPPED = {"script", "style", "nav", "footer", "header"}
 BLOCKS = {"div", "section", "article", "main"}
@@ -118,7 +119,7 @@ def content_blocks(parsed: DataFrame, model: dict[str, list[str]], least: float
     """page_id, pos, block, score: the first blocks that are long enough and score."""
     long = F.filter("blocks", lambda b: F.length(b) > SHORT_BLOCK)
     rows = parsed.select("page_id", F.posexplode(long).alias("pos", "block"))
-    rows = rows.withColumn("score", coverage_score(category_hits(normalize_text("block"), model), model)).where(F.col("score") > least)
+    rows = with_hits(rows, "block", model, "_hits").withColumn("score", coverage_score(F.col("_hits"), model)).where(F.col("score") > least)
     best = rows.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", F.substring("block", 1, LONG_BLOCK).alias("block"), "score"))), 1, MOST_BLOCKS).alias("b"))
     return best.select("page_id", F.inline("b"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.functions.text import category_hits, coverage_score, normalize_text
-from grainfield.functions.urls import is_document, url_score
+from grainfield.functions.urls import is_document, url_text
 
 THRESHOLD, PRIORITY = 0.15, 0.10
 # Weights of page, anchor, context and url in a link's priority, and the bonus of documents.
@@ -14,9 +14,14 @@ WEIGHTS = {"page": 0.20, "anchor": 0.40, "context": 0.25, "url": 0.15}
 BONUS = 0.3
 
 
+def with_hits(df: DataFrame, text: Column | str, model: dict[str, list[str]], out: str) -> DataFrame:
+    """Adds category_hits() of a text. The normalised text is a column of its own, so it is made once and not for every keyword."""
+    return df.withColumn("_norm", normalize_text(text)).withColumn(out, category_hits(F.col("_norm"), model)).drop("_norm")
+
+
 def classify(df: DataFrame, text: str, model: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
     """tfidf_score, bayes_score, score, top_category (the first on ties), confidence, is_relevant, matched_keywords."""
-    rows = df.withColumn("_hits", category_hits(normalize_text(text), model))
+    rows = with_hits(df, text, model, "_hits")
     shares = [F.struct((F.size(F.col("_hits")[c]) / F.lit(float(max(1, len(ks))))).alias("share"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, ks) in enumerate(model.items())]
     rows = rows.withColumns({"_cover": coverage_score(F.col("_hits"), model), "_top": F.array_max(F.array(*shares))})
     total = F.col("_cover") * 0.4 + F.col("_top.share") * 0.6
@@ -28,15 +33,15 @@ def classify(df: DataFrame, text: str, model: dict[str, list[str]], threshold: f
     return rows.withColumns(out).drop("_hits", "_cover", "_top")
 
 
-def snippet_score(text: Column | str, model: dict[str, list[str]]) -> Column:
-    return coverage_score(category_hits(normalize_text(text), model), model)
-
-
 def score_links(links: DataFrame, model: dict[str, list[str]], threshold: float = PRIORITY) -> DataFrame:
     """links with page_score, anchor, context and url get the four scores, cpe_score, is_pdf and is_priority."""
     pdf = is_document("url")
-    of_url = F.least(F.lit(1.0), url_score("url", model) + F.when(pdf, BONUS).otherwise(0.0))
-    rows = links.withColumns({"anchor_score": snippet_score("anchor", model), "context_score": snippet_score("context", model), "url_score": of_url, "is_pdf": pdf})
+    rows = with_hits(links, "anchor", model, "_anchor")
+    rows = with_hits(rows, "context", model, "_context")
+    rows = with_hits(rows, url_text("url"), model, "_url")
+    of_url = F.least(F.lit(1.0), coverage_score(F.col("_url"), model) + F.when(pdf, BONUS).otherwise(0.0))
+    scores = {"anchor_score": coverage_score(F.col("_anchor"), model), "context_score": coverage_score(F.col("_context"), model), "url_score": of_url, "is_pdf": pdf}
+    rows = rows.withColumns(scores).drop("_anchor", "_context", "_url")
     total = F.round(sum((F.col(f"{k}_score") * w for k, w in WEIGHTS.items()), F.lit(0.0)), 4)
     return rows.withColumn("cpe_score", total).withColumn("is_priority", F.col("cpe_score") >= threshold)
 

@@ -57,7 +57,7 @@ def normalize_text(spark, d):
 
 @query("keyword_score", f"SELECT doc_id, {COVER} AS score, cast(m AS integer) AS matched FROM ({hits_sql('documents', 'doc_id', 'text')})")
 def keyword_score(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", text.category_hits(text.normalize_text("text"), MODEL).alias("hits"))
+    rows = relevance.with_hits(table(spark, d, "documents").select("doc_id", "text"), "text", MODEL, "hits")
     return rows.select("doc_id", text.coverage_score(F.col("hits"), MODEL).alias("score"), F.size(F.flatten(F.map_values("hits"))).alias("matched"))
 
 
@@ -109,7 +109,8 @@ def parent_key(spark, d):
 
 @query("url_score", f"SELECT page_id, {COVER} AS score FROM ({hits_sql('pages', 'page_id', r'''regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) || ' ' || regexp_extract(url, '\?([^#]*)', 1), '[/_=&+-]+', ' ', 'g')''')})")
 def url_score(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.url_score("url", MODEL).alias("score"))
+    rows = relevance.with_hits(table(spark, d, "pages").select("page_id", "url"), urls.url_text("url"), MODEL, "hits")
+    return rows.select("page_id", text.coverage_score(F.col("hits"), MODEL).alias("score"))
 
 
 @query("skip_urls", rf"SELECT page_id, regexp_matches(lower({PATH}), '\.({'|'.join(urls.SKIP_ENDINGS)})$') OR regexp_matches(lower(url), '{urls.SKIP_PATTERN}') OR len({SEGMENTS}) > 8 AS skipped FROM pages")
