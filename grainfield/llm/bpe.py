@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from grainfield.llm.wordsplit import Flat, split_with_spaces
 
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: The table of known words is emptied beyond so many words or bytes.
-KNOWN_WORDS, KNOWN_BYTES = 400_000, 16_000_000
+KNOWN_WORDS, KNOWN_BYTES = 200_000, 8_000_000
 _NONE = np.int64(1 << 40)
 
 
