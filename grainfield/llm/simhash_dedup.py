@@ -7,9 +7,10 @@ cosine 2s/(1+s), so a bit differs with probability acos(cosine)/pi; documents ar
 Candidates: several hierarchies over differently chosen bits. The upper nodes of each, `depth` levels down, are groups
 that share a masked bit pattern; within a group the leaves lie in Gray order. The depth follows from the number of
 documents so that groups stay small, and the number of hierarchies from the depth so that a pair of similarity 0.8 meets
-in one of them with probability RECALL. A crowded group goes 16 levels deeper. Within a group every pair is compared, in
-groups over PAIRS by way of hubs: whoever is near a hub is linked to it, and only those near no hub meet all others. A
-group gives fewer links than it has members.
+in one of them with probability RECALL, whatever the size of its groups. A group over CROWD is cut into blocks, and each
+two blocks meet in a group of their own. Within a group every pair is compared but those that are already connected: in
+groups over PAIRS hubs come first, then all that are outside the largest tree meet all others. A group gives fewer links
+than it has members.
 
 Cases: null and empty texts (and texts without words) have the empty set and are copies of one another; a shorter text is
 one shingle; of a group the row with the least id stays (null last), then by a hash of the row, and of rows equal in every
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfield.llm.bpe import batches
@@ -69,11 +70,19 @@ def hierarchies(count: int, similarity: float = SIMILARITY, recall: float = RECA
     return depth, math.ceil(math.log(1 - recall) / math.log(1 - same**depth))
 
 
+def block_pairs(key: str, blocks: str) -> Column:
+    """The groups a row goes to, where its group is cut into so many blocks (two or more, null for one): those of its block with each other block."""
+    count, block = F.col(blocks), F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")
+    others = F.filter(F.sequence(F.lit(0), count - 1), lambda other: other != block)
+    pairs = F.transform(others, lambda other: F.least(block, other).cast("long") * count + F.greatest(block, other))
+    return F.when(count > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))
+
+
 def near_links(nodes: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
     """Links (a, b) between the keys of nodes (key, w0..w3; different keys), fewer than a group's members per group."""
     depth, tables = hierarchies(nodes.count())
     rng = np.random.default_rng(1)
-    picked = [rng.permutation(64 * LANES)[: depth + 16] for _ in range(tables)]
+    picked = [rng.permutation(64 * LANES)[:depth] for _ in range(tables)]
 
     def grouped(frames: Iterator[pd.DataFrame], lean: bool):
         powers = 1 << np.arange(depth, dtype=np.int64)
@@ -81,13 +90,12 @@ def near_links(nodes: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
             for at in range(0, len(frame), 2048):
                 part = frame.iloc[at : at + 2048]
                 bits = np.unpackbits(np.ascontiguousarray(part[_LANE].to_numpy(np.int64), ">i8").view(np.uint8).reshape(len(part), -1), axis=1)
-                node = np.concatenate([bits[:, p[:depth]] @ powers + (t << 40) for t, p in enumerate(picked)])
+                node = np.concatenate([bits[:, p] @ powers + (t << 40) for t, p in enumerate(picked)])
                 if lean:
                     yield pd.DataFrame({"node": node})
                     continue
-                deep = np.concatenate([bits[:, p[depth:]] @ (1 << np.arange(16)) for p in picked])
                 rank = np.tile((gray_rank(part["w0"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(1)).view(np.int64), tables)
-                yield pd.DataFrame({"node": node, "deep": deep, "rank": rank} | {c: np.tile(part[c].to_numpy(), tables) for c in ["key", *_LANE]})
+                yield pd.DataFrame({"node": node, "rank": rank} | {c: np.tile(part[c].to_numpy(), tables) for c in ["key", *_LANE]})
 
     def linked(frames: Iterator[pd.DataFrame]):
         held: list[pd.DataFrame] = []
@@ -104,17 +112,18 @@ def near_links(nodes: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
             yield _links(pd.concat(held, ignore_index=True), differences)
 
     sizes = nodes.select(*_LANE).mapInPandas(lambda f: grouped(f, True), "node long").groupBy("node").count()
-    crowded = nodes.sparkSession.createDataFrame([(r[0], True) for r in sizes.where(F.col("count") > CROWD).collect()], "node long, crowded boolean")
-    rows = nodes.select("key", *_LANE).mapInPandas(lambda f: grouped(f, False), "node long, deep long, rank long, key string, " + ", ".join(f"{n} long" for n in _LANE))
-    rows = rows.join(F.broadcast(crowded), "node", "left").withColumn("deep", F.when(F.col("crowded"), F.col("deep")).otherwise(0)).drop("crowded")
+    half = max(1, CROWD // 2)
+    crowded = sizes.where(F.col("count") > CROWD).select("node", F.ceil(F.col("count") / half).cast("int").alias("blocks"))
+    rows = nodes.select("key", *_LANE).mapInPandas(lambda f: grouped(f, False), "node long, rank long, key string, " + ", ".join(f"{n} long" for n in _LANE))
+    rows = rows.join(F.broadcast(crowded), "node", "left").withColumn("deep", F.explode(block_pairs("key", "blocks"))).drop("blocks")
     return rows.repartition("node", "deep").sortWithinPartitions("node", "deep", "rank").mapInPandas(linked, "a string, b string")
 
 
 def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
     """Links within the groups of rows, which lie together."""
     word = rows[_LANE].to_numpy(np.int64).view(np.uint64)
-    group = rows["node"].to_numpy(np.int64) * 65536 + rows["deep"].to_numpy(np.int64)
-    head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, np.int64)
+    group = rows[["node", "deep"]].to_numpy(np.int64)
+    head = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1)))) if len(group) else np.empty(0, np.int64)
     size = np.diff(np.append(head, len(group)))
     forest = Forest(len(group))
 
@@ -139,7 +148,8 @@ def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
             hub = rest[len(rest) // 2]
             near_hub = near(np.full(n, hub), members)
             rest = rest[~near_hub[rest - h]]
-        for x in rest.tolist():
+        tree = forest.find(members)
+        for x in members[tree != np.bincount(tree - h).argmax() + h].tolist():
             near(np.full(n, x), members)
     key = rows["key"].to_numpy()
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)

@@ -248,6 +248,51 @@ def test_crowded_groups_keep_their_links(spark, monkeypatch):
     assert len(edges) == 38 and all((int(a) < 20) == (int(b) < 20) for a, b in zip(edges.a, edges.b))
 
 
+def print_frame(prints):
+    words = np.array([[p >> 64 * k & (1 << 64) - 1 for k in range(4)] for p in prints], np.uint64).view(np.int64)
+    return __import__("pandas").DataFrame({"node": 1, "deep": 0, "key": [str(i) for i in range(len(prints))]} | {f"w{k}": words[:, k] for k in range(4)})
+
+
+def linked_classes(edges, n):
+    root = {}
+
+    def find(i):
+        while root.get(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((find(int(a)), find(int(b))))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_large_groups_keep_bridges(monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "PAIRS", 8)
+    random.seed(5)
+    for _ in range(20):  # chains of steps of 40 bits: members near one hub each are near each other
+        prints = []
+        for _ in range(4):
+            prints.append(random.getrandbits(256))
+            for _ in range(24):
+                prints.append(prints[-1] ^ sum(1 << b for b in random.sample(range(256), random.choice((20, 40, 44, 50)))))
+        random.shuffle(prints)
+        edges = simhash_dedup._links(print_frame(prints), 46)
+        assert linked_classes(zip(edges.a, edges.b), len(prints)) == brute_classes(prints, 46)
+
+
+def test_crowds_meet_in_block_pairs(spark, monkeypatch):
+    random.seed(6)
+    base = [random.getrandbits(256) for _ in range(120)]
+    prints = base + [p ^ sum(1 << b for b in random.sample(range(256), 40)) for p in base]
+    nodes = spark.createDataFrame(print_frame(prints)).drop("node", "deep").repartition(3)
+    classes = []
+    for crowd in (50_000, 1):
+        monkeypatch.setattr(simhash_dedup, "CROWD", crowd)
+        classes.append(linked_classes([(r.a, r.b) for r in simhash_dedup.near_links(nodes, 46).collect()], len(prints)))
+    assert classes[0] == classes[1] and len(set(classes[0])) < 130
+
+
 def test_toxicity_held_out(spark, odd, none):
     random.seed(4)
     word = lambda: "".join(random.choice("aeioubdfgklmnrst") for _ in range(random.randint(3, 9)))
