@@ -1,8 +1,9 @@
-"""Near-duplicate removal by SimHash on word shingles: one document of each group stays.
+"""Near-duplicate removal on word shingles: one document of each group stays.
 
-A document's set of different shingles gives a fingerprint of 4 x 64 bits. Two sets of similarity s (Jaccard) have the
-cosine 2s/(1+s), so a bit differs with probability acos(cosine)/pi; documents are linked if at most DIFFERENCES of the
-256 bits differ, which is where 0.8 lies with a margin for chance. Equal sets are one node from the start.
+Documents are linked if their sets of different shingles have a similarity (Jaccard) of SIMILARITY or more; this is counted
+on the sets themselves. Equal sets are one node from the start. A fingerprint of 4 x 64 bits finds the candidates: two sets
+of similarity s have the cosine 2s/(1+s), so a bit differs with probability acos(cosine)/pi, and pairs with at most
+DIFFERENCES of the 256 bits are candidates (39 are expected at 0.8, the limit is more than four deviations above).
 
 Candidates: several hierarchies over differently chosen bits. The upper nodes of each, `depth` levels down, are groups
 that share a masked bit pattern; within a group the leaves lie in Gray order. The depth follows from the number of
@@ -12,6 +13,10 @@ two blocks meet in a group of their own. Within a group every pair is compared b
 groups over PAIRS hubs come first, then all that are outside the largest tree meet all others. A group gives fewer links
 than it has members.
 
+Links: the connected candidates are a family, and every pair of candidates lies in one. The shingle sets of a family go to
+one task, where every pair is counted but those already connected by links; a family over FAMILY is cut into blocks that
+meet in pairs as above. Documents without candidates are left alone.
+
 Cases: null and empty texts (and texts without words) have the empty set and are copies of one another; a shorter text is
 one shingle; of a group the row with the least id stays (null last), then by a hash of the row, and of rows equal in every
 column one; an empty table gives an empty one; all columns of the input come back, whatever their names.
@@ -33,8 +38,8 @@ from grainfield.llm.gray_index import Forest, gray_rank
 from grainfield.llm.shared import written
 from grainfield.llm.simhash import majority, shingle_hashes
 
-WORDS, SIMILARITY, DIFFERENCES, RECALL = 5, 0.8, 46, 0.97
-LANES, PAIRS, CROWD, HUBS = 4, 1024, 50_000, 24
+WORDS, SIMILARITY, DIFFERENCES, RECALL = 5, 0.8, 64, 0.97
+LANES, PAIRS, CROWD, HUBS, FAMILY = 4, 1024, 50_000, 24, 512
 _LANE = [f"w{k}" for k in range(LANES)]
 
 
@@ -80,6 +85,7 @@ def block_pairs(key: str, blocks: str) -> Column:
 
 def near_links(nodes: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
     """Links (a, b) between the keys of nodes (key, w0..w3; different keys), fewer than a group's members per group."""
+    kind = nodes.schema["key"].dataType.simpleString()
     depth, tables = hierarchies(nodes.count())
     rng = np.random.default_rng(1)
     picked = [rng.permutation(64 * LANES)[:depth] for _ in range(tables)]
@@ -114,9 +120,9 @@ def near_links(nodes: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
     sizes = nodes.select(*_LANE).mapInPandas(lambda f: grouped(f, True), "node long").groupBy("node").count()
     half = max(1, CROWD // 2)
     crowded = sizes.where(F.col("count") > CROWD).select("node", F.ceil(F.col("count") / half).cast("int").alias("blocks"))
-    rows = nodes.select("key", *_LANE).mapInPandas(lambda f: grouped(f, False), "node long, rank long, key string, " + ", ".join(f"{n} long" for n in _LANE))
+    rows = nodes.select("key", *_LANE).mapInPandas(lambda f: grouped(f, False), f"node long, rank long, key {kind}, " + ", ".join(f"{n} long" for n in _LANE))
     rows = rows.join(F.broadcast(crowded), "node", "left").withColumn("deep", F.explode(block_pairs("key", "blocks"))).drop("blocks")
-    return rows.repartition("node", "deep").sortWithinPartitions("node", "deep", "rank").mapInPandas(linked, "a string, b string")
+    return rows.repartition("node", "deep").sortWithinPartitions("node", "deep", "rank").mapInPandas(linked, f"a {kind}, b {kind}")
 
 
 def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
@@ -156,13 +162,81 @@ def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
     return pd.DataFrame({"a": key[edges[:, 0]], "b": key[edges[:, 1]]})
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, differences: int = DIFFERENCES) -> DataFrame:
-    """One row of each group, with all columns of docs. docs should be a table read back, as it is read twice."""
+def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """The rows with set (the different shingles' hashes in order, 8 bytes each) in place of the text."""
+    rest = [c for c in docs.columns if c != text_col]
+
+    def run(frames):
+        for part in batches(frames, text_col):
+            yield part[rest].assign(set=[np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in part[text_col]])
+
+    return docs.select(*rest, text_col).mapInPandas(run, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest) + ", set binary")
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what pairs of sets (family, deep, key, set) of this similarity connect, within each family and deep."""
+
+    def run(frames):
+        at, held = None, {}
+        for frame in frames:
+            for family, deep, key, found in zip(frame["family"], frame["deep"], frame["key"], frame["set"]):
+                if (family, deep) != at:
+                    yield _similar(held, similarity)
+                    at, held = (family, deep), {}
+                held[key] = found
+        yield _similar(held, similarity)
+
+    rows = sets.select("family", "deep", "key", "set").repartition("family", "deep").sortWithinPartitions("family", "deep")
+    return rows.mapInPandas(run, "a long, b long")
+
+
+def _similar(held: dict[int, bytes], similarity: float) -> pd.DataFrame:
+    """Links between the sets of one group, by key."""
+    key = np.fromiter((k for k, v in held.items() if v), np.int64)
+    sets = [np.frombuffer(v, np.uint64) for v in held.values() if v]
+    n = len(sets)
+    if n < 2:
+        return pd.DataFrame({"a": key[:0], "b": key[:0]})
+    size = np.fromiter(map(len, sets), np.int64, n)
+    start = np.cumsum(size) - size
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(number.max() + 1, np.int64)
+    forest, done = Forest(n), np.zeros(n, bool)
+
+    def meet(x: int) -> None:
+        own = number[start[x] : start[x] + size[x]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[number], start)
+        mark[own] = 0
+        near = np.flatnonzero(both >= similarity * (size + size[x] - both) - 1e-9)
+        near = near[near != x]
+        forest.join(np.full(len(near), x), near)
+        done[x] = True
+
+    for _ in range(HUBS):
+        alone = np.flatnonzero(~done & (forest.find(np.arange(n)) == np.arange(n)) & (np.bincount(forest.find(np.arange(n)), minlength=n) == 1))
+        if not len(alone):
+            break
+        meet(int(alone[len(alone) // 2]))
+    tree = forest.find(np.arange(n))
+    for x in np.flatnonzero((tree != np.bincount(tree).argmax()) & ~done).tolist():
+        meet(x)
+    edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": key[edges[:, 0]], "b": key[edges[:, 1]]})
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, differences: int = DIFFERENCES, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group, with all columns of docs. docs should be a table read back, as it is read three times."""
     rows = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
     prints = written(wide_prints(rows, text_col, words), "wide-prints")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
-    nodes = written(prints.groupBy("key", *_LANE).agg(first), "nodes")
-    roots = connected_components(near_links(nodes, differences).distinct())
+    nodes = written(prints.groupBy("key", *_LANE).agg(first).withColumn("key", F.monotonically_increasing_id()), "nodes")
+    families = connected_components(near_links(nodes, differences).distinct()).select(F.col("node").alias("key"), F.col("root").alias("family"))
+    blocks = families.groupBy("family").count().where(F.col("count") > FAMILY).select("family", F.ceil(F.col("count") / max(1, FAMILY // 2)).cast("int").alias("blocks"))
+    members = nodes.join(families, "key").join(blocks, "family", "left").select("key", "family", "blocks", F.col("first._id").alias("_sid"), F.col("first._row").alias("_srow"))
+    texts = rows.select("_id", "_row", F.col(f"`{text_col}`").alias("_text")).join(members, (F.col("_row") == F.col("_srow")) & F.col("_id").eqNullSafe(F.col("_sid")))
+    sets = shingle_sets(texts.select("key", "family", "blocks", "_text"), "_text", words).withColumn("deep", F.explode(block_pairs("key", "blocks")))
+    roots = connected_components(similar_links(sets, similarity))
     placed = nodes.join(roots, nodes.key == roots.node, "left").select("first", F.coalesce("root", "key").alias("root"))
     stay = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_sid"), F.col("first._row").alias("_srow"))
     kept = rows.join(stay, (F.col("_row") == F.col("_srow")) & F.col("_id").eqNullSafe(F.col("_sid")))

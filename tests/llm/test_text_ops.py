@@ -293,6 +293,42 @@ def test_crowds_meet_in_block_pairs(spark, monkeypatch):
     assert classes[0] == classes[1] and len(set(classes[0])) < 130
 
 
+def shingles_of(text):
+    found = text.lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+
+@pytest.mark.parametrize("family", [512, 4])
+def test_links_by_brute_force_similarity(spark, monkeypatch, family):
+    monkeypatch.setattr(simhash_dedup, "FAMILY", family)
+    random.seed(7)
+    word = lambda: "".join(random.choice("abcdefghijk") for _ in range(6))
+    texts = []
+    for i in range(60):
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for k in range(1 + 8 * (i % 20 == 0)):  # a run of other words: similarities from 0.7 to 0.9
+            w, n = list(base), random.randint(6, 32)
+            at = random.randrange(0, 200 - n)
+            w[at : at + n] = [word() for _ in range(n)]
+            texts.append(" ".join(w))
+    sets = [shingles_of(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = set(linked_classes(pairs, len(sets)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in simhash_dedup.drop_near_duplicates(docs).collect()}
+    assert want <= got and len(got - want) <= 2  # none removed but by a link; the candidates' recall is 0.97 a pair
+
+
+def test_similar_sets_at_the_limit():
+    sets = {10: range(0, 8), 11: range(0, 10), 12: range(2, 11), 13: range(100, 104), 14: range(0)}
+    edges = simhash_dedup._similar({k: np.array(v, np.uint64).tobytes() for k, v in sets.items()}, 0.8)
+    assert sorted(sorted(e) for e in zip(edges.a.tolist(), edges.b.tolist())) == [[10, 11]]
+    sets[12] = range(0, 12)
+    edges = simhash_dedup._similar({k: np.array(v, np.uint64).tobytes() for k, v in sets.items()}, 0.8)
+    assert sorted(sorted(e) for e in zip(edges.a.tolist(), edges.b.tolist())) == [[10, 11], [11, 12]]
+
+
 def test_toxicity_held_out(spark, odd, none):
     random.seed(4)
     word = lambda: "".join(random.choice("aeioubdfgklmnrst") for _ in range(random.randint(3, 9)))
