@@ -5,12 +5,14 @@ ends, and the word as a whole, hashed to BUCKETS embeddings. Unseen spellings th
 window of WINDOW words is the average of its words, a word the average of its subwords. A document counts as its most
 toxic window, so that a long text is judged like a short one; training picks that window again before every round.
 
-Fitting takes at most TRAIN_ROWS labelled rows, half of them toxic if there are as many, in the order of a hash of the id,
-and of those as many as hold TRAIN_CHARS characters together (one at least). Scoring takes every row and the whole text.
+Fitting takes at most TRAIN_ROWS labelled rows, up to half of either label, in the order of a hash of the id, each id once
+before any a second time; of those, shortest first, as many as hold half of TRAIN_CHARS characters of either label (one at
+least). So long or repeated texts don't push out others, and both labels train if both have rows. Scoring takes every row
+and the whole text.
 
 Cases: a null text counts as empty; a text without words scores as a window of none (the bias alone); rows with a null id
 or label don't train but are scored; if an id is labelled more than once, its highest label counts; a repeated document
-trains and scores as often as it occurs; with no label of one kind every score is 0; other columns are left out.
+trains once and scores as often as it occurs; with no label of one kind every score is 0; other columns are left out.
 """
 
 from __future__ import annotations
@@ -280,12 +282,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fits on labelled rows that are not held out, bounded as the module's text says; one task trains, the driver gets the weights."""
     label = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    picked = label.where("_y = 1").orderBy(*order).limit(TRAIN_ROWS // 2).union(label.where("_y <> 1").orderBy(*order).limit(TRAIN_ROWS // 2))
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(picked), id_col)
-    size = Window.orderBy(*order, "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sample = rows.orderBy(*order, "_t").limit(TRAIN_ROWS).withColumn("_n", F.sum(F.length("_t")).over(size)).withColumn("_k", F.row_number().over(Window.orderBy(*order, "_t")))
-    sample = sample.where(f"_n <= {TRAIN_CHARS} or _k = 1").select("_t", "_y")
+    label = label.join(docs.select(id_col), id_col, "left_semi").withColumn("_y", (F.col("_y") == 1).cast("int"))
+    order, half = [F.xxhash64(id_col), F.col(id_col)], TRAIN_ROWS // 2
+    picked = label.where("_y = 1").orderBy(*order).limit(half).union(label.where("_y = 0").orderBy(*order).limit(half))
+    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(picked), id_col).dropDuplicates([id_col, "_t"]).withColumn("_n", F.length("_t"))
+    rows = rows.withColumn("_again", F.row_number().over(Window.partitionBy(id_col).orderBy("_n", "_t")))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_y").orderBy("_again", *order))).where(F.col("_k") <= half)
+    short = Window.partitionBy("_y").orderBy("_n", *order, "_t")
+    rows = rows.withColumn("_k", F.row_number().over(short)).withColumn("_n", F.sum("_n").over(short.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sample = rows.where((F.col("_n") <= TRAIN_CHARS // 2) | (F.col("_k") == 1)).select(id_col, "_t", "_y").repartition(1).sortWithinPartitions(*order, "_t")
 
     def one(frames):
         rows = pd.concat([pd.DataFrame({"_t": [], "_y": []}), *frames])
@@ -293,7 +298,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         if model:
             yield pd.DataFrame({"weights": [model.per_bucket.tobytes()], "slope": [model.slope], "shift": [model.shift]})
 
-    found = sample.coalesce(1).mapInPandas(one, "weights binary, slope double, shift double").collect()
+    found = sample.select("_t", "_y").mapInPandas(one, "weights binary, slope double, shift double").collect()
     return Model(np.frombuffer(found[0].weights, np.float32), found[0].slope, found[0].shift) if found else None
 
 

@@ -363,6 +363,21 @@ def test_toxicity_labels_missing(spark, docs):
     assert toxicity.fit_toxicity(docs, labels) is None
 
 
+@pytest.mark.parametrize("many", [1, 60])
+def test_toxicity_long_and_repeated_texts(spark, monkeypatch, many):
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 20_000)
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 80)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:200]
+    rows = [(i, "du idiot hier" if i % 2 else "ein schöner Tag") for i in ids for _ in range(many)]
+    rows += [(i, "wort " * 5000) for i in ids[::3]]  # every one over the budget
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(i, 1) for i in range(1000, 1600)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model is not None
+    scores = model.scores(["du idiot hier", "ein schöner Tag"], toxicity.WordValues(model.per_bucket))
+    assert scores[0] > 0.5 > scores[1]
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
