@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,7 +33,7 @@ CLOSES_P = set("address article aside blockquote div dl fieldset figure footer f
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = set("article aside section div table ul ol dl body main nav header footer form".split())
 
-#: Where text is never content, by tag, role, and by words of class or id.
+#: Where text is never content, by tag and role; words of class or id inside an article only make it unlikely.
 BAD_TAGS = set("nav footer aside form button menu dialog".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 BAD_WORDS = set(
@@ -46,7 +46,7 @@ GOOD_TAGS = {"article", "main"}
 GOOD_WORDS = set("article content post entry story body main text".split())
 NEUTRAL = {"html", "body", "article", "main"}
 
-NEVER, INSIDE, OUTSIDE, JOINED = -1000, 30, -30, 24
+NEVER, INSIDE, OUTSIDE, DOUBTED, JOINED = -1000, 30, -30, -20, 24
 
 
 @dataclass
@@ -54,6 +54,7 @@ class Element:
     name: str
     number: int
     bad: bool
+    doubted: bool
     good: bool
     article: bool
     header: bool
@@ -64,6 +65,7 @@ class Element:
 class Block:
     path: tuple[int, ...]
     bad: bool
+    doubted: bool
     good: bool
     article: bool
     heading: bool
@@ -74,18 +76,21 @@ class Block:
 
 
 def _element(name: str, number: int, rest: str, up: Element | None) -> Element:
-    bad, good, article, header, link = (up.bad, up.good, up.article, up.header, up.link) if up else (False,) * 5
+    bad, doubted, good, article, header, link = (up.bad, up.doubted, up.good, up.article, up.header, up.link) if up else (False,) * 6
     article = article or name == "article"
     bad = bad or name in BAD_TAGS or (name == "header" and not article)
     good = good or name in GOOD_TAGS
-    if rest and "=" in rest or "hidden" in rest:
+    if rest:
         for key, *values in ATTRIBUTE.findall(rest):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id"):
                 words = [w.lower() for w in WORD.findall(value)]
                 hit = {w for i, w in enumerate(words) if not (i and words[i - 1] in ("no", "has", "with", "without"))}
                 if name not in NEUTRAL:
-                    bad = bad or bool(hit & BAD_WORDS) or ("header" in hit and not article)
+                    if article:
+                        doubted = doubted or bool(hit & BAD_WORDS)
+                    else:
+                        bad = bad or bool(hit & BAD_WORDS) or "header" in hit
                 good = good or bool(hit & GOOD_WORDS)
             elif key == "role":
                 bad, good = bad or value.lower() in BAD_ROLES, good or value.lower() in ("main", "article")
@@ -93,12 +98,12 @@ def _element(name: str, number: int, rest: str, up: Element | None) -> Element:
                 good = good or value == "articleBody"
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 bad = True
-    return Element(name, number, bad, good, article, header or name in ("h1", "h2", "h3", "h4", "h5", "h6"), link or name == "a")
+    return Element(name, number, bad, doubted, good, article, header or name in ("h1", "h2", "h3", "h4", "h5", "h6"), link or name == "a")
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
-    stack: list[Element] = [Element("", 0, False, False, False, False, False)]
+    stack: list[Element] = [Element("", 0, False, False, False, False, False, False)]
     done: list[Block] = []
     now: Block | None = None
     number = at = 0
@@ -109,7 +114,7 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if not piece.strip():
                 return
-            now = Block(tuple(e.number for e in stack if e.name not in INLINE), top.bad, top.good, top.article, top.header)
+            now = Block(tuple(e.number for e in stack if e.name not in INLINE), top.bad, top.doubted, top.good, top.article, top.header)
         now.raw.append(piece)
         now.size += len(piece)
         if top.link:
@@ -184,6 +189,8 @@ def unary_costs(blocks: list[Block]) -> list[int]:
         links = b.linked / max(1, b.size)
         if b.bad:
             out.append(NEVER)
+        elif b.doubted:
+            out.append(DOUBTED + (30 if words >= 40 and links < 0.2 else 15 if words >= 20 and links < 0.2 else 0))
         elif framed:
             out.append((INSIDE if links < 0.8 or words > 30 else 2) if b.article else OUTSIDE + (15 if words >= 40 and links < 0.2 else 0))
         else:

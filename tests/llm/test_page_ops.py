@@ -78,6 +78,23 @@ def test_main_text(page, text):
     assert html_cut.main_text(page) == text
 
 
+LONG = "word " * 50 + "end."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<article data-title="Hidden costs" data-hidden="false"><p><a href="/hidden-valley/">Valley</a> {LONG}</p></article>', f"Valley {LONG}"),
+        (f'<div data-id="ad-1"><p><a href="?id=share">A</a> {LONG}</p></div>', f"A {LONG}"),
+        (f"<p><a href=/hidden/x class=b>A</a> {LONG}</p><p hidden>no</p><p HIDDEN=''>no</p><p class='x' style='display: none'>no</p><p id=share>no</p>", f"A {LONG}"),
+        (f'<article><h2>Title</h2><p>{LONG}</p><section id="discussion"><p>{LONG}</p></section></article>', f"Title\n{LONG}\n{LONG}"),
+        (f'<article><p>{LONG}</p></article><div class="related"><p>{LONG}</p></div>', LONG),
+    ],
+)
+def test_main_text_attributes(page, text):
+    assert html_cut.main_text(page) == text
+
+
 def test_min_cut_by_brute_force():
     random.seed(0)
     for _ in range(200):
