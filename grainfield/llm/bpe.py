@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from grainfield.llm.wordsplit import Flat, split_with_spaces
 
 BATCH_CHARS = 1_000_000
-#: The table of known words is emptied beyond so many words or bytes.
-KNOWN_WORDS, KNOWN_BYTES = 200_000, 8_000_000
+#: Beyond so many words or bytes, the half of the known words that was not seen for longest is forgotten.
+KNOWN_WORDS, KNOWN_BYTES = 500_000, 20_000_000
 _NONE = np.int64(1 << 40)
 
 
@@ -108,16 +108,13 @@ class Merger:
 
 
 class WordTable(dict):
-    """Known words by number; fill() encodes those that were asked for and not yet known."""
+    """Known words by number; fill() encodes those that were asked for and not yet known. The ids lie in one flat array."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self.new: list[bytes] = []
-        self.ids, self.bounds, self.bytes = np.empty(0, np.int32), np.zeros(1, np.int64), 0
+        self.ids, self.bounds = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.seen, self.turn, self.bytes = np.empty(0, np.int64), 0, 0
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
@@ -125,15 +122,18 @@ class WordTable(dict):
         return i
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def fill(self) -> None:
+        """The numbers of these words, known from now on."""
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             ids, count = self.encode(self.new)
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
             self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(count)))
+            self.seen = np.concatenate((self.seen, np.zeros(len(self.new), np.int64)))
             self.bytes += sum(map(len, self.new))
             self.new = []
+        self.turn += 1
+        self.seen[out] = self.turn
+        return out
 
     def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words, laid end to end, and where each word's ids start, and the end."""
@@ -142,16 +142,26 @@ class WordTable(dict):
         return self.ids[np.repeat(at - bounds[:-1], count) + np.arange(bounds[-1])], bounds
 
     def trim(self) -> None:
-        if len(self) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
-            self.reset()
+        if len(self) <= KNOWN_WORDS and self.bytes <= KNOWN_BYTES:
+            return
+        words = list(self)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.lexsort((size, -self.seen))
+        fits = (np.arange(len(order)) < KNOWN_WORDS // 2) & (np.cumsum(size[order]) <= KNOWN_BYTES // 2)
+        keep = np.sort(order[fits])
+        self.ids, self.bounds = self.spread(keep)
+        self.seen, self.bytes = self.seen[keep], int(size[keep].sum())
+        kept = [words[i] for i in keep.tolist()]
+        self.clear()
+        self.update(zip(kept, range(len(kept))))
 
 
 def encode_flat(texts: list[str], table: WordTable, split=split_with_spaces) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, laid end to end, and where each text's ids start, and the end."""
     flat = Flat(texts)
     starts, ends = split(flat)
-    numbers = table.numbers(flat.slices(starts, ends))
-    table.fill()
+    one, kind = flat.different(starts, ends)
+    numbers = table.numbers(flat.slices(starts[one], ends[one]))[kind]
     ids, bounds = table.spread(numbers)
     out = ids, bounds[np.searchsorted(starts, flat.bounds)]
     table.trim()

@@ -12,6 +12,7 @@ of their text and then the text; an empty table gives no segment; other columns
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import struct
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from grainfield.llm.bpe import WordTable, batches, encode_flat
 from grainfield.llm.wordsplit import split_words
 
-CHUNK_BITS, RANK_BITS, SEGMENT_TOKENS = 8, 512, 1 << 18
+CHUNK_BITS, RANK_BITS, SEGMENT_TOKENS, WORDS_AT_ONCE = 8, 512, 1 << 18, 100
 BEYOND_LATIN = re.compile("[^\u0000-\u02ff\u2010-\u2027\u20ac]")
 _LEVEL = struct.Struct("<qqq")
 
@@ -109,11 +110,24 @@ class WordCoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         byte_level = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel"]
         self.word = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": byte_level[0]}))
+        vocab = spec["model"]["vocab"]
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.width[list(vocab.values())] = [len(t.removesuffix(suffix)) for t in vocab]
         self.table = WordTable(self._encode_words)
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.word.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
-        return np.fromiter((i for x in ids for i in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+        """Words go to the library in lists of WORDS_AT_ONCE; its tokens tile a word's bytes, so their lengths tell the words apart."""
+        texts = [w.decode("utf-8") for w in words]
+        lists = [texts[i : i + WORDS_AT_ONCE] for i in range(0, len(texts), WORDS_AT_ONCE)]
+        found = self.word.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(x.ids for x in found), np.int64)
+        ends, word_ends = np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        at = np.searchsorted(ends, word_ends)
+        if len(ids) and ends[-1] == word_ends[-1] and (ends[at] == word_ends).all():
+            return ids, np.diff(at + 1, prepend=0)
+        one = [x.ids for x in self.word.encode_batch_fast(texts, add_special_tokens=False)]  # a vocabulary with unknown bytes
+        return np.fromiter(itertools.chain.from_iterable(one), np.int64), np.fromiter(map(len, one), np.int64, len(one))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [not (BEYOND_LATIN.search(t) or any(s in t for s in self.special)) for t in texts]

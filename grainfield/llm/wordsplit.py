@@ -8,7 +8,7 @@ import unicodedata
 
 import numpy as np
 
-LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
+LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 1, 2, 3, 0, 255
 
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -16,13 +16,29 @@ WHITE_SPACE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000,
 
 @functools.cache
 def char_classes() -> np.ndarray:
-    r"""The class of each code point: \p{L}, \p{N}, \s or none of them."""
+    r"""The class of each code point: \p{L}, \p{N}, \s or none of them; UNKNOWN where Python's Unicode has no character yet."""
     kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    of = lambda c: UNKNOWN if c == "Cn" else kinds.get(c[0], OTHER)
+    table = np.fromiter((of(unicodedata.category(chr(c))) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
     table[WHITE_SPACE] = SPACE
     return table
 
 
+def classes_of(points: np.ndarray) -> np.ndarray:
+    """The classes of these code points. What Python's Unicode doesn't know is asked of the tokenizers library, once each."""
+    table = char_classes()
+    kinds = table[points]
+    if len(kinds) and kinds.max() == UNKNOWN:
+        from tokenizers import pre_tokenizers
+
+        pieces = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        for c in np.unique(points[kinds == UNKNOWN]).tolist():
+            joins = [k for k, mate in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(pieces(mate + chr(c))) == 1]
+            table[c] = joins[0] if joins else SPACE
+        kinds = table[points]
+    return kinds
+
+
 class Flat:
     """Texts laid end to end as code points and as UTF-8; bounds has where each text starts, and the end."""
 
@@ -38,12 +54,41 @@ class Flat:
             width = 1 + (p >= 0x80).astype(np.int8) + (p >= 0x800) + (p >= 0x10000)
             self.byte_at = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
 
+    def in_bytes(self, places: np.ndarray) -> np.ndarray:
+        return places if self.byte_at is None else self.byte_at[places]
+
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        if self.byte_at is not None:
-            starts, ends = self.byte_at[starts], self.byte_at[ends]
-        utf8 = self.utf8
+        starts, ends, utf8 = self.in_bytes(starts), self.in_bytes(ends), self.utf8
         return [utf8[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
+    def different(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of one word of each kind, and for every word its kind.
+
+        Words of up to 7 bytes are told apart by one number (bytes and length), those of up to 15 by two; longer ones
+        are each their own kind.
+        """
+        at, size = self.in_bytes(starts).astype(np.int64), (self.in_bytes(ends) - self.in_bytes(starts)).astype(np.int64)
+        eight = np.lib.stride_tricks.as_strided(np.frombuffer(self.utf8 + bytes(16), np.uint8), (len(self.utf8) + 9, 8), (1, 1))
+        first, kind, base = [], np.empty(len(at), np.int64), 0
+        for low, high in ((0, 7), (8, 15)):
+            some = np.flatnonzero((size >= low) & (size <= high))
+            if not len(some):
+                continue
+            there, length = at[some], size[some]
+            last = (length - (8 if low else 0)).astype(np.uint64)
+            key = eight[there + (8 if low else 0)].view("<u8").ravel() & ((np.uint64(1) << np.uint64(8) * last) - np.uint64(1)) | last << np.uint64(56)
+            if low:
+                heads = np.unique(eight[there].view("<u8").ravel(), return_inverse=True)[1]
+                tails, mine = np.unique(key, return_inverse=True)
+                key = heads * len(tails) + mine
+            _, one, mine = np.unique(key, return_index=True, return_inverse=True)
+            first.append(some[one])
+            kind[some] = base + mine
+            base += len(one)
+        rest = np.flatnonzero(size > 15)
+        kind[rest] = base + np.arange(len(rest))
+        return np.concatenate([*first, rest]), kind
+
 
 def _contractions(points: np.ndarray, start: np.ndarray, kind: np.ndarray, length: np.ndarray, joined: np.ndarray, last: np.ndarray):
     """Runs that are a lone apostrophe before s, t, m, d, re, ve or ll, and how many letters go with it."""
@@ -62,7 +107,7 @@ def _contractions(points: np.ndarray, start: np.ndarray, kind: np.ndarray, lengt
 
 def _runs(flat: Flat):
     points, n = flat.points, len(flat.points)
-    kinds = char_classes()[points]
+    kinds = classes_of(points)
     new = np.empty(n, bool)
     new[:1] = True
     np.not_equal(kinds[1:], kinds[:-1], out=new[1:])
