@@ -13,35 +13,54 @@ from grainfield.llm.simhash_dedup import drop_near_duplicates
 from grainfield.llm.toxicity import fit_toxicity, score_toxicity
 
 TOXIC, WEIGHTS = 0.3, (5, 2, 1)
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """row (the whole row as one struct), text, source, and two hashes of all columns; so no column's name can clash with ours."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), "text", "source", *[F.xxhash64(F.lit(k), *columns).alias(f"k{k}") for k in range(2)])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold; the model learns from the labels of all documents."""
+    """Documents whose toxicity is below the threshold; the model learns from the labels of all documents.
+
+    Null and empty texts have a score, too; repeated rows are judged alike and each stays or goes; without labels of both
+    kinds nothing is rejected; an empty table gives an empty one; extra columns stay, whatever their names.
+    """
     model = fit_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rest = [c for c in docs.columns if c != "text"]
-    keep = F.struct("doc_id", *[F.col(f"`{c}`") for c in rest if c != "doc_id"], "text").alias("row")
-    scored = score_toxicity(docs.select(keep, "text"), model, id_col="row")
-    return scored.where(F.col("score") < TOXIC).select("row.*").select(*docs.columns)
+    scored = score_toxicity(_packed(docs).select("row", "text"), model, id_col="row")
+    return scored.where(F.col("score") < TOXIC).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones (five-word shingles, similarity 0.8)."""
+    """One document of each group of similar ones (five-word shingles, similarity 0.8): the one of least doc_id (null last).
+
+    Null, empty and wordless texts are copies of one another; of repeated rows one stays; an empty table gives an empty
+    one; extra columns stay, whatever their names.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken."""
-    sized = docs.withColumn("_size", word_count("text"))
-    keyed = written(sized.select("doc_id", "source", "_size", F.xxhash64(*docs.columns).alias("_key")), "sizes")
-    mixed = mix(keyed, WEIGHTS, ["doc_id", "_key"], size="_size").groupBy("doc_id", "_key").agg(F.max("copies").alias("copies"))
-    rows = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    taken = rows.join(mixed.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "copies").where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The documents of the mix, each as many times as it is taken.
+
+    A null source is a source of its own; rows without words are taken as their source's whole copies; repeated rows are
+    ranked by one number and each taken by itself, so their copies are added up; an empty table gives an empty one; extra
+    columns stay, whatever their names.
+    """
+    rows = _packed(docs)
+    sized = written(rows.select("k0", "k1", "source", word_count("text").alias("size")), "sizes")
+    copies = mix(sized, WEIGHTS, ["k0", "k1"]).groupBy("k0", "k1").agg(F.sum("copies").alias("copies"), F.count("*").alias("repeats"))
+    copies = written(copies.where("copies > 0"), "copies")
+    rows = rows.select("row", "k0", "k1")
+    if not copies.where("repeats > 1").isEmpty():  # rows equal in every column become one where they lie, and all copies come from it
+        rows = rows.dropDuplicates(["k0", "k1"])
+    taken = rows.join(copies, ["k0", "k1"]).withColumn("thousand", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1000))))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("copies") - 1000 * F.col("thousand")).cast("int")))).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and round trip of every document of the mix."""
+    """Ids and round trip of every document of the mix; null texts count as empty, repeated rows each have a row, an empty table gives an empty one."""
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

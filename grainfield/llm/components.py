@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfield.llm.shared import written
+from grainfield.llm.shared import join_counted, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return join_counted(both.where("v > u"), least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(down, least, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -28,14 +28,16 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge, root the least node of its component.
 
-    Rows with a null end and loops are left out; repeated edges count once; no edge, no row. Each round is written to the
-    shared folder, so rounds don't pile up in the lineage; a star's hub is one key of a join, which Spark splits.
+    Rows with a null end and loops are left out; repeated edges count once; no edge, no row; other columns are left out,
+    whatever their names. Each half of a round is written to the shared folder, so rounds don't pile up in the lineage. A
+    star's hub is a hot key: the least neighbours of hubs are broadcast (at most 5,000), those of other nodes are joined.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    state = None
-    while True:
-        links = written(_small_star(_large_star(links)), "components")
-        if (now := _state(links)) == state or not now[0]:
+    links = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    state = _state(links)
+    while state[0]:
+        large = written(_large_star(links, state[0]), "large-star")
+        links = written(_small_star(large, state[0]), "small-star")
+        if (now := _state(links)) == state:
             break
         state = now
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -11,8 +11,8 @@ Sources are ranked in strata of about STRATUM rows, dealt by the same hash, so t
 
 Cases: a null text has size 0, an empty one too; rows of size 0 take 0 words (and count as their certain copies); a null
 source is a source of its own, the last one; repeated rows are ranked side by side and each taken by itself; with no
-words at all every target is 0; an empty table gives an empty result; working columns carry a prefix, so extra columns
-with clashing names stay as they are.
+words at all every target is 0; an empty table gives an empty result; the input row travels as one struct, so extra
+columns stay as they are, whatever their names. Sums are taken in whole units, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainfield.llm.shared import written
+from grainfield.llm.shared import SMALL, written
 
 MOST, STRATUM, PASSES = 3, 4096, 4
+UNIT = 1 << 20
 
 
 def word_count(text: Column | str) -> Column:
@@ -32,13 +33,14 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sized: DataFrame, weights: Sequence[float], source: str = "source", size: str = "size", most: float = MOST) -> DataFrame:
-    """One row per source: source, source_size, rows, target. The weights go round the sources in code-point order, null last.
+def source_targets(sized: DataFrame, weights: Sequence[float], source: str = "source", size: str = "size", most: float = MOST, merit: str | None = None) -> DataFrame:
+    """One row per source: _source, source_size, rows, merits (sum of size x merit), target. The weights go round the sources in code-point order, null last.
 
     With the sources in order of cap over weight, those below some place are at their cap and the others share the rest;
-    the place is the first where the share fits under the next cap.
+    the place is the first where the share fits under the next cap. Only the sources' sums meet in one place.
     """
-    totals = sized.groupBy(F.col(source).alias("_source")).agg(F.sum(size).alias("source_size"), F.count("*").alias("rows"))
+    merits = F.sum(_fixed(F.col(size) * F.col(merit).cast("double")) if merit else F.lit(0)) / float(UNIT)
+    totals = sized.groupBy(F.col(source).alias("_source")).agg(F.sum(size).alias("source_size"), F.count("*").alias("rows"), merits.alias("merits"))
     place = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     caps = totals.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
@@ -50,41 +52,45 @@ def source_targets(sized: DataFrame, weights: Sequence[float], source: str = "so
     fits = F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))
     levels = levels.withColumn("_level", F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     target = F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")))
-    return levels.select("_source", "source_size", "rows", target.alias("target"))
+    return levels.select("_source", "source_size", "rows", "merits", target.alias("target"))
+
+
+def _fixed(value: Column) -> Column:
+    """The value in whole units of 1/UNIT, so that sums don't depend on the order of the rows."""
+    return F.floor(value * float(UNIT))
 
 
 def mix(sized: DataFrame, weights: Sequence[float], key: Sequence[str], source: str = "source", size: str = "size", merit: str | None = None, seed: int = 42, most: float = MOST, stratum: int = STRATUM) -> DataFrame:
-    """The rows with source_size, target and copies. key: columns that tell rows apart; equal rows rank side by side.
+    """The rows with source_size, target and copies (which replace columns of these names). key: columns that tell rows apart; equal rows rank side by side.
 
     The rows should be read from a table, as they are read for the sources' sums and again for the ranks.
     """
-    targets = source_targets(sized, weights, source, size, most)
-    own = F.col(merit).cast("double") if merit else F.lit(1.0)
-    joined = sized.join(targets, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
-    hashed = F.xxhash64(F.lit(seed), *key)
-    uniform = ((F.shiftrightunsigned(hashed, 12) + 0.5) / float(1 << 52)).alias("_u")
-    dealt = joined.withColumns({"_u": uniform, "_s": F.pmod(F.xxhash64(F.lit(seed + 1), hashed), F.ceil(F.col("rows") / stratum))})
-    part = Window.partitionBy(source, "_s")
-    if merit:
-        mean = F.sum(F.col(size) * own).over(Window.partitionBy(source)) / F.col("source_size")
-        dealt = dealt.withColumn("_m", F.coalesce(own / mean, F.lit(1.0)))
-    else:
-        dealt = dealt.withColumn("_m", F.lit(1.0))
-    expected = F.least(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) * F.col("_m"), F.lit(float(most)))
-    dealt = dealt.withColumn("_e", expected).withColumn("_c", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_c"))
-    odds = F.when(F.col("_p") > 0, F.col("_u") / (1 - F.col("_u")) * (1 - F.col("_p")) / F.col("_p"))
-    ranked = dealt.withColumn("_q", odds).withColumn("_gap", F.sum(F.col("_p") * F.col(size)).over(part)).withColumn("_in", F.lit(False))
-    line = part.orderBy(F.col("_q").asc_nulls_last(), *key, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    quoted = lambda c: F.col(f"`{c}`")
+    hashed = F.xxhash64(F.lit(seed), *map(quoted, key))
+    own = F.coalesce(quoted(merit).cast("double"), F.lit(1.0)) if merit else F.lit(1.0)
+    rows = sized.select(F.struct(*map(quoted, sized.columns)).alias("row"), quoted(source).alias("source"), quoted(size).alias("size"), own.alias("merit"), hashed.alias("h"))
+    targets = written(source_targets(rows, weights, most=most, merit="merit" if merit else None), "sources")
+    small = targets.count() <= SMALL
+    joined = rows.join(F.broadcast(targets) if small else targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    uniform = (F.shiftrightunsigned("h", 12) + 0.5) / float(1 << 52)
+    dealt = joined.withColumns({"u": uniform, "s": F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.ceil(F.col("rows") / stratum))})
+    part = Window.partitionBy("source", "s")
+    share = F.coalesce(F.try_divide(F.col("merit") * F.col("source_size"), F.col("merits")), F.lit(1.0)) if merit else F.lit(1.0)
+    expected = F.least(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) * share, F.lit(float(most)))
+    dealt = dealt.withColumn("e", expected).withColumn("c", F.floor("e")).withColumn("p", F.col("e") - F.col("c"))
+    odds = F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p"))
+    ranked = dealt.withColumn("q", odds).withColumn("gap", F.sum(_fixed(F.col("p") * F.col("size"))).over(part) / float(UNIT)).withColumn("in", F.lit(False))
+    line = part.orderBy(F.col("q").asc_nulls_last(), "h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for k in range(PASSES):  # the first pass takes a prefix of the order, the later ones what still fits
-        asks = ~F.col("_in") & F.col("_q").isNotNull() & (F.lit(k == 0) | (F.col(size) <= F.col("_gap")))
-        ranked = ranked.withColumn("_t", F.sum(F.when(asks, F.col(size)).otherwise(0)).over(line))
-        taken = asks & (F.col("_t") <= F.col("_gap"))
-        ranked = ranked.withColumn("_n", taken).withColumn("_gap", F.col("_gap") - F.sum(F.when(F.col("_n"), F.col(size)).otherwise(0)).over(part)).withColumn("_in", F.col("_in") | F.col("_n"))
-    free = ~F.col("_in") & F.col("_q").isNotNull() & (F.col(size) < 2 * F.col("_gap"))
-    close = F.row_number().over(part.orderBy(F.when(free, F.abs(F.col(size) - F.col("_gap"))).asc_nulls_last(), "_u")) == 1
-    ranked = ranked.withColumn("_in", F.col("_in") | (free & close))
-    copies = (F.col("_c") + F.col("_in").cast("long")).alias("copies")
-    return ranked.select(*[F.col(f"`{c}`") for c in sized.columns], "source_size", "target", copies)
+        asks = ~F.col("in") & F.col("q").isNotNull() & (F.lit(k == 0) | (F.col("size") <= F.col("gap")))
+        ranked = ranked.withColumn("t", F.sum(F.when(asks, F.col("size")).otherwise(0)).over(line))
+        taken = asks & (F.col("t") <= F.col("gap"))
+        ranked = ranked.withColumn("n", taken).withColumn("gap", F.col("gap") - F.sum(F.when(F.col("n"), F.col("size")).otherwise(0)).over(part)).withColumn("in", F.col("in") | F.col("n"))
+    free = ~F.col("in") & F.col("q").isNotNull() & (F.col("size") < 2 * F.col("gap"))
+    close = F.row_number().over(part.orderBy(F.when(free, F.abs(F.col("size") - F.col("gap"))).asc_nulls_last(), "u")) == 1
+    ranked = ranked.withColumn("in", F.col("in") | (free & close))
+    copies = (F.col("c") + F.col("in").cast("long")).alias("copies")
+    return ranked.select(*[F.col(f"row.`{c}`") for c in sized.columns if c not in ("source_size", "target", "copies")], "source_size", "target", copies)
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, tables in it, and joins that no hot key can slow down."""
 
 from __future__ import annotations
 
@@ -6,15 +6,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of at most so many rows of a few numbers (some 10 MB) are broadcast.
+SMALL = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a folder of our own."""
+    """spark.checkpoint.dir of the session, with a folder of this application's own; on one machine (tests) it may be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='grainfield-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -26,3 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_small(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join with a written table that is mostly small: broadcast if it has at most SMALL rows, else shuffled."""
+    return rows.join(F.broadcast(table) if table.count() <= SMALL else table, key, how)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Each row with its key's other columns of the table; count is how many of the total rows have the key.
+
+    Keys with over a five-thousandth of all rows (and at least 64) are at most 5,000 and broadcast, so their rows stay
+    where they are; the others are shuffled. Both sides should be tables read back or cheap to make, as they are read twice.
+    """
+    hot = max(64, total // 5000)
+    heavy, light = table.where(F.col(count) > hot).drop(count), table.where(F.col(count) <= hot).drop(count)
+    known = F.broadcast(heavy)
+    return rows.join(known, key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))

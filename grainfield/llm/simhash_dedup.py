@@ -3,43 +3,46 @@
 Documents are linked if their sets of different shingles have a similarity (Jaccard) of SIMILARITY or more; this is counted
 on the sets themselves. Equal sets are one node from the start. A fingerprint of 4 x 64 bits finds the candidates: two sets
 of similarity s have the cosine 2s/(1+s), so a bit differs with probability acos(cosine)/pi, and pairs with at most
-DIFFERENCES of the 256 bits are candidates (39 are expected at 0.8, the limit is more than four deviations above).
+DIFFERENCES of the 256 bits are candidates (39 are expected at 0.8, the limit is more than three deviations above).
 
 Candidates: several hierarchies over differently chosen bits. The upper nodes of each, `depth` levels down, are groups
 that share a masked bit pattern; within a group the leaves lie in Gray order. The depth follows from the number of
 documents so that groups stay small, and the number of hierarchies from the depth so that a pair of similarity 0.8 meets
-in one of them with probability RECALL, whatever the size of its groups. A group over CROWD is cut into blocks, and each
-two blocks meet in a group of their own. Within a group every pair is compared but those that are already connected: in
-groups over PAIRS hubs come first, then all that are outside the largest tree meet all others. A group gives fewer links
-than it has members.
+in one of them with probability RECALL, whatever the size of its groups. Within a group every pair is compared but those
+that are already connected: in groups over PAIRS hubs come first, then all that are outside the largest tree meet all
+others. A group gives fewer links than it has members.
 
-Links: the connected candidates are a family, and every pair of candidates lies in one. The shingle sets of a family go to
-one task, where every pair is counted but those already connected by links; a family over FAMILY is cut into blocks that
-meet in pairs as above. Documents without candidates are left alone.
+Links: the connected candidates are a family, and every pair of candidates lies in one. Within a family every pair of
+shingle sets is counted but those already connected by links. Documents without candidates are left alone. Groups over
+CROWD members and families over FAMILY members or SET_HASHES shingles are worked off in blocks (group_links), with the
+same result.
 
 Cases: null and empty texts (and texts without words) have the empty set and are copies of one another; a shorter text is
 one shingle; of a group the row with the least id stays (null last), then by a hash of the row, and of rows equal in every
-column one; an empty table gives an empty one; all columns of the input come back, whatever their names.
+column one; an empty table gives an empty one; all columns of the input come back as they were, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from grainfield.llm.bpe import batches
 from grainfield.llm.components import connected_components
-from grainfield.llm.gray_index import Forest, gray_rank
+from grainfield.llm.gray_index import gray_rank
+from grainfield.llm.group_links import HUBS, group_links, start_forest
 from grainfield.llm.shared import written
 from grainfield.llm.simhash import majority, shingle_hashes
 
-WORDS, SIMILARITY, DIFFERENCES, RECALL = 5, 0.8, 64, 0.97
-LANES, PAIRS, CROWD, HUBS, FAMILY = 4, 1024, 50_000, 24, 512
+WORDS, SIMILARITY, DIFFERENCES, RECALL = 5, 0.8, 60, 0.97
+LANES, PAIRS, CROWD, FAMILY, SET_HASHES = 4, 1024, 20_000, 512, 4_000_000
 _LANE = [f"w{k}" for k in range(LANES)]
 
 
@@ -53,19 +56,25 @@ def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def wide_prints(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """_id, _row, key (of the shingle set, 32 hex digits), w0..w3."""
-    import hashlib
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (the whole row as one struct), id, text, and k0, k1: two hashes of all columns that can be hashed, alike for equal rows alone."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    keys = [F.xxhash64(F.lit(k), *plain).alias(f"k{k}") for k in range(2)]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *keys)
+
+
+def wide_prints(rows: DataFrame, words: int) -> DataFrame:
+    """id, k0, k1, key (of the shingle set, 32 hex digits), size, w0..w3."""
 
     def run(frames):
-        for part in batches(frames, text_col):
-            sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in part[text_col]]
+        for part in batches(frames):
+            sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in part["text"]]
             sizes, flat = np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets)
             lanes = {name: majority(remixed(flat, k), sizes).view(np.int64) for k, name in enumerate(_LANE)}
-            yield pd.DataFrame({"_id": part["_id"], "_row": part["_row"], "key": [hashlib.md5(s.tobytes()).hexdigest() for s in sets]} | lanes)
+            yield pd.DataFrame({"id": part["id"], "k0": part["k0"], "k1": part["k1"], "key": [hashlib.md5(s.tobytes()).hexdigest() for s in sets], "size": sizes} | lanes)
 
-    kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", "_row", text_col).mapInPandas(run, f"_id {kind}, _row long, key string, " + ", ".join(f"{n} long" for n in _LANE))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "k0", "k1", "text").mapInPandas(run, f"id {kind}, k0 long, k1 long, key string, size long, " + ", ".join(f"{n} long" for n in _LANE))
 
 
 def hierarchies(count: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -75,17 +84,8 @@ def hierarchies(count: int, similarity: float = SIMILARITY, recall: float = RECA
     return depth, math.ceil(math.log(1 - recall) / math.log(1 - same**depth))
 
 
-def block_pairs(key: str, blocks: str) -> Column:
-    """The groups a row goes to, where its group is cut into so many blocks (two or more, null for one): those of its block with each other block."""
-    count, block = F.col(blocks), F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")
-    others = F.filter(F.sequence(F.lit(0), count - 1), lambda other: other != block)
-    pairs = F.transform(others, lambda other: F.least(block, other).cast("long") * count + F.greatest(block, other))
-    return F.when(count > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))
-
-
 def near_links(nodes: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
-    """Links (a, b) between the keys of nodes (key, w0..w3; different keys), fewer than a group's members per group."""
-    kind = nodes.schema["key"].dataType.simpleString()
+    """Links (a, b) between the keys of nodes (key long, w0..w3; different keys), fewer than a group's members per group."""
     depth, tables = hierarchies(nodes.count())
     rng = np.random.default_rng(1)
     picked = [rng.permutation(64 * LANES)[:depth] for _ in range(tables)]
@@ -103,35 +103,19 @@ def near_links(nodes: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
                 rank = np.tile((gray_rank(part["w0"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(1)).view(np.int64), tables)
                 yield pd.DataFrame({"node": node, "rank": rank} | {c: np.tile(part[c].to_numpy(), tables) for c in ["key", *_LANE]})
 
-    def linked(frames: Iterator[pd.DataFrame]):
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            held.append(frame)
-            last = frame[["node", "deep"]].iloc[-1]
-            if (held[0][["node", "deep"]].iloc[0] == last).all():
-                continue
-            whole = pd.concat(held, ignore_index=True)
-            open_ = ((whole["node"] == last["node"]) & (whole["deep"] == last["deep"])).to_numpy()
-            yield _links(whole[~open_], differences)
-            held = [whole[open_]]
-        if held:
-            yield _links(pd.concat(held, ignore_index=True), differences)
-
     sizes = nodes.select(*_LANE).mapInPandas(lambda f: grouped(f, True), "node long").groupBy("node").count()
-    half = max(1, CROWD // 2)
-    crowded = sizes.where(F.col("count") > CROWD).select("node", F.ceil(F.col("count") / half).cast("int").alias("blocks"))
-    rows = nodes.select("key", *_LANE).mapInPandas(lambda f: grouped(f, False), f"node long, rank long, key {kind}, " + ", ".join(f"{n} long" for n in _LANE))
-    rows = rows.join(F.broadcast(crowded), "node", "left").withColumn("deep", F.explode(block_pairs("key", "blocks"))).drop("blocks")
-    return rows.repartition("node", "deep").sortWithinPartitions("node", "deep", "rank").mapInPandas(linked, f"a {kind}, b {kind}")
+    crowded = written(sizes.where(F.col("count") > CROWD).select("node", F.ceil(F.col("count") / max(1, CROWD // 2)).cast("long").alias("blocks")), "crowded")
+    rows = nodes.select("key", *_LANE).mapInPandas(lambda f: grouped(f, False), "node long, rank long, key long, " + ", ".join(f"{n} long" for n in _LANE))
+    return group_links(rows, crowded, lambda frame: _links(frame, differences), max(1, CROWD // 2), ["rank"])
 
 
 def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
-    """Links within the groups of rows, which lie together."""
+    """Links within the blocks of rows, which lie together."""
     word = rows[_LANE].to_numpy(np.int64).view(np.uint64)
-    group = rows[["node", "deep"]].to_numpy(np.int64)
+    group, ask = rows[["node", "block"]].to_numpy(np.int64), rows["ask"].to_numpy(bool)
     head = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1)))) if len(group) else np.empty(0, np.int64)
     size = np.diff(np.append(head, len(group)))
-    forest = Forest(len(group))
+    forest = start_forest(rows)
 
     def near(a, b):
         ok = np.bitwise_count(word[a] ^ word[b]).sum(axis=-1) <= differences
@@ -142,102 +126,105 @@ def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
     at = np.flatnonzero(np.arange(len(group)) + 1 < end)
     step = 1
     while len(at):
-        near(at, at + step)
+        some = at[ask[at] | ask[at + step]]
+        near(some, some + step)
         step += 1
         at = at[at + step < end[at]]
     for h, n in zip(head[size > PAIRS].tolist(), size[size > PAIRS].tolist()):
         members = np.arange(h, h + n)
-        rest = members
+        rest = members[ask[members]]
         for _ in range(HUBS):
             if not len(rest):
                 break
-            hub = rest[len(rest) // 2]
-            near_hub = near(np.full(n, hub), members)
+            near_hub = near(np.full(n, rest[len(rest) // 2]), members)
             rest = rest[~near_hub[rest - h]]
-        tree = forest.find(members)
-        for x in members[tree != np.bincount(tree - h).argmax() + h].tolist():
+        for x in _askers(forest, members, ask):
             near(np.full(n, x), members)
     key = rows["key"].to_numpy()
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": key[edges[:, 0]], "b": key[edges[:, 1]]})
 
 
-def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """The rows with set (the different shingles' hashes in order, 8 bytes each) in place of the text."""
-    rest = [c for c in docs.columns if c != text_col]
-
-    def run(frames):
-        for part in batches(frames, text_col):
-            yield part[rest].assign(set=[np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in part[text_col]])
-
-    return docs.select(*rest, text_col).mapInPandas(run, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest) + ", set binary")
+def _askers(forest, members: np.ndarray, ask: np.ndarray) -> list[int]:
+    """The asking members outside one tree: that of the others, which are connected; without others the largest."""
+    tree = forest.find(members)
+    others = ~ask[members]
+    left = tree[others][0] if others.any() else np.unique(tree)[np.unique(tree, return_counts=True)[1].argmax()]
+    return members[(tree != left) & ask[members]].tolist()
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect what pairs of sets (family, deep, key, set) of this similarity connect, within each family and deep."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """The rows with set (the different shingles' hashes in order, 8 bytes each) in place of the text."""
+    rest = [c for c in texts.columns if c != "text"]
 
     def run(frames):
-        at, held = None, {}
-        for frame in frames:
-            for family, deep, key, found in zip(frame["family"], frame["deep"], frame["key"], frame["set"]):
-                if (family, deep) != at:
-                    yield _similar(held, similarity)
-                    at, held = (family, deep), {}
-                held[key] = found
-        yield _similar(held, similarity)
-
-    rows = sets.select("family", "deep", "key", "set").repartition("family", "deep").sortWithinPartitions("family", "deep")
-    return rows.mapInPandas(run, "a long, b long")
-
-
-def _similar(held: dict[int, bytes], similarity: float) -> pd.DataFrame:
-    """Links between the sets of one group, by key."""
-    key = np.fromiter((k for k, v in held.items() if v), np.int64)
-    sets = [np.frombuffer(v, np.uint64) for v in held.values() if v]
-    n = len(sets)
-    if n < 2:
-        return pd.DataFrame({"a": key[:0], "b": key[:0]})
-    size = np.fromiter(map(len, sets), np.int64, n)
-    start = np.cumsum(size) - size
-    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(number.max() + 1, np.int64)
-    forest, done = Forest(n), np.zeros(n, bool)
-
-    def meet(x: int) -> None:
-        own = number[start[x] : start[x] + size[x]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[number], start)
-        mark[own] = 0
-        near = np.flatnonzero(both >= similarity * (size + size[x] - both) - 1e-9)
-        near = near[near != x]
-        forest.join(np.full(len(near), x), near)
-        done[x] = True
-
-    for _ in range(HUBS):
-        alone = np.flatnonzero(~done & (forest.find(np.arange(n)) == np.arange(n)) & (np.bincount(forest.find(np.arange(n)), minlength=n) == 1))
-        if not len(alone):
-            break
-        meet(int(alone[len(alone) // 2]))
-    tree = forest.find(np.arange(n))
-    for x in np.flatnonzero((tree != np.bincount(tree).argmax()) & ~done).tolist():
-        meet(x)
+        for part in batches(frames):
+            yield part[rest].assign(set=[np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in part["text"]])
+
+    return texts.select(*rest, "text").mapInPandas(run, ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in rest) + ", set binary")
+
+
+def _similar(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links within the blocks of rows (with set), which lie together."""
+    rows = rows[rows["set"].str.len() > 0].reset_index(drop=True)
+    key, ask = rows["key"].to_numpy(np.int64), rows["ask"].to_numpy(bool)
+    forest = start_forest(rows)
+    sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
+    for members in rows.groupby(["node", "block"], sort=False).indices.values():
+        if len(members) < 2:
+            continue
+        own = [sets[i] for i in members]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        start = np.cumsum(size) - size
+        number = np.unique(np.concatenate(own), return_inverse=True)[1]
+        mark = np.zeros(number.max() + 1, np.int64)
+        done = np.zeros(len(own), bool)
+
+        def meet(i: int) -> np.ndarray:
+            mine = number[start[i] : start[i] + size[i]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[number], start)
+            mark[mine] = 0
+            near = both >= similarity * (size + size[i] - both) - 1e-9
+            forest.join(np.full(near.sum(), members[i]), members[near])
+            done[i] = True
+            return near
+
+        rest = np.flatnonzero(ask[members])
+        for _ in range(HUBS):
+            if not len(rest):
+                break
+            near = meet(int(rest[len(rest) // 2]))
+            rest = rest[~near[rest] & ~done[rest]]
+        for i in np.flatnonzero(np.isin(members, _askers(forest, members, ask)) & ~done).tolist():
+            meet(i)
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": key[edges[:, 0]], "b": key[edges[:, 1]]})
 
 
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what pairs of sets (node, key, size, set) of this similarity connect within each node."""
+    sizes = sets.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"))
+    blocks = F.ceil(F.greatest(F.col("n") / max(1, FAMILY // 2), F.col("hashes") / (SET_HASHES // 2))).cast("long")
+    crowded = written(sizes.where((F.col("n") > FAMILY) | (F.col("hashes") > SET_HASHES)).select("node", blocks.alias("blocks")), "crowded")
+    return group_links(sets.select("node", "key", "set"), crowded, lambda frame: _similar(frame, similarity), max(1, FAMILY // 2))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, differences: int = DIFFERENCES, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group, with all columns of docs. docs should be a table read back, as it is read three times."""
-    rows = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
-    prints = written(wide_prints(rows, text_col, words), "wide-prints")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
-    nodes = written(prints.groupBy("key", *_LANE).agg(first).withColumn("key", F.monotonically_increasing_id()), "nodes")
-    families = connected_components(near_links(nodes, differences).distinct()).select(F.col("node").alias("key"), F.col("root").alias("family"))
-    blocks = families.groupBy("family").count().where(F.col("count") > FAMILY).select("family", F.ceil(F.col("count") / max(1, FAMILY // 2)).cast("int").alias("blocks"))
-    members = nodes.join(families, "key").join(blocks, "family", "left").select("key", "family", "blocks", F.col("first._id").alias("_sid"), F.col("first._row").alias("_srow"))
-    texts = rows.select("_id", "_row", F.col(f"`{text_col}`").alias("_text")).join(members, (F.col("_row") == F.col("_srow")) & F.col("_id").eqNullSafe(F.col("_sid")))
-    sets = shingle_sets(texts.select("key", "family", "blocks", "_text"), "_text", words).withColumn("deep", F.explode(block_pairs("key", "blocks")))
-    roots = connected_components(similar_links(sets, similarity))
-    placed = nodes.join(roots, nodes.key == roots.node, "left").select("first", F.coalesce("root", "key").alias("root"))
-    stay = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_sid"), F.col("first._row").alias("_srow"))
-    kept = rows.join(stay, (F.col("_row") == F.col("_srow")) & F.col("_id").eqNullSafe(F.col("_sid")))
-    return kept.dropDuplicates(["_row", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed_rows(docs, id_col, text_col)
+    prints = written(wide_prints(rows, words), "wide-prints")
+    if not prints.groupBy("k0", "k1").count().where("count > 1").isEmpty():  # rows equal in every column become one where they lie
+        rows = rows.dropDuplicates(["k0", "k1"])
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k0", "k1")).alias("first")
+    nodes = prints.groupBy("key", "size", *_LANE).agg(first).withColumn("key", F.monotonically_increasing_id())
+    nodes = written(nodes.select("key", "size", *_LANE, "first.id", "first.none", "first.k0", "first.k1"), "nodes")
+    families = connected_components(near_links(nodes, differences).distinct()).select(F.col("node").alias("key"), F.col("root").alias("node"))
+    members = nodes.join(families, "key").select("node", "key", "size", "k0", "k1")
+    texts = rows.select("text", "k0", "k1").join(members, ["k0", "k1"]).select("node", "key", "size", "text")
+    sets = written(shingle_sets(texts, words), "sets")
+    roots = connected_components(similar_links(sets, similarity)).withColumnRenamed("node", "key")
+    placed = nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    stay = placed.groupBy("root").agg(F.min(F.struct("none", "id", "k0", "k1")).alias("s")).select("s.k0", "s.k1")
+    kept = rows.select("row", "k0", "k1").join(stay, ["k0", "k1"], "left_semi")
+    return kept.select("row.*")

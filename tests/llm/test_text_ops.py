@@ -7,13 +7,14 @@ import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from grainfield.llm import bpe, components, dac, gray_index, licences, mixing, queries, simhash, simhash_dedup, toxicity, wordsplit  # noqa: E402
+from grainfield.llm import bpe, components, dac, gray_index, group_links, licences, mixing, queries, simhash, simhash_dedup, toxicity, wordsplit  # noqa: E402
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, ids string, _u int, _id int, component_id long"
@@ -73,6 +74,35 @@ def test_bpe_random_texts():
     assert [x.tolist() for x in c.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_classes_of_every_code_point():
+    """Every code point beside a letter, a digit, a blank and a mark falls into the library's pieces."""
+    from tokenizers import pre_tokenizers
+
+    pieces = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    points = [c for c in range(0xF0000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}!{chr(c)}" for c in points[at : at + 20_000]]
+        flat = wordsplit.Flat(texts)
+        starts, _ = wordsplit.split_with_spaces(flat)
+        got = np.split(starts, np.searchsorted(starts, flat.bounds[1:-1]))
+        assert all((g - b).tolist() == [span[0] for _, span in pieces(t)] for t, g, b in zip(texts, got, flat.bounds[:-1]))
+
+
+def test_bpe_new_letters():
+    t, c = library(BYTE), bpe.Codec(BYTE)
+    texts = ["\U00016d48转", "x\u1c89y", "3\U00010d40 4", "\U00016d48"]
+    assert [x.tolist() for x in c.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_known_words_are_forgotten_in_part(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 50)
+    t, c = library(BYTE), bpe.Codec(BYTE)
+    random.seed(8)
+    texts = [" ".join("".join(random.choice("abc") for _ in range(random.choice((1, 3, 7, 9, 15, 16, 40)))) for _ in range(30)) for _ in range(60)]
+    got = [x.tolist() for at in range(0, 60, 4) for x in c.encode(texts[at : at + 4])]
+    assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] and 0 < len(c.table) <= 50
+
+
 def test_bpe_empty_and_bad(spark, none):
     assert bpe.bpe_round_trip(none, BYTE).count() == 0
     bad = spark.createDataFrame([(1, None), (2, [128])], "doc_id long, ids array<int>")
@@ -237,20 +267,26 @@ def test_drop_near_duplicates(spark, odd, none):
     assert simhash_dedup.drop_near_duplicates(none).count() == 0
 
 
-def test_crowded_groups_keep_their_links(spark, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "PAIRS", 8)
-    rng = np.random.default_rng(0)
-    code = np.repeat(rng.integers(0, 1 << 62, (1, 4)), 40, 0)
-    code[20:] ^= rng.integers(0, 1 << 62, (1, 4))
-    code[np.arange(40), 0] ^= 1 << np.arange(40) % 20
-    frame = __import__("pandas").DataFrame({"node": 1, "deep": 0, "key": [str(i) for i in range(40)]} | {f"w{k}": code[:, k] for k in range(4)})
-    edges = simhash_dedup._links(frame, 46)
-    assert len(edges) == 38 and all((int(a) < 20) == (int(b) < 20) for a, b in zip(edges.a, edges.b))
+def test_drop_near_duplicates_clashing_columns(spark):
+    schema = "doc_id long, text string, _id int, _row int, row int, id int, k0 int, key string, size int, node int, root int"
+    same = "eins zwei drei vier fünf sechs sieben"
+    rows = [(1, same, 77, 88, 1, 2, 3, "a", 4, 5, 6), (2, same, 78, 89, 1, 2, 3, "b", 4, 5, 6), (3, None, 79, 90, 7, 7, 7, None, 7, 7, 7), (3, None, 79, 90, 7, 7, 7, None, 7, 7, 7)]
+    out = simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, schema).repartition(3))
+    assert out.columns == [c.split()[0] for c in schema.split(", ")] and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
 
 
 def print_frame(prints):
     words = np.array([[p >> 64 * k & (1 << 64) - 1 for k in range(4)] for p in prints], np.uint64).view(np.int64)
-    return __import__("pandas").DataFrame({"node": 1, "deep": 0, "key": [str(i) for i in range(len(prints))]} | {f"w{k}": words[:, k] for k in range(4)})
+    n = len(prints)
+    return pd.DataFrame({"node": 1, "block": 0, "key": range(n), "root": range(n), "ask": True} | {f"w{k}": words[:, k] for k in range(4)})
+
+
+def test_crowded_groups_keep_their_links(monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "PAIRS", 8)
+    random.seed(0)
+    base = [random.getrandbits(256) for _ in range(2)]
+    edges = simhash_dedup._links(print_frame([base[i >= 20] ^ 1 << i for i in range(40)]), 46)
+    assert len(edges) == 38 and all((a < 20) == (b < 20) for a, b in zip(edges.a, edges.b))
 
 
 def linked_classes(edges, n):
@@ -281,16 +317,61 @@ def test_large_groups_keep_bridges(monkeypatch):
         assert linked_classes(zip(edges.a, edges.b), len(prints)) == brute_classes(prints, 46)
 
 
-def test_crowds_meet_in_block_pairs(spark, monkeypatch):
+def test_crowds_are_worked_off_in_blocks(spark, monkeypatch):
     random.seed(6)
-    base = [random.getrandbits(256) for _ in range(120)]
+    base = [random.getrandbits(256) for _ in range(60)]
     prints = base + [p ^ sum(1 << b for b in random.sample(range(256), 40)) for p in base]
-    nodes = spark.createDataFrame(print_frame(prints)).drop("node", "deep").repartition(3)
+    for _ in range(60):  # a chain, so that classes meet over blocks
+        prints.append(prints[-1] ^ sum(1 << b for b in random.sample(range(256), 20)))
+    nodes = spark.createDataFrame(print_frame(prints)).drop("node", "block", "root", "ask").repartition(3)
     classes = []
-    for crowd in (50_000, 1):
+    for crowd in (20_000, 4, 1):
         monkeypatch.setattr(simhash_dedup, "CROWD", crowd)
         classes.append(linked_classes([(r.a, r.b) for r in simhash_dedup.near_links(nodes, 46).collect()], len(prints)))
-    assert classes[0] == classes[1] and len(set(classes[0])) < 130
+    assert classes[0] == classes[1] == classes[2] and len(set(classes[0])) < 70
+
+
+@pytest.mark.parametrize("most", [1, 3, 8])
+def test_group_links_by_brute_force(spark, monkeypatch, most):
+    """Points on a line in groups of 1 to 60, linked at a distance of at most 3: blocks give the classes of all pairs."""
+    monkeypatch.setattr(group_links, "HUBS", 2)
+    random.seed(most)
+    points = [(g, g * 1000 + i, random.randrange(200)) for g, n in enumerate((1, 2, 9, 30, 60)) for i in range(n)]
+
+    def link(rows):
+        forest = group_links.start_forest(rows)
+        r = rows.reset_index(drop=True)
+        for i in range(len(r)):
+            near = np.flatnonzero((r.node == r.node[i]) & (r.block == r.block[i]) & (abs(r.x - r.x[i]) <= 3) & (r.ask | r.ask[i]))
+            forest.join(np.full(len(near), i), near)
+        e = np.array(forest.edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": r.key.to_numpy()[e[:, 0]], "b": r.key.to_numpy()[e[:, 1]]})
+
+    members = spark.createDataFrame(points, "node long, key long, x int").repartition(3)
+    crowded = members.groupBy("node").count().where(F.col("count") > most).select("node", F.ceil(F.col("count") / most).cast("long").alias("blocks"))
+    got = {r.node: r.root for r in components.connected_components(group_links.group_links(members, crowded, link, most)).collect()}
+    want = brute_line(points)
+    assert {k: got.get(k, k) for _, k, _ in points} == want
+
+
+def brute_line(points):
+    out = {}
+    for g in {p[0] for p in points}:
+        line = sorted((x, k) for n, k, x in points if n == g)
+        run = [line[0]]
+        for p in line[1:] + [(10**9, -1)]:
+            if p[0] - run[-1][0] > 3:
+                out |= {k: min(k for _, k in run) for _, k in run}
+                run = []
+            run.append(p)
+    return out
+
+
+def test_components_hubs(spark, monkeypatch):
+    """Stars over the limit of a hot key beside paths."""
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(500 + i, 500) for i in range(1, 200)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame([(*e, 1, "x") for e in edges], "a long, b long, u int, m string")).collect()}
+    assert all(got[i] == 0 for i in range(300)) and all(got[i] == 1000 for i in range(1000, 1041)) and all(got[i] == 500 for i in range(500, 700))
 
 
 def shingles_of(text):
@@ -322,10 +403,11 @@ def test_links_by_brute_force_similarity(spark, monkeypatch, family):
 
 def test_similar_sets_at_the_limit():
     sets = {10: range(0, 8), 11: range(0, 10), 12: range(2, 11), 13: range(100, 104), 14: range(0)}
-    edges = simhash_dedup._similar({k: np.array(v, np.uint64).tobytes() for k, v in sets.items()}, 0.8)
+    frame = lambda: pd.DataFrame({"node": 1, "block": 0, "key": list(sets), "root": list(sets), "ask": True, "set": [np.array(v, np.uint64).tobytes() for v in sets.values()]})
+    edges = simhash_dedup._similar(frame(), 0.8)
     assert sorted(sorted(e) for e in zip(edges.a.tolist(), edges.b.tolist())) == [[10, 11]]
     sets[12] = range(0, 12)
-    edges = simhash_dedup._similar({k: np.array(v, np.uint64).tobytes() for k, v in sets.items()}, 0.8)
+    edges = simhash_dedup._similar(frame(), 0.8)
     assert sorted(sorted(e) for e in zip(edges.a.tolist(), edges.b.tolist())) == [[10, 11], [11, 12]]
 
 
