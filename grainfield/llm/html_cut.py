@@ -1,13 +1,20 @@
 """Main text of web pages by a minimum cut.
 
 A page is cut into blocks: runs of text between block-level tags, each with its place in the document tree. A classifier
-gives every block a cost for either label from its ancestors, length, and share of link text; these are the capacities to
-the two terminals. Neighbouring blocks, and the next block under the same parent, are joined by edges that grow weaker
-with their distance in the tree. The minimum cut of this graph (by maximum flow) parts content from boilerplate: a short
-paragraph stays with the article around it, a long notice goes with its sidebar.
+gives every block log-odds of being content, from its length, share of link text, last character, tag, and what tags,
+roles and class names of its ancestors say (the innermost one that says anything counts most, so that an article inside a
+"content-sidebar-wrap" or an unclosed aside is still an article). These costs are the capacities to the two terminals, in
+hundredths. Neighbouring blocks, and the next block under the same parent, are joined by edges of the same scale that halve
+with every step of their distance in the tree. The minimum cut of this graph (by maximum flow) parts content from
+boilerplate: a short paragraph stays with the article around it, a long notice goes with its sidebar.
+
+The weights are a logistic regression (fit_weights) on labelled made-up pages; they are a parameter. A page on which no
+block is likelier content than not has its own prior: the log-odds of its blocks outside boilerplate are raised until the
+best is content.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined by a line feed in page
-order. Scripts, styles, the head and other unseen parts are no blocks. Pages are read to the end, whatever their length.
+order. Scripts, styles, the head and other unseen parts are no blocks. Pages are read to the end, whatever their length,
+and in time proportional to it.
 
 Cases: null and empty html, and html without text, give an empty text; unclosed and stray tags are taken as browsers take
 them; a null url or id stays; repeated rows give repeated results; an empty table gives an empty one; other columns are left out.
@@ -17,12 +24,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>""", re.S)
+QUOTED_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
@@ -33,80 +43,96 @@ CLOSES_P = set("address article aside blockquote div dl fieldset figure footer f
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = set("article aside section div table ul ol dl body main nav header footer form".split())
 
-#: Where text is never content, by tag and role; words of class or id inside an article only make it unlikely.
 BAD_TAGS = set("nav footer aside form button menu dialog".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 BAD_WORDS = set(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead topbar sidebar aside widget widgets related recommended recommendations "
-    "share sharing social comment comments discussion replies reply respond disqus newsletter subscribe subscription signup login search popup modal "
-    "overlay pagination pager toolbar copyright disclaimer skip".split()
+    "share sharing social comment comments reply replies respond disqus newsletter subscribe subscription signup login search popup modal "
+    "overlay pagination pager toolbar copyright disclaimer skip header".split()
 )
+#: Words that boilerplate and articles share.
+WEAK_WORDS = set("notice notices alert discussion byline author meta tags".split())
 GOOD_TAGS = {"article", "main"}
 GOOD_WORDS = set("article content post entry story body main text".split())
-NEUTRAL = {"html", "body", "article", "main"}
-
-NEVER, INSIDE, OUTSIDE, DOUBTED, JOINED = -1000, 30, -30, -20, 24
-
-
-@dataclass
+PAGE = {"html", "body"}
+
+SIZES = [3, 6, 12, 25]
+#: Hundredths of log-odds by feature: fit_weights() on the pages of tests/llm/page_layouts.py.
+WEIGHTS = {
+    "around_bad": -100, "around_good": 6, "bad_tag": -341, "bad_word": -387, "bias": -38, "good_tag": 362, "good_word": 303,
+    "heading": 93, "in_blockquote": 65, "in_li": 104, "in_p": 5, "in_td": 136, "links_most": -330, "links_some": -36,
+    "mixed": -176, "stop": 142, "weak_word": 131, "words_0": -49, "words_1": -27, "words_2": -95, "words_3": 12,
+    "words_4": 122,
+}
+#: Capacity of an edge between siblings, in hundredths of log-odds; it halves with each further step in the tree.
+JOINED = 500
+NEVER = -1_000_000
+
+
+@dataclass(slots=True)
 class Element:
     name: str
-    number: int
+    up: Element | None
+    depth: int
+    inner: str  # what the innermost ancestor (or this one) that says anything says
+    good: bool  # what those around that one say
     bad: bool
-    doubted: bool
-    good: bool
+    hidden: bool
     article: bool
-    header: bool
     link: bool
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: tuple[int, ...]
-    bad: bool
-    doubted: bool
-    good: bool
-    article: bool
-    heading: bool
+    parent: Element
+    kind: str
     raw: list[str] = field(default_factory=list)
     linked: int = 0
     size: int = 0
     text: str = ""
 
 
-def _element(name: str, number: int, rest: str, up: Element | None) -> Element:
-    bad, doubted, good, article, header, link = (up.bad, up.doubted, up.good, up.article, up.header, up.link) if up else (False,) * 6
-    article = article or name == "article"
-    bad = bad or name in BAD_TAGS or (name == "header" and not article)
-    good = good or name in GOOD_TAGS
-    if rest:
-        for key, *values in ATTRIBUTE.findall(rest):
-            key, value = key.lower(), "".join(values)
-            if key in ("class", "id"):
-                words = [w.lower() for w in WORD.findall(value)]
-                hit = {w for i, w in enumerate(words) if not (i and words[i - 1] in ("no", "has", "with", "without"))}
-                if name not in NEUTRAL:
-                    if article:
-                        doubted = doubted or bool(hit & BAD_WORDS)
-                    else:
-                        bad = bad or bool(hit & BAD_WORDS) or "header" in hit
-                good = good or bool(hit & GOOD_WORDS)
-            elif key == "role":
-                bad, good = bad or value.lower() in BAD_ROLES, good or value.lower() in ("main", "article")
-            elif key == "itemprop":
-                good = good or value == "articleBody"
-            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                bad = True
-    return Element(name, number, bad, doubted, good, article, header or name in ("h1", "h2", "h3", "h4", "h5", "h6"), link or name == "a")
+def _says(name: str, rest: str, article: bool) -> tuple[str, bool]:
+    """What an element says of its text ('' if nothing), and whether it is hidden."""
+    good, bad = ["good_tag"] if name in GOOD_TAGS else [], ["bad_tag"] if name in BAD_TAGS or name == "header" and not article else []
+    weak = hidden = False
+    for key, *values in ATTRIBUTE.findall(rest) if rest else ():
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id") and name not in PAGE:
+            words = [w.lower() for w in WORD.findall(value)]
+            hit = {w for i, w in enumerate(words) if not (i and words[i - 1] in ("no", "has", "with", "without"))}
+            good += ["good_word"] * bool(hit & GOOD_WORDS)
+            if name not in GOOD_TAGS:
+                bad += ["bad_word"] * bool(hit & BAD_WORDS)
+                weak = weak or bool(hit & WEAK_WORDS)
+        elif key == "role":
+            good += ["good_tag"] * (value.lower() in ("main", "article"))
+            bad += ["bad_tag"] * (value.lower() in BAD_ROLES)
+        elif key == "itemprop":
+            good += ["good_tag"] * (value == "articleBody")
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            hidden = True
+    if good and bad:
+        return "mixed", hidden
+    return (min(bad) if bad else "weak_word" if weak else max(good) if good else ""), hidden
+
+
+def _element(name: str, rest: str, up: Element) -> Element:
+    says, hidden = _says(name, rest, up.article)
+    good = up.good or says != "" and up.inner.startswith("good")
+    bad = up.bad or says != "" and up.inner.startswith("bad")
+    return Element(name, up, up.depth + 1, says or up.inner, good, bad, hidden or up.hidden, up.article or name == "article", up.link or name == "a")
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
-    stack: list[Element] = [Element("", 0, False, False, False, False, False, False)]
+    root = Element("", None, 0, "", False, False, False, False, False)
+    stack: list[Element] = [root]
+    inside: Counter[str] = Counter()  # how many elements of a name are open
     done: list[Block] = []
     now: Block | None = None
-    number = at = 0
+    at, quotes, last = 0, True, page.rfind(">")
 
     def text(piece: str) -> None:
         nonlocal now
@@ -114,7 +140,10 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if not piece.strip():
                 return
-            now = Block(tuple(e.number for e in stack if e.name not in INLINE), top.bad, top.doubted, top.good, top.article, top.header)
+            parent = top
+            while parent.name in INLINE:
+                parent = parent.up
+            now = Block(parent, parent.name)
         now.raw.append(piece)
         now.size += len(piece)
         if top.link:
@@ -129,24 +158,48 @@ def blocks_of(page: str) -> list[Block]:
             now = None
 
     def pop_to(names: set[str], fence: set[str]) -> None:
+        if not any(inside[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
+                for e in stack[i:]:
+                    inside[e.name] -= 1
                 del stack[i:]
                 return
             if stack[i].name in fence:
                 return
 
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            text(html.escape(m["cdata"], quote=False))
-        name = m["name"] or m["name2"]
-        if name is None:
+    while (open_ := page.find("<", at)) >= 0:
+        if open_ > at:
+            text(page[at:open_])
+        follows = page[open_ + 1 : open_ + 2]
+        if follows in ("!", "?"):
+            if page.startswith("<!--", open_):
+                end = page.find("-->", open_ + 4)
+                at = len(page) if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", open_) and (end := page.find("]]>", open_)) >= 0:
+                text(html.escape(page[open_ + 9 : end], quote=False))
+                at = end + 3
+            else:
+                end = page.find(">", open_)
+                at = len(page) if end < 0 else end + 1
+            continue
+        named = TAG_NAME.match(page, open_)
+        if named is None or open_ > last:  # no tag, or one that never ends: browsers leave an unfinished tag out
+            if named is not None:
+                at = len(page)
+                break
+            text("<")
+            at = open_ + 1
             continue
-        name, end, rest = name.lower(), m["end"] or m["end2"], m["rest"] or m["rest2"] or ""
-        if end:
+        m = QUOTED_TAG.match(page, open_) if quotes else None
+        if m is not None:
+            close, name, rest = bool(m[1]), m[2].lower(), m[3]
+            at = m.end()
+        else:  # a quote that never ends: from here on tags end at their first >
+            quotes, at = False, page.find(">", open_) + 1
+            close, name, rest = page[open_ + 1] == "/", named[1].lower(), page[named.end() : at - 1]
+        if close:
             if name not in INLINE:
                 flush()
             if name == "p":
@@ -157,8 +210,8 @@ def blocks_of(page: str) -> list[Block]:
                 pop_to({name}, {"article", "main"} - {name} if name in ("div", "section", "span") else set())
             continue
         if name in UNSEEN and not rest.endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z" if name != "head" else r"</head\s*>|(?=<body)|\Z", re.I).search(page, at)
-            at = close.end()
+            found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z" if name != "head" else r"</head\s*>|(?=<body)|\Z", re.I).search(page, at)
+            at = found.end()
             if name not in INLINE:
                 text(" ")
             continue
@@ -173,48 +226,59 @@ def blocks_of(page: str) -> list[Block]:
                 pop_to(SAME[name], {"ul", "ol", "dl", "table"} - {name})
         if name in VOID or rest.endswith("/") and name not in ("div", "p", "a", "span"):
             continue
-        number += 1
-        stack.append(_element(name, number, rest, stack[-1]))
+        stack.append(_element(name, rest, stack[-1]))
+        inside[name] += 1
     text(page[at:])
     flush()
     return done
 
 
-def unary_costs(blocks: list[Block]) -> list[int]:
-    """What a block gains as content over boilerplate; negative for boilerplate."""
-    framed = any(b.article and not b.bad for b in blocks)
-    out = []
-    for b in blocks:
-        words = b.text.count(" ") + 1
-        links = b.linked / max(1, b.size)
-        if b.bad:
-            out.append(NEVER)
-        elif b.doubted:
-            out.append(DOUBTED + (30 if words >= 40 and links < 0.2 else 15 if words >= 20 and links < 0.2 else 0))
-        elif framed:
-            out.append((INSIDE if links < 0.8 or words > 30 else 2) if b.article else OUTSIDE + (15 if words >= 40 and links < 0.2 else 0))
-        else:
-            gain = 20 if words >= 20 else 8 if words >= 10 else -4
-            gain += -30 if links > 0.5 else -8 if links > 0.25 else 0
-            out.append(gain + (15 if b.good else 0) + (2 if b.heading and b.good else 0))
-    if not framed and all(u <= 0 for u in out):  # a page of short texts alone
-        out = [u + 40 if u > -10 else u for u in out]
+def features(block: Block) -> list[str]:
+    """The names of what holds for a block."""
+    e, words, links = block.parent, block.text.count(" ") + 1, block.linked / max(1, block.size)
+    out = [f"words_{sum(words >= s for s in SIZES)}"]
+    out += ["links_most"] if links > 0.8 else ["links_some"] if links > 0.3 else []
+    out += ["stop"] if block.text[-1] in ".!?…:;\"'»”" else []
+    kind = block.kind
+    out += ["heading"] if kind in ("h1", "h2", "h3", "h4", "h5", "h6") else [f"in_{kind}"] if kind in ("p", "li", "td", "blockquote") else []
+    out += [e.inner] if e.inner else []
+    return out + ["around_good"] * e.good + ["around_bad"] * e.bad
+
+
+def unary_costs(blocks: list[Block], weights: dict[str, int] | None = None) -> list[int]:
+    """What a block gains as content over boilerplate, in hundredths of log-odds; negative for boilerplate."""
+    weights = WEIGHTS if weights is None else weights
+    bias = weights.get("bias", 0)
+    out = [NEVER if b.parent.hidden else bias + sum(weights.get(f, 0) for f in features(b)) for b in blocks]
+    if blocks and max(out) <= 0:
+        open_ = [i for i, b in enumerate(blocks) if not (b.parent.hidden or b.parent.inner.startswith("bad"))]
+        lift = 50 - max((out[i] for i in open_), default=50)
+        for i in open_:
+            out[i] += lift
     return out
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
+def _distance(a: Element, b: Element) -> int:
+    """Steps between two blocks in the tree, by way of their parents."""
+    steps = 2
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
+
+
+def smoothness(blocks: list[Block], joined: int = JOINED) -> list[tuple[int, int, int]]:
     """Edges (block, block, capacity) between neighbours in the page and between next blocks under one parent."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
-        parent = b.path[:-1]
-        for j in {i - 1, last.get(parent, i - 1)} - {-1}:
-            a = blocks[j].path
-            same = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                same += 1
-            edges.append((j, i, JOINED // (len(a) + len(b.path) - 2 * same + 1)))
+        parent = id(b.parent)
+        if i:
+            edges.append((i - 1, i, joined >> min(_distance(blocks[i - 1].parent, b.parent) - 2, 30)))
+        if (j := last.get(parent, i - 1)) < i - 1:
+            edges.append((j, i, joined))
         last[parent] = i
     return edges
 
@@ -283,12 +347,35 @@ def min_cut(unary: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
             x = to[e]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: dict[str, int] | None = None, joined: int = JOINED) -> str:
     blocks = blocks_of(page or "")
-    keep = min_cut(unary_costs(blocks), smoothness(blocks))
+    keep = min_cut(unary_costs(blocks, weights), smoothness(blocks, joined))
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
+def fit_weights(pages: list[tuple[str, list[str]]], rounds: int = 400, ridge: float = 1e-3) -> dict[str, int]:
+    """Logistic regression of the features on labelled pages (html, texts of the content blocks), in hundredths."""
+    rows, labels = [], []
+    for page, content in pages:
+        wanted = set(content)
+        for b in blocks_of(page):
+            rows.append(["bias", *features(b)])
+            labels.append(b.text in wanted)
+    names = sorted({f for r in rows for f in r})
+    place = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        x[i, [place[f] for f in r]] = 1
+    y, w = np.array(labels, float), np.zeros(len(names))
+    for _ in range(rounds):  # Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + (ridge * len(y) + 1e-9) * np.eye(len(names)), x.T @ (y - p) - ridge * len(y) * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return {f: int(round(100 * v)) for f, v in zip(names, w)}
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col and text of every page."""
 

@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 import sys
+import time
 
 import duckdb
 import numpy as np
@@ -17,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 import corpus_pipeline  # noqa: E402
 
 from grainfield.llm import flac, html_cut, queries, rabitq, url_query, url_reputation  # noqa: E402
+from tests.llm import page_layouts  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -95,6 +97,43 @@ def test_main_text_attributes(page, text):
     assert html_cut.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div class="content-sidebar-wrap"><article><p>{LONG}</p><p>Yes.</p></article><div class="sidebar"><p>{LONG}</p></div></div>', f"{LONG}\nYes."),
+        (f"<aside><p>Side</p><article><h1>Title</h1><p>{LONG}</p></article>", f"Title\n{LONG}"),
+        (f"<div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div><div><div><p>{LONG}</p><p>Yes</p><p>{LONG}</p></div></div>", f"{LONG}\nYes\n{LONG}"),
+        (f'<p>{LONG}</p><p title="never closed>more</p><p>{LONG}</p>', f"{LONG}\nmore\n{LONG}"), ("a < b <p>c", "a < b\nc"), ("<p>a<p>b<a href", "a\nb"),
+    ],
+)
+def test_main_text_layouts(page, text):
+    assert html_cut.main_text(page) == text
+
+
+def test_cut_betters_the_classifier():
+    """On pages the weights were not fitted on, the cut overrules the sign of the costs for the better, and refitting gives the same weights."""
+    blocks = signs = cuts = changed = 0
+    for page, content in page_layouts.pages(2, 20):
+        found, wanted = html_cut.blocks_of(page), set(content)
+        costs = html_cut.unary_costs(found)
+        keep = html_cut.min_cut(costs, html_cut.smoothness(found))
+        truth = [b.text in wanted for b in found]
+        blocks += len(found)
+        signs += sum((c > 0) == t for c, t in zip(costs, truth))
+        cuts += sum(k == t for k, t in zip(keep, truth))
+        changed += sum((c > 0) != k for c, k in zip(costs, keep))
+    assert signs < 0.96 * blocks and cuts > 0.99 * blocks and changed > 0.03 * blocks
+    fitted = html_cut.fit_weights(page_layouts.pages(1, 60))
+    assert fitted.keys() == html_cut.WEIGHTS.keys() and all(abs(fitted[k] - v) <= 2 for k, v in html_cut.WEIGHTS.items())
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a t=\"x>y" * 100_000, "<div>x" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<![CDATA[" * 100_000, "<!--" * 200_000, "<div><p>" + "word " * 30 + "</p></div><p>a</p>" * 30_000])
+def test_pages_take_linear_time(page):
+    began = time.process_time()
+    html_cut.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_min_cut_by_brute_force():
     random.seed(0)
     for _ in range(200):
