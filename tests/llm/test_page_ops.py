@@ -218,23 +218,39 @@ def test_error_bounds_hold():
     rng = np.random.default_rng(0)
     o, q = rng.normal(size=(500, 64)), rng.normal(size=(20, 64))
     turn = rabitq.rotation(64)
-    low, high = rabitq.bounds(*rabitq.encode(o, turn), q, turn)
+    low, high = rabitq.bounds(*rabitq.encode(o, turn), rabitq.squeeze(q @ turn))
     true = ((q[:, None] - o[None]) ** 2).sum(2)
     assert ((low <= true) & (true <= high)).mean() > 0.995
 
 
 def test_many_lists_and_parts(spark, monkeypatch):
     monkeypatch.setattr(rabitq, "LIST", 50)
+    monkeypatch.setattr(rabitq, "QUERIES", 3)
+    monkeypatch.setattr(rabitq, "CANDIDATES", 100)
     rng = np.random.default_rng(1)
     data = np.concatenate((rng.normal(size=(600, 16)), np.ones((300, 16))))
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
     v = rabitq.valid_vectors(df, "vec_id", "embedding")
-    got = rabitq.search(v, v.where("vec_id % 100 = 0"), share=1.0).orderBy("query_id", "rank").collect()
+    got = rabitq.search(v, v.where("vec_id % 100 = 0"), visit=4.0).orderBy("query_id", "rank").collect()
     vectors = dict(enumerate(data))
     for i in range(0, 900, 100):
         assert [r.vec_id for r in got if r.query_id == i] == brute_near(vectors, i, 10)
 
 
+def test_clustered_neighbours(spark, monkeypatch):
+    """Clusters far apart, repeated ids and equal vectors: all neighbours of all queries, and few lists visited."""
+    monkeypatch.setattr(rabitq, "CANDIDATES", 60)
+    rng = np.random.default_rng(2)
+    data = (rng.normal(size=(40, 32)) * 5)[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 32)) * 0.3
+    data[1500:1540] = data[1500]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    v = rabitq.valid_vectors(spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = rabitq.search(v, v.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
+    vectors = dict(enumerate(data))
+    hits = [len({r.vec_id for r in got if r.query_id == i} & set(brute_near(vectors, i, 10))) for i in range(0, 2000, 100)]
+    assert sum(hits) >= 0.98 * 200 and [r.vec_id for r in got if r.query_id == 1500] == list(range(1501, 1511))
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     frames = {}
