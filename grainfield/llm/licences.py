@@ -1,10 +1,11 @@
 """Licence scan by sentence rules, with DataFrame functions alone.
 
-A text is cut into sentences (at line ends and after . ! ? ; before white space); each is normalised (lower case, runs of
-characters other than a-z and 0-9 to one blank, trimmed, years left out) and, if it is a known licence sentence, becomes
-that sentence's identifier; a sentence with a licence word that is not known becomes UNKNOWN; others vanish. The
-identifier sequence is then matched against the ordered rules: a rule fires where its identifiers follow each other, and
-what it matched is used up, so that later, looser rules only see the rest.
+A text is cut into sentences (after . ! ? ; before white space, after : at a line's end, and at blank lines; other line ends
+are wraps, and what comment lines begin with is left out); each is normalised (lower case, runs of characters other than
+a-z and 0-9 to one blank, trimmed, years left out). Known licence sentences in it become their identifiers, longest first,
+whole or as a part (a heading may stand before one); what is left with a licence word becomes UNKNOWN; a copyright line is
+COPYRIGHT; others vanish. The identifier sequence is then matched against the ordered rules: a rule fires where its
+identifiers follow each other, and what it matched is used up, so that later, looser rules only see the rest.
 
 Everything happens within a row: no join, no shuffle, and the tables of sentences and rules are part of the plan.
 
@@ -21,14 +22,24 @@ from pyspark.sql import functions as F
 
 #: Known sentences by identifier, as they are written in the public licence texts and in common notices.
 SENTENCES = {
-    "MIT_GRANT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'],
+    "COPYRIGHT": [],
+    "MIT_GRANT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    ],
     "MIT_NOTICE": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "MIT_REF": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "SPDX-License-Identifier: MIT"],
+    "MIT_LIABLE": ["In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"],
+    "MIT_REF": ["This project is licensed under the MIT License", "Released under the MIT License", "Licensed under the MIT License", "The MIT License (MIT)", "MIT License", "SPDX-License-Identifier: MIT"],
     "APACHE_REF": ['Licensed under the Apache License, Version 2.0 (the "License")', "Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
     "APACHE_COMPLY": ["you may not use this file except in compliance with the License"],
-    "APACHE_COPY": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "APACHE_COPY": ["You may obtain a copy of the License at"],
+    "APACHE_URL": ["http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"],
+    "APACHE_BASIS": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
+    "APACHE_SEE": ["See the License for the specific language governing permissions and limitations under the License"],
     "GPL_FREE": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "GPL_COPY": ["You should have received a copy of the GNU General Public License along with this program"],
+    "GPL2_FREE": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "GPL_SEE": ["See the GNU General Public License for more details"],
+    "GPL_COPY": ["You should have received a copy of the GNU General Public License along with this program", "If not, see https://www.gnu.org/licenses/", "If not, see http://www.gnu.org/licenses/"],
     "GPL3_REF": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "GPL2_REF": ["Licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only"],
     "LGPL_REF": ["Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
@@ -36,8 +47,12 @@ SENTENCES = {
     "BSD_SOURCE": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "BSD_BINARY": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "BSD_NAMES": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "BSD3_REF": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD_AS_IS": ['This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed'],
+    "BSD_LIABLE": ["In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages", "In no event shall the copyright owner or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages"],
+    "BSD3_REF": ["Licensed under the BSD 3-Clause License", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD2_REF": ["Licensed under the BSD 2-Clause License", "BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
     "ISC_GRANT": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "ISC_REF": ["Licensed under the ISC License", "ISC License", "SPDX-License-Identifier: ISC"],
     "MPL_REF": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "CC_BY_NC_REF": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC_BY_SA_REF": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -45,24 +60,28 @@ SENTENCES = {
     "CC0_REF": ["Released under CC0 1.0", "This work is dedicated to the public domain", "SPDX-License-Identifier: CC0-1.0"],
     "UNLICENSE": ["This is free and unencumbered software released into the public domain"],
     "RESERVED": ["All rights reserved"],
-}
+}
 
-#: Rules in order: licence, and the identifiers that must follow each other.
+#: Rules in order: licence, and the identifiers that must follow each other. Identifiers in brackets may be missing.
 RULES = [
-    ("MIT", ["MIT_GRANT", "MIT_NOTICE"]),
-    ("Apache-2.0", ["APACHE_REF", "APACHE_COMPLY", "APACHE_COPY"]),
-    ("GPL-3.0-or-later", ["GPL_FREE", "GPL_COPY"]),
-    ("BSD-3-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAMES"]),
-    ("BSD-2-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY"]),
+    ("MIT", ["[MIT_REF]", "[COPYRIGHT]", "MIT_GRANT", "MIT_NOTICE", "[MIT_LIABLE]"]),
+    ("Apache-2.0", ["[COPYRIGHT]", "APACHE_REF", "APACHE_COMPLY", "APACHE_COPY", "[APACHE_URL]", "[APACHE_BASIS]", "[APACHE_SEE]"]),
+    ("GPL-3.0-or-later", ["[COPYRIGHT]", "GPL_FREE", "[GPL_SEE]", "GPL_COPY", "[GPL_COPY]"]),
+    ("GPL-2.0-or-later", ["[COPYRIGHT]", "GPL2_FREE", "[GPL_SEE]", "GPL_COPY", "[GPL_COPY]"]),
+    ("BSD-3-Clause", ["[BSD3_REF]", "[COPYRIGHT]", "[RESERVED]", "BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAMES", "[BSD_AS_IS]", "[BSD_LIABLE]"]),
+    ("BSD-2-Clause", ["[BSD2_REF]", "[COPYRIGHT]", "[RESERVED]", "BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "[BSD_AS_IS]", "[BSD_LIABLE]"]),
+    ("ISC", ["[ISC_REF]", "[COPYRIGHT]", "ISC_GRANT"]),
     ("MIT", ["MIT_REF"]),
     ("MIT", ["MIT_GRANT"]),
     ("Apache-2.0", ["APACHE_REF"]),
     ("GPL-3.0-or-later", ["GPL_FREE"]),
+    ("GPL-2.0-or-later", ["GPL2_FREE"]),
     ("GPL-3.0", ["GPL3_REF"]),
     ("GPL-2.0", ["GPL2_REF"]),
     ("LGPL-3.0", ["LGPL_REF"]),
     ("BSD-3-Clause", ["BSD3_REF"]),
-    ("ISC", ["ISC_GRANT"]),
+    ("BSD-2-Clause", ["BSD2_REF"]),
+    ("ISC", ["ISC_REF"]),
     ("MPL-2.0", ["MPL_REF"]),
     ("CC-BY-NC-4.0", ["CC_BY_NC_REF"]),
     ("CC-BY-SA-4.0", ["CC_BY_SA_REF"]),
@@ -71,39 +90,66 @@ RULES = [
     ("Unlicense", ["UNLICENSE"]),
     ("Proprietary", ["RESERVED"]),
     ("Unknown", ["UNKNOWN"]),
+    ("Unknown", ["COPYRIGHT"]),
 ]
 
-BREAK = r"[.!?;]+[ \t]+|[\r\n]+"
+#: What a line of a comment may begin with; abbreviations whose point ends no sentence; where a sentence ends: after its mark
+#: before white space, and at a blank line. Other line ends are wraps.
+LEADER, SHORT, BREAK = r"(?m)^[ \t]*[#*/;%-]+[ \t]*", r"\bv\.[ \t]+([0-9])", r"[.!?;]+[ \t]+|[.!?;:]+[ \t]*\n\s*|\n[ \t]*\n\s*"
 LICENCE_WORD = "licen[cs]e|licensed|copyright|all rights reserved|public domain|redistribut|permission is hereby|permission to use|neither the name"
+ANY_WORD = "licen[cs]e|copyright|rights reserved|public domain|redistribut|permission|neither the name"
+COPYRIGHT_LINE = "^copyright( c)?( [a-z0-9]+){0,12}$"
 
 
 def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", re.sub(r"\b(19|20)[0-9][0-9]\b", " ", sentence.lower())).strip()
 
 
-def known_sentences(sentences: dict[str, list[str]] = SENTENCES) -> dict[str, str]:
-    return {normalised(s): name for name, texts in sentences.items() for s in texts}
+def known_segments(sentences: dict[str, list[str]] = SENTENCES) -> list[tuple[str, str]]:
+    """(normalised sentence, identifier), longest first; a sentence that has a break inside is two segments, the later ones without identifier."""
+    out: dict[str, str] = {}
+    for name, texts in sentences.items():
+        for text in texts:
+            parts = [normalised(p) for p in re.split(BREAK, re.sub(SHORT, r"v \1", text.lower()))]
+            kept = [p for p in parts if re.search(LICENCE_WORD, p)]
+            out |= {p: name if i == 0 else "" for i, p in enumerate(kept)}
+    return sorted(out.items(), key=lambda x: (-len(x[0]), x[0]))
 
 
 def sentence_ids(text: Column | str, sentences: dict[str, list[str]] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order. Every known sentence holds a licence word or is looked up anyway."""
-    known = F.create_map(*[F.lit(x) for pair in known_sentences(sentences).items() for x in pair])
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    parts = F.when(lower.rlike("licen[cs]e|copyright|rights reserved|public domain|redistribut|permission|neither the name"), F.split(lower, BREAK)).otherwise(F.array().cast("array<string>"))
+    """Identifiers of the known sentences of a text, in order. Every known sentence holds a licence word, so only sentences with one are searched."""
+    known = known_segments(sentences)
+    double = lambda s: s.replace(" ", "  ")
+    table = F.array(*[F.struct(F.lit(f" {double(k)} ").alias("segment"), F.lit(f" #{i}# ").alias("mark")) for i, (k, _) in enumerate(known)])
+    names = F.array(*[F.lit(name) for _, name in known])
+    lower = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\r\n?", "\n")
+    parts = F.split(F.regexp_replace(F.regexp_replace(lower, LEADER, ""), SHORT, "v $1"), BREAK)
+    parts = F.when(lower.rlike(ANY_WORD), parts).otherwise(F.array().cast("array<string>"))
     clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\b(19|20)[0-9][0-9]\b", " "), "[^a-z0-9]+", " ")))
-    named = F.transform(clean, lambda s: F.coalesce(F.try_element_at(known, s), F.when(s.rlike(LICENCE_WORD), F.lit("UNKNOWN"))))
-    return F.filter(named, lambda s: s.isNotNull())
+    clean = F.filter(clean, lambda s: s.rlike(LICENCE_WORD))
+
+    def named(s: Column) -> Column:
+        marked = F.aggregate(table, F.concat(F.lit("  "), F.replace(s, F.lit(" "), F.lit("  ")), F.lit("  ")), lambda state, k: F.replace(state, k["segment"], k["mark"]))
+        found = F.transform(F.regexp_extract_all(marked, F.lit("#([0-9]+)#"), F.lit(1)), lambda i: names[i.cast("int")])
+        return F.concat(F.filter(found, lambda x: x != ""), F.when(marked.rlike(LICENCE_WORD), F.array(F.lit("UNKNOWN"))).otherwise(F.array().cast("array<string>")))
+
+    return F.flatten(F.transform(clean, lambda s: F.when(s.rlike(COPYRIGHT_LINE) & ~s.rlike("licen|permi"), F.array(F.lit("COPYRIGHT"))).otherwise(named(s))))
+
+
+def rule_pattern(sequence: list[str]) -> str:
+    """A rule as a regular expression over identifiers between bars."""
+    return "".join(rf"(?:\|{x[1:-1]}\|)?" if x.startswith("[") else rf"\|{x}\|" for x in sequence)
 
 
 def licences(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
     """Licences whose rules fire on a sequence of identifiers, each once, in the order of the rules."""
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "||".join(seq) + "|").alias("mark")) for name, seq in rules])
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rule_pattern(seq)).alias("pattern")) for name, seq in rules])
     line = F.array_join(F.transform(ids, lambda s: F.concat(F.lit("|"), s, F.lit("|"))), "")
     start = F.struct(line.alias("line"), F.array().cast("array<string>").alias("found"))
 
     def fire(state, rule):
-        hit = F.contains(state["line"], rule["mark"])
-        return F.struct(F.replace(state["line"], rule["mark"], F.lit("#")).alias("line"), F.when(hit, F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
+        hit = F.rlike(state["line"], rule["pattern"])
+        return F.struct(F.regexp_replace(state["line"], rule["pattern"], F.lit("#")).alias("line"), F.when(hit, F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
 
     return F.array_distinct(F.aggregate(table, start, fire)["found"])
 

@@ -474,5 +474,88 @@ def test_licences(spark, text, expected):
     assert licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences == expected
 
 
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2019 Jane Example
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+APACHE_HEADER = """# Copyright 2020 Example Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import os
+"""
+GPL_HEADER = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+ */"""
+BSD_FILE = """Copyright (c) 2021, Example
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        (MIT_FILE, ["MIT"]), (MIT_FILE.replace("\n", "\r\n"), ["MIT"]), (APACHE_HEADER, ["Apache-2.0"]), (GPL_HEADER, ["GPL-3.0-or-later"]), (BSD_FILE, ["BSD-3-Clause"]),
+        (BSD_FILE.partition("3. ")[0], ["BSD-2-Clause"]), (MIT_FILE + APACHE_HEADER, ["MIT", "Apache-2.0"]), ("from from from\nLicensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", ["MPL-2.0"]), ("// SPDX-License-Identifier: MIT\n\nint x;", ["MIT"]),
+        ("Licensed under CC BY 4.0. Licensed under CC BY 4.0.\nLicensed under CC BY 4.0", ["CC-BY-4.0"]), ("You need a licence to fish.", ["Unknown"]),
+    ],
+)
+def test_licence_files(spark, text, expected):
+    assert licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences == expected
+
+
 def test_licences_odd(odd, none):
     assert licences.scan_licences(odd).count() == len(ODD) and licences.scan_licences(none).count() == 0
