@@ -7,7 +7,7 @@ over the radius.
 
 Across Spark, the aligned Gray intervals (that is, code prefixes of varying length) that hold at most a given number of
 codes are cells. A code is at home in one cell and visits the later cells whose prefix is within the radius; each cell
-is one task's index. Cells are cut from counts by prefix, deeper where codes are dense, and visitors of a crowded cell
+is one task's index. Cells are cut from a bounded sample, deeper where codes are dense, and visitors of a crowded cell
 are dealt over copies of it.
 """
 
@@ -25,6 +25,8 @@ from grainfield.llm.shared import written
 FANOUT = 16
 #: Codes at home in a cell, and visitors of one copy of a cell.
 HOME, VISITORS = 8192, 65536
+#: Codes that the driver may see to cut the cells.
+SAMPLE = 1 << 20
 _CHUNK = 4096
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -108,42 +110,27 @@ class Forest:
                     self.edges.append((x, y))
 
 
-def plan_cells(codes: DataFrame, column: str, home: int = HOME) -> tuple[np.ndarray, np.ndarray]:
-    """Prefixes (left-aligned) and depths of the cells, in code order, from counts of ever longer prefixes.
+def plan_cells(codes: DataFrame, column: str, count: int, home: int = HOME, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes (left-aligned) and depths of cells that tile all codes, in code order, each of about `home` codes or less.
 
-    Only prefixes with over `home` codes are counted again one byte deeper, so the driver sees at most 256 counts for
-    each crowded prefix. The codes are distinct.
+    They are cut from a sample by hash of about `sample` codes at most, which is all that the driver sees (8 bytes each); with
+    fewer codes than that the sample is all of them. The codes are distinct.
     """
-    spark = codes.sparkSession
-    leaves: list[tuple[int, int, int]] = []  # prefix, depth, count
-    crowded, depth = None, 0
-    while depth < 64:
-        depth += 8
-        now = codes.select(F.shiftrightunsigned(column, 64 - depth).alias("p"))
-        if crowded is not None:
-            up = spark.createDataFrame([(p,) for p in crowded], "q long")
-            now = now.withColumn("q", F.shiftrightunsigned("p", 8)).join(F.broadcast(up), "q", "left_semi")
-        counts = [(r[0] & (1 << depth) - 1, r[1]) for r in now.groupBy("p").count().collect()]
-        leaves += [(p << 64 - depth, depth, n) for p, n in counts if n <= home or depth == 64]
-        crowded = [p - (1 << 64) if p >= 1 << 63 else p for p, n in counts if n > home and depth < 64]
-        if not crowded:
-            break
-    leaves.sort()
-    merged: list[tuple[int, int, int]] = []
-    for leaf in leaves:  # siblings grow together while they stay within one cell
-        merged.append(leaf)
-        while merged:
-            p, d, n = merged[-1]
-            if not d:
-                break
-            bit = 1 << 64 - d
-            if p & bit and len(merged) > 1 and merged[-2][:2] == (p ^ bit, d) and n + merged[-2][2] <= home:
-                merged[-2:] = [(p ^ bit, d - 1, n + merged[-2][2])]
-            elif p & bit and not (len(merged) > 1 and merged[-2][0] >= p ^ bit):
-                merged[-1] = (p ^ bit, d - 1, n)  # its sibling is empty
-            else:
-                break
-    return np.array([p for p, _, _ in merged], np.uint64), np.array([d for _, d, _ in merged], np.int64)
+    every = max(1, -(-count // sample))
+    picked = codes if every == 1 else codes.where(F.pmod(F.xxhash64(column), F.lit(every)) == 0)
+    seen = np.sort(picked.select(column).toPandas()[column].to_numpy(np.int64).view(np.uint64)) if count else np.empty(0, np.uint64)
+    most = max(1, home // every, 8 * (every > 1))
+    cells: list[tuple[int, int]] = []
+    open_ = [(0, 0, 0, len(seen))]
+    while open_:
+        prefix, depth, low, high = open_.pop()
+        if high - low <= most or depth == 64:
+            cells.append((prefix, depth))
+            continue
+        half = prefix | 1 << 63 - depth
+        middle = low + int(np.searchsorted(seen[low:high], np.uint64(half)))
+        open_ += [(half, depth + 1, middle, high), (prefix, depth + 1, low, middle)]
+    return np.array([p for p, _ in cells], np.uint64), np.array([d for _, d in cells], np.int64)
 
 
 def near_forest(codes: DataFrame, column: str, radius: int, home: int = HOME, visitors: int = VISITORS) -> DataFrame:
@@ -153,9 +140,7 @@ def near_forest(codes: DataFrame, column: str, radius: int, home: int = HOME, vi
     gives fewer links than it has codes, however many pairs are near. Nulls are left out.
     """
     codes = codes.select(column).where(F.col(column).isNotNull())
-    prefix, depth = plan_cells(codes, column, home)
-    if not len(prefix):
-        return codes.sparkSession.createDataFrame([], "a long, b long")
+    prefix, depth = plan_cells(codes, column, codes.count(), home)
     mask = np.array([(1 << 64) - (1 << 64 - d) if d else 0 for d in depth.tolist()], np.uint64)
 
     def route(frames):
@@ -169,7 +154,8 @@ def near_forest(codes: DataFrame, column: str, radius: int, home: int = HOME, vi
                 yield pd.DataFrame({"cell": cell, "home": cell == own[query], "code": code[query]})
 
     routed = written(codes.mapInPandas(route, "cell int, home boolean, code long"), "routed")
-    copies = [(r[0], -(-r[1] // visitors)) for r in routed.where("not home").groupBy("cell").count().collect() if r[1] > visitors]
+    visiting = routed.where("not home").groupBy("cell").count().where(F.col("count") > visitors)
+    copies = [(r[0], -(-r[1] // visitors)) for r in visiting.collect()]  # at most a row per cell
     crowded = codes.sparkSession.createDataFrame(copies, "cell int, copies int")
     dealt = routed.join(F.broadcast(crowded), "cell", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     salts = F.when(F.col("home"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("code"), F.col("copies")).cast("int")))

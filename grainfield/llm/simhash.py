@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from grainfield.llm.bpe import batches
 from grainfield.llm.components import connected_components
 from grainfield.llm.gray_index import near_forest
-from grainfield.llm.shared import written
+from grainfield.llm.shared import join_counted, written
 
 #: For each byte, its bits (highest first) as eight one-byte counters; 255 of them can be added.
 _COUNTERS = np.array([sum((b >> 7 - i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
@@ -83,12 +83,13 @@ def near_components(prints: DataFrame, radius: int = 2, id_col: str = "doc_id")
     Equal fingerprints are one node, so copies never meet as pairs. Rows with a null id get their component's least id,
     null if it has none.
     """
-    nodes = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "fingerprints")
-    roots = connected_components(near_forest(nodes, "fingerprint", radius))
-    placed = nodes.join(roots, nodes.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    classes = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(classes, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+    nodes = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "fingerprints")
+    roots = connected_components(near_forest(nodes, "fingerprint", radius)).withColumnRenamed("node", "fingerprint")
+    placed = written(nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), "placed")
+    classes = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"), F.sum("copies").alias("rows"))
+    total = classes.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    named = join_counted(placed, classes.drop("rows"), "root", "members", total[0]).select("fingerprint", "copies", "component_id")
+    return join_counted(prints, named, "fingerprint", "copies", total[1]).select(id_col, "fingerprint", "component_id")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,12 @@
 """URL filter, HTML extraction, FLAC, neighbours, pipeline."""
 
+import hashlib
 import itertools
 import os
 import random
 import sys
 import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -187,6 +189,60 @@ def test_flac_odd(spark):
     assert flac.flac_decode(gap, []).first().payload is None
 
 
+def test_flac_query_by_plain_python(spark, sf):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.QUERIES["op7_flac"](spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        raw = docs[r.doc_id]
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = flac.encode_streams([payload])[0]
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == want
+
+
+def bits_of(*fields):
+    """Bits of (value, width) fields, highest first, padded to bytes."""
+    line = "".join(format(v & (1 << n) - 1, f"0{n}b") for v, n in fields)
+    return bytes(int(line[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(line), 8))
+
+
+def crc_of(data, poly, width):
+    rest = 0
+    for byte in data:
+        rest ^= byte << width - 8
+        for _ in range(8):
+            rest = (rest << 1 ^ poly if rest >> width - 1 else rest << 1) & (1 << width) - 1
+    return rest
+
+
+def test_flac_of_another_encoder():
+    """A stream put together bit by bit from the format's description: a constant, a verbatim and a fixed-predictor frame."""
+    import array
+
+    constant, verbatim = [5] * 64, [(i * 37) % 200 - 100 for i in range(64)]
+    line = [i - 20 for i in range(64)]
+    frames, points = b"", []
+    for number, sub in enumerate(
+        (
+            [(0, 1), (0, 6), (0, 1), (5, 8)],
+            [(0, 1), (1, 6), (0, 1), *[(v, 8) for v in verbatim]],
+            [(0, 1), (8 + 2, 6), (0, 1), (line[0], 8), (line[1], 8), (0, 2), (0, 4), (0, 4), *[(1, 1)] * 62],  # order 2, Rice parameter 0, residuals 0
+        )
+    ):
+        head = bits_of((0b11111111111110, 14), (0, 2), (7, 4), (4, 4), (0, 4), (1, 3), (0, 1), (number, 8), (63, 16))
+        head += bytes([crc_of(head, 0x07, 8)])
+        body = head + bits_of(*sub)
+        points.extend([(64 * number, 64), (len(frames), 64), (64, 16)])
+        frames += body + crc_of(body, 0x8005, 16).to_bytes(2, "big")
+    samples = constant + verbatim + line
+    digest = hashlib.md5(array.array("b", samples).tobytes()).digest()
+    info = bits_of((64, 16), (64, 16), (0, 24), (0, 24), (8000, 20), (0, 3), (7, 5), (len(samples), 36)) + digest
+    seek = bits_of(*points)
+    stream = b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(seek).to_bytes(3, "big") + seek + frames
+    assert flac.decode_streams([stream])[0].tolist() == samples
+
+
 def brute_near(vectors, query, k):
     far = [(float(np.sqrt(((v - vectors[query]) ** 2).sum())), i) for i, v in vectors.items() if i != query]
     return [i for _, i in sorted(far)[:k]]

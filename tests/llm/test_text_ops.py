@@ -186,6 +186,53 @@ def test_mix(spark, docs, odd, none):
     assert mixing.mix(mixing.sized_documents(none), (5, 2, 1), ["id", "text_hash"]).count() == 0
 
 
+def test_mix_by_brute_force(spark):
+    """Every stratum by the definition: certain copies, Pareto order, what fits in later passes, a last one if that comes closer."""
+    random.seed(11)
+    rows = [(i, random.choice("ab"), random.choice((0, 1, 3, 40, 41, 500))) for i in range(400)]
+    rows += [(400 + i, "c", 7) for i in range(3)] + [(3, "a", 40), (3, "a", 40)]
+    df = spark.createDataFrame(rows, "id long, source string, size long").repartition(5)
+    hashed = {r.id: r for r in df.select("id", F.xxhash64(F.lit(42), "id").alias("h"), F.xxhash64(F.lit(43), F.xxhash64(F.lit(42), "id")).alias("g")).distinct().collect()}
+    count, size = {}, {}
+    for _, s, n in rows:
+        count[s], size[s] = count.get(s, 0) + 1, size.get(s, 0) + n
+    names = sorted(size)
+    target = dict(zip(names, filled([size[s] for s in names], (5, 2, 1))))
+    strata = {}
+    for i, s, n in rows:
+        strata.setdefault((s, hashed[i].g % -(-count[s] // 32)), []).append((i, n))
+    want = []
+    for (s, _), members in strata.items():
+        e = min(3.0, target[s] / size[s])
+        c, p = int(e), e - int(e)
+        u = {i: (((hashed[i].h % 2**64) >> 12) + 0.5) / 2**52 for i, _ in members}
+        line = sorted(range(len(members)), key=lambda k: (u[members[k][0]] / (1 - u[members[k][0]]) * (1 - p) / p if p > 0 else 0, hashed[members[k][0]].h, members[k][1]))
+        gap, into = sum(int(p * n * 2**20) for _, n in members) / 2**20, set()
+        for k in range(4 if p > 0 else 0):
+            run, new = 0, []
+            for j in line:
+                if j not in into and (k == 0 or members[j][1] <= gap):
+                    run += members[j][1]
+                    new += [j] if run <= gap else []
+            into |= set(new)
+            gap -= sum(members[j][1] for j in new)
+        free = [j for j in range(len(members)) if j not in into and p > 0 and members[j][1] < 2 * gap]
+        into |= {min(free, key=lambda j: (abs(members[j][1] - gap), u[members[j][0]]))} if free else set()
+        want += [(i, n, c + (j in into)) for j, (i, n) in enumerate(members)]
+    for shuffled in (df, df.repartition(2)):
+        got = mixing.mix(shuffled, (5, 2, 1), ["id"], stratum=32).select("id", "size", "copies").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_mix_clashing_columns(spark):
+    rows = [(i, "ab"[i % 2], i % 7, 1, 2, 3, 4.0, True, 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, source string, size long, rows int, _u int, h int, p double, `in` boolean, target long")
+    plain = {r.id: r.copies for r in mixing.mix(df.select("id", "source", "size"), (5, 2, 1), ["id"]).collect()}
+    out = mixing.mix(df, (5, 2, 1), ["id"])
+    assert out.columns == ["id", "source", "size", "rows", "_u", "h", "p", "in", "source_size", "target", "copies"]
+    assert {r.id: r.copies for r in out.collect()} == plain and {(r.rows, r._u, r.h, r.p, r["in"]) for r in out.collect()} == {(1, 2, 3, 4.0, True)}
+
+
 def test_mix_strata_and_merit(spark):
     rows = spark.range(3000).select(F.col("id"), F.lit("a").alias("source"), (F.col("id") % 50 + 1).alias("size"), (F.col("id") % 2 * 3 + 1).alias("merit"))
     rows = rows.union(spark.range(3000, 3300).select("id", F.lit("b"), F.lit(100).cast("long"), F.lit(1)))
@@ -244,6 +291,17 @@ def test_gray_index_crowded(spark):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_gray_cells_of_a_sample(spark):
+    rng = np.random.default_rng(1)
+    codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.uint64(5) << np.uint64(50) | rng.integers(0, 1 << 20, 3000, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
+    for sample in (1 << 20, 1000):
+        prefix, depth = gray_index.plan_cells(df, "code", len(codes), home=100, sample=sample)
+        ends = [int(p) + (1 << 64 - int(d)) for p, d in zip(prefix, depth)]
+        assert prefix[0] == 0 and ends[-1] == 1 << 64 and ends[:-1] == [int(p) for p in prefix[1:]]
+        assert np.bincount(np.searchsorted(prefix, codes, side="right") - 1).max() <= (100 if sample > 6000 else 400)
+
+
 def test_components_path_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (None, 7), (5, 6)]
     got = dict((r.node, r.root) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
