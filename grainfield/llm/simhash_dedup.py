@@ -42,7 +42,7 @@ from grainfield.llm.shared import written
 from grainfield.llm.simhash import majority, shingle_hashes
 
 WORDS, SIMILARITY, DIFFERENCES, RECALL = 5, 0.8, 60, 0.97
-LANES, PAIRS, CROWD, FAMILY, SET_HASHES = 4, 1024, 20_000, 512, 4_000_000
+LANES, PAIRS, CROWD, FAMILY, SET_HASHES = 4, 1024, 20_000, 256, 4_000_000
 _LANE = [f"w{k}" for k in range(LANES)]
 
 
