@@ -26,7 +26,7 @@ FANOUT = 16
 #: Codes at home in a cell, and visitors of one copy of a cell.
 HOME, VISITORS = 8192, 65536
 #: Codes that the driver may see to cut the cells.
-SAMPLE = 1 << 20
+SAMPLE = 1 << 17
 _CHUNK = 4096
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
