@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfield.functions.text import _col
@@ -19,6 +19,7 @@ ORDERS = {"specific": ["email", "iban", "svn", "phone"], "phone_first": ["email"
 # Paths of sensitive and of legal pages, metadata keys.
 SENSITIVE = "/login|/auth|/signin|/signup|/register|/account|/profil|/admin|/datenschutz|/privacy|/cookie|/tracking|/bewerbung|/formular|/antrag"
 LEGAL = "/impressum|/legal|/kontakt|/imprint|/ueber-uns|/about"
+METADATA_MARK = "[ENTFERNT – DSGVO Art. 5]"
 SENSITIVE_KEYS = ["author", "creator", "producer", "email", "phone", "user", "username", "ip", "geolocation", "location"]
 
 
@@ -32,9 +33,17 @@ def redact(text: Column | str, order: str = "specific") -> tuple[Column, dict[st
     return text, counts
 
 
+def redaction_totals(df: DataFrame, text: str, by: list[str], order: str = "specific") -> DataFrame:
+    """Per group the hits of every kind, and in all."""
+    _, counts = redact(text, order)
+    rows = df.select(*by, *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()])
+    sums = rows.groupBy(*by).agg(*[F.sum(k).alias(k) for k in PATTERNS])
+    return sums.withColumn("total", sum((F.col(k) for k in PATTERNS), F.lit(0)))
+
+
 def sanitize_metadata(data: Column | str) -> Column:
     """values of sensitive keys, in any case, are replaced."""
-    return F.transform_values(_col(data), lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), F.lit("[ENTFERNT]")).otherwise(v))
+    return F.transform_values(_col(data), lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), F.lit(METADATA_MARK)).otherwise(v))
 
 
 def is_sensitive_url(url: Column | str) -> Column:

@@ -112,6 +112,23 @@ def display_time(ts: Column, seconds: bool = False) -> Column:
     return F.coalesce(F.date_format(ts, "dd.MM.yyyy HH:mm" + (":ss" if seconds else "")), F.lit("-"))
 
 
+def iso_time(ts: Column) -> Column:
+    """yyyy-MM-ddTHH:mm:ss, null for null."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def display_date(day: Column) -> Column:
+    """yyyy-MM-dd text as dd.MM.yyyy; other text stays, empty is null."""
+    parts = F.split(day, "-")
+    return F.when(F.size(parts) == 3, F.concat_ws(".", parts[2], parts[1], parts[0])).otherwise(F.nullif(day, F.lit("")))
+
+
+def map_range_text(start: Column, end: Column) -> Column:
+    """F43 as maps show it: both ends, '?' for a missing one; null if both are missing."""
+    a, b = display_date(start), display_date(end)
+    return F.when(a.isNotNull() | b.isNotNull(), F.concat(F.coalesce(a, F.lit("?")), F.lit(" – "), F.coalesce(b, F.lit("?"))))
+
+
 def chunk_step(size: int, overlap: int) -> tuple[int, int]:
     """Overlap and step of the chunker; an overlap that is not under the size becomes a tenth of it."""
     overlap = overlap if overlap < size else size // 10

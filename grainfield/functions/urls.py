@@ -15,6 +15,12 @@ SKIP_ENDINGS = [
 # Patterns of empty category pages.
 SKIP_PATTERN = "jsf=jet-engine|tax=adressen-kategorie|stadtplan-query"
 MOST_DEPTH = 8
+# Words of urls that are never relevant, and of file names of documents that come first.
+IGNORED_WORDS = ["impressum", "datenschutz", "kontakt", "sitemap", "login", ".jpg", ".png", ".gif", ".svg", ".webp"]
+PRIORITY_WORDS = [
+    "bekanntmachung", "bebauungsplan", "b-plan", "bplan", "satzung", "erschließung", "erschliessung", "ausschreibung", "vergabe", "foerderung", "förderung",
+    "sanierung", "strassenbau", "straßenbau", "brueckenbau", "brückenbau", "brueckensanierung", "brückensanierung", "leitungsbau",
+]
 # Query parameters that don't tell pages apart.
 IGNORED_PARAMETERS = ["sort", "page", "order", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content"]
 
@@ -76,6 +82,34 @@ def is_document(url: Column | str) -> Column:
     return F.lower(_col(url)).endswith(".pdf")
 
 
+def is_ignored(url: Column | str) -> Column:
+    """Urls that hold a word of pages or images never read."""
+    return F.lower(_col(url)).rlike("|".join(w.replace(".", r"\.") for w in IGNORED_WORDS))
+
+
+def in_sub_path(url: Column | str, start: Column | str) -> Column:
+    """The url's path begins with the path of the start."""
+    return path(url).startswith(path(start))
+
+
+def is_priority_document(url: Column | str) -> Column:
+    """by words of the file name."""
+    return F.lower(F.substring_index(_col(url), "/", -1)).rlike("|".join(PRIORITY_WORDS))
+
+
+def document_order(url: Column | str, pos: Column | str) -> list[Column]:
+    """Priority documents in the order found, then the others by year, the latest (or none) first."""
+    priority = is_priority_document(url)
+    return [F.when(priority, 0).otherwise(1), F.when(priority, 0).otherwise(-document_year(url)), _col(pos)]
+
+
+def is_recent_document(created: Column | str, least: int) -> Column:
+    """Creation dates D:YYYY... of a year on; others pass."""
+    created = _col(created)
+    year = F.when(created.startswith("D:"), F.substring(created, 3, 4).try_cast("int"))
+    return F.coalesce(year >= least, F.lit(True))
+
+
 def document_year(url: Column | str) -> Column:
     """F16: a year 20xx in the file name, 9999 if there is none."""
     return F.coalesce(F.regexp_extract(F.substring_index(_col(url), "/", -1), r"(20\d{2})", 1).try_cast("int"), F.lit(9999))

@@ -34,6 +34,28 @@ def cosine(doc_vectors: DataFrame, category_vectors: DataFrame, ident: str) -> D
     return doc_vectors.join(F.broadcast(c), "term").groupBy(ident, "category").agg(F.sum(F.col("weight") * F.col("cw")).alias("cosine")).where("cosine > 0")
 
 
+def best_cosine(found: DataFrame, docs: DataFrame, ident: str) -> DataFrame:
+    """per document the greatest cosine (0 without any) and the categories over 0, best first, then by name."""
+    best = found.groupBy(ident).agg(F.max("cosine").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "category"))).alias("a"))
+    rows = docs.select(ident).join(best, ident, "left")
+    return rows.select(ident, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.transform("a", lambda x: x["category"]), F.array().cast("array<string>")).alias("categories"))
+
+
+def seed_training(keywords: DataFrame, repeat: int = 3) -> DataFrame:
+    """Doc, class, text: every keyword (pos, category, term) so many times, and one text of all keywords of a category."""
+    each = keywords.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(repeat))))
+    words = each.select(F.concat_ws("#", "category", "term", F.col("_copy").cast("string")).alias("doc"), F.col("category").alias("class"), F.col("term").alias("text"))
+    phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ")
+    return words.unionByName(keywords.groupBy("category").agg(phrase.alias("text")).select(F.col("category").alias("doc"), F.col("category").alias("class"), "text"))
+
+
+def ensemble(cosines: DataFrame, classified: DataFrame, ident: str, weights: tuple[float, float] = (0.4, 0.6), threshold: float = 0.15) -> DataFrame:
+    """best_cosine() and classify() together: score, whether relevant, the classifier's class and confidence; weights and threshold are parameters."""
+    rows = cosines.select(ident, F.col("score").alias("tfidf"), "categories").join(classified, ident)
+    score = F.round(F.col("tfidf") * weights[0] + F.col("posterior") * weights[1], 4)
+    return rows.select(ident, F.round("tfidf", 4).alias("tfidf_score"), F.round("posterior", 4).alias("bayes_score"), score.alias("score"), (score >= threshold).alias("is_relevant"), F.col("class").alias("top_category"), "categories", F.round("confidence", 4).alias("confidence"))
+
+
 def train(counts: DataFrame, labels: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
     """(class, prior) and (class, term, p) with Laplace smoothing over the whole vocabulary; only seen pairs are rows, `p0` is for the others."""
     classes = labels.groupBy("class").agg(F.count("*").alias("n"))

@@ -25,7 +25,14 @@ def rolling_context(rows: DataFrame, most: int = 5) -> DataFrame:
 
 def seeded_order(key: Column | str, seed: int) -> Column:
     """A reproducible random order, the same however the rows are dealt out."""
-    return F.xxhash64(F.lit(seed), key)
+    return F.md5(F.concat(F.lit(f"{seed}#"), (F.col(key) if isinstance(key, str) else key).cast("string")))
+
+
+def seed_filter(seeds: DataFrame, overrides: DataFrame, state: str | None = None, least: int = 0) -> DataFrame:
+    """Seeds with an http url, of a state (ignoring case), with enough people, whose url is no override's."""
+    same = F.lower("bundesland") == state.lower() if state else F.lit(True)
+    enough = F.coalesce(F.col("einwohner").try_cast("int"), F.lit(0)) >= least
+    return seeds.where(F.col("url").startswith("http") & same & enough).join(overrides.select("url"), "url", "left_anti")
 
 
 def seed_select(seeds: DataFrame, overrides: DataFrame, key: str, most: int, seed: int) -> DataFrame:
@@ -37,16 +44,40 @@ def seed_select(seeds: DataFrame, overrides: DataFrame, key: str, most: int, see
 
 def train_eval_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """Column `part`, train or eval by the row's hash; a table of any size is split without sorting it."""
-    return df.withColumn("part", F.when(F.pmod(seeded_order(F.col(key), seed), F.lit(10_000)) < int(share * 10_000), "eval").otherwise("train"))
+    return df.withColumn("part", F.when(F.substring(seeded_order(key, seed), 1, 8) < f"{int(share * (1 << 32)):08x}", "eval").otherwise("train"))
+
+
+# Labels of the lines of a text made from findings, by column.
+LABELS = {"massnahme": "Projekt: ", "adresse": "Standort: ", "start": "Baubeginn: ", "ende": "Fertigstellung: ", "quelle_url": "Weitere Infos: "}
+
 
+def made_text(items: Column, place: Column) -> Column:
+    """a text about a place from an array of findings, a line per known column."""
+    lines = lambda m: F.concat_ws("\n", *[F.when(F.coalesce(m[c], F.lit("")) != "", F.concat(F.lit(label), m[c])) for c, label in LABELS.items()])
+    return F.concat(F.lit("Offizielle Website von "), place, F.lit("\n\n"), F.array_join(F.transform(items, lines), "\n\n"))
 
-def training_pairs(findings: DataFrame, texts: DataFrame, key: str, instruction: str) -> DataFrame:
-    """Instruction, input (the stored text, or one made from the findings), output JSON, n."""
-    item = F.struct("pos", F.struct("massnahme", "kategorie", "adresse").alias("m"))
-    grouped = findings.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a"))
-    made = F.array_join(F.transform("a", lambda x: F.concat_ws(", ", x["m"]["massnahme"], x["m"]["adresse"])), "\n")
+
+def training_pairs(findings: DataFrame, texts: DataFrame, key: str, instruction: str, most: int = 8000) -> DataFrame:
+    """Instruction, input (the stored text, or one made from the findings), output JSON, metadata, n.
+
+    findings: key, id, pos and what LABELS names; texts: key, text, one row per key.
+    """
+    item = F.struct("id", "pos", F.struct(*LABELS).alias("m"))
+    grouped = findings.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a")).withColumn("m", F.transform("a", lambda x: x["m"]))
     rows = grouped.join(texts.select(key, "text"), key, "left")
-    return rows.select(key, F.lit(instruction).alias("instruction"), F.substring(F.coalesce("text", made), 1, 8000).alias("input"), F.to_json(F.transform("a", lambda x: x["m"]), {"ignoreNullFields": "false"}).alias("output"), F.size("a").alias("n"))
+    given = F.substring(F.coalesce(F.nullif("text", F.lit("")), made_text(F.col("m"), F.col(key))), 1, most)
+    output = F.to_json(F.struct(F.col("m").alias("massnahmen")), {"ignoreNullFields": "false"})
+    meta = F.create_map(F.lit("url"), F.col(key), F.lit("massnahmen_count"), F.size("m").cast("string"))
+    return rows.select(key, F.lit(instruction).alias("instruction"), given.alias("input"), output.alias("output"), meta.alias("metadata"), F.size("m").alias("n"))
+
+
+def with_negatives(pairs: DataFrame, pool: DataFrame, instruction: str) -> DataFrame:
+    """The pairs, and negative ones (the first texts of a small pool (pos, input, reason) by a fifth of the pairs' number, two at least) with an empty answer."""
+    most = max(2, pairs.count() // 5)
+    chosen = pool.orderBy("pos").limit(most)
+    meta = F.create_map(F.lit("typ"), F.lit("negativ"), F.lit("grund"), F.col("reason"))
+    negative = chosen.select(F.lit(instruction).alias("instruction"), "input", F.lit('{"massnahmen":[]}').alias("output"), meta.alias("metadata"))
+    return pairs.unionByName(negative, allowMissingColumns=True)
 
 
 def instruction_text(snippet: Column, base: Column, categories: list[str], today: str) -> Column:
@@ -55,9 +86,10 @@ def instruction_text(snippet: Column, base: Column, categories: list[str], today
     return F.concat(F.lit(head), base, F.lit("\n---\n"), F.substring(snippet, 1, 12000))
 
 
-def chat_text(instruction: Column, given: Column, answer: Column) -> Column:
-    """F56."""
-    return F.concat(F.lit("<|user|>\n"), instruction, F.lit("\n\n"), given, F.lit("\n<|assistant|>\n"), answer)
+def chat_text(instruction: Column, given: Column, answer: Column, template: tuple[str, str, str] = ("<start_of_turn>user\n", "<end_of_turn>\n<start_of_turn>model\n", "<end_of_turn>")) -> Column:
+    """a pair in the template's turns; the given text is left out if empty."""
+    asked = F.when(F.coalesce(given, F.lit("")) != "", F.concat(instruction, F.lit("\n\nText:\n"), given)).otherwise(instruction)
+    return F.concat(F.lit(template[0]), asked, F.lit(template[1]), answer, F.lit(template[2]))
 
 
 def changed_pages(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

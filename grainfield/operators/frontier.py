@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,12 +13,14 @@ from grainfield.operators.tables import first_per_key
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """The rows read back from spark.checkpoint.dir (a folder of our own where it is unset)."""
-    import uuid
-
+    """The rows read back from a table in spark.checkpoint.dir, in a folder of this application's own; only on one machine (tests) it may be unset."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='grainfield-')}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='grainfield-')}"
+    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -34,19 +37,48 @@ def frontier_round(links: DataFrame, visited: DataFrame, cap: int, order: str =
     return best.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*rank, "key"))).where(F.col("place") <= cap).drop("key")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most_rounds: int) -> DataFrame:
-    """Node, level: least number of links from a seed; one join a round, each round written to the shared folder."""
+def reach(edges: DataFrame, seeds: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """Node, level: least number of links from a seed; one join a round, each round written to the shared folder, until no new node comes."""
     found = shared_table(seeds.select("node").distinct().withColumn("level", F.lit(0)), "reach")
-    last = found
-    for k in range(1, most_rounds + 1):
+    last, level = found, 0
+    while most_rounds is None or level < most_rounds:
+        level += 1
         step = last.join(edges, last.node == edges.src).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
-        last = shared_table(step.withColumn("level", F.lit(k)), "reach")
+        last = shared_table(step.withColumn("level", F.lit(level)), "reach")
         if last.isEmpty():
             break
         found = found.unionByName(last)
     return found
 
 
+def crawl(edges: DataFrame, seeds: DataFrame, budget: int, per_round: int = 1000, order: str = "focused") -> DataFrame:
+    """G3 with a page budget, in either order: node, place of the pages visited per target.
+
+    edges: src, dst, score, pos; seeds: target, node. In each round the best `per_round` pages of every target's queue are
+    visited (by score and then position, or by round and position if order is 'fifo'), and their links join the queue; one
+    page at a time is per_round = 1. A page that is found again keeps its best place in the queue. Rounds are written to the
+    shared folder; they end when the budget is spent or the queues are empty.
+    """
+    queue = shared_table(seeds.select("target", "node", F.lit(1.0).alias("score"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("pos")), "queue")
+    rank = ["score desc", "round", "pos", "node"] if order == "focused" else ["round", "pos", "node"]
+    rank = [F.desc(r.split()[0]) if r.endswith("desc") else F.col(r) for r in rank]
+    visited, spent, number = None, 0, 0
+    while spent < budget:
+        number += 1
+        take = min(per_round, budget - spent)
+        best = queue.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy(*rank))).where(F.col("n") <= take)
+        now = shared_table(best.select("target", "node", (F.col("n") + spent).alias("place")), "visited")
+        if now.isEmpty():
+            break
+        visited = now if visited is None else visited.unionByName(now)
+        spent += take
+        found = now.join(edges, now.node == edges.src).select("target", F.col("dst").alias("node"), "score", F.lit(number).alias("round"), (F.col("place") * F.lit(1 << 32) + F.col("pos")).alias("pos"))
+        every = queue.unionByName(found).join(visited.select("target", "node"), ["target", "node"], "left_anti")
+        key = F.struct((-F.col("score")).alias("s"), "round", "pos") if order == "focused" else F.struct("round", "pos")
+        queue = shared_table(every.groupBy("target", "node").agg(F.min_by(F.struct("score", "round", "pos"), key).alias("q")).select("target", "node", "q.score", "q.round", "q.pos"), "queue")
+    return visited
+
+
 def harvest_at(visits: DataFrame, ks: list[int]) -> DataFrame:
     """Visits (scenario, place, is_relevant): share of relevant pages among the first k, per scenario."""
     rates = [F.round(F.coalesce(F.try_divide(F.count_if(F.col("is_relevant") & (F.col("place") <= k)), F.count_if(F.col("place") <= k)), F.lit(0.0)), 4).alias(f"hr_at_{k}") for k in ks]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.functions.urls import compare_key, parent_key
@@ -17,12 +17,70 @@ def recall(gold: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def rollup(gold: DataFrame, depth: int, least: int) -> DataFrame:
-    """Groups of one parent and label with enough rows become the shortest url (the first on ties) with all their urls; other rows stay."""
+    """Groups of one parent and label with enough rows become the shortest url (the first on ties), with their number; other rows stay.
+
+    The urls themselves are listed for small groups alone (fewer than `least`), so that no group is gathered whole: of a
+    larger one a window keeps the first row.
+    """
     rows = gold.withColumn("parent", parent_key("url", depth))
-    groups = rows.groupBy("parent", "relevant", "kategorie").agg(F.count("*").alias("n"), F.min_by("url", F.struct(F.length("url"), "page_id")).alias("shortest"), F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("members"))
-    merged = groups.where(F.col("n") >= least).select(F.col("shortest").alias("url"), "relevant", "kategorie", F.lit("aggregiert").alias("quelle"), F.col("n").cast("int").alias("urls"))
-    single = groups.where(F.col("n") < least).select(F.explode("members").alias("m"), "relevant", "kategorie").select("m.url", "relevant", "kategorie", F.lit(None).cast("string").alias("quelle"), F.lit(0).alias("urls"))
-    return merged.unionByName(single)
+    key = ["parent", "relevant", "kategorie"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.length("url"), "page_id"))
+    few = rows.withColumn("place", place).where(F.col("place") < least).select(*key, "place", "url")
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    same = few["parent"].eqNullSafe(sizes["parent"]) & few["relevant"].eqNullSafe(sizes["relevant"]) & few["kategorie"].eqNullSafe(sizes["kategorie"])
+    both = few.join(sizes, same).select(few["url"], few["place"], few["relevant"], few["kategorie"], "n").where((F.col("n") < least) | (F.col("place") == 1))
+    many = F.col("n") >= least
+    return both.select("url", "relevant", "kategorie", F.when(many, "aggregiert").alias("quelle"), F.when(many, F.col("n")).otherwise(0).cast("int").alias("urls"))
+
+
+def file_totals(rolled: DataFrame) -> DataFrame:
+    """Entries and relevant ones of a rolled-up corpus."""
+    return rolled.agg(F.count("*").alias("total_entries"), F.count_if("relevant").alias("total_relevant"), F.count_if(F.col("quelle") == "aggregiert").alias("merged"))
+
+
+def gold_blocks(reports: DataFrame, visited: DataFrame, gold: DataFrame) -> DataFrame:
+    """Per run (scenario, mode, harvest_rate) whether its scenario has a gold corpus, recall and F1 against it, and the corpus' size.
+
+    visited: scenario, mode, url; gold: scenario, url, relevant. Without relevant urls everything is 0.
+    """
+    wanted = gold.where("relevant").select("scenario", compare_key("url").alias("key")).distinct()
+    totals = wanted.groupBy("scenario").agg(F.count("*").alias("total"))
+    seen = visited.select("scenario", "mode", compare_key("url").alias("key")).distinct()
+    hits = seen.join(wanted, ["scenario", "key"]).groupBy("scenario", "mode").agg(F.count("*").alias("found"))
+    rows = reports.join(totals, "scenario", "left").join(hits, ["scenario", "mode"], "left")
+    recall = F.round(F.coalesce(F.try_divide(F.coalesce("found", F.lit(0)), "total"), F.lit(0.0)), 4)
+    f1 = F.round(F.coalesce(F.try_divide(2 * F.col("harvest_rate") * F.col("gold_recall"), F.col("harvest_rate") + F.col("gold_recall")), F.lit(0.0)), 4)
+    rows = rows.withColumn("gold_recall", recall).withColumn("gold_f1", F.when(F.col("total").isNotNull(), f1).otherwise(0.0))
+    return rows.select(*reports.columns, F.col("total").isNotNull().alias("gold_available"), "gold_recall", "gold_f1", F.coalesce("total", F.lit(0)).alias("gold_total"))
+
+
+def compare_reports(reports: DataFrame) -> DataFrame:
+    """Focused against bfs per scenario from gold_blocks() of report(): deltas, improvement, where recall comes from, winner.
+
+    Recall and F1 are those against the gold corpus if there is one, else the report's own.
+    """
+    names = ["harvest_rate", "avg_relevance_score", "recall", "f1_score", "gold_recall", "gold_f1", "gold_available"]
+    side = lambda c, m: F.max(F.when(F.col("mode") == m, F.col(c))).alias(f"{c}_{m}")
+    both = reports.groupBy("scenario").agg(*[side(c, m) for c in names for m in ("focused", "bfs")])
+    gold = F.col("gold_available_focused") & F.col("gold_available_bfs")
+    delta = lambda c: F.round(F.col(f"{c}_focused") - F.col(f"{c}_bfs"), 4)
+    gain = F.when(F.col("harvest_rate_bfs") > 0, F.round((F.col("harvest_rate_focused") - F.col("harvest_rate_bfs")) / F.col("harvest_rate_bfs") * 100, 2)).otherwise(0.0)
+    return both.select(
+        "scenario", delta("harvest_rate").alias("harvest_rate_delta"), gain.alias("improvement"), F.when(gold, delta("gold_recall")).otherwise(delta("recall")).alias("recall_delta"),
+        F.when(gold, delta("gold_f1")).otherwise(delta("f1_score")).alias("f1_delta"), F.when(gold, "goldstandard").otherwise("reference_corpus_size_approx").alias("recall_source"),
+        delta("avg_relevance_score").alias("score_delta"), (F.col("harvest_rate_focused") > F.col("harvest_rate_bfs")).alias("focused_wins"),
+    )
+
+
+def metric_table(reports: DataFrame) -> DataFrame:
+    """Per scenario and metric of report() the values of focused and bfs and their difference (0 for counts and F1, minus the rate's for irrelevance)."""
+    metrics = {"harvest_rate": "Harvest Rate", "irrelevance_ratio": "Irrelevance Ratio", "avg_relevance_score": "Avg Score", "total_crawled": "Total Crawled", "total_relevant": "Total Relevant", "f1_score": "F1-Score"}
+    rows = reports.select("scenario", "mode", *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(["scenario", "mode"], list(metrics), "m", "v")
+    both = rows.groupBy("scenario", "m").agg(*[F.max(F.when(F.col("mode") == k, F.col("v"))).alias(k) for k in ("focused", "bfs")])
+    rates = rows.where("m = 'harvest_rate'").groupBy("scenario").agg(F.round(F.sum(F.when(F.col("mode") == "focused", F.col("v")).otherwise(-F.col("v"))), 4).alias("d"))
+    delta = F.when(F.col("m") == "harvest_rate", F.col("d")).when(F.col("m") == "irrelevance_ratio", -F.col("d")).when(F.col("m") == "avg_relevance_score", F.round(F.col("focused") - F.col("bfs"), 4)).otherwise(0.0)
+    names = F.create_map(*[F.lit(x) for kv in metrics.items() for x in kv])
+    return both.join(rates, "scenario").select("scenario", names[F.col("m")].alias("metrik"), "focused", "bfs", delta.alias("delta"))
 
 
 def domain_mismatch(domains: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.functions.text import coverage_score
 from grainfield.functions.urls import authority, is_skipped, path, same_site
 from grainfield.operators.relevance import with_hits
+from grainfield.operators.tables import first_per_key
 
 DROPPED = {"script", "style", "nav", "footer", "header"}
 BLOCKS = {"div", "section", "article", "main"}
@@ -18,7 +19,7 @@ CONTEXT = {"p", "li", "div", "td"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 # What marks a page that a browser has to render, and when its text is too short.
 SPA_MARKERS = r'<div id="(root|app|__next)"|ng-app|data-reactroot|window\.__nuxt__'
-SHORT_HTML, SHORT_BLOCK, LONG_BLOCK, MOST_BLOCKS = 500, 100, 500, 10
+SHORT_HTML, SHORT_BLOCK, LONG_BLOCK, MOST_BLOCKS, MOST_CONTEXT = 500, 100, 500, 10, 300
 DOCUMENT = r'https?://[^\s"<>]+\.[pP][dD][fF]'
 
 
@@ -63,19 +64,22 @@ def _parse(html: str | None) -> tuple[str, list[str], list[dict]]:
     kept = [(t, p) for t, p in page.nodes if not any(tag in DROPPED for tag, _ in p)]
     blocks: dict[int, list[str]] = {}
     around: dict[int, list[str]] = {}
+    room: dict[int, int] = {}
     for t, p in kept:
         for tag, n in p:
             if tag in BLOCKS:
                 blocks.setdefault(n, []).append(t)
-    for t, p in page.nodes:
+    near = {next((n for tag, n in reversed(x["path"]) if tag in CONTEXT), None) for x in page.links}
+    for t, p in page.nodes:  # only what links refer to, and of that what their context can hold
         if not any(tag in ("script", "style") for tag, _ in p):
             for tag, n in p:
-                if tag in CONTEXT:
+                if n in near and room.get(n, 0) < MOST_CONTEXT:
                     around.setdefault(n, []).append(t)
+                    room[n] = room.get(n, 0) + len(t) + 1
     links = []
     for x in page.links:
         near = next((n for tag, n in reversed(x["path"]) if tag in CONTEXT), None)
-        links.append({"href": x["href"], "anchor": " ".join(x["text"])[:200], "context": " ".join(around.get(near, []))[:300]})
+        links.append({"href": x["href"], "anchor": " ".join(x["text"])[:200], "context": " ".join(around.get(near, []))[:MOST_CONTEXT]})
     return " ".join(t for t, _ in kept), [" ".join(blocks[n]) for n in sorted(blocks)], links
 
 
@@ -101,18 +105,30 @@ def resolve(href: Column, base: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(full, r"/\./", "/"), r"/[^/.]+/\.\./", "/")
 
 
-def links(parsed: DataFrame) -> DataFrame:
-    """page_id, page_url, pos, url, anchor, context of links on the same site that are worth a visit."""
-    rows = parsed.select("page_id", F.col("url").alias("page_url"), F.posexplode("links").alias("pos", "l"))
+def links(parsed: DataFrame, *keep: str) -> DataFrame:
+    """page_id, page_url, pos, url, anchor, context (and columns to keep) of links on the same site that are worth a visit."""
+    rows = parsed.select("page_id", F.col("url").alias("page_url"), *keep, F.posexplode("links").alias("pos", "l"))
     rows = rows.where((F.col("l.href") != "") & ~F.col("l.href").startswith("#") & ~F.lower("l.href").startswith("javascript:"))
-    rows = rows.select("page_id", "page_url", "pos", resolve(F.col("l.href"), F.col("page_url")).alias("url"), "l.anchor", "l.context")
+    rows = rows.select("page_id", "page_url", *keep, "pos", resolve(F.col("l.href"), F.col("page_url")).alias("url"), "l.anchor", "l.context")
     return rows.where(F.col("url").rlike("^https?://") & same_site("url", "page_url") & ~is_skipped("url"))
 
 
 def document_links(pages: DataFrame) -> DataFrame:
-    """page_id, url of the absolute document urls anywhere in the raw html, on the page's host, each once."""
-    rows = pages.select("page_id", F.col("url").alias("page_url"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(DOCUMENT), F.lit(0)))).alias("url"))
-    return rows.where(authority("url") == authority("page_url")).select("page_id", "url")
+    """page_id, pos, url of the absolute document urls anywhere in the raw html, on the page's host, each once."""
+    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.array_distinct(F.regexp_extract_all("html", F.lit(DOCUMENT), F.lit(0)))).alias("pos", "url"))
+    return rows.where(authority("url") == authority("page_url")).select("page_id", "pos", "url")
+
+
+def all_links(parsed: DataFrame, pages: DataFrame) -> DataFrame:
+    """links() and the documents found by pattern alone: page_id, pos, url, anchor, context, source; of a url the anchor's link stays, else the first."""
+    anchors = links(parsed).select("page_id", F.col("pos").cast("long"), "url", "anchor", "context", F.lit("anchor").alias("source"))
+    found = document_links(pages).select("page_id", (F.lit(1 << 40) + F.col("pos")).alias("pos"), "url", F.lit("PDF").alias("anchor"), F.lit("").alias("context"), F.lit("pattern").alias("source"))
+    return first_per_key(anchors.unionByName(found), ["page_id", "url"], "pos").select("page_id", "pos", "url", "anchor", "context", "source")
+
+
+def pattern_only(every: DataFrame) -> DataFrame:
+    """U4: the documents of all_links() that no anchor names."""
+    return every.where("source = 'pattern'").select("page_id", "url")
 
 
 def content_blocks(parsed: DataFrame, model: dict[str, list[str]], least: float = 0.05) -> DataFrame:
@@ -137,20 +153,38 @@ def is_shell(html: Column | str) -> Column:
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """Host, pos, agent, allow, path from rows (host, txt); a rule belongs to the agents named last before it."""
+    """Host, grp, agents, delay, pos, allow, path from rows (host, txt); pos is null for a group without rules.
+
+    Agents in a row share the rules after them; a blank line ends a group, and rules without agents don't count. An empty
+    path allows everything.
+    """
     lines = robots.select("host", F.posexplode(F.transform(F.split("txt", r"\r?\n"), lambda s: F.trim(F.regexp_replace(s, "#.*$", "")))).alias("pos", "line"))
     key, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
-    lines = lines.where(F.contains("line", F.lit(":"))).withColumns({"key": key, "value": value})
-    from pyspark.sql import Window
-
-    agent = F.last(F.when(F.col("key") == "user-agent", F.lower("value")), ignorenulls=True).over(Window.partitionBy("host").orderBy("pos"))
-    rules = lines.withColumn("agent", agent).where(F.col("key").isin("allow", "disallow") & (F.col("value") != ""))
-    return rules.select("host", "pos", "agent", (F.col("key") == "allow").alias("allow"), F.col("value").alias("path"))
-
-
-def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """Urls (page_id, url) with allowed: the first rule whose path begins the url's path decides, none allows. The rules of a host are one array."""
-    per_host = rules.where(F.col("agent").isin(agent.lower(), "*")).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "allow", "path"))).alias("rules"))
-    rows = urls.select("page_id", "url", authority("url").alias("host")).join(per_host, "host", "left")
-    first = F.element_at(F.filter("rules", lambda r: path("url").startswith(r["path"])), 1)
-    return rows.select("page_id", "url", F.coalesce(F.when(F.size(F.filter("rules", lambda r: path("url").startswith(r["path"]))) > 0, first["allow"]), F.lit(True)).alias("allowed"))
+    kind = F.when(F.col("line") == "", "blank").when(F.contains("line", F.lit(":")) & key.isin("user-agent", "allow", "disallow", "crawl-delay"), key)
+    lines = lines.withColumns({"kind": kind, "value": value}).where("kind is not null")
+    file = Window.partitionBy("host").orderBy("pos")  # the lines of one file
+    begins = (F.col("kind") == "blank") | (F.col("kind") == "user-agent") & (F.coalesce(F.lag("kind").over(file), F.lit("blank")) != "user-agent")
+    lines = lines.withColumn("begins", begins.cast("int")).withColumn("grp", F.sum("begins").over(file))
+    allow = (F.col("kind") == "allow") | (F.col("value") == "")
+    rule = F.when(F.col("kind").isin("allow", "disallow"), F.struct("pos", allow.alias("allow"), F.col("value").alias("path")))
+    agents = F.collect_list(F.when(F.col("kind") == "user-agent", F.lower("value")))
+    delay = F.max_by(F.when(F.col("kind") == "crawl-delay", F.col("value").try_cast("double")), F.when(F.col("kind") == "crawl-delay", F.col("pos")))
+    groups = lines.groupBy("host", "grp").agg(agents.alias("agents"), delay.alias("delay"), F.array_sort(F.collect_list(rule)).alias("rules")).where(F.size("agents") > 0)
+    return groups.select("host", "grp", "agents", "delay", F.inline_outer("rules"))
+
+
+def robots_groups(rules: DataFrame, agent: str) -> DataFrame:
+    """host, delay and rules (in order) of the group that is an agent's: the first that names it, else the first for all."""
+    name = agent.partition("/")[0].lower()
+    per_group = rules.groupBy("host", "grp").agg(F.first("agents").alias("agents"), F.first("delay").alias("delay"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "allow", "path")))).alias("rules"))
+    own = F.exists("agents", lambda a: (a != "*") & F.contains(F.lit(name), a))
+    rank = F.when(own, F.struct(F.lit(0), "grp")).when(F.array_contains("agents", "*"), F.struct(F.lit(1), "grp"))
+    return per_group.where(rank.isNotNull()).groupBy("host").agg(F.min_by(F.struct("delay", "rules"), rank).alias("g")).select("host", "g.delay", "g.rules")
+
+
+def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*", exempt: Column | None = None) -> DataFrame:
+    """Urls (page_id, url) with allowed and delay: the first rule of the agent's group whose path begins the url's path decides, none allows; exempt urls (a seed) always are."""
+    rows = urls.select("page_id", "url", authority("url").alias("host"), path("url").alias("_path"), (exempt if exempt is not None else F.lit(False)).alias("_free"))
+    rows = rows.join(robots_groups(rules, agent), "host", "left")
+    first = F.get(F.filter("rules", lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"])), 0)
+    return rows.select("page_id", "url", (F.col("_free") | F.coalesce(first["allow"], F.lit(True))).alias("allowed"), "delay")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,14 +31,43 @@ def crawl_delay_audit(visits: DataFrame, least: float) -> DataFrame:
 
 
 def rate_windows(usage: DataFrame, seconds: int, requests: int, tokens: int, key: str = "ort") -> DataFrame:
-    """Per key, requests and tokens of the last seconds at each request, and whether a limit was broken; and the day's number of the request."""
+    """Per key, requests and tokens of the last seconds at each request, and whether a limit was broken; the day's number of
+    the request; and whether it was too large by itself."""
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
     back = Window.partitionBy(key).orderBy("at").rangeBetween(-seconds + 1, 0)
     day = Window.partitionBy(key, F.to_date("ts")).orderBy("ts", "id")
-    out = usage.withColumn("at", at).withColumns({"window_requests": F.count("*").over(back), "window_tokens": F.sum("tokens").over(back), "day_request": F.row_number().over(day)})
+    out = usage.withColumn("at", at).withColumn("oversize", F.col("tokens") >= tokens).withColumns({"window_requests": F.count("*").over(back), "window_tokens": F.sum("tokens").over(back), "day_request": F.row_number().over(day)})
     return out.withColumn("over_limit", (F.col("window_requests") > requests) | (F.col("window_tokens") > tokens)).drop("at")
 
 
+def session_totals(usage: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Cost (what can't be read counts 0) and requests."""
+    return usage.groupBy(*by).agg(F.round(F.sum(F.coalesce(F.col("cost").try_cast("double"), F.lit(0.0))), 6).alias("cost"), F.count("*").alias("requests"))
+
+
+def cost_lines(running: DataFrame) -> DataFrame:
+    """One text line per request of prefix_sums(): its cost and the total so far."""
+    at = F.date_format("ts", "dd.MM.yyyy HH:mm:ss")
+    return running.select(F.format_string("[%s] %s | Kosten: %.8f $ | Session: %.6f $", at, F.col("ort").cast("string"), F.col("cost"), F.col("total")).alias("value"))
+
+
+def effective_delay(robots: Column, default: float, most: float | None = None) -> Column:
+    """the longer of the host's delay and the default, within bounds if there is a greatest delay."""
+    longer = F.greatest(F.coalesce(robots, F.lit(default)), F.lit(default))
+    return longer if most is None else F.greatest(F.lit(0.0), F.least(longer, F.lit(most)))
+
+
+def within_budget(visits: DataFrame, key: str, most: int, *order: Column | str) -> DataFrame:
+    """The first pages of every target, up to its budget."""
+    return visits.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)
+
+
+def harvest_counts(pages: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Per target the pages read, those unchanged since the stored hash, and those whose content occurred before."""
+    rows = pages.join(stored.select(key, "url_key", F.col("hash").alias("old")), [key, "url_key"], "left")
+    return rows.groupBy(key).agg(F.count("*").alias("pages"), F.count_if(F.col("hash") == F.col("old")).alias("unchanged"), (F.count("hash") - F.count_distinct("hash")).alias("duplicates"))
+
+
 def outcome(status: str = "status"):
     """Class of a status."""
     s = F.col(status)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grainfield.functions.text import category_hits, coverage_score, normalize_text
 from grainfield.functions.urls import is_document, url_text
 
-THRESHOLD, PRIORITY = 0.15, 0.10
+THRESHOLD, PRIORITY, ENSEMBLE = 0.15, 0.10, (0.4, 0.6)
 # Weights of page, anchor, context and url in a link's priority, and the bonus of documents.
 WEIGHTS = {"page": 0.20, "anchor": 0.40, "context": 0.25, "url": 0.15}
 BONUS = 0.3
@@ -19,12 +19,12 @@ def with_hits(df: DataFrame, text: Column | str, model: dict[str, list[str]], ou
     return df.withColumn("_norm", normalize_text(text)).withColumn(out, category_hits(F.col("_norm"), model)).drop("_norm")
 
 
-def classify(df: DataFrame, text: str, model: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
+def classify(df: DataFrame, text: str, model: dict[str, list[str]], threshold: float = THRESHOLD, weights: tuple[float, float] = ENSEMBLE) -> DataFrame:
     """tfidf_score, bayes_score, score, top_category (the first on ties), confidence, is_relevant, matched_keywords."""
     rows = with_hits(df, text, model, "_hits")
     shares = [F.struct((F.size(F.col("_hits")[c]) / F.lit(float(max(1, len(ks))))).alias("share"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, ks) in enumerate(model.items())]
     rows = rows.withColumns({"_cover": coverage_score(F.col("_hits"), model), "_top": F.array_max(F.array(*shares))})
-    total = F.col("_cover") * 0.4 + F.col("_top.share") * 0.6
+    total = F.col("_cover") * weights[0] + F.col("_top.share") * weights[1]
     matched = F.slice(F.array_sort(F.array_distinct(F.flatten(F.map_values("_hits")))), 1, 10)
     out = {
         "tfidf_score": F.col("_cover"), "bayes_score": F.round("_top.share", 4), "score": F.round(total, 4), "top_category": F.col("_top.category"),
@@ -33,6 +33,17 @@ def classify(df: DataFrame, text: str, model: dict[str, list[str]], threshold: f
     return rows.withColumns(out).drop("_hits", "_cover", "_top")
 
 
+def relevance_label(relevant: Column | str) -> Column:
+    """text of a verdict, null without one."""
+    relevant = F.col(relevant) if isinstance(relevant, str) else relevant
+    return F.when(relevant, "relevant").when(~relevant, "nicht relevant")
+
+
+def two_gates(relevant: Column, confirmed: Column) -> Column:
+    """Relevant by score, and confirmed by a model's answer or without one (null)."""
+    return F.coalesce(relevant, F.lit(False)) & F.coalesce(confirmed, F.lit(True))
+
+
 def score_links(links: DataFrame, model: dict[str, list[str]], threshold: float = PRIORITY) -> DataFrame:
     """links with page_score, anchor, context and url get the four scores, cpe_score, is_pdf and is_priority."""
     pdf = is_document("url")

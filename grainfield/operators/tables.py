@@ -52,6 +52,41 @@ def apply_updates(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in base.columns])
 
 
+def status_row(events: DataFrame, key: str) -> DataFrame:
+    """K6: per crawler its status row after all events (ts, pos, event: active, inactive or heartbeat; target).
+
+    The last start or stop gives status, started_at and stopped_at (null while active); heartbeats and starts give the
+    heartbeat; the target is that of the last event, null after a stop.
+    """
+    at = F.struct("ts", "pos")
+    turn, start, stop, beat = (F.col("event").isin(*names) for names in (("active", "inactive"), ("active",), ("inactive",), ("active", "heartbeat")))
+    latest = lambda value, when: F.max_by(F.when(when, value), F.when(when, at))
+    out = events.groupBy(key).agg(
+        F.coalesce(latest(F.col("event"), turn), F.lit("inactive")).alias("status"), F.max(F.when(start, F.col("ts"))).alias("started_at"), latest(F.when(stop, F.col("ts")), turn).alias("stopped_at"),
+        F.max(F.when(beat, F.col("ts"))).alias("last_heartbeat"), F.max_by(F.when(beat, F.col("target")), at).alias("current_target"),
+    )
+    return out
+
+
+def insert_default(store: DataFrame, row: DataFrame, key: str) -> DataFrame:
+    """K5: the default row too, unless its key is there."""
+    return store.unionByName(row.join(store.select(key), key, "left_anti").select(*store.columns))
+
+
+def by_key(df: DataFrame, key: str, value: object) -> DataFrame:
+    """Always one row: found, and the columns of the row with this key, null if there is none."""
+    one = df.where(F.col(key) == value).limit(1).withColumn("found", F.lit(True))
+    asked = df.sparkSession.range(1).select(F.lit(value).cast(df.schema[key].dataType).alias("asked"))
+    return asked.join(one, F.col("asked") == F.col(key), "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def forced(df: DataFrame, key: str, include: list[object], exclude: list[object]) -> DataFrame:
+    """With lists of keys: the included ones first and always, the excluded ones never; `forced` tells."""
+    inside = F.col(key).isin(include) if include else F.lit(False)
+    outside = F.col(key).isin(exclude) if exclude else F.lit(False)
+    return df.where(inside | ~outside).withColumn("forced", inside)
+
+
 def error_bookkeeping(targets: DataFrame, outcomes: DataFrame) -> DataFrame:
     """K9: outcomes (ags, ok, code): success clears the code and count, failure sets the code and counts on; others stay."""
     rows = targets.join(outcomes, "ags", "left")

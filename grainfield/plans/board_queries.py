@@ -99,7 +99,7 @@ def forced_union(spark, d):
     return rows.where(F.col("id").isin(5, 10, 99)).select("ags", F.lit(True).alias("forced")).unionByName(rows.where(~F.col("id").isin(5, 10, 99) & F.col("last_scanned").isNull()).select("ags", F.lit(False).alias("forced")))
 
 
-@query("changelog_nested", "SELECT version, release_date, title, string_agg(type || '|' || coalesce(scope, '-') || '|' || message, ';' ORDER BY sort_order, type, scope NULLS FIRST, message) AS items FROM changelog LEFT JOIN changelog_items ON changelog_id = id GROUP BY id, version, release_date, title", "changelog", "changelog_items")
+@query("changelog_nested", "SELECT version, release_date, title, CASE WHEN count(changelog_id) > 0 THEN '[' || string_agg('{\"tag\":\"' || type || '\",\"scope\":' || coalesce('\"' || scope || '\"', 'null') || ',\"description\":\"' || message || '\"}', ',' ORDER BY sort_order, type, scope NULLS FIRST, message) || ']' END AS items FROM changelog LEFT JOIN changelog_items ON changelog_id = id GROUP BY id, version, release_date, title", "changelog", "changelog_items")
 def changelog_nested(spark, d):
     return D.changelog(table(spark, d, "changelog"), table(spark, d, "changelog_items")).orderBy(F.desc("release_date"), F.desc("version"))
 
@@ -209,14 +209,14 @@ def crawl_delay_audit(spark, d):
     return O.crawl_delay_audit(table(spark, d, "visits"), 30).groupBy("host").agg(F.count("*").alias("visits"), F.count_if("too_early").alias("too_early"))
 
 
-@query("rate_window_audit", "SELECT id, count(*) OVER w AS window_requests, cast(sum(tokens) OVER w AS bigint) AS window_tokens, row_number() OVER (PARTITION BY ort, cast(ts AS date) ORDER BY ts, id) AS day_request FROM (SELECT *, cast(floor(epoch_us(ts) / 1000000) AS bigint) AS sec FROM usage) WINDOW w AS (PARTITION BY ort ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)", "usage")
+@query("rate_window_audit", "SELECT id, count(*) OVER w AS window_requests, cast(sum(tokens) OVER w AS bigint) AS window_tokens, row_number() OVER (PARTITION BY ort, cast(ts AS date) ORDER BY ts, id) AS day_request, count(*) OVER w > 2 OR sum(tokens) OVER w > 12000 AS over_limit, tokens >= 12000 AS oversize FROM (SELECT *, cast(floor(epoch_us(ts) / 1000000) AS bigint) AS sec FROM usage) WINDOW w AS (PARTITION BY ort ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)", "usage")
 def rate_window_audit(spark, d):
-    return O.rate_windows(table(spark, d, "usage"), 3600, 30, 1_000_000).select("id", "window_requests", "window_tokens", F.col("day_request").cast("long"))
+    return O.rate_windows(table(spark, d, "usage"), 3600, 2, 12_000).select("id", "window_requests", "window_tokens", F.col("day_request").cast("long"), "over_limit", "oversize")
 
 
-@query("cost_by_model", "SELECT ort, modell, round(sum(cost), 6) AS cost, count(*) AS chunks, sum(tokens) AS tokens FROM usage GROUP BY 1, 2", "usage")
+@query("cost_by_model", "SELECT ort, modell, round(sum(cost), 6) AS cost, count(*) AS chunks, cast(sum(tokens) AS bigint) AS tokens, round(sum(latency), 2) AS latency, cast(sum(finds) AS bigint) AS finds FROM usage GROUP BY 1, 2", "usage")
 def cost_by_model(spark, d):
-    return table(spark, d, "usage").groupBy("ort", "modell").agg(F.round(F.sum("cost"), 6).alias("cost"), F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+    return table(spark, d, "usage").groupBy("ort", "modell").agg(F.round(F.sum("cost"), 6).alias("cost"), F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.round(F.sum("latency"), 2).alias("latency"), F.sum("finds").alias("finds"))
 
 
 @query("event_counts", "SELECT date_trunc('day', created_at) AS day, event_type, count(*) AS n FROM history GROUP BY 1, 2", "history")

@@ -29,14 +29,14 @@ def answers_parse(spark, d):
     return answers.parse_answers(table(spark, d, "answers")).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items"))
 
 
-ITEMS = r"""SELECT url, raw, CASE WHEN raw LIKE '%"massnahmen": [{"massnahme"%' THEN regexp_extract(raw, '"massnahme": "([^"]*)"', 1) WHEN raw LIKE '%titel%' THEN regexp_extract(raw, '"titel": "([^"]*)"', 1) WHEN raw LIKE '{"massnahme"%' THEN regexp_extract(raw, '"massnahme": "([^"]*)"', 1) WHEN raw LIKE '%funde%' THEN regexp_extract(raw, '"(Titel[^"]*)"', 1) END AS massnahme, 0 AS pos FROM answers WHERE raw LIKE '%{%' UNION ALL SELECT url, raw, 'Zweiter', 1 FROM answers WHERE raw LIKE '%funde%'"""
-FOUND = rf"""SELECT url, pos, massnahme, CASE WHEN pos = 0 THEN nullif(regexp_extract(raw, '"(?:kategorie|category)": "([^"]*)"', 1), '') END AS kategorie, nullif(regexp_extract(raw, '"adresse": "([^"]*)"', 1), '') AS adresse, nullif(regexp_extract(raw, '"massnahme_start": "([^"]*)"', 1), '') AS start,
+ITEMS = r"""SELECT id, url, raw, CASE WHEN raw LIKE '%"massnahmen": [{"massnahme"%' THEN regexp_extract(raw, '"massnahme": "([^"]*)"', 1) WHEN raw LIKE '%titel%' THEN regexp_extract(raw, '"titel": "([^"]*)"', 1) WHEN raw LIKE '{"massnahme"%' THEN regexp_extract(raw, '"massnahme": "([^"]*)"', 1) WHEN raw LIKE '%funde%' THEN regexp_extract(raw, '"(Titel[^"]*)"', 1) END AS massnahme, 0 AS pos FROM answers WHERE raw LIKE '%{%' UNION ALL SELECT id, url, raw, 'Zweiter', 1 FROM answers WHERE raw LIKE '%funde%'"""
+FOUND = rf"""SELECT id, url, pos, massnahme, CASE WHEN pos = 0 THEN nullif(regexp_extract(raw, '"(?:kategorie|category)": "([^"]*)"', 1), '') END AS kategorie, nullif(regexp_extract(raw, '"adresse": "([^"]*)"', 1), '') AS adresse, nullif(regexp_extract(raw, '"massnahme_start": "([^"]*)"', 1), '') AS start,
 CASE WHEN raw LIKE '%plan/a.pdf%' THEN url || '/plan/a.pdf' WHEN raw LIKE '%quelle_url%' THEN regexp_extract(raw, '"quelle_url": "([^"]*)"', 1) ELSE url END AS quelle_url FROM ({ITEMS})"""
 
 
 @query("findings_normalize", FOUND, "answers")
 def findings_normalize(spark, d):
-    return answers.findings(answers.parse_answers(table(spark, d, "answers"))).select("url", "pos", "massnahme", "kategorie", "adresse", "start", "quelle_url")
+    return answers.findings(answers.parse_answers(table(spark, d, "answers"))).select("id", "url", "pos", "massnahme", "kategorie", "adresse", "start", "quelle_url")
 
 
 @query("measure_records", f"SELECT url, pos, CASE kategorie WHEN 'Bauen' THEN 'bauen' WHEN 'Verkehr' THEN 'infrastruktur' ELSE 'verwaltung' END AS kategorie_domain, nullif(trim(regexp_extract(adresse, '([^,]*)$', 1)), '') AS ort, length(coalesce(massnahme, '')) > 0 AS gueltig FROM ({FOUND})", "answers")
@@ -74,11 +74,6 @@ def truth_validity(spark, d):
     return rows.select("id", (F.size(issues) == 0).alias("ok"))
 
 
-@query("model_summary", "SELECT modell, count(*) AS n, round(avg(cost), 6) AS mean_cost, round(avg(tokens), 2) AS mean_tokens FROM usage GROUP BY 1", "usage")
-def model_summary(spark, d):
-    return table(spark, d, "usage").groupBy("modell").agg(F.count("*").alias("n"), F.round(F.avg("cost"), 6).alias("mean_cost"), F.round(F.avg("tokens"), 2).alias("mean_tokens"))
-
-
 WORDS = r"list_filter(list_distinct(regexp_split_to_array(lower({}), '[ \t\n]+')), lambda w: w <> '')"
 
 
@@ -89,9 +84,11 @@ def overlap_f1(spark, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", text.overlap_f1(F.array("text"), F.array("gold")).alias("f1"))
 
 
-@query("gold_recall", f"SELECT count(*) AS total_relevant, count(h) AS found, round(count(h) / count(*), 4) AS recall FROM (SELECT DISTINCT {COMPARE} AS k FROM gold WHERE relevant) w LEFT JOIN (SELECT DISTINCT {COMPARE} AS h FROM pages WHERE page_id % 2 = 0) v ON h = k", "gold")
+@query("gold_recall", f"SELECT count(*) AS total_relevant, count(h) AS found, round(count(h) / count(*), 4) AS recall FROM (SELECT DISTINCT {COMPARE} AS k FROM gold WHERE relevant) w LEFT JOIN (SELECT DISTINCT {COMPARE} AS h FROM pages JOIN labels ON doc_id = page_id) v ON h = k", "gold")
 def gold_recall(spark, d):
-    return gold.recall(table(spark, d, "gold"), table(spark, d, "pages").where("page_id % 2 = 0").select("url"))
+    """Visited are the pages that have a label."""
+    visited = table(spark, d, "pages").join(table(spark, d, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
+    return gold.recall(table(spark, d, "gold"), visited.select("url"))
 
 
 PARENT = f"{HOST} || '/' || array_to_string(list_slice({SEGMENTS}, 1, 1), '/')"
@@ -126,9 +123,9 @@ def baseline_compare(spark, d):
     return gold.compare_runs(table(spark, d, "runs"))
 
 
-@query("comparison_table", f"SELECT scenario, 'hr_focused' AS metrik, round(hf, 4) AS wert FROM ({RATES}) UNION ALL SELECT scenario, 'hr_bfs', round(hb, 4) FROM ({RATES})", "runs")
+@query("comparison_table", " UNION ALL ".join(f"SELECT scenario, '{m}' AS metrik, {e} AS wert FROM ({RATES})" for m, e in (("hr_focused", "round(hf, 4)"), ("hr_bfs", "round(hb, 4)"), ("delta_hr", "round(hf - hb, 4)"), ("delta_score", "round(sf - sb, 4)"), ("improvement", "round(CASE WHEN hb > 0 THEN (hf - hb) / hb * 100 ELSE 0 END, 2)"))), "runs")
 def comparison_table(spark, d):
-    return gold.comparison_table(gold.compare_runs(table(spark, d, "runs"))).where(F.col("metrik").isin("hr_focused", "hr_bfs"))
+    return gold.comparison_table(gold.compare_runs(table(spark, d, "runs")))
 
 
 @query("harvest_at_k", "SELECT scenario, round(coalesce(avg(CASE WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (place <= 10), 0), 4) AS hr_at_10, round(coalesce(avg(CASE WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (place <= 50), 0), 4) AS hr_at_50 FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, doc_id) AS place FROM runs) GROUP BY 1", "runs")
@@ -215,37 +212,45 @@ def page_hash_map(spark, d):
     return maps.select("host", F.array_join(F.transform(F.array_sort(F.map_entries("page_hashes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("hashes"))
 
 
-@query("training_pairs", f"SELECT url, count(*) AS n FROM ({FOUND}) GROUP BY 1", "answers")
-def training_pairs(spark, d):
-    rows = answers.findings(answers.parse_answers(table(spark, d, "answers")))
-    pairs = corpus.training_pairs(rows, table(spark, d, "pages").select("url", F.col("html").alias("text")).limit(0), "url", "Finde Massnahmen")
-    return pairs.where(F.length("input") > 0).select("url", F.col("n").cast("long"))
+MEASURE = ("massnahme", "adresse", "start", "ende", "quelle_url")
+ENDED = rf"SELECT *, CASE WHEN raw LIKE '%\"ende\": \"bald\"%' THEN NULL END AS ende FROM ({FOUND.replace('SELECT id, url, pos', 'SELECT id, url, raw, pos', 1)})"
+QUOTED = lambda c: f"coalesce('\"' || replace({c}, '/', '/') || '\"', 'null')"
+OUTPUT = "'{\"massnahmen\":[' || string_agg('{' || " + " || ',' || ".join(f"'\"{c}\":' || {QUOTED(c)}" for c in MEASURE) + " || '}', ',' ORDER BY id, pos) || ']}'"
+LINES = "concat_ws(chr(10), " + ", ".join(f"'{label}' || nullif({c}, '')" for c, label in corpus.LABELS.items()) + ")"
 
 
-@query("seed_select")
-def seed_select(spark, d):
-    rows = table(spark, d, "targets")
-    return corpus.seed_select(rows, rows.where("id in (3, 4)").select("ags"), "ags", 100, 42)
+@query("training_pairs", f"SELECT p.url, sha256(substr(coalesce(nullif(t.text, ''), 'Offizielle Website von ' || p.url || chr(10) || chr(10) || made), 1, 8000)) AS input_sha256, output, n FROM (SELECT url, string_agg({LINES}, chr(10) || chr(10) ORDER BY id, pos) AS made, {OUTPUT} AS output, count(*) AS n FROM ({ENDED}) GROUP BY 1) p LEFT JOIN (SELECT 'https://www.ort' || cast(page_id AS string) || '.de' AS url, html AS text FROM pages) t ON t.url = p.url", "answers")
+def training_pairs(spark, d):
+    """The stored text of a place is the page of its number; other places get a text made from the findings."""
+    rows = answers.findings(answers.parse_answers(table(spark, d, "answers")))
+    texts = table(spark, d, "pages").select(F.concat(F.lit("https://www.ort"), F.col("page_id").cast("string"), F.lit(".de")).alias("url"), F.col("html").alias("text"))
+    pairs = corpus.training_pairs(rows, texts, "url", "Finde Massnahmen")
+    return pairs.select("url", F.sha2("input", 256).alias("input_sha256"), "output", F.col("n").cast("long"))
 
 
-@query("train_eval_split")
-def train_eval_split(spark, d):
-    return corpus.train_eval_split(table(spark, d, "documents"), "doc_id", 0.1, 42).select("doc_id", "part")
+@query("pairs_with_negatives", f"SELECT (SELECT count(DISTINCT url) FROM ({FOUND})) AS positive, least(4, greatest(2, (SELECT count(DISTINCT url) FROM ({FOUND})) // 5)) AS negative", "answers")
+def pairs_with_negatives(spark, d):
+    rows = answers.findings(answers.parse_answers(table(spark, d, "answers")))
+    pairs = corpus.training_pairs(rows, table(spark, d, "pages").select("url", F.col("html").alias("text")), "url", "Finde Massnahmen")
+    pool = spark.createDataFrame([(i, f"Nachricht {i}", "Sonstiges") for i in range(4)], "pos int, input string, reason string")
+    every = corpus.with_negatives(pairs, pool, "Finde Massnahmen")
+    negative = F.coalesce(F.col("metadata")["typ"] == "negativ", F.lit(False))
+    return every.agg(F.count_if(~negative).alias("positive"), F.count_if(negative).alias("negative"))
 
 
 def _edges(spark, d):
-    """Nation to nation by supplier and customer of an order line: a small graph over the whole lineitem table."""
+    """Customers and suppliers (as negative numbers) joined by every order line, in both directions."""
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    big = line.where("l_quantity >= 50").join(orders, line.l_orderkey == orders.o_orderkey)
-    return big.where("l_suppkey % 7 = o_custkey % 7").select(F.col("l_suppkey").alias("src"), (F.col("o_custkey") % 100 + 1).alias("dst")).distinct()
+    pairs = line.join(orders, line.l_orderkey == orders.o_orderkey).select((-F.col("l_suppkey")).alias("s"), F.col("o_custkey").alias("c")).distinct()
+    return pairs.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("c").alias("dst")), F.struct(F.col("c").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.*")
 
 
-EDGES = "SELECT DISTINCT l_suppkey AS src, o_custkey % 100 + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_suppkey % 7 = o_custkey % 7"
+EDGES = "SELECT DISTINCT -l_suppkey AS src, o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT DISTINCT o_custkey, -l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
-@query("bfs_levels", f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN e ON src = node WHERE level < 6) SELECT node, min(level) AS level FROM r GROUP BY 1")
+@query("bfs_levels", f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN e ON src = node WHERE level < 12) SELECT node, min(level) AS level FROM r GROUP BY 1")
 def bfs_levels(spark, d):
-    return frontier.reach(_edges(spark, d), spark.createDataFrame([(1,)], "node long"), 6)
+    return frontier.reach(_edges(spark, d), spark.createDataFrame([(1,)], "node long"))
 
 
 LINK_SQL = "SELECT event_id AS pos, user_id % 20 AS target, 'https://s.de/' || cast(event_id % 97 as string) || '/' AS url, round(coalesce(value, 0), 4) AS cpe_score FROM events"

@@ -74,10 +74,17 @@ def due_targets(targets: DataFrame, regions: DataFrame, preferred: str | None, n
 def changelog(versions: DataFrame, items: DataFrame) -> DataFrame:
     """Each version with its items as ordered JSON, null without items."""
     item = F.struct("sort_order", F.struct(F.col("type").alias("tag"), "scope", F.col("message").alias("description")).alias("i"))
-    nested = items.groupBy("changelog_id").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    nested = nested.select("changelog_id", F.transform("a", lambda x: F.concat_ws("|", x["i"]["tag"], F.coalesce(x["i"]["scope"], F.lit("-")), x["i"]["description"])).alias("items"))
-    rows = versions.join(nested, versions.id == nested.changelog_id, "left")
-    return rows.select("version", "release_date", "title", F.array_join("items", ";").alias("items"))
+    nested = items.where("changelog_id is not null").groupBy("changelog_id").agg(F.array_sort(F.collect_list(item)).alias("a"))
+    nested = nested.select("changelog_id", F.to_json(F.transform("a", lambda x: x["i"]), {"ignoreNullFields": "false"}).alias("items"))
+    return versions.join(nested, versions.id == nested.changelog_id, "left").select("version", "release_date", "title", "items")
+
+
+def version_flags(versions: DataFrame) -> DataFrame:
+    """which version is the current one (the latest, of equal dates the one of greatest id) and which the first."""
+    at = F.struct("release_date", "id")
+    ends = versions.agg(F.max_by("id", at).alias("last_id"), F.min_by("id", at).alias("first_id"))
+    rows = versions.crossJoin(F.broadcast(ends))  # one row
+    return rows.select("id", "version", (F.col("id") == F.col("last_id")).alias("is_current"), (F.col("id") == F.col("first_id")).alias("is_first"))
 
 
 def status_view(beats: DataFrame, now: str, timeout: int) -> DataFrame:

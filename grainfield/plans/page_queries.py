@@ -35,9 +35,9 @@ def hit(ascii_norm: str, k: str) -> str:
     return f"CASE WHEN regexp_matches({ascii_norm}, '{text.keyword_pattern(k).replace('(?U)', '')}') THEN 1 ELSE 0 END"
 
 
-def hits_sql(source: str, ident: str, expr: str) -> str:
+def hits_sql(source: str, ident: str, expr: str, model: dict[str, list[str]] = MODEL) -> str:
     """Counts of hits per category as columns c0.., and different keywords as m."""
-    per = [" + ".join(hit("n", k) for k in ks) for ks in MODEL.values()]
+    per = [" + ".join(hit("n", k) for k in ks) for ks in model.values()]
     return f"SELECT *, {', '.join(f'{p} AS c{i}' for i, p in enumerate(per))}, {' + '.join(f'({p})' for p in per)} AS m FROM (SELECT {ident}, regexp_replace({norm(expr)}, '[^\\x00-\\x7F]', 'x', 'g') AS n FROM {source})"
 
 
@@ -73,6 +73,18 @@ def relevance_report(spark, d):
     return relevance.report(relevance.classify(table(spark, d, "documents"), "text", MODEL, 0.6), ["source"], 40)
 
 
+DEFAULT = text.DEFAULT_KEYWORDS
+_BEST = "greatest(" + ", ".join(f"c{i}" for i in range(len(DEFAULT))) + ")"
+_SHARE = "greatest(" + ", ".join(f"c{i} / {float(len(ks))}" for i, ks in enumerate(DEFAULT.values())) + ")"
+_COVER = f"round(least(1.0, m / {max(1.0, len({k for ks in DEFAULT.values() for k in ks}) * 0.1)}) * 0.6 + least(1.0, {_BEST} / {2.0 * len(DEFAULT)}) * 0.4, 4)"
+
+
+@query("default_model", f"SELECT doc_id, {_COVER} AS tfidf_score, round({_SHARE}, 4) AS bayes_score, round({_COVER} * 0.3 + {_SHARE} * 0.7, 4) AS score FROM ({hits_sql('notices', 'doc_id', 'text', DEFAULT)})", "notices")
+def default_model(spark, d):
+    """The default keywords, with other weights."""
+    return relevance.classify(table(spark, d, "notices"), "text", DEFAULT, weights=(0.3, 0.7)).select("doc_id", "tfidf_score", "bayes_score", "score")
+
+
 @query("category_distribution", f"SELECT top_category, count(*) AS n FROM ({SCORED % hits_sql('documents', 'doc_id', 'text')}) WHERE tfidf_score * 0.4 + share * 0.6 >= 0.6 GROUP BY 1")
 def category_distribution(spark, d):
     return relevance.classify(table(spark, d, "documents"), "text", MODEL, 0.6).where("is_relevant").groupBy("top_category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "top_category")
@@ -140,22 +152,24 @@ def js_shell_flag(spark, d):
     return table(spark, d, "pages").select("page_id", html.is_rendered("html").alias("rendered"), html.is_shell("html").alias("shell"))
 
 
-@query("pii_redact")
+STEPS = "SELECT doc_id, lang, text AS t0 FROM documents"
+for _i, _k in enumerate(privacy.ORDERS["specific"]):
+    _p, _m = privacy.PATTERNS[_k]
+    STEPS = f"SELECT *, cast(len(regexp_extract_all(t{_i}, '{_p}')) AS integer) AS {_k}, regexp_replace(t{_i}, '{_p}', '{_m}', 'g') AS t{_i + 1} FROM ({STEPS})"
+
+
+@query("pii_redact", f"SELECT doc_id, sha256(t4) AS clean_sha256, email, iban, svn, phone FROM ({STEPS})")
 def pii_redact(spark, d):
     clean, counts = privacy.redact("text")
     return table(spark, d, "documents").select("doc_id", F.sha2(clean, 256).alias("clean_sha256"), *[n.alias(k) for k, n in counts.items()])
 
 
-MAIL = privacy.PATTERNS["email"][0]
-
-
-@query("pii_counts", f"SELECT lang, cast(sum(len(regexp_extract_all(text, '{MAIL}'))) AS bigint) AS email FROM documents GROUP BY 1")
+@query("pii_counts", f"SELECT lang, cast(sum(email) AS bigint) AS email, cast(sum(iban) AS bigint) AS iban, cast(sum(svn) AS bigint) AS svn, cast(sum(phone) AS bigint) AS phone, cast(sum(email + iban + svn + phone) AS bigint) AS total FROM ({STEPS}) GROUP BY 1")
 def pii_counts(spark, d):
-    _, counts = privacy.redact("text")
-    return table(spark, d, "documents").groupBy("lang").agg(F.sum(counts["email"]).alias("email"))
+    return privacy.redaction_totals(table(spark, d, "documents"), "text", ["lang"])
 
 
-@query("metadata_redact", "SELECT event_id, '[ENTFERNT]' AS author, event_type AS kind FROM events")
+@query("metadata_redact", "SELECT event_id, '[ENTFERNT – DSGVO Art. 5]' AS author, event_type AS kind FROM events")
 def metadata_redact(spark, d):
     data = F.create_map(F.lit("Author"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"))
     clean = table(spark, d, "events").select("event_id", privacy.sanitize_metadata(data).alias("m"))
@@ -191,16 +205,10 @@ def html_blocks(spark, d):
     return html.content_blocks(html.parse_pages(table(spark, d, "pages")), MODEL)
 
 
-@query("pdf_links", f"SELECT DISTINCT page_id, url FROM (SELECT page_id, {HOST} AS host, unnest(regexp_extract_all(html, 'https?://[^\\s\"<>]+\\.[pP][dD][fF]')) AS url FROM pages) WHERE {HOST} = host")
-def pdf_links(spark, d):
-    return html.document_links(table(spark, d, "pages"))
-
-
 def _scored_links(spark, d):
-    parsed = html.parse_pages(table(spark, d, "pages"))
-    rows = html.links(parsed)
-    scores = relevance.classify(parsed.select("page_id", "text"), "text", MODEL).select("page_id", F.col("score").alias("page_score"))
-    return relevance.score_links(rows.join(scores, "page_id"), MODEL)
+    """The page's score goes with its links, so that a page is parsed once."""
+    parsed = relevance.classify(html.parse_pages(table(spark, d, "pages")), "text", MODEL).withColumn("page_score", F.col("score"))
+    return relevance.score_links(html.links(parsed.select("page_id", "url", "links", "page_score"), "page_score"), MODEL)
 
 
 @query("link_priority")
@@ -223,15 +231,6 @@ def harvest_pages(spark, d):
     return relevance.classify(rows, "text", MODEL).select("page_id", "url", "content_hash", "redactions", "n_links", "score", "top_category", "is_relevant")
 
 
-
-@query("robots_filter", f"SELECT page_id, url, NOT (starts_with({PATH}, '/en/') AND NOT starts_with({PATH}, '/en/1')) AND NOT starts_with({PATH}, '/de/') AS allowed FROM pages")
-def robots_filter(spark, d):
-    pages = table(spark, d, "pages")
-    txt = "User-agent: *\nAllow: /en/1\nDisallow: /en/ # english\nDisallow: /de/\n\nUser-agent: other\nDisallow: /"
-    hosts = pages.select(urls.authority("url").alias("host")).distinct().withColumn("txt", F.lit(txt))
-    return html.robots_allowed(pages, html.robots_rules(hosts))
-
-
 @query("content_dedupe", "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_dedupe(spark, d):
     hashed = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
