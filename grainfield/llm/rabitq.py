@@ -3,8 +3,9 @@
 Equal vectors are one point, which keeps its smallest ids. Points are dealt to lists by their nearest centroid. Within a
 list the residual is turned by a random rotation and only the signs are kept, one bit per dimension, along with two scalars:
 the residual's length and the inner product of the unit residual with its code. From the packed bits and these scalars a
-query, itself sent as one byte per dimension, estimates every inner product, with an error bound; whatever could still be
-among the nearest by its bound is measured with the original vectors, in double precision.
+query, itself sent as one byte per dimension, estimates every inner product, with an error bound. Whatever could still be
+among the nearest by its bound is compared with the whole residual (4 bytes per dimension), which leaves little more than the
+nearest; these are measured with the original vectors, in double precision.
 
 A query first visits its nearest lists until they hold CANDIDATES points. The distance of its k-th nearest of these is a
 limit: of the other lists it visits those that can hold something nearer, by their centroid's distance and the lengths of
@@ -12,8 +13,8 @@ their residuals, with VISIT deviations for the angle between them. Clustered vec
 of the points), vectors without clusters need most (79 %, recall 0.99).
 
 The centroids are fitted on at most SAMPLE points (in the order of a hash of the id); every point is coded, once, into a
-table. A task holds a part of a list (LIST points) and a block of its queries (QUERIES), both without their vectors; the
-vectors of candidates are joined by id.
+table. A task holds a part of a list (LIST points, or twice the mean of all lists if that is less) and a block of its queries
+(QUERIES); the original vectors of the last candidates are joined by id.
 
 Cases: vectors that are null, empty, zero, of another length than the most common one, or with null or non-finite parts
 take no part, as queries or candidates; rows with a null id don't either. Of rows that repeat a query's id one is the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from grainfield.llm.shared import written
 
-SAMPLE, MOST_LISTS, CANDIDATES, LIST, QUERIES = 20_000, 4096, 1000, 16_384, 4096
+SAMPLE, MOST_LISTS, CANDIDATES, LIST, LEAST, QUERIES = 20_000, 4096, 1000, 16_384, 512, 4096
 #: Deviations of the codes' error bound, and of the angle between a list's residuals and a query.
 EPSILON, VISIT = 3.0, 2.5
 
@@ -48,16 +49,17 @@ def encode(residual: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.packbits(turned > 0, axis=1), length, np.where(length > 0, match, 1.0)
 
 
-def squeeze(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Turned query residuals as one byte per dimension, with offset, step and length."""
+def squeeze(turned: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Turned query residuals as one byte per dimension, with offset, step, length, and how far the bytes are from them."""
     low = turned.min(1, keepdims=True)
     step = np.maximum(turned.max(1, keepdims=True) - low, 1e-300) / 255
-    return np.rint((turned - low) / step).astype(np.uint8), low[:, 0], step[:, 0], np.sqrt((turned**2).sum(1))
+    packed = np.rint((turned - low) / step).astype(np.uint8)
+    return packed, low[:, 0], step[:, 0], np.sqrt((turned**2).sum(1)), np.sqrt(((packed * step + low - turned) ** 2).sum(1))
 
 
 def bounds(codes: np.ndarray, length: np.ndarray, match: np.ndarray, query: tuple[np.ndarray, ...], epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the squared distances from squeezed query residuals (rows) to coded residuals (columns)."""
-    packed, low, step, reach = query
+    packed, low, step, reach, _ = query
     dim = packed.shape[1]
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32)
     turned = packed.astype(np.float32) * step[:, None].astype(np.float32) + low[:, None].astype(np.float32)
@@ -132,19 +134,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, visit: float = V
             vec = np.stack(frame["vec"].to_numpy())
             near = nearest(vec, centre, 1)[:, 0]
             packed, length, match = encode(vec - centre[near], turn)
-            yield pd.DataFrame({"list": near, "rep": frame["rep"], "code": [p.tobytes() for p in packed], "length": length, "match": match})
+            whole = ((vec - centre[near]) @ turn).astype("<f4")
+            yield pd.DataFrame({"list": near, "rep": frame["rep"], "code": [p.tobytes() for p in packed], "length": length, "match": match, "whole": [w.tobytes() for w in whole]})
 
-    coded = written(points.select("rep", "vec").mapInPandas(code, "list int, rep long, code binary, length double, match double"), "coded")
+    coded = written(points.select("rep", "vec").mapInPandas(code, "list int, rep long, code binary, length double, match double, whole binary"), "coded")
     size, shortest, longest = np.zeros(lists, np.int64), np.zeros(lists), np.zeros(lists)
     for r in coded.groupBy("list").agg(F.count("*"), F.min("length"), F.max("length")).collect():  # a row per list
         size[r[0]], shortest[r[0]], longest[r[0]] = r[1], r[2], r[3]
-    parts = np.maximum(1, -(-size // LIST))
+    parts = np.maximum(1, -(-size // min(LIST, max(LEAST, 2 * count // lists))))
     asked = written(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")
 
     def rows(name: np.ndarray, vec: np.ndarray, limit: np.ndarray, picked: np.ndarray) -> pd.DataFrame:
         who, where = np.nonzero(picked)
-        packed, low, step, reach = squeeze((vec @ turn)[who] - turned_centre[where])
-        return pd.DataFrame({"list": where, "query": name[who], "packed": [p.tobytes() for p in packed], "low": low, "step": step, "reach": reach, "limit": limit[who]})
+        packed, low, step, reach, off = squeeze((vec @ turn)[who] - turned_centre[where])
+        return pd.DataFrame({"list": where, "query": name[who], "packed": [p.tobytes() for p in packed], "low": low, "step": step, "reach": reach, "off": off, "limit": limit[who]})
 
     def visits(frames, further: bool):
         for frame in frames:
@@ -164,7 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, visit: float = V
                 length = np.clip(apart * cosine, shortest, longest)
                 yield rows(name, vec, limit, ~first & (size > 0) & (apart**2 + length**2 - 2 * length * apart * cosine <= limit[:, None] ** 2))
 
-    asks = "list int, query long, packed binary, low double, step double, reach double, limit double"
+    asks = "list int, query long, packed binary, low double, step double, reach double, off double, limit double"
 
     def meet(mine: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, ...]] = []
@@ -173,15 +176,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, visit: float = V
             codes = np.frombuffer(b"".join(mine["code"]), np.uint8).reshape(len(mine), -1)
             length, match = mine["length"].to_numpy(), mine["match"].to_numpy()
             packed = np.frombuffer(b"".join(ask["packed"]), np.uint8).reshape(len(ask), -1)
-            who, limit = ask["query"].to_numpy(np.int64), ask["limit"].to_numpy(np.float64) ** 2 * (1 + 1e-9)
-            low, step, reach = (ask[c].to_numpy(np.float64) for c in ("low", "step", "reach"))
-            n = min(k + 1, len(name)) - 1
+            whole = np.frombuffer(b"".join(mine["whole"]), "<f4").reshape(len(mine), -1)
+            who = ask["query"].to_numpy(np.int64)
+            low, step, reach, off, limit = (ask[c].to_numpy(np.float64) for c in ("low", "step", "reach", "off", "limit"))
+            bar = lambda high: np.partition(high, k)[k] if len(high) > k else np.inf
             for at in range(0, len(who), 64):
                 cut = slice(at, at + 64)
-                least, most = bounds(codes, length, match, (packed[cut], low[cut], step[cut], reach[cut]))
-                bar = np.partition(most, n, axis=1)[:, n] if n == k else np.full(len(most), np.inf)
-                i, j = np.nonzero(least <= np.minimum(bar, limit[cut])[:, None])
-                out.append((who[cut][i], name[j]))
+                least, most = bounds(codes, length, match, (packed[cut], low[cut], step[cut], reach[cut], off[cut]))
+                for i in range(len(least)):
+                    q = at + i
+                    some = np.flatnonzero(least[i] <= min(bar(most[i]), limit[q] ** 2 * (1 + 1e-9)))
+                    apart = np.sqrt(((whole[some] - (packed[q] * step[q] + low[q]).astype(np.float32)) ** 2).sum(1, dtype=np.float64))
+                    slack = off[q] + 1e-5 * (reach[q] + apart)
+                    some = some[apart - slack <= min(bar(apart + slack), limit[q] * (1 + 1e-9))]
+                    out.append((np.full(len(some), who[q]), name[some]))
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 2
         return pd.DataFrame(dict(zip(["query", "rep"], cols)))
 
