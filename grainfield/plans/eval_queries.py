@@ -79,14 +79,14 @@ ORACLE_SQL["gold_file_totals"] = f"{_head} SELECT count(*) AS total_entries, cou
 
 GOLDEN = "CASE WHEN id % 6 = 0 THEN 'Bau ' || cast(id as string) WHEN id % 6 = 1 THEN 'Titel ' || cast(id as string) WHEN id % 6 = 4 THEN '' ELSE 'Etwas anderes' END"
 ISSUES = f"list_filter([CASE WHEN length(coalesce(massnahme, '')) < 15 THEN 'short_title' END, CASE WHEN length(coalesce(adresse, '')) < 5 THEN 'generic_address' END, CASE WHEN start IS NULL THEN 'no_date' END, CASE WHEN NOT regexp_matches(quelle_url, '^https?://') THEN 'bad_url' END], lambda x: x IS NOT NULL)"
-EXAMPLES = f"""SELECT a.id, CASE WHEN a.id % 3 = 0 THEN 'basis' ELSE 'finetuned' END AS modell, (a.id % 50) / 10.0 AS latency, {GOLDEN.replace('id', 'a.id')} AS gold, coalesce(f.titles, '') AS titles, coalesce(f.n, 0) AS pred, coalesce(f.valid, 0) AS valid FROM answers a
+EXAMPLES = f"""SELECT a.id, CASE WHEN a.id % 3 = 0 THEN 'basis' ELSE 'finetuned' END AS modell, (a.id % 47) / 10.0 AS latency, {GOLDEN.replace('id', 'a.id')} AS gold, coalesce(f.titles, '') AS titles, coalesce(f.n, 0) AS pred, coalesce(f.valid, 0) AS valid FROM answers a
 LEFT JOIN (SELECT id, string_agg(massnahme, ' ') AS titles, count(*) AS n, count(*) FILTER (len({ISSUES}) = 0) AS valid FROM ({FOUND}) GROUP BY 1) f ON f.id = a.id"""
 SCORED = f"SELECT *, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE round(2.0 * len(list_intersect(p, g)) / (len(p) + len(g)), 3) END AS f1 FROM (SELECT *, {WORDS.format('titles')} AS p, {WORDS.format('gold')} AS g FROM ({EXAMPLES}))"
 
 
 def _examples(spark, d):
     """Every answer is a model's for an example; its gold list is one title or none."""
-    raw = table(spark, d, "answers").withColumn("modell", F.when(F.col("id") % 3 == 0, "basis").otherwise("finetuned")).withColumn("latency", (F.col("id") % 50) / 10.0)
+    raw = table(spark, d, "answers").withColumn("modell", F.when(F.col("id") % 3 == 0, "basis").otherwise("finetuned")).withColumn("latency", (F.col("id") % 47) / 10.0)
     title = F.expr(GOLDEN)
     golden = raw.select("id", "modell", "latency", F.when(title == "", F.array().cast("array<string>")).otherwise(F.array(title)).alias("gold"))
     return golden, answers.findings(answers.parse_answers(raw.select("id", "url", "raw")))
