@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.functions.text import tokens
 
 UNSEEN = 1e-6
+#: Terms with a larger share of a class are broadcast: fewer than classes / OFTEN.
+OFTEN = 1e-4
 
 
-def term_counts(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """ident, term, tf of every document's tokens."""
-    return docs.select(ident, F.explode(tokens(text)).alias("term")).groupBy(ident, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, ident: str, text: str, among: DataFrame | None = None) -> DataFrame:
+    """ident, term, tf of every document's tokens, or of those among the terms of a table, which are then all that is counted."""
+    rows = docs.select(ident, F.explode(tokens(text)).alias("term"))
+    rows = rows if among is None else rows.join(among.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy(ident, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(keywords: DataFrame) -> DataFrame:
@@ -22,16 +28,16 @@ def idf(keywords: DataFrame) -> DataFrame:
 
 
 def unit_vectors(counts: DataFrame, ident: str, weights: DataFrame) -> DataFrame:
-    """Ident, term, weight = tf x idf, of length one; terms without idf are left out. The table of weights is a keyword list."""
-    rows = counts.join(F.broadcast(weights.select("term", "idf")), "term").select(ident, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    """Ident, term, weight = tf x idf, of length one; terms without idf are left out. Spark broadcasts the weights if they are few."""
+    rows = counts.join(weights.select("term", "idf"), "term").select(ident, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = rows.groupBy(ident).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.join(norms, ident).where("norm > 0").select(ident, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def cosine(doc_vectors: DataFrame, category_vectors: DataFrame, ident: str) -> DataFrame:
-    """ident, category, cosine where it is over 0. Category vectors are a keyword list."""
+    """ident, category, cosine where it is over 0."""
     c = category_vectors.select("category", "term", F.col("weight").alias("cw"))
-    return doc_vectors.join(F.broadcast(c), "term").groupBy(ident, "category").agg(F.sum(F.col("weight") * F.col("cw")).alias("cosine")).where("cosine > 0")
+    return doc_vectors.join(c, "term").groupBy(ident, "category").agg(F.sum(F.col("weight") * F.col("cw")).alias("cosine")).where("cosine > 0")
 
 
 def best_cosine(found: DataFrame, docs: DataFrame, ident: str) -> DataFrame:
@@ -74,14 +80,24 @@ def classify(counts: DataFrame, docs: DataFrame, priors: DataFrame, terms: DataF
 
     A document's log score is the sum of log(p/p0) over its seen pairs, plus its words in the vocabulary times log p0,
     plus the log prior; words outside the vocabulary count the same for every class. Documents without words go by the priors.
+    Classes are few: what a term adds to each is one map, so the terms of a document meet the vocabulary once, and each
+    document is one row with a map of sums. Spark broadcasts the vocabulary where it is small; else frequent terms, which
+    are hot keys, are broadcast by themselves and the others joined.
     """
-    known = counts.join(terms.select("term").distinct(), "term", "left_semi").groupBy(ident).agg(F.sum("tf").alias("words"))
-    lifted = terms.join(F.broadcast(priors), "class").select("class", "term", F.log(F.col("p") / F.col("p0")).alias("lift"))
-    gains = counts.join(lifted, "term").groupBy(ident, "class").agg(F.sum(F.col("tf") * F.col("lift")).alias("gain"))
-    every = docs.select(ident).distinct().join(known, ident, "left").crossJoin(F.broadcast(priors)).join(gains, [ident, "class"], "left")
-    every = every.select(ident, "class", (F.log("prior") + F.coalesce("words", F.lit(0)) * F.log("p0") + F.coalesce("gain", F.lit(0.0))).alias("lp"))
-    w = Window.partitionBy(ident)
-    post = every.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(w))).withColumn("posterior", F.col("e") / F.sum("e").over(w))
-    rank = F.row_number().over(w.orderBy(F.desc("posterior"), "class"))
-    ranked = post.withColumn("r", rank).where("r <= 2").groupBy(ident).agg(F.max(F.when(F.col("r") == 1, F.struct("class", "posterior"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("posterior"))).alias("b"))
-    return ranked.select(ident, "a.class", "a.posterior", (F.col("a.posterior") - F.coalesce("b", F.lit(0.0))).alias("confidence"))
+    classes = priors.select("class", "prior", "p0").collect()  # a row per class
+    lifted = terms.join(F.broadcast(priors.select("class", "p0")), "class")
+    lift = [F.coalesce(F.max(F.when(F.col("class") == r["class"], F.log(F.col("p") / F.col("p0")))), F.lit(0.0)).alias(f"l{i}") for i, r in enumerate(classes)]
+    vocabulary = lifted.groupBy("term").agg(*lift, F.max("p").alias("top"))
+    often = vocabulary.where(F.col("top") > OFTEN).drop("top")
+    rare = vocabulary.where(F.col("top") <= OFTEN).drop("top")
+    hit = counts.join(F.broadcast(often), "term").unionByName(counts.join(F.broadcast(often.select("term")), "term", "left_anti").join(rare, "term"))
+    sums = hit.groupBy(ident).agg(F.sum("tf").alias("words"), *[F.sum(F.col("tf") * F.col(f"l{i}")).alias(f"g{i}") for i in range(len(classes))])
+    rows = docs.select(ident).distinct().join(sums, ident, "left")
+    score = lambda i, r: F.lit(math.log(r["prior"])) + F.coalesce("words", F.lit(0)) * F.lit(math.log(r["p0"])) + F.coalesce(f"g{i}", F.lit(0.0))
+    scored = rows.select(ident, F.array(*[F.struct(score(i, r).alias("lp"), F.lit(r["class"]).alias("class")) for i, r in enumerate(classes)]).alias("s"))
+    best = F.array_max(F.transform("s", lambda x: x["lp"]))
+    post = scored.withColumn("e", F.transform("s", lambda x: F.struct(F.exp(x["lp"] - best).alias("e"), x["class"].alias("class"))))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x["e"])
+    ranked = post.withColumn("p", F.array_sort(F.transform("e", lambda x: F.struct((-F.round(x["e"] / total, 12)).alias("down"), x["class"].alias("class"), (x["e"] / total).alias("p")))))
+    second = F.coalesce(F.get("p", 1)["p"], F.lit(0.0))
+    return ranked.select(ident, F.col("p")[0]["class"].alias("class"), F.col("p")[0]["p"].alias("posterior"), (F.col("p")[0]["p"] - second).alias("confidence"))

@@ -57,21 +57,21 @@ def crawl(edges: DataFrame, seeds: DataFrame, budget: int, per_round: int = 1000
     edges: src, dst, score, pos; seeds: target, node. In each round the best `per_round` pages of every target's queue are
     visited (by score and then position, or by round and position if order is 'fifo'), and their links join the queue; one
     page at a time is per_round = 1. A page that is found again keeps its best place in the queue. Rounds are written to the
-    shared folder; they end when the budget is spent or the queues are empty.
+    shared folder; they end when all budgets are spent or all queues empty.
     """
     queue = shared_table(seeds.select("target", "node", F.lit(1.0).alias("score"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("pos")), "queue")
     rank = ["score desc", "round", "pos", "node"] if order == "focused" else ["round", "pos", "node"]
     rank = [F.desc(r.split()[0]) if r.endswith("desc") else F.col(r) for r in rank]
-    visited, spent, number = None, 0, 0
-    while spent < budget:
+    visited, number = None, 0
+    while True:
         number += 1
-        take = min(per_round, budget - spent)
-        best = queue.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy(*rank))).where(F.col("n") <= take)
-        now = shared_table(best.select("target", "node", (F.col("n") + spent).alias("place")), "visited")
+        done = F.lit(0) if visited is None else F.coalesce("done", F.lit(0))
+        asked = queue if visited is None else queue.join(visited.groupBy("target").agg(F.count("*").alias("done")), "target", "left")
+        best = asked.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy(*rank))).where((F.col("n") <= per_round) & (F.col("n") + done <= budget))
+        now = shared_table(best.select("target", "node", (F.col("n") + done).alias("place")), "visited")
         if now.isEmpty():
             break
         visited = now if visited is None else visited.unionByName(now)
-        spent += take
         found = now.join(edges, now.node == edges.src).select("target", F.col("dst").alias("node"), "score", F.lit(number).alias("round"), (F.col("place") * F.lit(1 << 32) + F.col("pos")).alias("pos"))
         every = queue.unionByName(found).join(visited.select("target", "node"), ["target", "node"], "left_anti")
         key = F.struct((-F.col("score")).alias("s"), "round", "pos") if order == "focused" else F.struct("round", "pos")

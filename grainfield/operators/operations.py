@@ -6,21 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_sums(df: DataFrame, value: str, ts: str, tie: str, out: str) -> DataFrame:
-    """Running total over the whole table in time order: sums per day first, then within the day.
+def _buckets(df: DataFrame, value: Column, ts: str, part: list[Column], seconds: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with _bucket (pieces of time within a part), and per bucket the sum of the earlier ones of its part (_before)."""
+    rows = df.withColumns({f"_p{i}": c for i, c in enumerate(part)}).withColumn("_bucket", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)))
+    names = [f"_p{i}" for i in range(len(part))]
+    sums = rows.groupBy(*names, "_bucket").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, sums.select(*names, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
 
-    Only the days' sums meet in one place, so the rows themselves are never sorted in a single task.
+
+def prefix_sums(df: DataFrame, value: str, ts: str, tie: str, out: str, seconds: int = 600) -> DataFrame:
+    """Running total over the whole table in time order: sums per piece of time first, then within each.
+
+    Only the pieces' sums meet in one place (ten minutes: 53,000 a year), so the rows themselves are never sorted in a
+    single task; rows must have a time.
     """
-    days = df.groupBy(F.to_date(ts).alias("_day")).agg(F.sum(value).alias("_sum"))
-    before = days.select("_day", F.coalesce(F.sum("_sum").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_day").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_day", F.to_date(ts)).join(F.broadcast(before), "_day")
-    return rows.withColumn(out, F.col("_before") + F.sum(value).over(inner)).drop("_day", "_before")
+    rows, before = _buckets(df, F.col(value), ts, [], seconds)
+    inner = Window.partitionBy("_bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(before, "_bucket").withColumn(out, F.col("_before") + F.sum(value).over(inner)).drop("_bucket", "_before")
 
 
-def daily_counter(df: DataFrame, ts: str, tie: str, out: str) -> DataFrame:
-    """Number of the row within its day."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(F.to_date(ts)).orderBy(ts, tie)))
+def daily_counter(df: DataFrame, ts: str, tie: str, out: str, seconds: int = 600) -> DataFrame:
+    """Number of the row within its day, by pieces of the day as in prefix_sums()."""
+    rows, before = _buckets(df, F.lit(1), ts, [F.to_date(ts)], seconds)
+    inner = Window.partitionBy("_p0", "_bucket").orderBy(ts, tie)
+    return rows.join(before, ["_p0", "_bucket"]).withColumn(out, (F.col("_before") + F.row_number().over(inner)).cast("int")).drop("_p0", "_bucket", "_before")
 
 
 def crawl_delay_audit(visits: DataFrame, least: float) -> DataFrame:

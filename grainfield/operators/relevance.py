@@ -19,13 +19,13 @@ def with_hits(df: DataFrame, text: Column | str, model: dict[str, list[str]], ou
     return df.withColumn("_norm", normalize_text(text)).withColumn(out, category_hits(F.col("_norm"), model)).drop("_norm")
 
 
-def classify(df: DataFrame, text: str, model: dict[str, list[str]], threshold: float = THRESHOLD, weights: tuple[float, float] = ENSEMBLE) -> DataFrame:
+def classify(df: DataFrame, text: str, model: dict[str, list[str]], threshold: float = THRESHOLD, weights: tuple[float, float] = ENSEMBLE, most: int = 10) -> DataFrame:
     """tfidf_score, bayes_score, score, top_category (the first on ties), confidence, is_relevant, matched_keywords."""
     rows = with_hits(df, text, model, "_hits")
     shares = [F.struct((F.size(F.col("_hits")[c]) / F.lit(float(max(1, len(ks))))).alias("share"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, ks) in enumerate(model.items())]
     rows = rows.withColumns({"_cover": coverage_score(F.col("_hits"), model), "_top": F.array_max(F.array(*shares))})
     total = F.col("_cover") * weights[0] + F.col("_top.share") * weights[1]
-    matched = F.slice(F.array_sort(F.array_distinct(F.flatten(F.map_values("_hits")))), 1, 10)
+    matched = F.slice(F.array_sort(F.array_distinct(F.flatten(F.map_values("_hits")))), 1, most)
     out = {
         "tfidf_score": F.col("_cover"), "bayes_score": F.round("_top.share", 4), "score": F.round(total, 4), "top_category": F.col("_top.category"),
         "confidence": F.round(F.least(F.lit(1.0), total / threshold * 0.5), 4), "is_relevant": total >= threshold, "matched_keywords": matched,

@@ -149,21 +149,21 @@ def keyword_table(spark):
 
 @query("idf", f"SELECT term, df, round(idf, 6) AS idf, cast(coalesce(sum(tf), 0) AS bigint) AS uses FROM ({IDF_SQL}) LEFT JOIN ({TOKENS}) USING (term) GROUP BY 1, 2, 3")
 def idf(spark, d):
-    uses = bayes.term_counts(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("uses"))
+    uses = bayes.term_counts(table(spark, d, "documents"), "doc_id", "text", keyword_table(spark)).groupBy("term").agg(F.sum("tf").alias("uses"))
     return bayes.idf(keyword_table(spark)).join(uses, "term", "left").select("term", "df", F.round("idf", 6).alias("idf"), F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 @query("tfidf_cosine", f"SELECT doc_id, category, round(sum(w / norm * cw), 4) AS cosine FROM (SELECT doc_id, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS norm FROM ({TOKENS}) JOIN ({IDF_SQL}) USING (term)) JOIN ({CATVEC}) USING (term) GROUP BY 1, 2")
 def tfidf_cosine(spark, d):
     weights = bayes.idf(keyword_table(spark))
-    vectors = bayes.unit_vectors(bayes.term_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", weights)
+    vectors = bayes.unit_vectors(bayes.term_counts(table(spark, d, "documents"), "doc_id", "text", weights), "doc_id", weights)
     cats = bayes.unit_vectors(keyword_table(spark).withColumn("tf", F.lit(1)), "category", weights)
     return bayes.cosine(vectors, cats, "doc_id").select("doc_id", "category", F.round("cosine", 4).alias("cosine"))
 
 
 def _nb(spark, d):
     docs = table(spark, d, "documents")
-    counts = bayes.term_counts(docs, "doc_id", "text")
+    counts = frontier.shared_table(bayes.term_counts(docs, "doc_id", "text"), "term-counts")
     labels = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant").alias("class"))
     return docs, counts, bayes.train(counts, labels, "doc_id")
 

@@ -121,8 +121,8 @@ def legacy_ensemble(spark, d):
     words = [(i, c, t) for i, (c, t) in enumerate((c, t) for c, ts in KEYWORDS.items() for t in ts)]
     seeded = bayes.seed_training(spark.createDataFrame(words, "pos int, category string, term string"))
     trained = bayes.train(bayes.term_counts(seeded, "doc", "text"), seeded.select("doc", "class"), "doc")
-    counts = bayes.term_counts(docs, "doc_id", "text")
     weights = bayes.idf(keyword_table(spark))
+    counts = bayes.term_counts(docs, "doc_id", "text", weights)
     cats = bayes.unit_vectors(keyword_table(spark).withColumn("tf", F.lit(1)), "category", weights)
     best = bayes.best_cosine(bayes.cosine(bayes.unit_vectors(counts, "doc_id", weights), cats, "doc_id"), docs, "doc_id")
     rows = best.join(bayes.classify(counts, docs, *trained, "doc_id"), "doc_id")

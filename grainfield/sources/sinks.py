@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Log levels from least to most.
 LEVELS = ["DEBUG", "INFO", "OK", "WARN", "ERROR", "AUDIT"]
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines, replacing what was there."""
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON lines, replacing what was there (or added to it)."""
+    df.write.mode(mode).json(path)
+
+
+def write_json_array(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A short table (results of runs) as one JSON array in its order of columns; a longer one is refused, not cut."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows: write_json() writes them as lines")
+    array = F.to_json(F.array_sort(F.collect_list(F.struct("*"))), {"ignoreNullFields": "false"})
+    df.agg(array.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_comparison(table: DataFrame, path: str) -> None:
@@ -27,6 +35,17 @@ def project_export(records: DataFrame, domain: str) -> DataFrame:
     return sums.agg(F.sum(F.when(F.col("ort").isNull(), F.col("n"))).alias("total"), entry("kategorie").alias("by_kategorie"), entry("ort").alias("by_ort")).withColumn("domain", F.lit(domain))
 
 
+def write_project(records: DataFrame, domain: str, path: str) -> None:
+    """The summary of project_export() and, beside it, the records as JSON lines, whatever their number."""
+    project_export(records, domain).write.mode("overwrite").json(f"{path}/summary")
+    records.write.mode("overwrite").json(f"{path}/records")
+
+
+def keyword_text(keywords: Column | str, most: int = 10) -> Column:
+    """the first keywords between bars, with semicolons for commas."""
+    return F.replace(F.array_join(F.slice(keywords, 1, most), "|"), F.lit(","), F.lit(";"))
+
+
 def gold_export(entries: DataFrame) -> DataFrame:
     """Per domain one row with its entries, ordered by url."""
     item = F.struct("url", "relevant", "kategorie", "notiz")

@@ -35,6 +35,12 @@ def daily_findings(findings: DataFrame, late: str = "1 hour") -> DataFrame:
     return findings.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "n")
 
 
+def monthly_findings(findings: DataFrame, late: str = "32 days") -> DataFrame:
+    """T5: findings per month; a month is given out when the months have moved on by the lateness."""
+    months = findings.select(F.date_trunc("month", "ts").cast("timestamp").alias("month")).withWatermark("month", late)
+    return months.groupBy("month").agg(F.count("*").alias("n"))
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
 

@@ -111,4 +111,4 @@ def test_robots(spark):
 
 def test_metadata(spark):
     df = spark.createDataFrame([({"Author": "x", "IP": "y", "t": "z"},)], "m map<string,string>")
-    assert df.select(privacy.sanitize_metadata("m").alias("m")).first().m == {"Author": "[ENTFERNT]", "IP": "[ENTFERNT]", "t": "z"}
+    assert df.select(privacy.sanitize_metadata("m").alias("m")).first().m == {"Author": "[ENTFERNT – DSGVO Art. 5]", "IP": "[ENTFERNT – DSGVO Art. 5]", "t": "z"}

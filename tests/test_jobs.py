@@ -92,6 +92,48 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "skip")).first().value.endswith("u\trobots")
 
 
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([("b", None), ("a", 0.5)], "label string, rate double")
+    sinks.write_json_array(rows, str(tmp_path / "array"))
+    assert json.loads(spark.read.text(str(tmp_path / "array")).first().value) == [{"label": "a", "rate": 0.5}, {"label": "b", "rate": None}]
+    try:
+        sinks.write_json_array(rows, str(tmp_path / "array"), 1)
+        raise AssertionError
+    except ValueError:
+        pass
+    sinks.write_project(spark.createDataFrame([("bauen", "A")], "kategorie string, ort string"), "x.de", str(tmp_path / "project"))
+    assert spark.read.json(str(tmp_path / "project/records")).count() == spark.read.json(str(tmp_path / "project/summary")).first().total == 1
+    assert spark.range(1).select(sinks.keyword_text(F.array(*[F.lit(f"k{i},x") for i in range(12)]))).first()[0].count("|") == 9
+    sinks.write_json(rows, str(tmp_path / "lines"))
+    sinks.write_json(rows, str(tmp_path / "lines"), "append")
+    assert spark.read.json(str(tmp_path / "lines")).count() == 4
+    results = spark.createDataFrame([("a-dorf", "m1", 1)], "ort_slug string, modell string, funde int")
+    sinks.write_by_place_and_model(results, str(tmp_path / "models"))
+    assert spark.read.json(str(tmp_path / "models/ort_slug=a-dorf/modell=m1")).first().funde == 1
+    snap = sinks.seed_snapshot(spark.createDataFrame([(42,)], "random_seed int"), spark.createDataFrame([("2",), ("1",)], "ags string")).first()
+    assert (snap.domains, snap.total) == (["1", "2"], 2)
+    children = sinks.insert_children(spark.createDataFrame([("1.0", "x"), ("9", "y")], "version string, message string"), spark.createDataFrame([(7, "1.0")], "id int, version string"))
+    assert [tuple(r) for r in children.collect()] == [("x", 7)]
+    (tmp_path / "pairs.jsonl").write_text('{"instruction": "i", "input": "x", "output": "{}"}\n\n')
+    assert files.pairs(spark, str(tmp_path / "pairs.jsonl")).count() == 1
+    known = spark.createDataFrame([("1", "u", 3)], "ags string, url string, x int")
+    assert files.targets_or_inline(spark, known, None).collect() == [("1", "u")] and files.targets_or_inline(spark, known, [("5", "v")]).collect() == [("5", "v")]
+
+
+def test_months(spark, tmp_path):
+    rows = [(f"2024-0{m}-0{d} 00:00:00",) for m in (1, 2, 3, 5) for d in (1, 2)]
+    source = stream(spark, tmp_path, "months", rows, "t string").withColumn("ts", F.col("t").cast("timestamp"))
+    found = {r.month.month: r.n for r in run(jobs.monthly_findings(source), tmp_path, "per_month").collect()}
+    assert found == {1: 2, 2: 2, 3: 2}
+
+
+def test_status_row(spark):
+    rows = [(1, 1, "active", "a"), (1, 2, "heartbeat", "b"), (1, 3, "inactive", None), (1, 4, "active", "c"), (2, 1, "heartbeat", "x"), (3, 1, "active", "a"), (3, 2, "inactive", None)]
+    df = spark.createDataFrame([(k, p, f"2024-01-01 00:00:0{p}", e, t) for k, p, e, t in rows], "k int, pos int, t string, event string, target string").withColumn("ts", F.col("t").cast("timestamp"))
+    got = {r.k: (r.status, r.started_at and r.started_at.second, r.stopped_at and r.stopped_at.second, r.last_heartbeat.second, r.current_target) for r in tables.status_row(df, "k").collect()}
+    assert got == {1: ("active", 4, None, 4, "c"), 2: ("inactive", None, None, 1, "x"), 3: ("inactive", 1, 2, 1, None)}
+
+
 def test_recall_and_rates(spark):
     rows = spark.createDataFrame([("s", "focused", i < 6, 0.5) for i in range(10)] + [("s", "bfs", i < 3, 0.5) for i in range(10)] + [("z", "focused", True, 0.5), ("z", "bfs", False, 0.5)], "scenario string, mode string, is_relevant boolean, score double")
     out = {r.scenario: r for r in gold.compare_runs(rows).collect()}
