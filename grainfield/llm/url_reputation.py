@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfield.llm.shared import written
+from grainfield.llm.shared import join_counted, join_small, written
 
 #: Block if posterior mean - Z deviations is over LIMIT. Strengths stay within bounds, so that no level is ignored.
 LIMIT, Z, WEAKEST, STRONGEST = 0.3, 1.645, 2.0, 1000.0
@@ -36,14 +36,14 @@ def url_path(url: Column | str) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """The last label, or the last two if they are a known suffix."""
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+    return F.when(F.substring_index(host, ".", -2).isin(*two_labels), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """The suffix and one label before it."""
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(F.substring_index(host, ".", -2).isin(*two_labels), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -55,8 +55,8 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return F.array_max(fits)
 
 
-def _shrunk(level: DataFrame, key: str, parent: str | None) -> DataFrame:
-    """level: key, n, bad, p0 (parent's mean). Adds mean, a and b of the posterior; the strength comes from one pass over the level.
+def _shrunk(level: DataFrame) -> DataFrame:
+    """level: a written table with n, bad, p0 (parent's mean). Adds mean, a and b of the posterior; the strength comes from one pass over the level.
 
     With v = p0(1-p0), n groups of labelled pages spread by S = sum of (bad - n p0)^2 / (n v), which is the sum of
     1 + (n-1) rho; the strength is 1/rho - 1.
@@ -66,35 +66,39 @@ def _shrunk(level: DataFrame, key: str, parent: str | None) -> DataFrame:
     spread = F.sum(F.when(seen, (F.col("bad") - F.col("n") * F.col("p0")) ** 2 / (F.col("n") * v)))
     rho = F.try_divide(spread - F.sum(F.when(seen, 1)), F.sum(F.when(seen, F.col("n") - 1)))
     strength = F.when(rho > 0, F.least(F.greatest(1 / rho - 1, F.lit(WEAKEST)), F.lit(STRONGEST))).otherwise(F.lit(STRONGEST))
-    one = level.agg(strength.alias("k"))
-    a, b = F.col("p0") * F.col("k") + F.col("bad"), (1 - F.col("p0")) * F.col("k") + F.col("n") - F.col("bad")
-    return level.crossJoin(F.broadcast(one)).withColumns({"a": a, "b": b}).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
+    k = F.lit(level.agg(strength.alias("k")).first().k)
+    rows = level.withColumns({"a": F.col("p0") * k + F.col("bad"), "b": (1 - F.col("p0")) * k + F.col("n") - F.col("bad")})
+    return rows.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """outcomes: host, bad (0/1, or null if not labelled), a row per page. Returns host, n, mean, lower for every host.
+def host_reputation(outcomes: DataFrame, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """outcomes: host, bad (0/1, or null if not labelled), a row per page; other columns are left out. Returns host, pages, n, mean, lower for every host.
 
-    Counts are taken per host first, so a host with many pages is summed where its pages lie; that table is written once,
-    as every level is made from it.
+    Counts are taken per host first, so a host with many pages is summed where its pages lie; every level is written once,
+    with its parent's mean, and read for its strength and its posteriors.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = written(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    hosts = outcomes.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = written(hosts.withColumns({"domain": domain_of(F.col("host"), two_labels), "suffix": suffix_of(F.col("host"), two_labels)}), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
+    overall = hosts.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).first()[0]
+    suffixes = _shrunk(written(hosts.groupBy("suffix").agg(*sums).withColumn("p0", F.lit(overall)), "suffixes")).select("suffix", F.col("mean").alias("p0"))
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
-    overall = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("p0"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(overall)), "suffix", None).select("suffix", F.col("mean").alias("p0"))
-    domains = _shrunk(domains.join(suffixes, "suffix"), "domain", "suffix").select("domain", F.col("mean").alias("p0"))
-    found = _shrunk(hosts.join(domains, "domain"), "host", "domain")
+    domains = _shrunk(written(join_small(domains, suffixes, "suffix"), "domains")).select("domain", F.col("mean").alias("p0"))
+    found = _shrunk(written(hosts.join(domains, "domain"), "host-priors"))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
-    return found.select("host", "n", "mean", (F.col("mean") - Z * deviation).alias("lower"))
+    return found.select("host", "pages", "n", "mean", (F.col("mean") - Z * deviation).alias("lower"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT) -> DataFrame:
-    """id_col, host, path, rule, verdict, bad_rate, bad_rate_lower of every page. outcomes: id_col and bad (0/1), any number per page."""
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """id_col, host, path, rule, verdict, bad_rate, bad_rate_lower of every page. outcomes: id_col and bad (0/1), any number per page.
+
+    A host with very many pages is a hot key: its reputation is broadcast, those of the others are joined.
+    """
     parsed = pages.select(id_col, url_host(url_col).alias("host"), url_path(url_col).alias("path"))
     labels = outcomes.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("bad").alias("bad"))
-    reputation = host_reputation(parsed.join(labels, id_col, "left").select("host", "bad"))
-    judged = parsed.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules)).join(reputation, "host")
+    reputation = host_reputation(parsed.join(labels, id_col, "left").select("host", "bad"), two_labels).drop("n")
+    total = reputation.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    rows = parsed.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
+    judged = join_counted(rows, reputation, "host", "pages", total)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("lower") > limit, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_rate_lower"))

@@ -62,6 +62,14 @@ def test_url_rules(spark):
     assert {r.verdict for r in quiet.collect()} <= {"allow", "block"} and quiet.count() == len(URLS)
 
 
+def test_reputation_clashing_columns(spark):
+    rows = [("a.x.com", 1, 5, "q", 2), ("b.x.com", None, 6, "q", 3)]
+    df = spark.createDataFrame(rows, "host string, bad int, n int, domain string, pages int")
+    plain = {r.host: (r.pages, r.n, r.mean) for r in url_reputation.host_reputation(df.select("host", "bad")).collect()}
+    assert {r.host: (r.pages, r.n, r.mean) for r in url_reputation.host_reputation(df).collect()} == plain and plain["a.x.com"][:2] == (1, 1)
+    assert url_reputation.host_reputation(df.limit(0)).count() == 0
+
+
 def test_reputation_shrinks(spark):
     rows = [("bad.x.com", 1)] * 50 + [("good.x.com", 0)] * 50 + [("new.x.com", None)] + [("few.y.com", 1)] + [("many.y.com", 0)] * 200
     rep = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
