@@ -26,17 +26,27 @@ def query(name: str, sql: str | None = None, *views: str):
 JOINED = "findings f LEFT JOIN targets t ON f.ags = t.ags"
 
 
-@query("findings_page", f"SELECT f.id, f.ags, ort, bundesland, massnahme, kategorie, end_time FROM {JOINED} WHERE massnahme IS NOT NULL AND bundesland = 'NATION_3' AND kategorie = '1-URGENT' ORDER BY end_time DESC NULLS FIRST, f.id LIMIT 50 OFFSET 50", "findings", "targets")
+@query("findings_page", (
+    f"SELECT f.id, f.ags, ort, bundesland, massnahme, kategorie, end_time FROM {JOINED} "
+    f"WHERE massnahme IS NOT NULL AND bundesland = 'NATION_3' AND kategorie = '1-URGENT' ORDER BY end_time DESC NULLS FIRST, f.id LIMIT 50 OFFSET 50"
+), "findings", "targets")
 def findings_page(spark, d):
     return D.findings_page(table(spark, d, "findings"), table(spark, d, "targets"), 2, 50, bundesland="NATION_3", kategorie="1-URGENT", status="Alle")
 
 
-@query("findings_search", f"SELECT f.id, f.ags, ort, bundesland, massnahme, kategorie, end_time FROM {JOINED} WHERE massnahme IS NOT NULL AND (massnahme ILIKE '%urgent nr 1%' OR adresse ILIKE '%urgent nr 1%' OR ort ILIKE '%urgent nr 1%') ORDER BY end_time ASC NULLS LAST, f.id LIMIT 100", "findings", "targets")
+@query("findings_search", (
+    f"SELECT f.id, f.ags, ort, bundesland, massnahme, kategorie, end_time FROM {JOINED} "
+    f"WHERE massnahme IS NOT NULL AND (massnahme ILIKE '%urgent nr 1%' OR adresse ILIKE '%urgent nr 1%' OR ort ILIKE '%urgent nr 1%') "
+    f"ORDER BY end_time ASC NULLS LAST, f.id LIMIT 100"
+), "findings", "targets")
 def findings_search(spark, d):
     return D.findings_page(table(spark, d, "findings"), table(spark, d, "targets"), 1, 100, term="urgent nr 1", newest=False)
 
 
-@query("findings_stats", f"SELECT count(*) AS total, count(*) FILTER (gefunden_am >= date_trunc('month', TIMESTAMP '{NOW}')) AS this_month, count(*) FILTER (gefunden_am >= date_trunc('day', TIMESTAMP '{NOW}')) AS today FROM findings WHERE massnahme IS NOT NULL", "findings")
+@query("findings_stats", (
+    f"SELECT count(*) AS total, count(*) FILTER (gefunden_am >= date_trunc('month', TIMESTAMP '{NOW}')) AS this_month, count(*) FILTER (gefunden_am >= "
+    f"date_trunc('day', TIMESTAMP '{NOW}')) AS today FROM findings WHERE massnahme IS NOT NULL"
+), "findings")
 def findings_stats(spark, d):
     return D.finding_stats(table(spark, d, "findings"), NOW)
 
@@ -57,7 +67,10 @@ def target_by_id(spark, d):
     return table(spark, d, "targets").where("id = 42").select("id", "url", "ort", "ags")
 
 
-@query("filter_options", "SELECT 'bundesland' AS field, bundesland AS value FROM targets WHERE bundesland IS NOT NULL GROUP BY 2 UNION ALL SELECT 'kategorie', kategorie FROM findings WHERE kategorie IS NOT NULL GROUP BY 2", "targets", "findings")
+@query("filter_options", (
+    "SELECT 'bundesland' AS field, bundesland AS value FROM targets WHERE bundesland IS NOT NULL GROUP BY 2 UNION ALL SELECT 'kategorie', kategorie "
+    "FROM findings WHERE kategorie IS NOT NULL GROUP BY 2"
+), "targets", "findings")
 def filter_options(spark, d):
     values = lambda df, c: df.select(F.lit(c).alias("field"), F.col(c).alias("value")).where("value is not null").distinct()
     return values(table(spark, d, "targets"), "bundesland").unionByName(values(table(spark, d, "findings"), "kategorie")).orderBy("field", "value")
@@ -68,7 +81,10 @@ def page_count(spark, d):
     return table(spark, d, "findings").where("massnahme is not null").groupBy("kategorie").agg(F.count("*").alias("total"), F.greatest(F.lit(1), F.ceil(F.count("*") / 50)).cast("long").alias("pages"))
 
 
-@query("map_points", "SELECT f.id, ort, lat, lng, geo_level = 'street' AS exact, end_time FROM findings f JOIN targets t ON f.ags = t.ags WHERE lat IS NOT NULL AND lng IS NOT NULL ORDER BY end_time DESC NULLS LAST, f.id LIMIT 500", "findings", "targets")
+@query("map_points", (
+    "SELECT f.id, ort, lat, lng, geo_level = 'street' AS exact, end_time FROM findings f JOIN targets t ON f.ags = t.ags "
+    "WHERE lat IS NOT NULL AND lng IS NOT NULL ORDER BY end_time DESC NULLS LAST, f.id LIMIT 500"
+), "findings", "targets")
 def map_points(spark, d):
     rows = D.with_targets(table(spark, d, "findings").where("lat is not null and lng is not null and not isnan(lat) and not isnan(lng)"), table(spark, d, "targets"), "inner")
     return rows.orderBy(F.col("end_time").desc_nulls_last(), "id").limit(500).select("id", "ort", "lat", "lng", (F.col("geo_level") == "street").alias("exact"), "end_time")
@@ -99,12 +115,20 @@ def forced_union(spark, d):
     return rows.where(F.col("id").isin(5, 10, 99)).select("ags", F.lit(True).alias("forced")).unionByName(rows.where(~F.col("id").isin(5, 10, 99) & F.col("last_scanned").isNull()).select("ags", F.lit(False).alias("forced")))
 
 
-@query("changelog_nested", "SELECT version, release_date, title, CASE WHEN count(changelog_id) > 0 THEN '[' || string_agg('{\"tag\":\"' || type || '\",\"scope\":' || coalesce('\"' || scope || '\"', 'null') || ',\"description\":\"' || message || '\"}', ',' ORDER BY sort_order, type, scope NULLS FIRST, message) || ']' END AS items FROM changelog LEFT JOIN changelog_items ON changelog_id = id GROUP BY id, version, release_date, title", "changelog", "changelog_items")
+@query("changelog_nested", (
+    "SELECT version, release_date, title, CASE WHEN count(changelog_id) > 0 THEN '[' || string_agg('{\"tag\":\"' || type || '\",\"scope\":' || "
+    "coalesce('\"' || scope || '\"', 'null') || ',\"description\":\"' || message || '\"}', ',' "
+    "ORDER BY sort_order, type, scope NULLS FIRST, message) || ']' END AS items FROM changelog LEFT JOIN changelog_items ON changelog_id = id "
+    "GROUP BY id, version, release_date, title"
+), "changelog", "changelog_items")
 def changelog_nested(spark, d):
     return D.changelog(table(spark, d, "changelog"), table(spark, d, "changelog_items")).orderBy(F.desc("release_date"), F.desc("version"))
 
 
-@query("history_top20", "SELECT string_agg(strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' [' || event_type || '] ' || message, chr(10) ORDER BY created_at DESC, id DESC) AS text FROM (SELECT * FROM history ORDER BY created_at DESC, id DESC LIMIT 20)", "history")
+@query("history_top20", (
+    "SELECT string_agg(strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' [' || event_type || '] ' || message, chr(10) "
+    "ORDER BY created_at DESC, id DESC) AS text FROM (SELECT * FROM history ORDER BY created_at DESC, id DESC LIMIT 20)"
+), "history")
 def history_top20(spark, d):
     return T.history_text(table(spark, d, "history"), 20)
 
@@ -114,12 +138,20 @@ def history_retention(spark, d):
     return T.keep_newest(table(spark, d, "history"), 200, F.col("created_at").desc(), F.col("id").desc()).select("id", "created_at", "event_type")
 
 
-@query("status_view", f"SELECT message, max(created_at) AS last_heartbeat, max_by(event_type, (created_at, id)) AS status, cast(trunc((epoch_us(TIMESTAMP '{CUT}') - epoch_us(max(created_at))) / 1e6) AS integer) AS age_seconds, CASE WHEN trunc((epoch_us(TIMESTAMP '{CUT}') - epoch_us(max(created_at))) / 1e6) > 86400 THEN 'inactive' ELSE 'active' END AS effective FROM history GROUP BY 1", "history")
+@query("status_view", (
+    f"SELECT message, max(created_at) AS last_heartbeat, max_by(event_type, (created_at, id)) AS status, cast(trunc((epoch_us(TIMESTAMP '{CUT}') - "
+    f"epoch_us(max(created_at))) / 1e6) AS integer) AS age_seconds, CASE WHEN trunc((epoch_us(TIMESTAMP '{CUT}') - epoch_us(max(created_at))) / 1e6) > "
+    f"86400 THEN 'inactive' ELSE 'active' END AS effective FROM history GROUP BY 1"
+), "history")
 def status_view(spark, d):
     return D.status_view(table(spark, d, "history"), CUT, 86400)
 
 
-@query("geocode_requests", "SELECT f.id, CASE WHEN length(coalesce(adresse, '')) > 5 THEN adresse || ', ' || ort || ', ' || bundesland ELSE ort || ', ' || bundesland || ', Deutschland' END AS request, CASE WHEN length(coalesce(adresse, '')) > 5 THEN 'street' ELSE 'city' END AS level FROM findings f JOIN targets t ON f.ags = t.ags WHERE lat IS NULL AND massnahme IS NOT NULL", "findings", "targets")
+@query("geocode_requests", (
+    "SELECT f.id, CASE WHEN length(coalesce(adresse, '')) > 5 THEN adresse || ', ' || ort || ', ' || bundesland ELSE ort || ', ' || bundesland || ', "
+    "Deutschland' END AS request, CASE WHEN length(coalesce(adresse, '')) > 5 THEN 'street' ELSE 'city' END AS level FROM findings f "
+    "JOIN targets t ON f.ags = t.ags WHERE lat IS NULL AND massnahme IS NOT NULL"
+), "findings", "targets")
 def geocode_requests(spark, d):
     return D.geocode_requests(table(spark, d, "findings"), table(spark, d, "targets"))
 
@@ -138,14 +170,22 @@ def upsert_raw_log(spark, d):
     return T.upsert(base, T.latest_per_key(log.where("run = 2"), ["url"], "run", "crawled_at", "id"), ["url"]).select("url", "id", "run", "crawled_at")
 
 
-@query("insert_if_absent", "SELECT id, ags, massnahme FROM (SELECT *, row_number() OVER (PARTITION BY ags, lower(trim(massnahme)), massnahme_start ORDER BY id) AS r FROM findings f WHERE id % 2 = 1 AND massnahme IS NOT NULL) b WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM findings s WHERE s.id % 2 = 0 AND s.massnahme IS NOT NULL AND s.ags IS NOT DISTINCT FROM b.ags AND lower(trim(s.massnahme)) = lower(trim(b.massnahme)) AND s.massnahme_start IS NOT DISTINCT FROM b.massnahme_start)", "findings")
+@query("insert_if_absent", (
+    "SELECT id, ags, massnahme FROM (SELECT *, row_number() OVER (PARTITION BY ags, lower(trim(massnahme)), massnahme_start ORDER BY id) AS r "
+    "FROM findings f WHERE id % 2 = 1 AND massnahme IS NOT NULL) b WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM findings s "
+    "WHERE s.id % 2 = 0 AND s.massnahme IS NOT NULL AND s.ags IS NOT DISTINCT FROM b.ags AND lower(trim(s.massnahme)) = lower(trim(b.massnahme)) AND "
+    "s.massnahme_start IS NOT DISTINCT FROM b.massnahme_start)"
+), "findings")
 def insert_if_absent(spark, d):
     rows = table(spark, d, "findings").where("massnahme is not null").select("id", "ags", "massnahme", "massnahme_start")
     key = {"a": F.col("ags"), "m": F.lower(F.trim("massnahme")), "s": F.col("massnahme_start")}
     return T.insert_if_absent(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), key, "id").select("id", "ags", "massnahme")
 
 
-@query("error_bookkeeping", "SELECT ags, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'HTTP_500' ELSE crawl_error_code END AS crawl_error_code, CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN coalesce(crawl_error_count, 0) + 1 ELSE crawl_error_count END AS crawl_error_count FROM targets", "targets")
+@query("error_bookkeeping", (
+    "SELECT ags, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'HTTP_500' ELSE crawl_error_code END AS crawl_error_code, CASE WHEN id % 3 = 0 THEN 0 "
+    "WHEN id % 3 = 1 THEN coalesce(crawl_error_count, 0) + 1 ELSE crawl_error_count END AS crawl_error_count FROM targets"
+), "targets")
 def error_bookkeeping(spark, d):
     rows = table(spark, d, "targets")
     outcomes = rows.where("id % 3 < 2").select("ags", (F.col("id") % 3 == 0).alias("ok"), F.lit("HTTP_500").alias("code"))
@@ -164,7 +204,10 @@ def validate_rows(spark, d):
     return good.select("id", F.lit(True).alias("stored")).unionByName(bad.select("id", F.lit(False).alias("stored")))
 
 
-KIND = "CASE WHEN status = 'OK' THEN 'ok' WHEN status IN ('ROBOTS', 'SENSITIVE') THEN 'skipped' WHEN starts_with(status, 'EXTERNAL_REDIRECT') THEN 'redirect' WHEN status = 'DNS_TIMEOUT' THEN 'timeout' WHEN starts_with(status, 'HTTP_') THEN 'http_error' ELSE 'error' END"
+KIND = (
+    "CASE WHEN status = 'OK' THEN 'ok' WHEN status IN ('ROBOTS', 'SENSITIVE') THEN 'skipped' WHEN starts_with(status, 'EXTERNAL_REDIRECT') THEN 'redirect' "
+    "WHEN status = 'DNS_TIMEOUT' THEN 'timeout' WHEN starts_with(status, 'HTTP_') THEN 'http_error' ELSE 'error' END"
+)
 
 
 @query("outcome_class", f"SELECT {KIND} AS kind, count(*) AS n, max(CASE WHEN starts_with(status, 'EXTERNAL_REDIRECT:') THEN 'https://' || substr(status, 19) END) AS target FROM status_log GROUP BY 1", "status_log")
@@ -174,7 +217,11 @@ def outcome_class(spark, d):
     return table(spark, d, "status_log").groupBy(O.outcome().alias("kind")).agg(F.count("*").alias("n"), F.max(redirect_target("status")).alias("target"))
 
 
-@query("dominant_error", "SELECT target, coalesce(max(status) FILTER (r = 1 AND status <> 'OK'), 'UNKNOWN') AS dominant FROM (SELECT target, status, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN status = 'OK' THEN 1 ELSE 0 END, count(*) DESC, min(pos)) AS r FROM status_log GROUP BY target, status) GROUP BY target", "status_log")
+@query("dominant_error", (
+    "SELECT target, coalesce(max(status) FILTER (r = 1 AND status <> 'OK'), 'UNKNOWN') AS dominant "
+    "FROM (SELECT target, status, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN status = 'OK' THEN 1 ELSE 0 END, count(*) DESC, min(pos)) AS r "
+    "FROM status_log GROUP BY target, status) GROUP BY target"
+), "status_log")
 def dominant_error(spark, d):
     return O.dominant_status(table(spark, d, "status_log"))
 
@@ -184,7 +231,10 @@ def error_histogram(spark, d):
     return table(spark, d, "status_log").where("status <> 'OK'").groupBy("status").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status")
 
 
-@query("run_summary", f"SELECT count(*) AS processed, count(*) FILTER (k = 'ok') AS success, count(*) FILTER (k = 'redirect') AS redirects, count(*) FILTER (k IN ('http_error', 'timeout', 'error')) AS errors FROM (SELECT {KIND} AS k FROM status_log)", "status_log")
+@query("run_summary", (
+    f"SELECT count(*) AS processed, count(*) FILTER (k = 'ok') AS success, count(*) FILTER (k = 'redirect') AS redirects, count(*) FILTER (k IN "
+    f"('http_error', 'timeout', 'error')) AS errors FROM (SELECT {KIND} AS k FROM status_log)"
+), "status_log")
 def run_summary(spark, d):
     return O.run_summary(table(spark, d, "status_log"))
 
@@ -204,17 +254,28 @@ def daily_counter(spark, d):
     return O.daily_counter(table(spark, d, "usage"), "ts", "id", "n").select("id", F.col("n").cast("long"))
 
 
-@query("crawl_delay_audit", "SELECT host, count(*) AS visits, count(*) FILTER (gap < 30) AS too_early FROM (SELECT host, cast(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY host ORDER BY ts, pos))) / 1e6) AS bigint) AS gap FROM visits) GROUP BY 1", "visits")
+@query("crawl_delay_audit", (
+    "SELECT host, count(*) AS visits, count(*) FILTER (gap < 30) AS too_early FROM (SELECT host, cast(floor((epoch_us(ts) - epoch_us(lag(ts) OVER "
+    "(PARTITION BY host ORDER BY ts, pos))) / 1e6) AS bigint) AS gap FROM visits) GROUP BY 1"
+), "visits")
 def crawl_delay_audit(spark, d):
     return O.crawl_delay_audit(table(spark, d, "visits"), 30).groupBy("host").agg(F.count("*").alias("visits"), F.count_if("too_early").alias("too_early"))
 
 
-@query("rate_window_audit", "SELECT id, count(*) OVER w AS window_requests, cast(sum(tokens) OVER w AS bigint) AS window_tokens, row_number() OVER (PARTITION BY ort, cast(ts AS date) ORDER BY ts, id) AS day_request, count(*) OVER w > 2 OR sum(tokens) OVER w > 12000 AS over_limit, tokens >= 12000 AS oversize FROM (SELECT *, cast(floor(epoch_us(ts) / 1000000) AS bigint) AS sec FROM usage) WINDOW w AS (PARTITION BY ort ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)", "usage")
+@query("rate_window_audit", (
+    "SELECT id, count(*) OVER w AS window_requests, cast(sum(tokens) OVER w AS bigint) AS window_tokens, row_number() OVER (PARTITION BY ort, cast(ts AS "
+    "date) ORDER BY ts, id) AS day_request, count(*) OVER w > 2 OR sum(tokens) OVER w > 12000 AS over_limit, tokens >= 12000 AS oversize "
+    "FROM (SELECT *, cast(floor(epoch_us(ts) / 1000000) AS bigint) AS sec FROM usage) WINDOW w AS (PARTITION BY ort "
+    "ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)"
+), "usage")
 def rate_window_audit(spark, d):
     return O.rate_windows(table(spark, d, "usage"), 3600, 2, 12_000).select("id", "window_requests", "window_tokens", F.col("day_request").cast("long"), "over_limit", "oversize")
 
 
-@query("cost_by_model", "SELECT ort, modell, round(sum(cost), 6) AS cost, count(*) AS chunks, cast(sum(tokens) AS bigint) AS tokens, round(sum(latency), 2) AS latency, cast(sum(finds) AS bigint) AS finds FROM usage GROUP BY 1, 2", "usage")
+@query("cost_by_model", (
+    "SELECT ort, modell, round(sum(cost), 6) AS cost, count(*) AS chunks, cast(sum(tokens) AS bigint) AS tokens, round(sum(latency), 2) AS latency, "
+    "cast(sum(finds) AS bigint) AS finds FROM usage GROUP BY 1, 2"
+), "usage")
 def cost_by_model(spark, d):
     return table(spark, d, "usage").groupBy("ort", "modell").agg(F.round(F.sum("cost"), 6).alias("cost"), F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.round(F.sum("latency"), 2).alias("latency"), F.sum("finds").alias("finds"))
 
@@ -224,7 +285,12 @@ def event_counts(spark, d):
     return table(spark, d, "history").groupBy(F.window("created_at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
-@query("session_liveness", "SELECT message, count(*) AS sessions, max(n) AS longest FROM (SELECT message, s, count(*) AS n FROM (SELECT message, sum(CASE WHEN gap IS NULL OR gap >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY message ORDER BY created_at, id) AS s FROM (SELECT *, epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY message ORDER BY created_at, id)) AS gap FROM history)) GROUP BY 1, 2) GROUP BY 1", "history")
+@query("session_liveness", (
+    "SELECT message, count(*) AS sessions, max(n) AS longest FROM (SELECT message, s, count(*) AS n "
+    "FROM (SELECT message, sum(CASE WHEN gap IS NULL OR gap >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY message ORDER BY created_at, id) AS s "
+    "FROM (SELECT *, epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY message ORDER BY created_at, id)) AS gap FROM history)) "
+    "GROUP BY 1, 2) GROUP BY 1"
+), "history")
 def session_liveness(spark, d):
     one = table(spark, d, "history").groupBy("message", F.session_window("created_at", "6 hours")).agg(F.count("*").alias("n"))
     return one.groupBy("message").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))

@@ -24,13 +24,19 @@ def query(name: str, sql: str | None = None, *views: str):
     return add
 
 
-@query("answers_parse", "SELECT status, count(*) AS n, cast(sum(items) AS bigint) AS items FROM (SELECT CASE WHEN raw = '' THEN 'empty_response' WHEN raw LIKE 'kein%' THEN 'parse_error' WHEN raw LIKE '%},]}' THEN 'repaired' ELSE 'ok' END AS status, CASE WHEN raw = '' OR raw LIKE 'kein%' THEN 0 WHEN raw LIKE '%funde%' THEN 2 ELSE 1 END AS items FROM answers) GROUP BY 1", "answers")
+@query("answers_parse", (
+    "SELECT status, count(*) AS n, cast(sum(items) AS bigint) AS items FROM (SELECT CASE WHEN raw = '' THEN 'empty_response' WHEN raw LIKE 'kein%' THEN "
+    "'parse_error' WHEN raw LIKE '%},]}' THEN 'repaired' ELSE 'ok' END AS status, CASE WHEN raw = '' OR raw LIKE 'kein%' THEN 0 WHEN raw LIKE '%funde%' "
+    "THEN 2 ELSE 1 END AS items FROM answers) GROUP BY 1"
+), "answers")
 def answers_parse(spark, d):
     return answers.parse_answers(table(spark, d, "answers")).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items"))
 
 
-ITEMS = r"""SELECT id, url, raw, CASE WHEN raw LIKE '%"massnahmen": [{"massnahme"%' THEN regexp_extract(raw, '"massnahme": "([^"]*)"', 1) WHEN raw LIKE '%titel%' THEN regexp_extract(raw, '"titel": "([^"]*)"', 1) WHEN raw LIKE '{"massnahme"%' THEN regexp_extract(raw, '"massnahme": "([^"]*)"', 1) WHEN raw LIKE '%funde%' THEN regexp_extract(raw, '"(Titel[^"]*)"', 1) END AS massnahme, 0 AS pos FROM answers WHERE raw LIKE '%{%' UNION ALL SELECT id, url, raw, 'Zweiter', 1 FROM answers WHERE raw LIKE '%funde%'"""
-FOUND = rf"""SELECT id, url, pos, massnahme, CASE WHEN pos = 0 THEN nullif(regexp_extract(raw, '"(?:kategorie|category)": "([^"]*)"', 1), '') END AS kategorie, nullif(regexp_extract(raw, '"adresse": "([^"]*)"', 1), '') AS adresse, nullif(regexp_extract(raw, '"massnahme_start": "([^"]*)"', 1), '') AS start,
+ITEMS = r"""SELECT id, url, raw,
+ CASE WHEN raw LIKE '%"massnahmen": [{"massnahme"%' THEN regexp_extract(raw, '"massnahme": "([^"]*)"', 1) WHEN raw LIKE '%titel%' THEN regexp_extract(raw, '"titel": "([^"]*)"', 1) WHEN raw LIKE '{"massnahme"%' THEN regexp_extract(raw, '"massnahme": "([^"]*)"', 1) WHEN raw LIKE '%funde%' THEN regexp_extract(raw, '"(Titel[^"]*)"', 1) END AS massnahme, 0 AS pos FROM answers WHERE raw LIKE '%{%' UNION ALL SELECT id, url, raw, 'Zweiter', 1 FROM answers WHERE raw LIKE '%funde%'"""
+FOUND = rf"""SELECT id, url, pos, massnahme,
+ CASE WHEN pos = 0 THEN nullif(regexp_extract(raw, '"(?:kategorie|category)": "([^"]*)"', 1), '') END AS kategorie, nullif(regexp_extract(raw, '"adresse": "([^"]*)"', 1), '') AS adresse, nullif(regexp_extract(raw, '"massnahme_start": "([^"]*)"', 1), '') AS start,
 CASE WHEN raw LIKE '%plan/a.pdf%' THEN url || '/plan/a.pdf' WHEN raw LIKE '%quelle_url%' THEN regexp_extract(raw, '"quelle_url": "([^"]*)"', 1) ELSE url END AS quelle_url FROM ({ITEMS})"""
 
 
@@ -39,13 +45,20 @@ def findings_normalize(spark, d):
     return answers.findings(answers.parse_answers(table(spark, d, "answers"))).select("id", "url", "pos", "massnahme", "kategorie", "adresse", "start", "quelle_url")
 
 
-@query("measure_records", f"SELECT url, pos, CASE kategorie WHEN 'Bauen' THEN 'bauen' WHEN 'Verkehr' THEN 'infrastruktur' ELSE 'verwaltung' END AS kategorie_domain, nullif(trim(regexp_extract(adresse, '([^,]*)$', 1)), '') AS ort, length(coalesce(massnahme, '')) > 0 AS gueltig FROM ({FOUND})", "answers")
+@query("measure_records", (
+    f"SELECT url, pos, CASE kategorie WHEN 'Bauen' THEN 'bauen' WHEN 'Verkehr' THEN 'infrastruktur' ELSE 'verwaltung' END AS kategorie_domain, "
+    f"nullif(trim(regexp_extract(adresse, '([^,]*)$', 1)), '') AS ort, length(coalesce(massnahme, '')) > 0 AS gueltig FROM ({FOUND})"
+), "answers")
 def measure_records(spark, d):
     rows = answers.measure_records(answers.findings(answers.parse_answers(table(spark, d, "answers"))))
     return rows.select("url", "pos", "kategorie_domain", "ort", "gueltig")
 
 
-@query("measures_by_category_place", f"SELECT k AS kategorie, o AS ort, count(*) AS n FROM (SELECT CASE kategorie WHEN 'Bauen' THEN 'bauen' WHEN 'Verkehr' THEN 'infrastruktur' ELSE 'verwaltung' END AS k, coalesce(nullif(trim(regexp_extract(adresse, '([^,]*)$', 1)), ''), '(unbekannt)') AS o FROM ({FOUND})) GROUP BY GROUPING SETS ((k), (o))", "answers")
+@query("measures_by_category_place", (
+    f"SELECT k AS kategorie, o AS ort, count(*) AS n FROM (SELECT CASE kategorie WHEN 'Bauen' THEN 'bauen' WHEN 'Verkehr' THEN 'infrastruktur' ELSE "
+    f"'verwaltung' END AS k, coalesce(nullif(trim(regexp_extract(adresse, '([^,]*)$', 1)), ''), '(unbekannt)') AS o FROM ({FOUND})) "
+    f"GROUP BY GROUPING SETS ((k), (o))"
+), "answers")
 def measures_by_category_place(spark, d):
     rows = answers.measure_records(answers.findings(answers.parse_answers(table(spark, d, "answers"))))
     rows = rows.select(F.col("kategorie_domain").alias("kategorie"), F.coalesce("ort", F.lit("(unbekannt)")).alias("ort"))
@@ -59,7 +72,11 @@ def currency_filter(spark, d):
     return rows.where(F.coalesce(F.col("massnahme_ende").try_cast("date") >= cut, F.lit(True))).select("id")
 
 
-@query("quality_issues", f"SELECT id, array_to_string(list_filter([CASE WHEN length(coalesce(massnahme, '')) < 25 THEN 'short_title' END, CASE WHEN length(coalesce(adresse, '')) < 5 THEN 'generic_address' END, CASE WHEN massnahme_start IS NULL AND massnahme_ende IS NULL THEN 'no_date' END, CASE WHEN massnahme_ende < '{TODAY}' THEN 'expired' END], lambda x: x IS NOT NULL), ',') AS issues FROM findings", "findings")
+@query("quality_issues", (
+    f"SELECT id, array_to_string(list_filter([CASE WHEN length(coalesce(massnahme, '')) < 25 THEN 'short_title' END, CASE WHEN length(coalesce(adresse, "
+    f"'')) < 5 THEN 'generic_address' END, CASE WHEN massnahme_start IS NULL AND massnahme_ende IS NULL THEN 'no_date' END, CASE WHEN massnahme_ende < "
+    f"'{TODAY}' THEN 'expired' END], lambda x: x IS NOT NULL), ',') AS issues FROM findings"
+), "findings")
 def quality_issues(spark, d):
     rows = table(spark, d, "findings")
     longer = F.when(F.length("massnahme") >= 25, F.col("massnahme"))
@@ -67,7 +84,10 @@ def quality_issues(spark, d):
     return rows.select("id", F.array_join(issues, ",").alias("issues"))
 
 
-@query("truth_validity", f"SELECT id, coalesce(length(massnahme) >= 15 AND length(coalesce(adresse, '')) >= 5 AND (massnahme_start IS NOT NULL OR massnahme_ende IS NOT NULL) AND (massnahme_ende IS NULL OR massnahme_ende >= '{TODAY}'), false) AS ok FROM findings", "findings")
+@query("truth_validity", (
+    f"SELECT id, coalesce(length(massnahme) >= 15 AND length(coalesce(adresse, '')) >= 5 AND (massnahme_start IS NOT NULL OR massnahme_ende IS NOT NULL) "
+    f"AND (massnahme_ende IS NULL OR massnahme_ende >= '{TODAY}'), false) AS ok FROM findings"
+), "findings")
 def truth_validity(spark, d):
     rows = table(spark, d, "findings")
     issues = answers.quality_issues(F.col("massnahme"), F.col("adresse"), F.col("massnahme_start"), F.col("massnahme_ende"), F.lit("https://x.de"), TODAY)
@@ -77,14 +97,21 @@ def truth_validity(spark, d):
 WORDS = r"list_filter(list_distinct(regexp_split_to_array(lower({}), '[ \t\n]+')), lambda w: w <> '')"
 
 
-@query("overlap_f1", f"SELECT conv_id, turn, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE round(2.0 * len(list_intersect(p, g)) / (len(p) + len(g)), 4) END AS f1 FROM (SELECT a.conv_id, a.turn, {WORDS.format('a.text')} AS p, {WORDS.format('b.text')} AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)")
+@query("overlap_f1", (
+    f"SELECT conv_id, turn, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE round(2.0 * len(list_intersect(p, g)) "
+    f"/ (len(p) + len(g)), 4) END AS f1 FROM (SELECT a.conv_id, a.turn, {WORDS.format('a.text')} AS p, {WORDS.format('b.text')} AS g FROM conversations a "
+    f"JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+))
 def overlap_f1(spark, d):
     a = table(spark, d, "conversations")
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", text.overlap_f1(F.array("text"), F.array("gold")).alias("f1"))
 
 
-@query("gold_recall", f"SELECT count(*) AS total_relevant, count(h) AS found, round(count(h) / count(*), 4) AS recall FROM (SELECT DISTINCT {COMPARE} AS k FROM gold WHERE relevant) w LEFT JOIN (SELECT DISTINCT {COMPARE} AS h FROM pages JOIN labels ON doc_id = page_id) v ON h = k", "gold")
+@query("gold_recall", (
+    f"SELECT count(*) AS total_relevant, count(h) AS found, round(count(h) / count(*), 4) AS recall FROM (SELECT DISTINCT {COMPARE} AS k FROM gold "
+    f"WHERE relevant) w LEFT JOIN (SELECT DISTINCT {COMPARE} AS h FROM pages JOIN labels ON doc_id = page_id) v ON h = k"
+), "gold")
 def gold_recall(spark, d):
     """Visited are the pages that have a label."""
     visited = table(spark, d, "pages").join(table(spark, d, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
@@ -94,7 +121,12 @@ def gold_recall(spark, d):
 PARENT = f"{HOST} || '/' || array_to_string(list_slice({SEGMENTS}, 1, 1), '/')"
 
 
-@query("gold_rollup", f"WITH g AS (SELECT *, {PARENT} AS parent FROM gold), c AS (SELECT parent, relevant, kategorie, count(*) AS n, min_by(url, (length(url), page_id)) AS shortest FROM g GROUP BY 1, 2, 3) SELECT shortest AS url, relevant, kategorie, 'aggregiert' AS quelle, cast(n AS integer) AS urls FROM c WHERE n >= 3 UNION ALL SELECT g.url, g.relevant, g.kategorie, NULL, 0 FROM g JOIN c ON g.parent = c.parent AND g.relevant = c.relevant AND g.kategorie IS NOT DISTINCT FROM c.kategorie WHERE n < 3")
+@query("gold_rollup", (
+    f"WITH g AS (SELECT *, {PARENT} AS parent FROM gold), c AS (SELECT parent, relevant, kategorie, count(*) AS n, min_by(url, (length(url), page_id)) AS "
+    f"shortest FROM g GROUP BY 1, 2, 3) SELECT shortest AS url, relevant, kategorie, 'aggregiert' AS quelle, cast(n AS integer) AS urls FROM c WHERE n >= 3 "
+    f"UNION ALL SELECT g.url, g.relevant, g.kategorie, NULL, 0 FROM g JOIN c ON g.parent = c.parent AND g.relevant = c.relevant AND g.kategorie IS NOT "
+    f"DISTINCT FROM c.kategorie WHERE n < 3"
+))
 def gold_rollup(spark, d):
     return gold.rollup(table(spark, d, "gold"), 1, 3)
 
@@ -109,16 +141,26 @@ def gold_distribution(spark, d):
     return table(spark, d, "gold").where("relevant and kategorie <> ''").groupBy("kategorie").agg(F.count("*").alias("n"))
 
 
-@query("domain_mismatch", f"SELECT domain, NOT coalesce(bool_or(contains(host, domain) OR contains(domain, host)), false) AS mismatch FROM (SELECT unnest(['example.com', 'example.org', 'muster.de']) AS domain) LEFT JOIN (SELECT DISTINCT {HOST} AS host FROM pages) ON true GROUP BY 1")
+@query("domain_mismatch", (
+    f"SELECT domain, NOT coalesce(bool_or(contains(host, domain) OR contains(domain, host)), false) AS mismatch "
+    f"FROM (SELECT unnest(['example.com', 'example.org', 'muster.de']) AS domain) LEFT JOIN (SELECT DISTINCT {HOST} AS host FROM pages) ON true GROUP BY 1"
+))
 def domain_mismatch(spark, d):
     domains = spark.createDataFrame([("example.com",), ("example.org",), ("muster.de",)], "domain string")
     return gold.domain_mismatch(domains, table(spark, d, "pages").select(urls.authority("url").alias("host")))
 
 
-RATES = "SELECT scenario, coalesce(avg(CASE WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (mode = 'focused'), 0) AS hf, coalesce(avg(CASE WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (mode = 'bfs'), 0) AS hb, coalesce(avg(score) FILTER (mode = 'focused'), 0) AS sf, coalesce(avg(score) FILTER (mode = 'bfs'), 0) AS sb FROM runs GROUP BY 1"
+RATES = (
+    "SELECT scenario, coalesce(avg(CASE WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (mode = 'focused'), 0) AS hf, coalesce(avg(CASE WHEN is_relevant "
+    "THEN 1.0 ELSE 0.0 END) FILTER (mode = 'bfs'), 0) AS hb, coalesce(avg(score) FILTER (mode = 'focused'), 0) AS sf, coalesce(avg(score) FILTER (mode = "
+    "'bfs'), 0) AS sb FROM runs GROUP BY 1"
+)
 
 
-@query("baseline_compare", f"SELECT scenario, round(hf, 4) AS hr_focused, round(hb, 4) AS hr_bfs, round(hf - hb, 4) AS delta_hr, round(sf - sb, 4) AS delta_score, round(CASE WHEN hb > 0 THEN (hf - hb) / hb * 100 ELSE 0 END, 2) AS improvement, CASE WHEN hf > hb THEN 'focused' ELSE 'bfs' END AS winner FROM ({RATES})", "runs")
+@query("baseline_compare", (
+    f"SELECT scenario, round(hf, 4) AS hr_focused, round(hb, 4) AS hr_bfs, round(hf - hb, 4) AS delta_hr, round(sf - sb, 4) AS delta_score, round(CASE WHEN "
+    f"hb > 0 THEN (hf - hb) / hb * 100 ELSE 0 END, 2) AS improvement, CASE WHEN hf > hb THEN 'focused' ELSE 'bfs' END AS winner FROM ({RATES})"
+), "runs")
 def baseline_compare(spark, d):
     return gold.compare_runs(table(spark, d, "runs"))
 
@@ -128,7 +170,11 @@ def comparison_table(spark, d):
     return gold.comparison_table(gold.compare_runs(table(spark, d, "runs")))
 
 
-@query("harvest_at_k", "SELECT scenario, round(coalesce(avg(CASE WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (place <= 10), 0), 4) AS hr_at_10, round(coalesce(avg(CASE WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (place <= 50), 0), 4) AS hr_at_50 FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, doc_id) AS place FROM runs) GROUP BY 1", "runs")
+@query("harvest_at_k", (
+    "SELECT scenario, round(coalesce(avg(CASE WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (place <= 10), 0), 4) AS hr_at_10, round(coalesce(avg(CASE "
+    "WHEN is_relevant THEN 1.0 ELSE 0.0 END) FILTER (place <= 50), 0), 4) AS hr_at_50 FROM (SELECT *, row_number() OVER (PARTITION BY scenario "
+    "ORDER BY score DESC, doc_id) AS place FROM runs) GROUP BY 1"
+), "runs")
 def harvest_at_k(spark, d):
     from grainfield.operators.tables import window_rank
 
@@ -153,7 +199,10 @@ def idf(spark, d):
     return bayes.idf(keyword_table(spark)).join(uses, "term", "left").select("term", "df", F.round("idf", 6).alias("idf"), F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
-@query("tfidf_cosine", f"SELECT doc_id, category, round(sum(w / norm * cw), 4) AS cosine FROM (SELECT doc_id, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS norm FROM ({TOKENS}) JOIN ({IDF_SQL}) USING (term)) JOIN ({CATVEC}) USING (term) GROUP BY 1, 2")
+@query("tfidf_cosine", (
+    f"SELECT doc_id, category, round(sum(w / norm * cw), 4) AS cosine FROM (SELECT doc_id, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER "
+    f"(PARTITION BY doc_id)) AS norm FROM ({TOKENS}) JOIN ({IDF_SQL}) USING (term)) JOIN ({CATVEC}) USING (term) GROUP BY 1, 2"
+))
 def tfidf_cosine(spark, d):
     weights = bayes.idf(keyword_table(spark))
     vectors = bayes.unit_vectors(bayes.term_counts(table(spark, d, "documents"), "doc_id", "text", weights), "doc_id", weights)
@@ -168,7 +217,12 @@ def _nb(spark, d):
     return docs, counts, bayes.train(counts, labels, "doc_id")
 
 
-NB = f"WITH tc AS ({TOKENS}), lab AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'relevant' ELSE 'irrelevant' END AS class FROM labels), pairs AS (SELECT class, term, sum(tf) AS n FROM tc JOIN lab USING (doc_id) GROUP BY 1, 2), size AS (SELECT class, sum(n) AS words, (SELECT count(DISTINCT term) FROM pairs) AS v FROM pairs GROUP BY 1), prior AS (SELECT class, count(*) / (SELECT count(*) FROM lab) AS prior FROM lab GROUP BY 1)"
+NB = (
+    f"WITH tc AS ({TOKENS}), lab AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'relevant' ELSE 'irrelevant' END AS class "
+    f"FROM labels), pairs AS (SELECT class, term, sum(tf) AS n FROM tc JOIN lab USING (doc_id) "
+    f"GROUP BY 1, 2), size AS (SELECT class, sum(n) AS words, (SELECT count(DISTINCT term) FROM pairs) AS v FROM pairs "
+    f"GROUP BY 1), prior AS (SELECT class, count(*) / (SELECT count(*) FROM lab) AS prior FROM lab GROUP BY 1)"
+)
 
 
 @query("nb_train", NB + " SELECT class, term, round((n + 1) / (words + v), 9) AS p FROM pairs JOIN size USING (class)")
@@ -176,18 +230,30 @@ def nb_train(spark, d):
     return _nb(spark, d)[2][1].select("class", "term", F.round("p", 9).alias("p"))
 
 
-@query("nb_classify", NB + ", lp AS (SELECT doc_id, class, ln(prior) + coalesce(s, 0) AS lp FROM (SELECT doc_id, class, prior FROM documents CROSS JOIN prior) LEFT JOIN (SELECT doc_id, z.class, sum(tf * ln((coalesce(n, 0) + 1) / (words + v))) AS s FROM tc SEMI JOIN pairs q USING (term) CROSS JOIN size z LEFT JOIN pairs p ON p.term = tc.term AND p.class = z.class GROUP BY 1, 2) USING (doc_id, class)) SELECT doc_id, max_by(class, lp) AS class, round(1 / (1 + exp(min(lp) - max(lp))), 4) AS posterior FROM lp GROUP BY 1")
+@query("nb_classify", NB + (
+    ", lp AS (SELECT doc_id, class, ln(prior) + coalesce(s, 0) AS lp FROM (SELECT doc_id, class, prior FROM documents CROSS JOIN prior) LEFT "
+    "JOIN (SELECT doc_id, z.class, sum(tf * ln((coalesce(n, 0) + 1) / (words + v))) AS s FROM tc SEMI JOIN pairs q USING (term) CROSS JOIN size z LEFT "
+    "JOIN pairs p ON p.term = tc.term AND p.class = z.class GROUP BY 1, 2) USING (doc_id, class)) "
+    "SELECT doc_id, max_by(class, lp) AS class, round(1 / (1 + exp(min(lp) - max(lp))), 4) AS posterior FROM lp GROUP BY 1"
+))
 def nb_classify(spark, d):
     docs, counts, (priors, terms) = _nb(spark, d)
     return bayes.classify(counts, docs, priors, terms, "doc_id").select("doc_id", "class", F.round("posterior", 4).alias("posterior"))
 
 
-@query("chunk_overlap", "SELECT doc_id, cast(start AS integer) AS start, substr(text, start + 1, 1000) AS body, CASE WHEN start > 0 THEN substr(text, start - 100 + 1, 100) END AS prefix FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) AS start FROM documents)")
+@query("chunk_overlap", (
+    "SELECT doc_id, cast(start AS integer) AS start, substr(text, start + 1, 1000) AS body, CASE WHEN start > 0 THEN substr(text, start - 100 + 1, 100) "
+    "END AS prefix FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) AS start FROM documents)"
+))
 def chunk_overlap(spark, d):
     return table(spark, d, "documents").select("doc_id", F.inline(text.chunks("text", 1000, 100)))
 
 
-@query("rolling_context", "SELECT target, grp, array_to_string(list_slice(a, greatest(len(a) - 4, 1), len(a)), '#') AS context FROM (SELECT target, grp, coalesce(list(txt) OVER (PARTITION BY target ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS a FROM chunk_finds)", "chunk_finds")
+@query("rolling_context", (
+    "SELECT target, grp, array_to_string(list_slice(a, greatest(len(a) - 4, 1), len(a)), '#') AS context "
+    "FROM (SELECT target, grp, coalesce(list(txt) OVER (PARTITION BY target ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS a "
+    "FROM chunk_finds)"
+), "chunk_finds")
 def rolling_context(spark, d):
     return corpus.rolling_context(table(spark, d, "chunk_finds")).select("target", "grp", F.array_join("context", "#").alias("context"))
 
@@ -219,7 +285,12 @@ OUTPUT = "'{\"massnahmen\":[' || string_agg('{' || " + " || ',' || ".join(f"'\"{
 LINES = "concat_ws(chr(10), " + ", ".join(f"'{label}' || nullif({c}, '')" for c, label in corpus.LABELS.items()) + ")"
 
 
-@query("training_pairs", f"SELECT p.url, sha256(substr(coalesce(nullif(t.text, ''), 'Offizielle Website von ' || p.url || chr(10) || chr(10) || made), 1, 8000)) AS input_sha256, output, n FROM (SELECT url, string_agg({LINES}, chr(10) || chr(10) ORDER BY id, pos) AS made, {OUTPUT} AS output, count(*) AS n FROM ({ENDED}) GROUP BY 1) p LEFT JOIN (SELECT 'https://www.ort' || cast(page_id AS string) || '.de' AS url, html AS text FROM pages) t ON t.url = p.url", "answers")
+@query("training_pairs", (
+    f"SELECT p.url, sha256(substr(coalesce(nullif(t.text, ''), 'Offizielle Website von ' || p.url || chr(10) || chr(10) || made), 1, 8000)) AS "
+    f"input_sha256, output, n FROM (SELECT url, string_agg({LINES}, chr(10) || chr(10) ORDER BY id, pos) AS made, {OUTPUT} AS output, count(*) AS n "
+    f"FROM ({ENDED}) GROUP BY 1) p LEFT JOIN (SELECT 'https://www.ort' || cast(page_id AS string) || '.de' AS url, html AS text "
+    f"FROM pages) t ON t.url = p.url"
+), "answers")
 def training_pairs(spark, d):
     """The stored text of a place is the page of its number; other places get a text made from the findings."""
     rows = answers.findings(answers.parse_answers(table(spark, d, "answers")))
@@ -248,7 +319,10 @@ def _edges(spark, d):
 EDGES = "SELECT DISTINCT -l_suppkey AS src, o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT DISTINCT o_custkey, -l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
-@query("bfs_levels", f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN e ON src = node WHERE level < 12) SELECT node, min(level) AS level FROM r GROUP BY 1")
+@query("bfs_levels", (
+    f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN e ON src = node "
+    f"WHERE level < 12) SELECT node, min(level) AS level FROM r GROUP BY 1"
+))
 def bfs_levels(spark, d):
     return frontier.reach(_edges(spark, d), spark.createDataFrame([(1,)], "node long"))
 
@@ -256,7 +330,11 @@ def bfs_levels(spark, d):
 LINK_SQL = "SELECT event_id AS pos, user_id % 20 AS target, 'https://s.de/' || cast(event_id % 97 as string) || '/' AS url, round(coalesce(value, 0), 4) AS cpe_score FROM events"
 
 
-@query("frontier_round", f"SELECT target, pos, url, cpe_score, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY cpe_score DESC, pos) AS place FROM (SELECT *, row_number() OVER (PARTITION BY target, url ORDER BY cpe_score DESC, pos) AS r FROM ({LINK_SQL}) WHERE pos % 97 >= 10) WHERE r = 1) WHERE place <= 30")
+@query("frontier_round", (
+    f"SELECT target, pos, url, cpe_score, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY target "
+    f"ORDER BY cpe_score DESC, pos) AS place FROM (SELECT *, row_number() OVER (PARTITION BY target, url ORDER BY cpe_score DESC, pos) AS r "
+    f"FROM ({LINK_SQL}) WHERE pos % 97 >= 10) WHERE r = 1) WHERE place <= 30"
+))
 def frontier_round(spark, d):
     e = table(spark, d, "events")
     links = e.select(F.col("event_id").alias("pos"), (F.col("user_id") % 20).alias("target"), F.concat(F.lit("https://s.de/"), (F.col("event_id") % 97).cast("string"), F.lit("/")).alias("url"), F.round(F.coalesce("value", F.lit(0.0)), 4).alias("cpe_score"))

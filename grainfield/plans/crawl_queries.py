@@ -54,14 +54,20 @@ def upsert_regions(spark, d):
     return T.upsert(rows, rows.where("region = 'AFRICA'").withColumn("region", F.lit("SUED")), ["bundesland"])
 
 
-@query("update_hashes", "SELECT ags, CASE WHEN id % 3 = 0 THEN md5(url) ELSE md5(ort) END AS content_hash, CASE WHEN id % 3 = 0 THEN TIMESTAMP '1999-01-01 00:00:00' ELSE last_scanned END AS last_scanned FROM targets", "targets")
+@query("update_hashes", (
+    "SELECT ags, CASE WHEN id % 3 = 0 THEN md5(url) ELSE md5(ort) END AS content_hash, CASE WHEN id % 3 = 0 THEN TIMESTAMP '1999-01-01 00:00:00' ELSE "
+    "last_scanned END AS last_scanned FROM targets"
+), "targets")
 def update_hashes(spark, d):
     rows = table(spark, d, "targets").withColumn("content_hash", F.md5("ort"))
     new = rows.where("id % 3 = 0").select("ags", F.md5("url").alias("content_hash"), F.lit("1999-01-01 00:00:00").cast(rows.schema["last_scanned"].dataType).alias("last_scanned"))
     return T.apply_updates(rows.select("ags", "content_hash", "last_scanned"), new, "ags")
 
 
-@query("lookup_found", "SELECT asked, t.id IS NOT NULL AS found, ort, massnahme FROM (SELECT 42 AS asked UNION ALL SELECT -1) LEFT JOIN targets t ON t.id = asked LEFT JOIN (SELECT id, massnahme FROM findings) f ON f.id = asked", "targets", "findings")
+@query("lookup_found", (
+    "SELECT asked, t.id IS NOT NULL AS found, ort, massnahme FROM (SELECT 42 AS asked UNION ALL SELECT -1) LEFT JOIN targets t ON t.id = asked LEFT "
+    "JOIN (SELECT id, massnahme FROM findings) f ON f.id = asked"
+), "targets", "findings")
 def lookup_found(spark, d):
     rows = [T.by_key(table(spark, d, "targets"), "id", v).select("asked", "found", "ort") for v in (42, -1)]
     finds = [T.by_key(table(spark, d, "findings"), "id", v).select("asked", "massnahme") for v in (42, -1)]
@@ -73,7 +79,10 @@ def forced_targets(spark, d):
     return T.forced(table(spark, d, "targets"), "id", [5, 10, 99], [1, 2, 3, 5]).select("ags", "forced")
 
 
-@query("fetch_filter", f"SELECT page_id, regexp_matches(lower(target), 'impressum|datenschutz|kontakt|sitemap|login|\\.jpg|\\.png|\\.gif|\\.svg|\\.webp') AS ignored, starts_with({PATH}, '/en/') AS in_scope FROM fetches WHERE status = 200", "fetches")
+@query("fetch_filter", (
+    f"SELECT page_id, regexp_matches(lower(target), 'impressum|datenschutz|kontakt|sitemap|login|\\.jpg|\\.png|\\.gif|\\.svg|\\.webp') AS ignored, "
+    f"starts_with({PATH}, '/en/') AS in_scope FROM fetches WHERE status = 200"
+), "fetches")
 def fetch_filter(spark, d):
     """P13, P15, P18."""
     rows = table(spark, d, "fetches").where("status = 200")
@@ -85,7 +94,10 @@ def two_gates(spark, d):
     return table(spark, d, "run_pages").select("doc_id", relevance.relevance_label("is_relevant").alias("label"), relevance.two_gates(F.col("is_relevant"), F.col("confirmed")).alias("stored"))
 
 
-@query("page_budget", "SELECT scenario, mode, doc_id, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY scenario, mode ORDER BY doc_id) AS place FROM run_pages) WHERE place <= 20", "run_pages")
+@query("page_budget", (
+    "SELECT scenario, mode, doc_id, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY scenario, mode "
+    "ORDER BY doc_id) AS place FROM run_pages) WHERE place <= 20"
+), "run_pages")
 def page_budget(spark, d):
     rows = table(spark, d, "run_pages").withColumn("run", F.struct("scenario", "mode"))
     return operations.within_budget(rows, "run", 20, "doc_id").select("scenario", "mode", "doc_id", "place")
@@ -107,14 +119,20 @@ YEAR = "coalesce(TRY_CAST(nullif(regexp_extract(string_split(url, '/')[-1], '(20
 FIRST = "regexp_matches(lower(string_split(url, '/')[-1]), '" + "|".join(urls.PRIORITY_WORDS) + "')"
 
 
-@query("document_order", f"SELECT target, url, pos, cast(row_number() OVER (PARTITION BY target ORDER BY CASE WHEN {FIRST} THEN 0 ELSE 1 END, CASE WHEN {FIRST} THEN 0 ELSE -{YEAR} END, pos) AS integer) AS rank FROM plan_files WHERE coalesce(TRY_CAST(substr(created, 3, 4) AS INTEGER) >= 2000, true)", "plan_files")
+@query("document_order", (
+    f"SELECT target, url, pos, cast(row_number() OVER (PARTITION BY target ORDER BY CASE WHEN {FIRST} THEN 0 ELSE 1 END, CASE WHEN {FIRST} THEN 0 ELSE "
+    f"-{YEAR} END, pos) AS integer) AS rank FROM plan_files WHERE coalesce(TRY_CAST(substr(created, 3, 4) AS INTEGER) >= 2000, true)"
+), "plan_files")
 def document_order(spark, d):
     """F16, F17, O10, P29, U6."""
     rows = table(spark, d, "plan_files").where(urls.is_recent_document("created", 2000))
     return T.window_rank(rows, ["target"], *urls.document_order("url", "pos")).select("target", "url", "pos", "rank")
 
 
-ANCHORS = f"SELECT page_id, {SITE} || h AS url FROM (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS h FROM plan_pages) WHERE starts_with(h, '/') AND NOT regexp_matches(lower(h), '\\.({'|'.join(urls.SKIP_ENDINGS)})$')"
+ANCHORS = (
+    f"SELECT page_id, {SITE} || h AS url FROM (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS h "
+    f"FROM plan_pages) WHERE starts_with(h, '/') AND NOT regexp_matches(lower(h), '\\.({'|'.join(urls.SKIP_ENDINGS)})$')"
+)
 PATTERN = f"SELECT DISTINCT page_id, url FROM (SELECT page_id, {HOST} AS host, unnest(regexp_extract_all(html, 'https?://[^\\s\"<>]+\\.[pP][dD][fF]')) AS url FROM plan_pages) WHERE {HOST} = host"
 
 
@@ -123,7 +141,10 @@ def pdf_links(spark, d):
     return html.document_links(table(spark, d, "plan_pages")).select("page_id", "url")
 
 
-@query("all_links", f"SELECT page_id, url, CASE WHEN bool_or(a) THEN 'anchor' ELSE 'pattern' END AS source FROM (SELECT page_id, url, true AS a FROM ({ANCHORS}) UNION ALL SELECT page_id, url, false FROM ({PATTERN})) GROUP BY 1, 2", "plan_pages")
+@query("all_links", (
+    f"SELECT page_id, url, CASE WHEN bool_or(a) THEN 'anchor' ELSE 'pattern' END AS source FROM (SELECT page_id, url, true AS a FROM ({ANCHORS}) UNION ALL "
+    f"SELECT page_id, url, false FROM ({PATTERN})) GROUP BY 1, 2"
+), "plan_pages")
 def all_links(spark, d):
     pages = table(spark, d, "plan_pages")
     return html.all_links(html.parse_pages(pages), pages).select("page_id", "url", "source")
@@ -135,7 +156,10 @@ def pattern_only_links(spark, d):
     return html.pattern_only(html.all_links(html.parse_pages(pages), pages))
 
 
-@query("harvest_counts", f"SELECT host, count(*) AS pages, count(*) FILTER (page_id % 2 = 0) AS unchanged, count(*) - count(DISTINCT h) AS duplicates FROM (SELECT page_id, {HOST} AS host, sha256(html) AS h FROM pages) GROUP BY 1")
+@query("harvest_counts", (
+    f"SELECT host, count(*) AS pages, count(*) FILTER (page_id % 2 = 0) AS unchanged, count(*) - count(DISTINCT h) AS duplicates "
+    f"FROM (SELECT page_id, {HOST} AS host, sha256(html) AS h FROM pages) GROUP BY 1"
+))
 def harvest_counts(spark, d):
     rows = table(spark, d, "pages").select(urls.authority("url").alias("host"), F.col("page_id").alias("url_key"), F.sha2("html", 256).alias("hash"))
     stored = rows.withColumn("hash", F.when(F.col("url_key") % 2 == 0, F.col("hash")).otherwise("x"))
@@ -158,13 +182,22 @@ DAY = "CASE WHEN len(string_split({0}, '-')) = 3 THEN string_split({0}, '-')[3]
 FROM, TO = DAY.format("massnahme_start"), DAY.format("massnahme_ende")
 
 
-@query("display_columns", f"SELECT id, coalesce(strftime(end_time, '%d.%m.%Y %H:%M'), '-') AS shown, strftime(end_time, '%Y-%m-%dT%H:%M:%S') AS iso, CASE WHEN massnahme_start IS NOT NULL AND massnahme_ende IS NOT NULL THEN massnahme_start || ' – ' || massnahme_ende ELSE coalesce(massnahme_start, massnahme_ende, '-') END AS span, CASE WHEN massnahme_start IS NOT NULL OR massnahme_ende IS NOT NULL THEN coalesce({FROM}, '?') || ' – ' || coalesce({TO}, '?') END AS map_span FROM findings", "findings")
+@query("display_columns", (
+    f"SELECT id, coalesce(strftime(end_time, '%d.%m.%Y %H:%M'), '-') AS shown, strftime(end_time, '%Y-%m-%dT%H:%M:%S') AS iso, CASE WHEN massnahme_start IS "
+    f"NOT NULL AND massnahme_ende IS NOT NULL THEN massnahme_start || ' – ' || massnahme_ende ELSE coalesce(massnahme_start, massnahme_ende, '-') END AS "
+    f"span, CASE WHEN massnahme_start IS NOT NULL OR massnahme_ende IS NOT NULL THEN coalesce({FROM}, '?') || ' – ' || coalesce({TO}, '?') END AS map_span "
+    f"FROM findings"
+), "findings")
 def display_columns(spark, d):
     start, end = F.col("massnahme_start"), F.col("massnahme_ende")
     return table(spark, d, "findings").select("id", text.display_time(F.col("end_time")).alias("shown"), text.iso_time(F.col("end_time")).alias("iso"), text.date_range_text(start, end).alias("span"), text.map_range_text(start, end).alias("map_span"))
 
 
-@query("text_limits", "SELECT doc_id, cast(length(text) // 4 AS bigint) AS tokens, sha256(substr(text, 1, 500)) AS head, array_to_string(list_slice(list_sort(list_filter(['and', 'der', 'que', 'tion', 'zz'], lambda k: contains(lower(text), k))), 1, 3), ',') AS hits FROM documents")
+@query("text_limits", (
+    "SELECT doc_id, cast(length(text) // 4 AS bigint) AS tokens, sha256(substr(text, 1, 500)) AS head, "
+    "array_to_string(list_slice(list_sort(list_filter(['and', 'der', 'que', 'tion', 'zz'], lambda k: contains(lower(text), k))), 1, 3), ',') AS hits "
+    "FROM documents"
+))
 def text_limits(spark, d):
     hits = text.substring_hits(F.col("text"), ["and", "der", "que", "tion", "zz"], 3)
     return table(spark, d, "documents").select("doc_id", text.token_estimate("text").alias("tokens"), F.sha2(text.sanitize_text("text", 500), 256).alias("head"), F.array_join(hits, ",").alias("hits"))
@@ -180,7 +213,11 @@ def slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", text.slugify(F.substring("text", 1, 80)).alias("slug"))
 
 
-@query("instruction_texts", "SELECT doc_id, sha256('<start_of_turn>user' || chr(10) || 'Kategorien: bauen, verwaltung. Stichtag 1999-06-01; nichts, was mehr als drei Jahre vorher endete. Basis: ' || 'https://' || source || '.de' || chr(10) || '---' || chr(10) || substr(text, 1, 12000) || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) || '{}' || '<end_of_turn>') AS chat_sha256 FROM documents")
+@query("instruction_texts", (
+    "SELECT doc_id, sha256('<start_of_turn>user' || chr(10) || 'Kategorien: bauen, verwaltung. Stichtag 1999-06-01; nichts, was mehr als drei Jahre vorher "
+    "endete. Basis: ' || 'https://' || source || '.de' || chr(10) || '---' || chr(10) || substr(text, 1, 12000) || '<end_of_turn>' || chr(10) || "
+    "'<start_of_turn>model' || chr(10) || '{}' || '<end_of_turn>') AS chat_sha256 FROM documents"
+))
 def instruction_texts(spark, d):
     """F46, F47, F56."""
     base = F.concat(F.lit("https://"), "source", F.lit(".de"))
@@ -188,7 +225,10 @@ def instruction_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(corpus.chat_text(asked, F.lit(""), F.lit("{}")), 256).alias("chat_sha256"))
 
 
-@query("seed_select", "SELECT ags, override FROM (SELECT ags, true AS override, 0 AS r FROM targets WHERE id IN (3, 4) UNION ALL SELECT ags, false, row_number() OVER (ORDER BY md5('42#' || ags), ags) FROM targets WHERE id NOT IN (3, 4)) WHERE r <= 98", "targets")
+@query("seed_select", (
+    "SELECT ags, override FROM (SELECT ags, true AS override, 0 AS r FROM targets WHERE id IN (3, 4) UNION ALL "
+    "SELECT ags, false, row_number() OVER (ORDER BY md5('42#' || ags), ags) FROM targets WHERE id NOT IN (3, 4)) WHERE r <= 98"
+), "targets")
 def seed_select(spark, d):
     rows = table(spark, d, "targets")
     return corpus.seed_select(rows, rows.where("id in (3, 4)").select("ags"), "ags", 100, 42)
@@ -199,7 +239,10 @@ def train_eval_split(spark, d):
     return corpus.train_eval_split(table(spark, d, "documents"), "doc_id", 0.1, 42).select("doc_id", "part")
 
 
-@query("robots_filter", f"SELECT page_id, url, NOT (starts_with({PATH}, '/en/') AND NOT starts_with({PATH}, '/en/1')) AND NOT starts_with({PATH}, '/de/') AS allowed, cast(greatest(2.0, 5.0) AS double) AS delay, starts_with({PATH}, '/fr/') AS other_allowed FROM pages")
+@query("robots_filter", (
+    f"SELECT page_id, url, NOT (starts_with({PATH}, '/en/') AND NOT starts_with({PATH}, '/en/1')) AND NOT starts_with({PATH}, '/de/') AS allowed, "
+    f"cast(greatest(2.0, 5.0) AS double) AS delay, starts_with({PATH}, '/fr/') AS other_allowed FROM pages"
+))
 def robots_filter(spark, d):
     """Three agents share a group, another one has its own."""
     pages = table(spark, d, "pages")

@@ -24,11 +24,16 @@ def query(name: str, sql: str | None = None, *views: str):
     return add
 
 
-REPORT = """SELECT scenario, mode, count(*) AS total_crawled, count(*) FILTER (is_relevant) AS total_relevant, count(*) FILTER (is_relevant) / count(*) AS hr0, round(count(*) FILTER (is_relevant) / count(*), 4) AS harvest_rate, round(1 - count(*) FILTER (is_relevant) / count(*), 4) AS irrelevance_ratio, round(avg(score), 4) AS avg_relevance_score,
+REPORT = """SELECT scenario, mode, count(*) AS total_crawled, count(*) FILTER (is_relevant) AS total_relevant, count(*) FILTER (is_relevant) / count(*) AS hr0,
+ round(count(*) FILTER (is_relevant) / count(*), 4) AS harvest_rate,
+ round(1 - count(*) FILTER (is_relevant) / count(*), 4) AS irrelevance_ratio,
+ round(avg(score), 4) AS avg_relevance_score,
 least(1.0, count(*) FILTER (is_relevant) / 40.0) AS re0 FROM run_pages GROUP BY 1, 2"""
 REPORT = f"SELECT *, round(re0, 4) AS recall, round(CASE WHEN hr0 + re0 = 0 THEN 0.0 ELSE 2 * hr0 * re0 / (hr0 + re0) END, 4) AS f1_score FROM ({REPORT})"
 WANTED = f"SELECT DISTINCT scenario, {COMPARE} AS key FROM run_pages JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id) WHERE scenario <> 'src1'"
-BLOCKS = f"""SELECT r.*, t.total IS NOT NULL AS gold_available, round(coalesce(coalesce(found, 0) / t.total, 0), 4) AS gold_recall, coalesce(t.total, 0) AS gold_total FROM ({REPORT}) r LEFT JOIN (SELECT scenario, count(*) AS total FROM ({WANTED}) GROUP BY 1) t ON t.scenario = r.scenario
+BLOCKS = f"""SELECT r.*, t.total IS NOT NULL AS gold_available,
+ round(coalesce(coalesce(found, 0) / t.total, 0), 4) AS gold_recall, coalesce(t.total, 0) AS gold_total FROM ({REPORT}) r
+ LEFT JOIN (SELECT scenario, count(*) AS total FROM ({WANTED}) GROUP BY 1) t ON t.scenario = r.scenario
 LEFT JOIN (SELECT scenario, mode, count(*) AS found FROM (SELECT DISTINCT scenario, mode, {COMPARE} AS key FROM run_pages) JOIN ({WANTED}) USING (scenario, key) GROUP BY 1, 2) h ON h.scenario = r.scenario AND h.mode = r.mode"""
 BLOCKS = f"SELECT *, CASE WHEN gold_available AND harvest_rate + gold_recall > 0 THEN round(2 * harvest_rate * gold_recall / (harvest_rate + gold_recall), 4) ELSE 0.0 END AS gold_f1 FROM ({BLOCKS})"
 
@@ -49,8 +54,10 @@ def gold_blocks(spark, d):
 @query(
     "compare_reports",
     f"""SELECT scenario, round(f.harvest_rate - b.harvest_rate, 4) AS harvest_rate_delta, CASE WHEN b.harvest_rate > 0 THEN round((f.harvest_rate - b.harvest_rate) / b.harvest_rate * 100, 2) ELSE 0.0 END AS improvement,
-round(CASE WHEN f.gold_available AND b.gold_available THEN f.gold_recall - b.gold_recall ELSE f.recall - b.recall END, 4) AS recall_delta, round(CASE WHEN f.gold_available AND b.gold_available THEN f.gold_f1 - b.gold_f1 ELSE f.f1_score - b.f1_score END, 4) AS f1_delta,
-CASE WHEN f.gold_available AND b.gold_available THEN 'goldstandard' ELSE 'reference_corpus_size_approx' END AS recall_source, round(f.avg_relevance_score - b.avg_relevance_score, 4) AS score_delta, f.harvest_rate > b.harvest_rate AS focused_wins
+round(CASE WHEN f.gold_available AND b.gold_available THEN f.gold_recall - b.gold_recall ELSE f.recall - b.recall END, 4) AS recall_delta,
+ round(CASE WHEN f.gold_available AND b.gold_available THEN f.gold_f1 - b.gold_f1 ELSE f.f1_score - b.f1_score END, 4) AS f1_delta,
+CASE WHEN f.gold_available AND b.gold_available THEN 'goldstandard' ELSE 'reference_corpus_size_approx' END AS recall_source,
+ round(f.avg_relevance_score - b.avg_relevance_score, 4) AS score_delta, f.harvest_rate > b.harvest_rate AS focused_wins
 FROM (SELECT * FROM ({BLOCKS}) WHERE mode = 'focused') f JOIN (SELECT * FROM ({BLOCKS}) WHERE mode = 'bfs') b USING (scenario)""",
     "run_pages",
 )
@@ -61,7 +68,10 @@ def compare_reports(spark, d):
 METRICS = [("Harvest Rate", "harvest_rate", "round(f.harvest_rate - b.harvest_rate, 4)"), ("Irrelevance Ratio", "irrelevance_ratio", "-round(f.harvest_rate - b.harvest_rate, 4)"), ("Avg Score", "avg_relevance_score", "round(f.avg_relevance_score - b.avg_relevance_score, 4)"), ("Total Crawled", "total_crawled", "0.0"), ("Total Relevant", "total_relevant", "0.0"), ("F1-Score", "f1_score", "0.0")]
 
 
-@query("metric_table", " UNION ALL ".join(f"SELECT scenario, '{n}' AS metrik, cast(f.{c} AS double) AS focused, cast(b.{c} AS double) AS bfs, cast({delta} AS double) AS delta FROM (SELECT * FROM ({REPORT}) WHERE mode = 'focused') f JOIN (SELECT * FROM ({REPORT}) WHERE mode = 'bfs') b USING (scenario)" for n, c, delta in METRICS), "run_pages")
+@query("metric_table", " UNION ALL ".join((
+    f"SELECT scenario, '{n}' AS metrik, cast(f.{c} AS double) AS focused, cast(b.{c} AS double) AS bfs, cast({delta} AS double) AS delta FROM (SELECT * "
+    f"FROM ({REPORT}) WHERE mode = 'focused') f JOIN (SELECT * FROM ({REPORT}) WHERE mode = 'bfs') b USING (scenario)"
+) for n, c, delta in METRICS), "run_pages")
 def metric_table(spark, d):
     return gold.metric_table(relevance.report(table(spark, d, "run_pages"), ["scenario", "mode"], 40))
 
@@ -78,10 +88,18 @@ _head, _rest = _corpus["gold_rollup"].split(" SELECT shortest AS url", 1)
 ORACLE_SQL["gold_file_totals"] = f"{_head} SELECT count(*) AS total_entries, count(*) FILTER (relevant) AS total_relevant, count(*) FILTER (quelle = 'aggregiert') AS merged FROM (SELECT shortest AS url{_rest})"
 
 GOLDEN = "CASE WHEN id % 6 = 0 THEN 'Bau ' || cast(id as string) WHEN id % 6 = 1 THEN 'Titel ' || cast(id as string) WHEN id % 6 = 4 THEN '' ELSE 'Etwas anderes' END"
-ISSUES = f"list_filter([CASE WHEN length(coalesce(massnahme, '')) < 15 THEN 'short_title' END, CASE WHEN length(coalesce(adresse, '')) < 5 THEN 'generic_address' END, CASE WHEN start IS NULL THEN 'no_date' END, CASE WHEN NOT regexp_matches(quelle_url, '^https?://') THEN 'bad_url' END], lambda x: x IS NOT NULL)"
-EXAMPLES = f"""SELECT a.id, CASE WHEN a.id % 3 = 0 THEN 'basis' ELSE 'finetuned' END AS modell, (a.id % 47) / 10.0 AS latency, {GOLDEN.replace('id', 'a.id')} AS gold, coalesce(f.titles, '') AS titles, coalesce(f.n, 0) AS pred, coalesce(f.valid, 0) AS valid FROM answers a
+ISSUES = (
+    f"list_filter([CASE WHEN length(coalesce(massnahme, '')) < 15 THEN 'short_title' END, CASE WHEN length(coalesce(adresse, '')) < 5 THEN "
+    f"'generic_address' END, CASE WHEN start IS NULL THEN 'no_date' END, CASE WHEN NOT regexp_matches(quelle_url, '^https?://') THEN 'bad_url' END], lambda "
+    f"x: x IS NOT NULL)"
+)
+EXAMPLES = f"""SELECT a.id,
+ CASE WHEN a.id % 3 = 0 THEN 'basis' ELSE 'finetuned' END AS modell, (a.id % 47) / 10.0 AS latency, {GOLDEN.replace('id', 'a.id')} AS gold, coalesce(f.titles, '') AS titles, coalesce(f.n, 0) AS pred, coalesce(f.valid, 0) AS valid FROM answers a
 LEFT JOIN (SELECT id, string_agg(massnahme, ' ') AS titles, count(*) AS n, count(*) FILTER (len({ISSUES}) = 0) AS valid FROM ({FOUND}) GROUP BY 1) f ON f.id = a.id"""
-SCORED = f"SELECT *, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE round(2.0 * len(list_intersect(p, g)) / (len(p) + len(g)), 3) END AS f1 FROM (SELECT *, {WORDS.format('titles')} AS p, {WORDS.format('gold')} AS g FROM ({EXAMPLES}))"
+SCORED = (
+    f"SELECT *, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE round(2.0 * len(list_intersect(p, g)) / (len(p) + "
+    f"len(g)), 3) END AS f1 FROM (SELECT *, {WORDS.format('titles')} AS p, {WORDS.format('gold')} AS g FROM ({EXAMPLES}))"
+)
 
 
 def _examples(spark, d):
@@ -92,13 +110,20 @@ def _examples(spark, d):
     return golden, answers.findings(answers.parse_answers(raw.select("id", "url", "raw")))
 
 
-@query("model_summary", f"SELECT modell, count(*) AS n, round(avg(f1), 3) AS mean_f1, round(avg(pred), 1) AS mean_found, round(avg(valid), 1) AS mean_valid, round(avg(latency), 1) AS mean_latency FROM ({SCORED}) GROUP BY 1", "answers")
+@query("model_summary", (
+    f"SELECT modell, count(*) AS n, round(avg(f1), 3) AS mean_f1, round(avg(pred), 1) AS mean_found, round(avg(valid), 1) AS mean_valid, "
+    f"round(avg(latency), 1) AS mean_latency FROM ({SCORED}) GROUP BY 1"
+), "answers")
 def model_summary(spark, d):
     golden, found = _examples(spark, d)
     return models.model_summary(models.scored_examples(golden, found, TODAY))
 
 
-@query("model_issues", f"SELECT modell, issue, n FROM (SELECT *, row_number() OVER (PARTITION BY modell ORDER BY n DESC, issue) AS r FROM (SELECT CASE WHEN id % 3 = 0 THEN 'basis' ELSE 'finetuned' END AS modell, issue, count(*) AS n FROM (SELECT id, unnest({ISSUES}) AS issue FROM ({FOUND})) GROUP BY 1, 2)) WHERE r <= 5", "answers")
+@query("model_issues", (
+    f"SELECT modell, issue, n FROM (SELECT *, row_number() OVER (PARTITION BY modell ORDER BY n DESC, issue) AS r "
+    f"FROM (SELECT CASE WHEN id % 3 = 0 THEN 'basis' ELSE 'finetuned' END AS modell, issue, count(*) AS n FROM (SELECT id, unnest({ISSUES}) AS issue "
+    f"FROM ({FOUND})) GROUP BY 1, 2)) WHERE r <= 5"
+), "answers")
 def model_issues(spark, d):
     golden, found = _examples(spark, d)
     return models.top_issues(golden, found, TODAY, 5)
@@ -107,14 +132,19 @@ def model_issues(spark, d):
 SEEDED = f"SELECT category AS class, term AS text FROM ({KW_SQL}), range(3) UNION ALL SELECT category, string_agg(term, ' ') FROM ({KW_SQL}) GROUP BY 1"
 SEEDNB = f"""WITH seeded AS ({SEEDED}), prior AS (SELECT class, count(*) / (SELECT count(*) FROM seeded) AS prior FROM seeded GROUP BY 1), pairs AS (SELECT class, term, count(*) AS n FROM (SELECT class, unnest(regexp_extract_all(lower(text), '[a-zäöüß][a-zäöüß-]{{2,}}')) AS term FROM seeded) GROUP BY 1, 2),
 size AS (SELECT class, sum(n) AS words, (SELECT count(DISTINCT term) FROM pairs) AS v FROM pairs GROUP BY 1), tc AS (SELECT * FROM ({TOKENS}) SEMI JOIN pairs q USING (term)),
-lp AS (SELECT doc_id, class, ln(prior) + coalesce(s, 0) AS lp FROM (SELECT doc_id, class, prior FROM documents CROSS JOIN prior) LEFT JOIN (SELECT doc_id, z.class, sum(tf * ln((coalesce(n, 0) + 1) / (words + v))) AS s FROM tc CROSS JOIN size z LEFT JOIN pairs p ON p.term = tc.term AND p.class = z.class GROUP BY 1, 2) USING (doc_id, class)),
+lp AS (SELECT doc_id, class, ln(prior) + coalesce(s, 0) AS lp FROM (SELECT doc_id, class, prior FROM documents CROSS JOIN prior)
+ LEFT JOIN (SELECT doc_id, z.class, sum(tf * ln((coalesce(n, 0) + 1) / (words + v))) AS s FROM tc CROSS JOIN size z LEFT JOIN pairs p ON p.term = tc.term AND p.class = z.class GROUP BY 1, 2) USING (doc_id, class)),
 post AS (SELECT doc_id, class, exp(lp - max(lp) OVER (PARTITION BY doc_id)) AS e FROM lp), ranked AS (SELECT doc_id, class, e / sum(e) OVER (PARTITION BY doc_id) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY round(e, 9) DESC, class) AS r FROM post),
 best AS (SELECT doc_id, max(p) FILTER (r = 1) AS posterior, max(p) FILTER (r = 1) - max(p) FILTER (r = 2) AS confidence FROM ranked GROUP BY 1),
 cos AS (SELECT doc_id, category, sum(w / norm * cw) AS cosine FROM (SELECT doc_id, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS norm FROM ({TOKENS}) JOIN ({IDF_SQL}) USING (term)) JOIN ({CATVEC}) USING (term) GROUP BY 1, 2),
 tops AS (SELECT doc_id, max(cosine) AS tfidf, count(*) AS n FROM cos WHERE cosine > 0 GROUP BY 1)"""
 
 
-@query("legacy_ensemble", SEEDNB + " SELECT d.doc_id, round(coalesce(tfidf, 0), 3) AS tfidf_score, round(posterior, 3) AS bayes_score, round(confidence, 3) AS confidence, cast(coalesce(n, 0) AS integer) AS n_categories, round(coalesce(tfidf, 0) * 0.5 + posterior * 0.5, 2) AS score FROM documents d JOIN best USING (doc_id) LEFT JOIN tops USING (doc_id)")
+@query("legacy_ensemble", SEEDNB + (
+    " SELECT d.doc_id, round(coalesce(tfidf, 0), 3) AS tfidf_score, round(posterior, 3) AS bayes_score, round(confidence, 3) AS confidence, "
+    "cast(coalesce(n, 0) AS integer) AS n_categories, round(coalesce(tfidf, 0) * 0.5 + posterior * 0.5, 2) AS score FROM documents d "
+    "JOIN best USING (doc_id) LEFT JOIN tops USING (doc_id)"
+))
 def legacy_ensemble(spark, d):
     """The classifier is trained on the keywords alone."""
     docs = table(spark, d, "documents")

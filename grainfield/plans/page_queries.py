@@ -61,7 +61,10 @@ def keyword_score(spark, d):
     return rows.select("doc_id", text.coverage_score(F.col("hits"), MODEL).alias("score"), F.size(F.flatten(F.map_values("hits"))).alias("matched"))
 
 
-@query("relevance_classify", f"SELECT doc_id, tfidf_score, round(share, 4) AS bayes_score, round(tfidf_score * 0.4 + share * 0.6, 4) AS score, top_category, tfidf_score * 0.4 + share * 0.6 >= 0.15 AS is_relevant FROM ({SCORED % hits_sql('documents', 'doc_id', 'text')})")
+@query("relevance_classify", (
+    f"SELECT doc_id, tfidf_score, round(share, 4) AS bayes_score, round(tfidf_score * 0.4 + share * 0.6, 4) AS score, top_category, tfidf_score * 0.4 + "
+    f"share * 0.6 >= 0.15 AS is_relevant FROM ({SCORED % hits_sql('documents', 'doc_id', 'text')})"
+))
 def relevance_classify(spark, d):
     return relevance.classify(table(spark, d, "documents"), "text", MODEL).select("doc_id", "tfidf_score", "bayes_score", "score", "top_category", "is_relevant")
 
@@ -104,7 +107,10 @@ def url_identity(spark, d):
 KEEP = "list_filter(string_split(regexp_extract(u, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN (" + ", ".join(f"'{p}'" for p in urls.IGNORED_PARAMETERS) + "))"
 
 
-@query("url_identity_params", f"SELECT page_id, regexp_replace(u, '\\?.*$', '') || CASE WHEN len({KEEP}) > 0 THEN '?' || array_to_string({KEEP}, '&') ELSE '' END AS key FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^http://', 'https://') AS u FROM pages)")
+@query("url_identity_params", (
+    f"SELECT page_id, regexp_replace(u, '\\?.*$', '') || CASE WHEN len({KEEP}) > 0 THEN '?' || array_to_string({KEEP}, '&') ELSE '' END AS key "
+    f"FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^http://', 'https://') AS u FROM pages)"
+))
 def url_identity_params(spark, d):
     return table(spark, d, "pages").select("page_id", urls.url_base_with_parameters("url").alias("key"))
 
@@ -119,7 +125,10 @@ def parent_key(spark, d):
     return table(spark, d, "pages").select("page_id", urls.parent_key("url", 1).alias("key"))
 
 
-@query("url_score", f"SELECT page_id, {COVER} AS score FROM ({hits_sql('pages', 'page_id', r'''regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) || ' ' || regexp_extract(url, '\?([^#]*)', 1), '[/_=&+-]+', ' ', 'g')''')})")
+@query("url_score", (
+    f"SELECT page_id, {COVER} AS score FROM "
+    f"({hits_sql('pages', 'page_id', r'''regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) || ' ' || regexp_extract(url, '\?([^#]*)', 1), '[/_=&+-]+', ' ', 'g')''')})"
+))
 def url_score(spark, d):
     rows = relevance.with_hits(table(spark, d, "pages").select("page_id", "url"), urls.url_text("url"), MODEL, "hits")
     return rows.select("page_id", text.coverage_score(F.col("hits"), MODEL).alias("score"))
@@ -141,13 +150,19 @@ def site_pages(spark, d):
     return keyed.groupBy("site").agg(F.count("*").alias("n"), F.countDistinct("key").alias("different"))
 
 
-@query("redirect_scope", rf"SELECT id, list_has_any(list_distinct([s, regexp_replace(s, '^(stadt|markt|gemeinde|bad)-', '')]), ['ort' || cast(id % 50 as string), 'x']) AS accepted FROM (SELECT id, regexp_replace(regexp_replace(regexp_extract(url, '://([^/]*)', 1), '^www\.', ''), '\.[^.]*$', '') AS s FROM targets)", "targets")
+@query("redirect_scope", (
+    rf"SELECT id, list_has_any(list_distinct([s, regexp_replace(s, '^(stadt|markt|gemeinde|bad)-', '')]), ['ort' || cast(id % 50 as string), 'x']) AS "
+    rf"accepted FROM (SELECT id, regexp_replace(regexp_replace(regexp_extract(url, '://([^/]*)', 1), '^www\.', ''), '\.[^.]*$', '') AS s FROM targets)"
+), "targets")
 def redirect_scope(spark, d):
     final = F.concat(F.lit("https://kreis.de/ort"), (F.col("id") % 50).cast("string"), F.lit("/x"))
     return table(spark, d, "targets").select("id", urls.redirect_accepted(urls.authority("url"), final).alias("accepted"))
 
 
-@query("js_shell_flag", rf"SELECT page_id, length(trim(html)) < 500 OR regexp_matches(lower(html), '{html.SPA_MARKERS}') AS rendered, regexp_matches(lower(html), '{html.SPA_MARKERS}') AND length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) < 500 AS shell FROM pages")
+@query("js_shell_flag", (
+    rf"SELECT page_id, length(trim(html)) < 500 OR regexp_matches(lower(html), '{html.SPA_MARKERS}') AS rendered, regexp_matches(lower(html), "
+    rf"'{html.SPA_MARKERS}') AND length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) < 500 AS shell FROM pages"
+))
 def js_shell_flag(spark, d):
     return table(spark, d, "pages").select("page_id", html.is_rendered("html").alias("rendered"), html.is_shell("html").alias("shell"))
 
@@ -164,7 +179,10 @@ def pii_redact(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(clean, 256).alias("clean_sha256"), *[n.alias(k) for k, n in counts.items()])
 
 
-@query("pii_counts", f"SELECT lang, cast(sum(email) AS bigint) AS email, cast(sum(iban) AS bigint) AS iban, cast(sum(svn) AS bigint) AS svn, cast(sum(phone) AS bigint) AS phone, cast(sum(email + iban + svn + phone) AS bigint) AS total FROM ({STEPS}) GROUP BY 1")
+@query("pii_counts", (
+    f"SELECT lang, cast(sum(email) AS bigint) AS email, cast(sum(iban) AS bigint) AS iban, cast(sum(svn) AS bigint) AS svn, cast(sum(phone) AS bigint) AS "
+    f"phone, cast(sum(email + iban + svn + phone) AS bigint) AS total FROM ({STEPS}) GROUP BY 1"
+))
 def pii_counts(spark, d):
     return privacy.redaction_totals(table(spark, d, "documents"), "text", ["lang"])
 
@@ -191,11 +209,19 @@ def html_text(spark, d):
     return html.parse_pages(table(spark, d, "pages")).select("page_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-LINKS = f"SELECT page_id, page_url, h[1] AS href, h[2] AS anchor, pos FROM (SELECT page_id, url AS page_url, unnest(list_transform(list_zip(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)), lambda x: [x[1], x[2]])) AS h, unnest(range(len(regexp_extract_all(html, '<a href=\"([^\"]*)\">')))) AS pos FROM pages)"
+LINKS = (
+    f"SELECT page_id, page_url, h[1] AS href, h[2] AS anchor, pos FROM (SELECT page_id, url AS page_url, "
+    f"unnest(list_transform(list_zip(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), regexp_extract_all(html, '<a "
+    f"href=\"([^\"]*)\">([^<]*)</a>', 2)), lambda x: [x[1], x[2]])) AS h, unnest(range(len(regexp_extract_all(html, '<a href=\"([^\"]*)\">')))) AS pos "
+    f"FROM pages)"
+)
 SITE = f"regexp_extract(page_url, '^([a-z]+://[^/?#]*)', 1)"
 
 
-@query("html_links", rf"SELECT page_id, cast(pos AS integer) AS pos, {SITE} || href AS url, trim(anchor) AS anchor FROM ({LINKS}) WHERE starts_with(href, '/') AND NOT regexp_matches(lower(href), '\.({'|'.join(urls.SKIP_ENDINGS)})$')")
+@query("html_links", (
+    rf"SELECT page_id, cast(pos AS integer) AS pos, {SITE} || href AS url, trim(anchor) AS anchor FROM ({LINKS}) "
+    rf"WHERE starts_with(href, '/') AND NOT regexp_matches(lower(href), '\.({'|'.join(urls.SKIP_ENDINGS)})$')"
+))
 def html_links(spark, d):
     return html.links(html.parse_pages(table(spark, d, "pages"))).select("page_id", "pos", "url", "anchor")
 
