@@ -92,7 +92,7 @@ def map_points(spark, d):
 
 @query("region_counts", "SELECT region, count(*) AS n FROM findings f JOIN targets t ON f.ags = t.ags JOIN region_mapping r ON r.bundesland = t.bundesland GROUP BY 1", "findings", "targets", "region_mapping")
 def region_counts(spark, d):
-    rows = D.with_targets(table(spark, d, "findings"), table(spark, d, "targets"), "inner").join(F.broadcast(table(spark, d, "region_mapping")), "bundesland")
+    rows = D.with_targets(table(spark, d, "findings"), table(spark, d, "targets"), "inner").join(table(spark, d, "region_mapping"), "bundesland")
     return rows.groupBy("region").agg(F.count("*").alias("n")).orderBy("region")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainfield.functions import answers, text, urls
-from grainfield.operators import bayes, corpus, frontier, gold, html
+from grainfield.operators import bayes, corpus, frontier, gold
 from grainfield.operators.tables import first_per_key
 from grainfield.plans.page_queries import COMPARE, HOST, SEGMENTS
 from grainfield.plans.views import oracle, table

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from grainfield.functions import answers, text, urls
 from grainfield.operators import corpus, html, operations, relevance
 from grainfield.operators import tables as T
-from grainfield.plans.page_queries import COMPARE, HOST, PATH, SITE
+from grainfield.plans.page_queries import HOST, PATH, SITE
 from grainfield.plans.views import oracle, table
 
 QUERIES, ORACLE_SQL = {}, {}

@@ -64,7 +64,7 @@ def finding_stats(findings: DataFrame, now: str) -> DataFrame:
 
 def due_targets(targets: DataFrame, regions: DataFrame, preferred: str | None, n: int) -> DataFrame:
     """The preferred region first, then the longest unscanned; n of 0 means all."""
-    rows = targets.join(F.broadcast(regions), "bundesland", "left")
+    rows = targets.join(regions, "bundesland", "left")
     order = [F.when(F.col("region") == preferred, 0).otherwise(1)] if preferred else []
     rows = rows.orderBy(*order, F.col("last_scanned").asc_nulls_first(), "ags")
     out = rows.select("ags", F.coalesce("url_redirect", "url").alias("url"), "bundesland", "region", "last_scanned")

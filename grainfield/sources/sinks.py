@@ -47,13 +47,13 @@ def keyword_text(keywords: Column | str, most: int = 10) -> Column:
 
 
 def gold_export(entries: DataFrame) -> DataFrame:
-    """Per domain one row with its entries, ordered by url."""
+    """Per domain one row with its entries, ordered by url; a corpus is what people annotate, so a domain's entries fit into a row."""
     item = F.struct("url", "relevant", "kategorie", "notiz")
     return entries.groupBy("domain").agg(F.count("*").alias("total_entries"), F.count_if("relevant").alias("total_relevant"), F.array_sort(F.collect_list(item)).alias("entries"))
 
 
 def seed_snapshot(config: DataFrame, selected: DataFrame) -> DataFrame:
-    """The configuration with the selected domains and their number."""
+    """The configuration with the selected domains (at most its max_domains) and their number."""
     chosen = selected.agg(F.array_sort(F.collect_list("ags")).alias("domains"), F.count("*").alias("total"))
     return config.crossJoin(F.broadcast(chosen))
 
