@@ -329,6 +329,19 @@ def test_pipeline(spark, sf):
     assert copies <= 3 and frames["encoding"].count() == frames["mixing"].count() == corpus_pipeline.run(spark, sf).count()
 
 
+def test_stages_keep_clashing_columns(spark, sf):
+    """Every stage but the last gives back the values of columns whose names a stage might use itself."""
+    extra = "_size int, _key int, _copy int, _row int, row int, rows int, _u int, k0 int, k1 int, copies int, score double, _id int, repeats int, size int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + extra
+    docs = spark.createDataFrame([(i, f"wort {i} " * (5 + i), "de", "ab"[i % 2], i, *[100 * i + k for k in range(10)], i / 2, i, i, i) for i in range(12)], schema)
+    before = {r.doc_id: tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        rows = docs.collect()
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")] and rows and all(before[r.doc_id] == tuple(r) for r in rows), name
+    assert corpus_pipeline.encoding(spark, docs, sf).count() == docs.count() > 0
+
+
 def test_pipeline_odd(spark, sf, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for rows in ([], [(1, None, None, None, None), (1, None, None, None, None), (2, "wort " * 20, "de", "a", 1), (2, "wort " * 20, "de", "a", 1), (None, "anderes", None, "b", 2)]):
