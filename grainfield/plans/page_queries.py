@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from grainfield.functions import privacy, text, urls
 from grainfield.operators import html, relevance
-from grainfield.operators.tables import first_per_key
 from grainfield.plans.views import oracle, table
 
 #: A keyword model of words that the given texts hold.
@@ -260,5 +259,4 @@ def harvest_pages(spark, d):
 @query("content_dedupe", "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_dedupe(spark, d):
     hashed = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    first = first_per_key(hashed, ["hash"], "doc_id")
-    return first.join(hashed.groupBy("hash").agg(F.count("*").alias("copies")), "hash")
+    return hashed.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
