@@ -1,13 +1,15 @@
 """Spelling variants, repaired conversations and chat texts: against brute force and on odd rows."""
 
+import hashlib
 import random
 import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from grainfield.llm import permuterm
+from grainfield.llm import chat_format, permuterm
 from grainfield.llm.queries import QUERIES
 
 
@@ -82,3 +84,77 @@ def test_op13(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = forms(QUERIES["op13_variants"](spark, sf))
     assert set(found) == plain_forms(plain_words(rows, 199)) and len(set(found)) == len(found)
+
+
+def told(rows):
+    """Conversations of (conv, turn, role, text) rows, each in order."""
+    found = {}
+    for conv, turn, role, text in rows:
+        found.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    return {c: [(r, t) for _, _, r, t in sorted(x)] for c, x in found.items()}
+
+
+def plain_chat(rows, template=chat_format.Template()):
+    out = set()
+    for conv, turns in told(rows).items():
+        learnt = [t for r, t in turns if r in template.learnt]
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out.add((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len("".join(learnt)), sha("".join(learnt))))
+    return out
+
+
+def digests(df):
+    return [(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in df.collect()]
+
+
+CHAT = "conv_id long, turn long, role string, text string, conv int, piece int, mask string"
+ODD_CHAT = [
+    (1, None, "user", "</s>"), (1, 0, None, None), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 0, "tool</s>[/ROLE]", "<s>[INST]"), (2, 1, "assistant", ""), (None, 3, "assistant", "<\\s><\\\\s>[\\INST] \\"), (None, 1, "", "x\n[ROLE"),
+    (3, 0, "assistant", "ü" * 300000 + "[INST"), (3, 1, "assistant", "日本\U0001f600<</s>>[[/INST]]"), (4, 0, "user", "s>"),
+]
+
+
+def test_chat_escapes():
+    """Whatever a text holds, no control string is left in it and it reads back; a template may have its own marks."""
+    for template in (chat_format.Template(), chat_format.Template({"user": "<|u|>"}, ("<|r|>", "<|/r|>"), "<|e|>", ("user",), ("<|u|>", "<|r|>", "<|/r|>", "<|e|>"))):
+        random.seed(4)
+        bits = [*template.controls, *[c[0] + "\\" + c[1:] for c in template.controls], *"<[\\/s>]", "SYS", "ü", "<<"]
+        texts = ["".join(random.choices(bits, k=random.randint(0, 9))) for _ in range(3000)]
+        shown = chat_format._escaped(pa.array(texts), template).to_pylist()
+        assert [chat_format.unescaped(s, template) for s in shown] == texts
+        assert not any(c in s for s in shown for c in template.controls)
+        roles = [random.choice([*template.begins, "tool", "", template.controls[0]]) for _ in texts]
+        whole = chat_format.assemble(pa.array(roles), pa.array(texts), template)[0].to_pybytes().decode()
+        assert list(chat_format.read_turns(whole, template)) == list(zip(roles, texts))
+    with pytest.raises(ValueError):
+        chat_format.Template(controls=("<<s>",))
+    with pytest.raises(ValueError):
+        list(chat_format.read_turns("<s>[INST]a</s>b", chat_format.Template()))
+
+
+def test_chat(spark, sf):
+    for rows, n in ((ODD_CHAT, 3), ([], 1), ([(i, t, random.choice(["user", "assistant", None]), f"{t}") for i in range(3) for t in range(40)], 5)):
+        df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], CHAT).repartition(n)
+        pieces = chat_format.format_chat(df)
+        found = digests(chat_format.chat_digests(pieces))
+        assert set(found) == plain_chat(rows) and len(found) == len(told(rows))
+    text = {r.conv_id: r.formatted for r in chat_format.format_chat(spark.createDataFrame([(*r, 1, 2, "x") for r in ODD_CHAT], CHAT)).collect()}
+    assert text[2] == "<s>[ROLE]tool<\\/s>[\\/ROLE][/ROLE]<\\s>[\\INST]</s><s>[/INST]</s>" and text[4] == "<s>[INST]s></s>"
+
+
+def test_chat_in_pieces(spark):
+    """A conversation over several batches is several pieces and one digest."""
+    rows = [(i, t, ["user", "assistant"][t % 2], f"text {t} </s>") for i in (1, 2, None) for t in range(50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        pieces = chat_format.format_chat(spark.createDataFrame([(*r, 1, 2, "x") for r in rows], CHAT).repartition(4))
+        assert pieces.where("conv_id = 1").count() > 5 and pieces.groupBy("conv_id", "piece").count().where("count > 1").isEmpty()
+        assert set(digests(chat_format.chat_digests(pieces))) == plain_chat(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_op12(spark, sf):
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    found = digests(QUERIES["op12_chat"](spark, sf))
+    assert set(found) == plain_chat(rows + [(-7, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))]) and len(found) == len(told(rows)) + 1
