@@ -9,7 +9,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from grainfield.llm import chat_format, permuterm
+from grainfield.llm import chat_format, chat_repair, permuterm
 from grainfield.llm.queries import QUERIES
 
 
@@ -158,3 +158,118 @@ def test_op12(spark, sf):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     found = digests(QUERIES["op12_chat"](spark, sf))
     assert set(found) == plain_chat(rows + [(-7, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))]) and len(found) == len(told(rows)) + 1
+
+
+def plain_damage(rows):
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        h = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if h:
+            row = (conv, turn, "user" if h == 4 else role, "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text)
+            yield from [row] * (2 if h == 3 else 1)
+
+
+def plain_repair(turns):
+    """All states, whole strings: cost, audit and repaired rows of the cheapest, least edits of [(role, text)] rows."""
+    ways = {"": (0, "", [])}  # shape of what stands so far: '', s, u, a
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+    names = {"u": "user", "a": "assistant"}
+
+    def better(found, state, way):
+        if state not in found or way[:2] < found[state][:2]:
+            found[state] = way
+
+    def inserted(ways):
+        for _ in range(4):
+            found = dict(ways)
+            for state, (cost, audit, out) in ways.items():
+                for c in follow[state]:
+                    if c in names:
+                        better(found, c, (cost + 5, audit + "I", [*out, (names[c], "")]))
+            ways = found
+        return ways
+
+    faults, seen = [], set()
+    for role, text in turns:
+        end = re.findall(r"[^\x20\x09-\x0D]", text)[-1:]
+        faults.append("blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[0] not in ".!?" else None)
+        seen.add((role, text))
+    ways = inserted(ways)
+    for (role, text), fault in zip(turns, faults):
+        found, burden = {}, 5 * (fault == "truncated")
+        for state, (cost, audit, out) in ways.items():
+            better(found, state, (cost + 2, audit + "D", out))
+            if fault not in ("blank", "duplicate"):
+                for c in follow[state]:
+                    if role[:1] == c:
+                        better(found, c, (cost + burden, audit + "K", [*out, (role, text)]))
+                    if c in names:
+                        better(found, c, (cost + burden + 1, audit + "R", [*out, (names[c], text)]))
+        ways = inserted(found)
+    return faults, min(w for s, w in ways.items() if s in ("", "a"))
+
+
+def plain_report(rows, every):
+    found = {c: [] for c in every}
+    for conv, turn, role, text in rows:
+        found[conv].append((turn is not None, turn or 0, role, text))
+    for conv, turns in found.items():
+        turns.sort()
+        faults, (cost, audit, out) = plain_repair([t[2:] for t in turns])
+        real = {t[1] for t in turns if t[0]}
+        gaps = max(real) - min(real) + 1 - len(real) if real else 0
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        assert re.fullmatch("(s?(ua)+)?", "".join(r[:1] for r, _ in out))
+        sha = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+        yield conv, gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha
+
+
+def reports(df):
+    return [(r.conv_id, r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in df.collect()]
+
+
+def test_repair(spark):
+    """Random conversations of few roles and texts, so that ties, repeats, gaps and impossible orders are frequent."""
+    random.seed(5)
+    texts, roles = ["Ja.", "Nein!", "abc", "", " \n", "Was?", "x. ", " ", None], ["user", "assistant", "system", "user", "assistant", "tool", "", None, "unknown"]
+    rows = [(i, random.choice([None, *range(8)]), random.choice(roles[: 3 + i % 7]), random.choice(texts[: 1 + i % 9])) for i in range(400) for _ in range(random.randint(0, 12))]
+    rows += [(None, 3, "assistant", "Gut."), (None, 1, "user", "So?"), *[(-1, t, "user", f"{t}.") for t in range(300)], *[(-2, 0, "system", "Sei nett.")] * 50, (-3, 1 << 60, "user", "a."), (-3, None, "user", "b.")]
+    nothing = [(c, t, r if r is not None else " ", x if x is not None else " ") for c, t, r, x in rows]
+    for given, spread in ((rows, 4), ([], 1)):
+        df = spark.createDataFrame([(*r, 1, 2, "x") for r in given], CHAT.replace("mask", "edit")).repartition(spread)
+        found = reports(chat_repair.repair_digests(chat_repair.repair_conversations(df)))
+        want = set(plain_report(nothing if given else [], {r[0] for r in given}))
+        assert set(found) == want and len(found) == len(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # conversations over several batches
+    try:
+        found = reports(chat_repair.repair_digests(chat_repair.repair_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(found) == set(plain_report(nothing, {r[0] for r in rows}))
+
+
+def test_repair_lets_go():
+    """What all survivors share is given out while the conversation goes on."""
+    random.seed(6)
+    for next_role, fault in ((lambda i: "ua"[i % 2], None), (lambda i: random.choice("uas"), None), (lambda i: "ua"[i % 2] if i % 7 else "s", "truncated"), (lambda i: "u", "blank")):
+        search, out, most = chat_repair.Repair(), 0, 0
+        for i in range(5000):
+            out += sum(row is not None for _, row, _ in search.add((i,), next_role(i), fault))
+            most = max(most, i + 1 - out)
+        assert most < 100 and out + sum(row is not None for _, row, _ in search.end()) == 5000
+
+
+def test_op11(spark, sf):
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    found = reports(QUERIES["op11_repair"](spark, sf))
+    assert set(found) == set(plain_report(plain_damage(rows), {r[0] for r in rows})) and len(found) == len({r[0] for r in rows})
+
+
+def test_op11_odd_tables(spark, tmp_path):
+    rows = [(c, t, r, x) for c in (None, 1, 2, 3, 4, 5) for t in (None, 0, 1, 1, 2, 9) for r, x in (("user", "a.?"), (None, None))] + [(i, 0, "user", "x.") for i in range(100, 300)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/a/conversations.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/b/conversations.parquet")
+    found = reports(QUERIES["op11_repair"](spark, f"{tmp_path}/a"))
+    assert set(found) == set(plain_report(plain_damage(rows), {r[0] for r in rows})) and len(found) == len(set(found))
+    assert reports(QUERIES["op11_repair"](spark, f"{tmp_path}/b")) == []
+    assert len(QUERIES["op12_chat"](spark, f"{tmp_path}/b").collect()) == 1
