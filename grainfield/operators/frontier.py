@@ -5,36 +5,64 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainfield.functions.urls import url_base
 from grainfield.operators.tables import first_per_key
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """The rows read back from a table in spark.checkpoint.dir, in a folder of this application's own; only on one machine (tests) it may be unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir with a folder of this application's own; only on one machine (tests) it may be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='grainfield-')}"
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows read back from a table in the shared folder."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def frontier_round(links: DataFrame, visited: DataFrame, cap: int, order: str = "focused") -> DataFrame:
-    """Per target, links not yet visited, each url once, best priority first (or in found order), at most cap (the queue's size).
+#: Rules for a link's end of the queue: documents never go ahead, or always do, or nothing does. Any other column will do, too.
+ORDERS = {"focused": "is_priority and not is_document", "documents_first": "is_priority or is_document", "fifo": "false"}
+
+
+def _front(order: str | Column) -> Column:
+    rule = order if isinstance(order, Column) else F.expr(ORDERS[order])
+    return F.coalesce(rule.cast("boolean"), F.lit(False))
 
-    links: target, pos, url, cpe_score; visited: target, url.
+
+def frontier_round(links: DataFrame, visited: DataFrame, cap: int, order: str | Column = "focused", queue: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """The queues of all targets after the links of a page were put in: target, place (from 1, the next first), url.
+
+    links: target, pos, url and what the order's rule needs (is_priority, is_document); visited: target, url; queue: target,
+    place, url of what waits already. Links are taken as they stand (pos), without those whose page was visited, until the queue
+    has `cap` entries. One for which the rule holds goes to the front, before those put there so far; any other to the end.
+    With once, a link to a page that waits already, or stands before it among the links, is passed over; without, it waits twice.
+    Equal pos: by url. Only the first `cap` links of a target can get in, so no more of them meet in one place.
     """
     key = url_base("url")
-    fresh = links.withColumn("key", key).join(visited.select("target", key.alias("key")).distinct(), ["target", "key"], "left_anti")
-    rank = [F.desc("cpe_score"), F.col("pos")] if order == "focused" else [F.col("pos")]
-    best = first_per_key(fresh, ["target", "key"], *([(-F.col("cpe_score")), "pos"] if order == "focused" else ["pos"]))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*rank, "key"))).where(F.col("place") <= cap).drop("key")
+    fresh = links.select("target", "pos", "url", _front(order).alias("front"), key.alias("key")).join(visited.select("target", key.alias("key")).distinct(), ["target", "key"], "left_anti")
+    waiting = queue.select("target", F.lit(1).alias("zone"), F.col("place").cast("long").alias("at"), "url") if queue is not None else None
+    if once:
+        fresh = first_per_key(fresh, ["target", "key"], "pos", "url")
+        if waiting is not None:
+            fresh = fresh.join(waiting.select("target", key.alias("key")).distinct(), ["target", "key"], "left_anti")
+    line = Window.partitionBy("target")
+    fresh = fresh.withColumn("n", F.row_number().over(line.orderBy("pos", "url"))).where(F.col("n") <= cap)
+    if waiting is not None:
+        fresh = fresh.join(waiting.groupBy("target").agg(F.count("*").alias("held")), "target", "left").where(F.col("n") + F.coalesce("held", F.lit(0)) <= cap)
+    n = F.col("n").cast("long")
+    put = fresh.select("target", F.when(F.col("front"), 0).otherwise(2).alias("zone"), F.when(F.col("front"), -n).otherwise(n).alias("at"), "url")
+    every = put if waiting is None else put.unionByName(waiting)
+    return every.select("target", F.row_number().over(line.orderBy("zone", "at")).alias("place"), "url")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -48,35 +76,73 @@ def reach(edges: DataFrame, seeds: DataFrame, most_rounds: int | None = None) ->
         if last.isEmpty():
             break
         found = found.unionByName(last)
+        if level % 8 == 0:
+            found = shared_table(found, "reach")  # one table again, so that plans and files stay few
     return found
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, budget: int, per_round: int = 1000, order: str = "focused") -> DataFrame:
-    """G3 with a page budget, in either order: node, place of the pages visited per target.
+def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows in a table of the shared folder that lies in buckets of a key, so that a join by the key doesn't shuffle it again."""
+    spark = df.sparkSession
+    label = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark)}/{label}").saveAsTable(label)
+    return spark.table(label)
+
+
+def crawl(edges: DataFrame, seeds: DataFrame, budget: int, cap: int = 300, order: str | Column = "focused", pages: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """Target, place, node: the pages that every target's crawl reads, in its order, until its budget is spent or its queue empty.
+
+    edges: src, dst, pos, and what the order's rule needs (is_priority, is_document, or any columns of a rule of one's own);
+    seeds: target, node; nodes are urls in the form that tells pages apart. pages, if given: node, ok, hash; a page that isn't ok
+    (blocked, failed, not stored) or whose hash the target has read before is passed over when its turn comes: it costs no budget
+    and its links don't count. Queues work as in frontier_round(): links of a page go in as they stand while there is room.
 
-    edges: src, dst, score, pos; seeds: target, node. In each round the best `per_round` pages of every target's queue are
-    visited (by score and then position, or by round and position if order is 'fifo'), and their links join the queue; one
-    page at a time is per_round = 1. A page that is found again keeps its best place in the queue. Rounds are written to the
-    shared folder; they end when all budgets are spent or all queues empty.
+    A target is one row: its queue (at most cap entries and the seed), the pages seen and the pages read. Every round, each target
+    takes its next page, and its links are put into the queue by columns; links lie in buckets of their page, so a round shuffles
+    only the targets' rows. Rounds, at most as many as the budget, are tables in the shared folder, so that none is done twice.
     """
-    queue = shared_table(seeds.select("target", "node", F.lit(1.0).alias("score"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("pos")), "queue")
-    rank = ["score desc", "round", "pos", "node"] if order == "focused" else ["round", "pos", "node"]
-    rank = [F.desc(r.split()[0]) if r.endswith("desc") else F.col(r) for r in rank]
-    visited, number = None, 0
-    while True:
-        number += 1
-        done = F.lit(0) if visited is None else F.coalesce("done", F.lit(0))
-        asked = queue if visited is None else queue.join(visited.groupBy("target").agg(F.count("*").alias("done")), "target", "left")
-        best = asked.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy(*rank))).where((F.col("n") <= per_round) & (F.col("n") + done <= budget))
-        now = shared_table(best.select("target", "node", (F.col("n") + done).alias("place")), "visited")
-        if now.isEmpty():
+    kind = edges.schema["dst"].dataType
+    known = edges.select("src", "pos", F.col("dst").alias("node"), _front(order).alias("front"))
+    if pages is not None:
+        known = known.join(pages.select("node", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("hash").cast("string").alias("hash")), "node", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    else:
+        known = known.withColumns({"ok": F.lit(True), "hash": F.lit(None).cast("string")})
+    lists = known.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "front", "ok", "hash"))).alias("links"))
+    lists = bucketed_table(lists.select(F.col("src").alias("now"), "links"), "links", "now")
+    entry = "struct<node:{0},ok:boolean,hash:string>".format(kind.simpleString())
+    first = seeds.select("target", F.col("node").cast(kind).alias("node"))
+    if pages is not None:
+        first = first.join(pages.select("node", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("hash").cast("string").alias("hash")), "node", "left")
+    else:
+        first = first.withColumns({"ok": F.lit(True), "hash": F.lit(None).cast("string")})
+    none = F.array().cast(f"array<{kind.simpleString()}>")
+    state = first.select("target", F.array(F.struct("node", F.coalesce("ok", F.lit(False)).alias("ok"), "hash")).cast(f"array<{entry}>").alias("queue"), none.alias("seen"), F.array().cast("array<string>").alias("hashes"), none.alias("read"))
+    state = shared_table(state, "crawl")
+    for _ in range(budget):
+        fits = lambda e: e["ok"] & ~F.array_contains("seen", e["node"]) & ~F.coalesce(F.array_contains("hashes", e["hash"]), F.lit(False))
+        at = F.array_position(F.transform("queue", fits), True).cast("int")  # 0: none left
+        taken = state.withColumn("at", F.when(at > 0, at).otherwise(F.size("queue"))).withColumn("e", F.when(at > 0, F.get("queue", at - 1)))
+        rest = F.slice("queue", F.col("at") + 1, F.greatest(F.size("queue") - F.col("at"), F.lit(0)))
+        seen = F.array_union("seen", F.transform(F.slice("queue", 1, F.col("at")), lambda e: e["node"]))
+        hashes = F.when(F.col("e.hash").isNotNull(), F.array_append("hashes", F.col("e.hash"))).otherwise(F.col("hashes"))
+        read = F.when(F.col("e").isNotNull(), F.array_append("read", F.col("e.node"))).otherwise(F.col("read"))
+        taken = taken.select("target", rest.alias("queue"), seen.alias("seen"), hashes.alias("hashes"), read.alias("read"), F.col("e.node").alias("now"))
+        found = taken.join(lists, "now", "left")
+        waits = F.transform("queue", lambda e: e["node"])
+        fresh = F.filter(F.coalesce("links", F.array().cast(lists.schema["links"].dataType)), lambda x: ~F.array_contains("seen", x["node"]) & (~F.array_contains(waits, x["node"]) if once else F.lit(True)))
+        if once:
+            nodes = F.col("nodes")
+            found = found.withColumn("fresh", fresh).withColumn("nodes", F.transform("fresh", lambda x: x["node"]))
+            fresh = F.filter("fresh", lambda x, i: F.array_position(nodes, x["node"]) == i + 1)
+        put = F.col("put")
+        found = found.withColumn("put", F.slice(fresh, 1, F.greatest(F.lit(cap) - F.size("queue"), F.lit(0))))
+        plain = lambda xs: F.transform(xs, lambda x: F.struct(x["node"].alias("node"), x["ok"].alias("ok"), x["hash"].alias("hash")))
+        queue = F.concat(plain(F.reverse(F.filter(put, lambda x: x["front"]))), F.col("queue"), plain(F.filter(put, lambda x: ~x["front"])))
+        state = shared_table(found.select("target", queue.alias("queue"), "seen", "hashes", "read", F.col("now").isNotNull().alias("moved")), "crawl")
+        if state.where("moved").isEmpty():
             break
-        visited = now if visited is None else visited.unionByName(now)
-        found = now.join(edges, now.node == edges.src).select("target", F.col("dst").alias("node"), "score", F.lit(number).alias("round"), (F.col("place") * F.lit(1 << 32) + F.col("pos")).alias("pos"))
-        every = queue.unionByName(found).join(visited.select("target", "node"), ["target", "node"], "left_anti")
-        key = F.struct((-F.col("score")).alias("s"), "round", "pos") if order == "focused" else F.struct("round", "pos")
-        queue = shared_table(every.groupBy("target", "node").agg(F.min_by(F.struct("score", "round", "pos"), key).alias("q")).select("target", "node", "q.score", "q.round", "q.pos"), "queue")
-    return visited
+    return state.select("target", F.posexplode("read").alias("place", "node")).withColumn("place", F.col("place") + 1)
 
 
 def harvest_at(visits: DataFrame, ks: list[int]) -> DataFrame:

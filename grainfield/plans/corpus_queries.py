@@ -327,23 +327,75 @@ def bfs_levels(spark, d):
     return frontier.reach(_edges(spark, d), spark.createDataFrame([(1,)], "node long"))
 
 
-LINK_SQL = "SELECT event_id AS pos, user_id % 20 AS target, 'https://s.de/' || cast(event_id % 97 as string) || '/' AS url, round(coalesce(value, 0), 4) AS cpe_score FROM events"
+LINK_SQL = "SELECT event_id AS pos, user_id % 20 AS target, 'https://s.de/' || cast(event_id % 97 as string) || '/' AS url, coalesce(value, 0) > 40 AS is_priority, event_id % 5 = 0 AS is_document FROM events"
+QUEUE_SQL = (
+    f"WITH l AS (SELECT *, {{front}} AS front FROM ({LINK_SQL})), f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pos) AS n FROM l WHERE pos % 97 >= 10) SELECT target, "
+    f"cast(row_number() OVER (PARTITION BY target ORDER BY front DESC, CASE WHEN front THEN -n ELSE n END) AS integer) AS place, url FROM f WHERE n <= 300"
+)
 
 
-@query("frontier_round", (
-    f"SELECT target, pos, url, cpe_score, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY target "
-    f"ORDER BY cpe_score DESC, pos) AS place FROM (SELECT *, row_number() OVER (PARTITION BY target, url ORDER BY cpe_score DESC, pos) AS r "
-    f"FROM ({LINK_SQL}) WHERE pos % 97 >= 10) WHERE r = 1) WHERE place <= 30"
-))
-def frontier_round(spark, d):
+def _links(spark, d):
     e = table(spark, d, "events")
-    links = e.select(F.col("event_id").alias("pos"), (F.col("user_id") % 20).alias("target"), F.concat(F.lit("https://s.de/"), (F.col("event_id") % 97).cast("string"), F.lit("/")).alias("url"), F.round(F.coalesce("value", F.lit(0.0)), 4).alias("cpe_score"))
+    url = F.concat(F.lit("https://s.de/"), (F.col("event_id") % 97).cast("string"), F.lit("/"))
+    links = e.select(F.col("event_id").alias("pos"), (F.col("user_id") % 20).alias("target"), url.alias("url"), (F.coalesce("value", F.lit(0.0)) > 40).alias("is_priority"), (F.col("event_id") % 5 == 0).alias("is_document"))
     visited = links.where("pos % 97 < 10").select("target", "url").union(links.select("target", F.explode(F.array(*[F.lit(f"https://s.de/{i}") for i in range(10)])).alias("url")))
-    return frontier.frontier_round(links, visited, 30)
+    return links, visited
+
+
+@query("frontier_round", QUEUE_SQL.replace("{front}", "is_priority AND NOT is_document"))
+def frontier_round(spark, d):
+    return frontier.frontier_round(*_links(spark, d), 300)
+
+
+@query("frontier_fifo", QUEUE_SQL.replace("{front}", "false"))
+def frontier_fifo(spark, d):
+    return frontier.frontier_round(*_links(spark, d), 300, "fifo")
+
+
+BUDGET, CAP = 12, 25
+FITS = "e.ok AND NOT list_contains(seen, e.node) AND NOT list_contains(hashes, e.hash)"
+CRAWL_SQL = (
+    f"WITH RECURSIVE e AS ({EDGES}), p AS (SELECT DISTINCT dst AS node, dst % 11 <> 0 AS ok, 'h' || cast(abs(dst) % 120 AS string) AS hash FROM e), "
+    f"l AS (SELECT src AS now, list({{'node': node, 'ok': ok, 'hash': hash, 'front': {{front}}}} ORDER BY dst) AS links FROM (SELECT *, (src + dst) % 3 = 0 AS is_priority, "
+    f"dst % 7 = 0 AS is_document FROM e) JOIN p ON dst = node GROUP BY 1), "
+    f"s AS (SELECT n_name AS target, [{{'node': node, 'ok': ok, 'hash': hash}}] AS queue, cast([] AS bigint[]) AS seen, cast([] AS varchar[]) AS hashes, cast([] AS bigint[]) AS read, 0 AS step "
+    f"FROM (SELECT n_name, -min(s_suppkey) AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) JOIN p USING (node) UNION ALL "
+    f"SELECT target, list_concat(list_concat(list_transform(list_reverse(list_filter(put, lambda x: x.front)), lambda x: {{'node': x.node, 'ok': x.ok, 'hash': x.hash}}), queue), "
+    f"list_transform(list_filter(put, lambda x: NOT x.front), lambda x: {{'node': x.node, 'ok': x.ok, 'hash': x.hash}})), seen, hashes, read, step FROM ("
+    f"SELECT t.*, list_slice(list_filter(coalesce(links, []), lambda x: NOT list_contains(seen, x.node)), 1, {CAP} - len(queue)) AS put FROM ("
+    f"SELECT target, list_slice(queue, hit + 1, len(queue)) AS queue, list_concat(seen, list_transform(list_slice(queue, 1, hit), lambda e: e.node)) AS seen, list_append(hashes, queue[hit].hash) AS hashes, list_append(read, queue[hit].node) AS read, queue[hit].node AS now, step + 1 AS step "
+    f"FROM (SELECT *, list_position(list_transform(queue, lambda e: {FITS}), true) AS hit FROM s WHERE step < {BUDGET}) WHERE hit > 0) t LEFT JOIN l USING (now))) "
+)
+VISITS_SQL = CRAWL_SQL + "SELECT '{mode}' AS mode, target, unnest(range(1, len(read) + 1)) AS place, unnest(read) AS node FROM s WHERE step > 0 QUALIFY row_number() OVER (PARTITION BY target ORDER BY step DESC) = 1"
+BOTH_SQL = " UNION ALL ".join(f"SELECT * FROM ({VISITS_SQL.replace('{mode}', m).replace('{front}', f)})" for m, f in (("focused", "is_priority AND NOT is_document"), ("fifo", "false")))
+
+
+def _crawls(spark, d):
+    """The same graph read in both orders: every nation's first supplier is where its crawl starts."""
+    edges = frontier.shared_table(_edges(spark, d), "edges").withColumns({"pos": F.col("dst"), "is_priority": (F.col("src") + F.col("dst")) % 3 == 0, "is_document": F.col("dst") % 7 == 0})
+    pages = edges.select(F.col("dst").alias("node")).distinct().select("node", (F.col("node") % 11 != 0).alias("ok"), F.concat(F.lit("h"), (F.abs("node") % 120).cast("string")).alias("hash"))
+    nation = table(spark, d, "nation")
+    seeds = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("target")).agg((-F.min("s_suppkey")).alias("node"))
+    seeds = seeds.join(pages.select("node"), "node", "left_semi")
+    runs = [frontier.crawl(edges, seeds, BUDGET, CAP, order, pages).withColumn("mode", F.lit(order)) for order in ("focused", "fifo")]
+    return runs[0].unionByName(runs[1])
+
+
+@query("crawl_visits", f"SELECT mode, target, cast(place AS integer) AS place, node FROM ({BOTH_SQL})")
+def crawl_visits(spark, d):
+    return _crawls(spark, d).select("mode", "target", "place", "node")
+
+
+@query("crawl_harvest", (
+    f"SELECT mode AS scenario, round(coalesce(avg(CASE WHEN rich THEN 1.0 ELSE 0.0 END) FILTER (place <= 5), 0), 4) AS hr_at_5, round(coalesce(avg(CASE WHEN rich THEN 1.0 ELSE 0.0 END) "
+    f"FILTER (place <= 12), 0), 4) AS hr_at_12 FROM ({BOTH_SQL}) JOIN (SELECT c_custkey AS node, c_acctbal > 4500 AS rich FROM customer UNION ALL SELECT -s_suppkey, s_acctbal > 4500 FROM supplier) USING (node) GROUP BY 1"
+))
+def crawl_harvest(spark, d):
+    rich = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_acctbal") > 4500).alias("is_relevant"))
+    rich = rich.union(table(spark, d, "supplier").select(-F.col("s_suppkey"), F.col("s_acctbal") > 4500))
+    return frontier.harvest_at(_crawls(spark, d).join(rich, "node").withColumnRenamed("mode", "scenario"), [5, 12])
 
 
 @query("first_links", f"SELECT target, url, min(pos) AS pos FROM ({LINK_SQL}) GROUP BY 1, 2")
 def first_links(spark, d):
-    e = table(spark, d, "events")
-    links = e.select(F.col("event_id").alias("pos"), (F.col("user_id") % 20).alias("target"), F.concat(F.lit("https://s.de/"), (F.col("event_id") % 97).cast("string"), F.lit("/")).alias("url"))
-    return first_per_key(links, ["target", "url"], "pos").select("target", "url", "pos")
+    return first_per_key(_links(spark, d)[0], ["target", "url"], "pos").select("target", "url", "pos")

@@ -1,5 +1,6 @@
 """Operators against plain Python."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -109,32 +110,83 @@ def test_robots_as_the_standard_parser(spark):
     assert free.allowed and {r.delay for r in html.robots_allowed(urls, rules, "bot").collect()} == {None, 3.0}
 
 
-def plain_crawl(links, seed, budget, order):
-    queue, seen, out, number = [(-1.0, 0, 0, seed)], {seed}, [], 0
-    queue = {seed: (1.0, 0, 0)}
+RULES = {"focused": lambda prio, doc: prio and not doc, "documents_first": lambda prio, doc: prio or doc, "fifo": lambda prio, doc: False}
+
+
+def plain_put(queue, links, visited, cap, rule, once):
+    """The queue as a list, links put in one after the other."""
+    for url, prio, doc in links:
+        if len(queue) >= cap:
+            break
+        if url in visited or once and url in queue:
+            continue
+        if rule(prio, doc):
+            queue.insert(0, url)
+        else:
+            queue.append(url)
+
+
+def plain_crawl(links, pages, seed, budget, cap, rule, once):
+    queue, visited, hashes, out = [seed], set(), set(), []
     while queue and len(out) < budget:
-        number += 1
-        key = (lambda n: (-queue[n][0], queue[n][1], queue[n][2], n)) if order == "focused" else (lambda n: (queue[n][1], queue[n][2], n))
-        now = min(queue, key=key)
+        now = queue.pop(0)
+        if now in visited:
+            continue
+        visited.add(now)
+        ok, digest = pages.get(now, (False, None))
+        if not ok or digest is not None and digest in hashes:
+            continue
+        hashes.add(digest)
+        plain_put(queue, links.get(now, []), visited, cap, rule, once)
         out.append(now)
-        del queue[now]
-        for k, (dst, score) in enumerate(links.get(now, [])):
-            new = (score, number, k)
-            if dst not in out and (dst not in queue or order == "focused" and (-score, number, k) < (-queue[dst][0], *queue[dst][1:])):
-                queue[dst] = new
     return out
 
 
-def test_crawl_with_budget(spark, sf):
-    links = {1: [(2, 0.1), (3, 0.9), (4, 0.5)], 3: [(5, 0.05), (2, 0.8), (1, 1.0)], 2: [(6, 0.7)], 4: [(6, 0.2), (7, 0.3)]}
-    edges = spark.createDataFrame([(s, t, x, k) for s, ds in links.items() for k, (t, x) in enumerate(ds)], "src int, dst int, score double, pos long")
-    seeds = spark.createDataFrame([("t", 1)], "target string, node int")
-    for order in ("focused", "fifo"):
-        for budget in (3, 20):
-            got = [r.node for r in frontier.crawl(edges, seeds, budget, 1, order).orderBy("place").collect()]
-            assert got == plain_crawl(links, 1, budget, order), (order, budget)
-    every = frontier.crawl(edges, seeds, 20, 100).collect()
-    assert sorted(r.node for r in every) == [1, 2, 3, 4, 5, 6, 7] and sorted(r.node for r in frontier.reach(edges, seeds.select("node")).collect()) == [1, 2, 3, 4, 5, 6, 7]
+def test_frontier_rounds_as_a_list(spark):
+    """Both ends, ties, repeats, a queue that is full before or while links go in; keys of urls tell pages apart."""
+    rng = random.Random(2)
+    url = lambda i: f"https://h.de/{i}/"
+    links = {t: [(url(rng.randrange(30)), rng.random() < 0.4, rng.random() < 0.3) for _ in range(rng.randrange(40))] for t in range(12)}
+    visited = {t: {url(rng.randrange(30)) for _ in range(5)} for t in range(12)}
+    queue = {t: [url(rng.randrange(30)) for _ in range(rng.randrange(12))] for t in range(0, 12, 2)}
+    rows = spark.createDataFrame([(t, i, *x) for t, xs in links.items() for i, x in enumerate(xs)], "target int, pos long, url string, is_priority boolean, is_document boolean")
+    gone = spark.createDataFrame([(t, u.rstrip("/") + "#x") for t, us in visited.items() for u in us], "target int, url string")
+    held = spark.createDataFrame([(t, i + 1, u) for t, us in queue.items() for i, u in enumerate(us)], "target int, place int, url string")
+    for order, rule in RULES.items():
+        for once in (False, True):
+            for waiting, cap in ((held, 10), (held, 300), (None, 7)):
+                want = {}
+                for t in links:
+                    line = list(queue.get(t, [])) if waiting is not None else []
+                    plain_put(line, links[t], visited[t], cap, rule, once)
+                    want |= {(t, i + 1): u for i, u in enumerate(line)}
+                got = frontier.frontier_round(rows, gone, cap, order, waiting, once).collect()
+                assert {(r.target, r.place): r.url for r in got} == want and len(got) == len(want), (order, once, cap)
+    mine = frontier.frontier_round(rows, gone, 300, F.col("url").endswith("1/")).collect()  # a rule of one's own
+    line = []
+    plain_put(line, [(u, u.endswith("1/"), False) for u, _, _ in links[0]], visited[0], 300, RULES["focused"], False)
+    assert [r.url for r in sorted(mine, key=lambda r: r.place) if r.target == 0] == line
+
+
+def test_crawls_as_a_list(spark):
+    """Several targets over one graph, with blocked pages, equal contents, small queues, budgets that are not reached."""
+    rng = random.Random(3)
+    links = {s: [(rng.randrange(60), rng.random() < 0.4, rng.random() < 0.3) for _ in range(rng.randrange(9))] for s in range(50)}
+    pages = {n: (rng.random() < 0.8, rng.choice([None, *"abcdefghijklmnopqrstuvwxyz"])) for n in range(55)}
+    edges = spark.createDataFrame([(s, d, i, p, f) for s, ds in links.items() for i, (d, p, f) in enumerate(ds)], "src int, dst int, pos long, is_priority boolean, is_document boolean")
+    seeds = spark.createDataFrame([(f"t{n}", n) for n in (0, 1, 2, 3, 54, 59)], "target string, node int")
+    table = spark.createDataFrame([(n, *x) for n, x in pages.items()], "node int, ok boolean, hash string")
+    for order, budget, cap, once, known in (("focused", 9, 6, False, True), ("fifo", 7, 300, True, True), ("documents_first", 7, 5, False, False)):
+        got = {}
+        for r in frontier.crawl(edges, seeds, budget, cap, order, table if known else None, once).orderBy("place").collect():
+            got.setdefault(r.target, []).append(r.node)
+        all_ok = {n: (True, None) for n in range(60)}
+        want = {f"t{n}": plain_crawl(links, pages if known else all_ok, n, budget, cap, RULES[order], once) for n in (0, 1, 2, 3, 54, 59)}
+        assert got == {t: x for t, x in want.items() if x}, order
+    assert frontier.crawl(edges, seeds.limit(0), 3).collect() == []
+    near = edges.where("src < 12 and dst < 12")
+    nodes = {r.node for r in frontier.crawl(near, seeds.where("node = 0"), 12, 1000).collect()}
+    assert nodes == {r.node for r in frontier.reach(near, seeds.where("node = 0").select("node")).collect()}
 
 
 def test_classifier_by_plain_python(spark):
