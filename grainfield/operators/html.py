@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,79 +21,147 @@ CONTEXT = {"p", "li", "div", "td"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 # What marks a page that a browser has to render, and when its text is too short.
 SPA_MARKERS = r'<div id="(root|app|__next)"|ng-app|data-reactroot|window\.__nuxt__'
-SHORT_HTML, SHORT_BLOCK, LONG_BLOCK, MOST_BLOCKS, MOST_CONTEXT = 500, 100, 500, 10, 300
+SHORT_HTML, SHORT_BLOCK, LONG_BLOCK, MOST_BLOCKS, MOST_CONTEXT, MOST_ANCHOR = 500, 100, 500, 10, 300, 200
+DEEPEST = 256
+# What a start tag ends, as HTML says: elements, each unless one of those after it lies between.
+PARAGRAPH_ENDS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+_TABLE, _SCOPE = frozenset({"table"}), frozenset({"button", "table", "td", "th"})
+ENDED_BY = {t: (("p", _SCOPE),) for t in PARAGRAPH_ENDS} | {
+    "li": (("li", frozenset({"ul", "ol"})),), "dt": (("dt", frozenset({"dl"})), ("dd", frozenset({"dl"}))), "dd": (("dt", frozenset({"dl"})), ("dd", frozenset({"dl"}))),
+    "tr": (("tr", _TABLE),), "td": (("td", _TABLE | {"tr"}), ("th", _TABLE | {"tr"})), "th": (("td", _TABLE | {"tr"}), ("th", _TABLE | {"tr"})), "option": (("option", frozenset({"select"})),),
+}
+TAG = re.compile("<[a-zA-Z/!?]")
 DOCUMENT = r'https?://[^\s"<>]+\.[pP][dD][fF]'
 
 
+class _Stream:
+    """Texts joined by blanks, with their length, so that a place in it tells where later text will stand."""
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.size = 0
+
+    def add(self, text: str) -> None:
+        self.size += len(text) + (self.size > 0)
+        self.texts.append(text)
+
+    def after(self) -> int:
+        """Where the next text will begin."""
+        return self.size + (self.size > 0)
+
+
 class _Page(HTMLParser):
-    """Collects text nodes with the open elements around them, and links."""
+    """Text, links, and the place of every block and link context in the text: each is kept once, however deep elements lie.
+
+    Elements that are not closed end where HTML says (a new item ends the last one of its list, a block a paragraph) or with
+    the one around them; an end tag without its element is passed over.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int]] = []
-        self.number = 0
-        self.nodes: list[tuple[str, tuple[tuple[str, int], ...]]] = []
+        self.open: list[tuple[str, list | None, list | None]] = []  # tag, span as a block, span as a context
+        self.count: Counter = Counter()
+        self.kept, self.shown = _Stream(), _Stream()  # without DROPPED elements; without scripts and styles
+        self.blocks: list[list[int]] = []
+        self.contexts: list[list[int]] = []  # the spans of the open contexts
+        self.nested = 0
         self.links: list[dict] = []
         self.inside: dict | None = None
 
     def handle_starttag(self, tag, attrs):
-        self.number += 1
+        for closed, until in ENDED_BY.get(tag, ()):
+            self._end(closed, until)
         if tag == "a" and (href := dict(attrs).get("href")) is not None:
-            self.inside = {"href": href.strip(), "path": tuple(self.open), "text": []}
+            self.inside = {"href": href.strip(), "near": self.contexts[-1] if self.contexts else None, "text": [], "size": 0}
             self.links.append(self.inside)
-        if tag not in VOID:
-            self.open.append((tag, self.number))
+        if tag in VOID:
+            return
+        block = context = None
+        if tag in BLOCKS:
+            self.nested += 1
+            if self.nested <= DEEPEST:
+                block = [self.kept.after(), -1]
+                self.blocks.append(block)
+        if tag in CONTEXT:
+            context = [self.shown.after(), -1]
+            self.contexts.append(context)
+        self.count[tag] += 1
+        self.open.append((tag, block, context))
+
+    def _pop(self) -> str:
+        tag, block, context = self.open.pop()
+        self.count[tag] -= 1
+        if block is not None:
+            block[1] = self.kept.size
+        if tag in BLOCKS:
+            self.nested -= 1
+        if context is not None:
+            context[1] = self.shown.size
+            self.contexts.pop()
+        return tag
+
+    def _end(self, tag: str, until: frozenset = frozenset()) -> None:
+        """Ends the innermost such element and those in it, unless one of `until` lies between."""
+        if not self.count[tag]:
+            return
+        if until:
+            for inner, _, _ in reversed(self.open):
+                if inner in until:
+                    return
+                if inner == tag:
+                    break
+        while self._pop() != tag:
+            pass
 
     def handle_endtag(self, tag):
         if tag == "a":
             self.inside = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        self._end(tag)
 
     def handle_data(self, data):
-        if text := " ".join(data.split()):
-            self.nodes.append((text, tuple(self.open)))
-            if self.inside is not None:
-                self.inside["text"].append(text)
-
-
-def _parse(html: str | None) -> tuple[str, list[str], list[dict]]:
-    page = _Page()
-    page.feed(html or "")
+        if not (text := " ".join(data.split())):
+            return
+        if not any(self.count[t] for t in DROPPED):
+            self.kept.add(text)
+        if not (self.count["script"] or self.count["style"]):
+            self.shown.add(text)
+        if self.inside is not None and self.inside["size"] < MOST_ANCHOR:
+            self.inside["text"].append(text)
+            self.inside["size"] += len(text) + 1
+
+
+def _parse(html: str | None) -> tuple[str, list[dict], list[dict]]:
+    page, html = _Page(), html or ""
+    page.feed(html[: end.start()] if (end := TAG.search(html, html.rfind(">") + 1)) else html)  # a tag that never ends is none, and is looked for once
     page.close()
-    kept = [(t, p) for t, p in page.nodes if not any(tag in DROPPED for tag, _ in p)]
-    blocks: dict[int, list[str]] = {}
-    around: dict[int, list[str]] = {}
-    room: dict[int, int] = {}
-    for t, p in kept:
-        for tag, n in p:
-            if tag in BLOCKS:
-                blocks.setdefault(n, []).append(t)
-    near = {next((n for tag, n in reversed(x["path"]) if tag in CONTEXT), None) for x in page.links}
-    for t, p in page.nodes:  # only what links refer to, and of that what their context can hold
-        if not any(tag in ("script", "style") for tag, _ in p):
-            for tag, n in p:
-                if n in near and room.get(n, 0) < MOST_CONTEXT:
-                    around.setdefault(n, []).append(t)
-                    room[n] = room.get(n, 0) + len(t) + 1
-    links = []
-    for x in page.links:
-        near = next((n for tag, n in reversed(x["path"]) if tag in CONTEXT), None)
-        links.append({"href": x["href"], "anchor": " ".join(x["text"])[:200], "context": " ".join(around.get(near, []))[:MOST_CONTEXT]})
-    return " ".join(t for t, _ in kept), [" ".join(blocks[n]) for n in sorted(blocks)], links
+    while page.open:
+        page._pop()
+    shown = " ".join(page.shown.texts)
+    blocks = [{"start": start, "size": end - start} for start, end in page.blocks if end > start]
+    context = lambda near: shown[near[0] : min(near[1], near[0] + MOST_CONTEXT)] if near else ""
+    links = [{"href": x["href"], "anchor": " ".join(x["text"])[:MOST_ANCHOR], "context": context(x["near"])} for x in page.links]
+    return " ".join(page.kept.texts), blocks, links
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, blocks, links of every page; null html is an empty page."""
+    """page_id, url, text, blocks, links of every page; null html is an empty page.
+
+    blocks are the places (start from 0, size) of the elements with text of their own in the page's text, in order of their
+    begin; block_texts() gives their texts. A block inside more than DEEPEST others is not listed; its text is part of theirs.
+    """
 
     def run(frames):
         for frame in frames:
             text, blocks, links = zip(*map(_parse, frame["html"])) if len(frame) else ((), (), ())
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text, "blocks": blocks, "links": links})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, blocks array<string>, links array<struct<href:string,anchor:string,context:string>>")
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, blocks array<struct<start:int,size:int>>, links array<struct<href:string,anchor:string,context:string>>")
+
+
+def block_texts(blocks: Column | str = "blocks", text: Column | str = "text") -> Column:
+    """The texts of a page's blocks."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.transform(blocks, lambda b: F.substring(text, b["start"] + 1, b["size"]))
 
 
 def resolve(href: Column, base: Column) -> Column:
@@ -133,8 +203,8 @@ def pattern_only(every: DataFrame) -> DataFrame:
 
 def content_blocks(parsed: DataFrame, model: dict[str, list[str]], least: float = 0.05) -> DataFrame:
     """page_id, pos, block, score: the first blocks that are long enough and score."""
-    long = F.filter("blocks", lambda b: F.length(b) > SHORT_BLOCK)
-    rows = parsed.select("page_id", F.posexplode(long).alias("pos", "block"))
+    long = F.filter("blocks", lambda b: b["size"] > SHORT_BLOCK)
+    rows = parsed.select("page_id", "text", F.posexplode(long).alias("pos", "b")).select("page_id", "pos", F.substring("text", F.col("b.start") + 1, F.col("b.size")).alias("block"))
     rows = with_hits(rows, "block", model, "_hits").withColumn("score", coverage_score(F.col("_hits"), model)).where(F.col("score") > least)
     best = rows.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", F.substring("block", 1, LONG_BLOCK).alias("block"), "score"))), 1, MOST_BLOCKS).alias("b"))
     return best.select("page_id", F.inline("b"))

@@ -72,7 +72,7 @@ def test_html_blocks_and_harvest_by_plain_python(spark, sf):
     parsed = {r.page_id: r for r in html.parse_pages(table(spark, sf, "pages")).collect()}
     want = set()
     for i, r in parsed.items():
-        kept = [(k, b[:500]) for k, b in enumerate([b for b in r.blocks if len(b) > 100]) if plain_score(b) > 0.05]
+        kept = [(k, b[:500]) for k, b in enumerate([b for b in (r.text[x.start : x.start + x.size] for x in r.blocks) if len(b) > 100]) if plain_score(b) > 0.05]
         want |= {(i, k, b) for k, b in kept[:10]}
     assert {(r.page_id, r.pos, r.block) for r in page_queries.QUERIES["html_blocks"](spark, sf).collect()} == want
     rows = page_queries.QUERIES["harvest_pages"](spark, sf).collect()
@@ -82,9 +82,33 @@ def test_html_blocks_and_harvest_by_plain_python(spark, sf):
 
 
 def test_parser_blocks_and_context(spark):
-    page = "<div>a <p>b <a href='/x'>c</a> d</p><section>e</section></div><script>no</script><p>" + "w " * 400 + "<a href='/y'>z</a></p>"
-    one = html.parse_pages(spark.createDataFrame([(1, "https://h.de/", page)], "page_id long, url string, html string")).first()
-    assert one.blocks == ["a b c d e", "e"] and one.links[0].context == "b c d" and one.links[1].context == ("w " * 400)[:300].strip() + " " * 0 or len(one.links[1].context) <= 300
+    page = "<div>a <p>b <a href='/x'>c</a> d</p><nav>n</nav><section>e</section></div><script>no</script><div></div><p>" + "w " * 400 + "<a href='/y'>z</a></p>"
+    parsed = html.parse_pages(spark.createDataFrame([(1, "https://h.de/", page)], "page_id long, url string, html string"))
+    one = parsed.select("text", "links", html.block_texts().alias("blocks")).first()
+    assert one.text == "a b c d e " + "w " * 400 + "z" and one.blocks == ["a b c d e", "e"]
+    assert [x.context for x in one.links] == ["b c d", ("w " * 400)[:300]] and [x.anchor for x in one.links] == ["c", "z"]
+
+
+def test_parser_ends_elements_as_html_does():
+    text, _, links = html._parse("<ul><li>a <a href=1>x</a><li>b <a href=2>y</a><ul><li>c<li>d <a href=3>z</a></ul>e <a href=4>u</a></ul><p>f <a href=5>v</a><p>g <a href=6>w</a><div>h</b></div></i> <table><tr><td>i <a href=7>t</a><td>j<tr><td>k</table>")
+    assert [x["context"] for x in links] == ["a x", "b y c d z e u", "d z", "b y c d z e u", "f v", "g w", "i t"] and text == "a x b y c d z e u f v g w h i t j k"
+    assert html._parse(None) == ("", [], []) and html._parse("</div>a<br/>b</p>c < d <a href='")[0] == "a b c < d"
+
+
+def test_parser_is_linear():
+    """A megabyte of elements that nobody closes, closed twice, or in one another."""
+    import time
+    import tracemalloc
+
+    for bit in ("<li>ab ", "<p>ab ", "<div>ab ", "<div>ab <a href='/x'>c", "<b>a</i>", "<nav>", "<td>a<table>", "<div>a</p></div></div>", "<ul><li>a", "<!-", "<a <a ", "<a href='", "</"):
+        began = time.time()
+        text, blocks, links = html._parse(bit * (1_000_000 // len(bit)))
+        assert time.time() - began < 20 and len(text) <= 1_000_000, bit
+        assert sum(b["size"] for b in blocks) <= html.DEEPEST * max(1, len(text))
+    tracemalloc.start()
+    html._parse("<div>ab " * 20_000)
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
 
 
 def test_robots_as_the_standard_parser(spark):
