@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainfield.operators.tables import first_rows
+
 
 def assemble_text(parts: DataFrame, key: str, limit: int, *order: str) -> DataFrame:
     """Per key the parts (url, text) in order, each under its url, cut at the limit.
 
-    A running length drops the parts that begin beyond the limit before any are gathered, and each is cut at the limit, so
-    that a key of any size gathers at most the limit and one part.
+    Every part takes at least its mark, so only so many parts of a key can matter; they are picked in many tasks. A running
+    length then drops those that begin beyond the limit before any are gathered, and each is cut at the limit, so that a key of
+    any size gathers at most the limit and one part.
     """
     item = F.concat(F.lit("=== "), F.coalesce("url", F.lit("")), F.lit(" ===\n"), F.coalesce("text", F.lit("")))
-    line = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = parts.select(key, *order, F.substring(item, 1, limit).alias("_t"), (F.length(item) + 2).alias("_n"))
-    near = rows.withColumn("_at", F.coalesce(F.sum("_n").over(line), F.lit(0))).where(F.col("_at") < limit)
-    joined = near.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_t"))), lambda x: x["_t"]), "\n\n").alias("text"))
+    line = Window.partitionBy(key).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.select(key, *order, F.substring(item, 1, limit).alias("_t"), (F.length(item) + 2).alias("_size"))
+    rows = first_rows(rows, key, limit // len("===  ===\n\n\n") + 1, *order)
+    near = rows.withColumn("_at", F.coalesce(F.sum("_size").over(line), F.lit(0))).where(F.col("_at") < limit)
+    joined = near.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_t"))), lambda x: x["_t"]), "\n\n").alias("text"))
     return joined.select(key, F.substring("text", 1, limit).alias("text"))
 
 
@@ -104,15 +108,17 @@ def changed_pages(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return new.join(old.select(*key, F.col("hash").alias("_old")), key, "left").where(~F.col("hash").eqNullSafe(F.col("_old"))).select(*key, "hash", F.col("_old").isNull().alias("is_new"))
 
 
-def page_hash_map(rows: DataFrame, target: str, url_key: str, hash_col: str, most: int = 10_000) -> DataFrame:
-    """Per target a map from url key to hash; of a repeated key the least hash.
+def page_hash_map(rows: DataFrame, target: str, url_key: str, hash_col: str, size: int = 10_000) -> DataFrame:
+    """Target, piece, pieces, page_hashes: a target's map from url key to hash, of a repeated key the least hash.
 
-    The map is a column of the target's row, so a target holds as many entries as its page budget (W6) lets it visit: the
-    first `most` keys in order. For targets of any size page_hashes() keeps the entries as rows.
+    A map of any size is kept whole, as numbered pieces of about `size` keys (by a hash of the key), so that no row grows with
+    its target; together they are the target's map. A target of up to `size` keys is one piece. page_hashes() keeps the entries as rows.
     """
-    place = F.row_number().over(Window.partitionBy(target).orderBy(url_key))
-    few = page_hashes(rows, target, url_key, hash_col).withColumn("_n", place).where(F.col("_n") <= most)
-    return few.groupBy(target).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(url_key, "h")))).alias("page_hashes"))
+    entries = page_hashes(rows, target, url_key, hash_col)
+    sizes = entries.groupBy(F.col(target).alias("_target")).agg(F.ceil(F.count("*") / size).cast("int").alias("pieces"))
+    dealt = F.conv(F.substring(F.md5(F.col(url_key).cast("string")), 1, 8), 16, 10).cast("long")
+    entries = entries.where(F.col(url_key).isNotNull()).join(sizes, F.col(target).eqNullSafe(F.col("_target"))).withColumn("piece", (dealt % F.col("pieces")).cast("int"))
+    return entries.groupBy(target, "piece", "pieces").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(url_key, "h")))).alias("page_hashes"))
 
 
 def page_hashes(rows: DataFrame, target: str, url_key: str, hash_col: str) -> DataFrame:

@@ -33,21 +33,42 @@ def daily_counter(df: DataFrame, ts: str, tie: str, out: str, seconds: int = 600
     return rows.join(before, ["_p0", "_bucket"]).withColumn(out, (F.col("_before") + F.row_number().over(inner)).cast("int")).drop("_p0", "_bucket", "_before")
 
 
-def crawl_delay_audit(visits: DataFrame, least: float) -> DataFrame:
-    """Seconds since the last visit to the host, and whether that kept the delay."""
-    before = F.lag("ts").over(Window.partitionBy("host").orderBy("ts", "pos"))
-    gap = F.timestamp_diff("SECOND", before, F.col("ts"))
-    return visits.withColumn("gap_seconds", gap).withColumn("too_early", F.coalesce(gap < least, F.lit(False)))
+def crawl_delay_audit(visits: DataFrame, least: float, seconds: int = 3600) -> DataFrame:
+    """Seconds since the last visit to the host, and whether that kept the delay.
+
+    A host's visits are dealt by pieces of time; the first of a piece looks back at the last one of the host's piece before, of
+    which only its time is carried over. So a host with any share of the rows is many tasks. Visits without a time are one piece.
+    """
+    rows = visits.withColumn("_piece", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000)))
+    ends = rows.groupBy("host", "_piece").agg(F.max("ts").alias("_end"))
+    ends = ends.select(F.col("host").alias("_host"), F.col("_piece").alias("_p"), F.lag("_end").over(Window.partitionBy("host").orderBy("_piece")).alias("_edge"))
+    inner = Window.partitionBy("host", "_piece").orderBy("ts", "pos")
+    rows = rows.withColumns({"_n": F.row_number().over(inner), "_before": F.lag("ts").over(inner)})
+    rows = rows.join(ends, F.col("host").eqNullSafe(F.col("_host")) & F.col("_piece").eqNullSafe(F.col("_p")), "left")
+    gap = F.timestamp_diff("SECOND", F.when(F.col("_n") == 1, F.col("_edge")).otherwise(F.col("_before")), F.col("ts"))
+    return rows.withColumn("gap_seconds", gap).withColumn("too_early", F.coalesce(F.col("gap_seconds") < least, F.lit(False))).select(*visits.columns, "gap_seconds", "too_early")
 
 
 def rate_windows(usage: DataFrame, seconds: int, requests: int, tokens: int, key: str = "ort") -> DataFrame:
     """Per key, requests and tokens of the last seconds at each request, and whether a limit was broken; the day's number of
-    the request; and whether it was too large by itself."""
+    the request; and whether it was too large by itself.
+
+    A key's requests are dealt by pieces of time as long as the window; each counts in its own piece and, carried over, in the
+    next one, so that a window lies within a piece and a key with any share of the rows is many tasks.
+    """
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    back = Window.partitionBy(key).orderBy("at").rangeBetween(-seconds + 1, 0)
-    day = Window.partitionBy(key, F.to_date("ts")).orderBy("ts", "id")
-    out = usage.withColumn("at", at).withColumn("oversize", F.col("tokens") >= tokens).withColumns({"window_requests": F.count("*").over(back), "window_tokens": F.sum("tokens").over(back), "day_request": F.row_number().over(day)})
-    return out.withColumn("over_limit", (F.col("window_requests") > requests) | (F.col("window_tokens") > tokens)).drop("at")
+    piece = F.floor(F.col("_at") / seconds)
+    rows = usage.withColumn("_at", at).withColumn("_piece", F.explode(F.array(piece, piece + 1)))
+    back = Window.partitionBy(key, "_piece").orderBy("_at").rangeBetween(-seconds + 1, 0)
+    rows = rows.withColumns({"window_requests": F.count("*").over(back), "window_tokens": F.sum("tokens").over(back)}).where(piece == F.col("_piece")).drop("_at", "_piece")
+    names = ["_p0", "_p1", "_bucket"]
+    rows, before = _buckets(rows, F.lit(1), "ts", [F.col(key), F.to_date("ts")], 600)
+    within = Window.partitionBy(*names).orderBy("ts", "id")
+    before = before.select(*[F.col(c).alias(f"_j{c}") for c in names], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_j{c}")) for c in names]
+    rows = rows.withColumn("_n", F.row_number().over(within)).join(before, same[0] & same[1] & same[2], "left")
+    rows = rows.withColumns({"oversize": F.col("tokens") >= tokens, "day_request": (F.col("_before") + F.col("_n")).cast("int")})
+    return rows.withColumn("over_limit", (F.col("window_requests") > requests) | (F.col("window_tokens") > tokens)).select(*usage.columns, "oversize", "window_requests", "window_tokens", "day_request", "over_limit")
 
 
 def session_totals(usage: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006

@@ -19,6 +19,13 @@ def first_per_key(df: DataFrame, key: Sequence[str | Column], *order: Column | s
     return least.select(*[F.col(f"_r.`{c}`").alias(c) for c in df.columns])
 
 
+def first_rows(df: DataFrame, key: str, most: int, *order: str) -> DataFrame:
+    """The first `most` rows of each key, with their number `_n`. A key with any share of the rows is cut down in many tasks first."""
+    parts = [F.pmod(F.xxhash64(*order), F.lit(64)).alias("_salt")]
+    cut = df.select("*", *parts).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))).where(F.col("_n") <= most).drop("_salt")
+    return cut.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= most)
+
+
 def upsert(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """K1-K3: rows of base without a match in new, and the rows of new (whose keys are unique)."""
     return base.join(new.select(*key), list(key), "left_anti").unionByName(new)

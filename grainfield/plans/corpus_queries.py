@@ -271,11 +271,14 @@ def change_detection(spark, d):
     return corpus.changed_pages(docs.where("doc_id % 9 <> 0").select("doc_id", F.sha2("text", 256).alias("hash")), new, ["doc_id"])
 
 
-@query("page_hash_map", f"SELECT host, string_agg(k || '=' || h, ';' ORDER BY k, h) AS hashes FROM (SELECT {HOST} AS host, {COMPARE} AS k, min(sha256(html)) AS h FROM pages GROUP BY 1, 2) GROUP BY 1")
+@query("page_hash_map", (
+    f"WITH e AS (SELECT {HOST} AS host, {COMPARE} AS k, min(sha256(html)) AS h FROM pages GROUP BY 1, 2), s AS (SELECT host, cast(ceil(count(*) / 50.0) AS integer) AS pieces FROM e GROUP BY 1) "
+    f"SELECT host, cast(cast('0x' || substr(md5(k), 1, 8) AS bigint) % pieces AS integer) AS piece, pieces, string_agg(k || '=' || h, ';' ORDER BY k, h) AS hashes FROM e JOIN s USING (host) GROUP BY ALL"
+))
 def page_hash_map(spark, d):
     rows = table(spark, d, "pages").select(urls.authority("url").alias("host"), urls.compare_key("url").alias("k"), F.sha2("html", 256).alias("h"))
-    maps = corpus.page_hash_map(rows, "host", "k", "h")
-    return maps.select("host", F.array_join(F.transform(F.array_sort(F.map_entries("page_hashes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("hashes"))
+    maps = corpus.page_hash_map(rows, "host", "k", "h", 50)
+    return maps.select("host", "piece", "pieces", F.array_join(F.transform(F.array_sort(F.map_entries("page_hashes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("hashes"))
 
 
 MEASURE = ("massnahme", "adresse", "start", "ende", "quelle_url")

@@ -247,6 +247,36 @@ def test_running_totals_by_pieces(spark):
     assert len(lines) == 200 and any(x.endswith(f"Session: {total:.6f} $") for x in lines)
 
 
+def test_windows_by_pieces_as_whole_windows(spark):
+    """One key with most of the rows, equal times, rows without a time, gaps longer than a piece."""
+    from pyspark.sql import Window
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aaaaab"), None if i % 97 == 0 else 1_700_000_000 + rng.choice([0, 86_000, 400_000]) + rng.randrange(9000), rng.randrange(50)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, host string, s long, tokens long").withColumn("ts", F.timestamp_seconds("s"))
+    w = Window.partitionBy("host").orderBy("ts", "id")
+    gap = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts"))
+    want = df.select("id", gap.alias("g"), F.coalesce(gap < 30, F.lit(False)).alias("early"))
+    got = operations.crawl_delay_audit(df.withColumn("pos", F.col("id")), 30, 600).select("id", "gap_seconds", "too_early")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    at = df.where("ts is not null")
+    back, day = Window.partitionBy("host").orderBy("s").rangeBetween(-59, 0), Window.partitionBy("host", F.to_date("ts")).orderBy("ts", "id")
+    want = at.select("id", F.count("*").over(back).alias("r"), F.sum("tokens").over(back).alias("t"), F.row_number().over(day).alias("d"))
+    got = operations.rate_windows(at, 60, 3, 100, "host").select("id", "window_requests", "window_tokens", "day_request")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    first = tables.first_rows(df.select("id", "host"), "host", 70, "id").collect()
+    assert sorted((r.host, r._n, r.id) for r in first) == [(h, i + 1, x) for h in "ab" for i, x in enumerate(sorted(r[0] for r in rows if r[1] == h)[:70])]
+
+
+def test_page_maps_are_whole(spark):
+    rows = spark.range(25_000).select(F.lit("big").alias("t"), F.concat(F.lit("/p"), F.col("id").cast("string")).alias("k"), F.lit("h").alias("h"))
+    rows = rows.union(spark.createDataFrame([("small", "/a", "2"), ("small", "/a", "1"), (None, "/n", "1"), ("small", None, "3")], "t string, k string, h string"))
+    found = corpus.page_hash_map(rows, "t", "k", "h").collect()
+    big = [r for r in found if r.t == "big"]
+    assert len(big) == 3 and {r.pieces for r in big} == {3} and len({k for r in big for k in r.page_hashes}) == 25_000 and max(len(r.page_hashes) for r in big) < 11_000
+    assert {(r.t, r.piece): r.page_hashes for r in found if r.t != "big"} == {("small", 0): {"/a": "1"}, (None, 0): {"/n": "1"}}
+
+
 def test_assembled_texts(spark):
     rows = [("a", 2, "v", "zwei"), ("a", 1, "u", "eins"), ("b", 1, None, "x" * 50), ("a", 3, "w", None)]
     got = {r.k: r.text for r in corpus.assemble_text(spark.createDataFrame(rows, "k string, n int, url string, text string"), "k", 30, "n").collect()}
