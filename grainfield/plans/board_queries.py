@@ -8,6 +8,7 @@ from grainfield.operators import operations as O
 from grainfield.operators import tables as T
 from grainfield.plans import dashboard as D
 from grainfield.plans.views import oracle, table
+from grainfield.streaming import jobs
 
 MONTH, NOW, CUT = "1998-07-01 00:00:00", "1998-07-15 12:00:00", "2024-01-30 12:00:00"
 QUERIES, ORACLE_SQL = {}, {}
@@ -294,3 +295,27 @@ def event_counts(spark, d):
 def session_liveness(spark, d):
     one = table(spark, d, "history").groupBy("message", F.session_window("created_at", "6 hours")).agg(F.count("*").alias("n"))
     return one.groupBy("message").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("distinct_content", "SELECT scenario AS target, hash, min(ts) AS ts FROM (SELECT source AS scenario, sha256(text) AS hash, date '2024-01-01' + cast(doc_id AS integer) AS ts FROM documents) GROUP BY 1, 2")
+def distinct_content(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("target"), F.sha2("text", 256).alias("hash"), F.date_add(F.lit("2024-01-01"), F.col("doc_id").cast("int")).alias("ts"))
+    return jobs.distinct_content(docs)
+
+
+@query("request_rates", (
+    "SELECT start, count(*) AS requests, cast(sum(tokens) AS bigint) AS tokens FROM (SELECT tokens, unnest(list_transform(range(0, 6), lambda i: to_timestamp(floor(epoch(ts) / 10) * 10 - 10 * i)::timestamp)) AS start "
+    "FROM usage) GROUP BY 1"
+), "usage")
+def request_rates(spark, d):
+    return jobs.rates(table(spark, d, "usage"))
+
+
+@query("daily_findings", "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM usage GROUP BY 1", "usage")
+def daily_findings(spark, d):
+    return jobs.daily_findings(table(spark, d, "usage"))
+
+
+@query("monthly_findings", "SELECT date_trunc('month', ts) AS month, count(*) AS n FROM usage GROUP BY 1", "usage")
+def monthly_findings(spark, d):
+    return jobs.monthly_findings(table(spark, d, "usage"))

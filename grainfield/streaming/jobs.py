@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from grainfield.operators.corpus import changed_pages
-from grainfield.operators.tables import insert_if_absent
+from grainfield.operators.tables import first_per_key
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
@@ -16,7 +19,9 @@ def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 h
 
 
 def distinct_content(pages: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The first page of each (target, hash) within the watermark."""
+    """The first page of each (target, hash) within the watermark; of a batch, of all."""
+    if not pages.isStreaming:
+        return first_per_key(pages, ["target", "hash"], "ts")
     return pages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["target", "hash"])
 
 
@@ -41,41 +46,84 @@ def monthly_findings(findings: DataFrame, late: str = "32 days") -> DataFrame:
     return months.groupBy("month").agg(F.count("*").alias("n"))
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+def liveness_changes(beats: DataFrame, timeout: str = "2 minutes", late: str = "10 minutes", clock: str = "event") -> DataFrame:
+    """T3 as it happens: run, status, at: "active" with a run's first beat (run, ts), "inactive" as soon as none came for the timeout.
+
+    A run's state is the time of its last beat and a timer. By the event clock the timer fires when the watermark passes it,
+    whichever run's beats move that; by the processing clock after the timeout without a beat, also when no data come at all. A
+    beat after that begins a new active span. Beats without a time are left out; late ones don't count.
+    """
+    wait = pd.Timedelta(timeout)
+    by_event = clock == "event"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], "inactive", state.get[0] + wait))
+            state.remove()
+        else:
+            last = state.get[0] if state.exists else None
+            for ts in sorted(ts for frame in frames for ts in frame["ts"]):
+                if last is None or by_event and ts > last + wait:
+                    out += [] if last is None else [(key[0], "inactive", last + wait)]
+                    out.append((key[0], "active", ts))
+                    last = ts
+                last = max(last, ts)
+            if last is not None:
+                state.update((last,))
+                if by_event:
+                    state.setTimeoutTimestamp(max(int((last + wait).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+                else:
+                    state.setTimeoutDuration(int(wait.total_seconds() * 1000))
+        if out:
+            yield pd.DataFrame(out, columns=["run", "status", "at"])
+
+    known = beats.where("ts is not null").withWatermark("ts", late).select("run", "ts").groupBy("run")
+    timer = GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout
+    return known.applyInPandasWithState(step, f"run {beats.schema['run'].dataType.simpleString()}, status string, at timestamp", "last timestamp", "append", timer)
+
+
+def _write_batches(found: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Each batch is a folder of its own, written over if the batch runs again after a failure."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return found.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def page_changes(pages: DataFrame, state: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Pages (target, url_key, hash, seen long) that are new or changed go to out; state holds one folder per batch.
+def page_changes(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Pages (target, url_key, hash, seen long) that are new or changed go to out, with is_new.
 
-    A batch writes its own folders, replacing them, so a batch that runs again after a failure leaves the same result:
-    it reads only state of earlier batches.
+    A page's state is the hash it had last. A batch reads and writes the state of its own pages alone, however many came before
+    it; the state and its progress lie in the checkpoint, so a batch that runs again starts from the state before it and leaves
+    the same rows. Of a page that comes several times in a batch the last seen counts (ties: the greatest hash).
     """
-    schema = "target string, url_key string, hash string, seen long, batch long"
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = _read(spark, state, schema).where(F.col("batch") < number) if number else spark.createDataFrame([], schema)
-        latest = old.groupBy("target", "url_key").agg(F.max_by("hash", F.struct("batch", "seen")).alias("hash"))
-        new = batch.groupBy("target", "url_key").agg(F.max_by("hash", "seen").alias("hash"), F.max("seen").alias("seen"))
-        changed = changed_pages(latest, new, ["target", "url_key"])
-        changed.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        new.write.mode("overwrite").parquet(f"{state}/batch={number}")
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = max((seen, hash) for frame in frames for seen, hash in zip(frame["seen"], frame["hash"]))
+        if not state.exists or state.get[0] != now[1]:
+            yield pd.DataFrame([(*key, now[1], not state.exists)], columns=["target", "url_key", "hash", "is_new"])
+        state.update((now[1],))
 
-    return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    known = pages.select("target", "url_key", F.coalesce("hash", F.lit("")).alias("hash"), F.coalesce("seen", F.lit(0)).alias("seen")).groupBy("target", "url_key")
+    changed = known.applyInPandasWithState(step, "target string, url_key string, hash string, is_new boolean", "hash string", "append", GroupStateTimeout.NoTimeout)
+    return _write_batches(changed, out, checkpoint)
 
 
 def insert_findings(findings: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Findings (ags, massnahme, start, pos) not yet stored, the first per key; one folder per batch, as in page_changes()."""
-    schema = "ags string, massnahme string, start string, pos long, batch long"
-    key = {"a": F.col("ags"), "m": F.lower(F.trim("massnahme")), "s": F.col("start")}
+    """Findings (ags, massnahme, start, pos) not yet stored, the first per key, go to the store.
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = _read(spark, store, schema).where(F.col("batch") < number) if number else spark.createDataFrame([], schema)
-        new = insert_if_absent(old.drop("batch"), batch.select("ags", "massnahme", "start", "pos"), key, "pos")
-        new.write.mode("overwrite").parquet(f"{store}/batch={number}")
-
-    return findings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Whether a key (ags, lower-cased and trimmed massnahme, start; null-safe) is stored is its state: a batch looks at its own
+    keys alone and never reads the store. Batches that run again leave the same rows, as in page_changes().
+    """
 
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if not state.exists:
+            rows = pd.concat(list(frames))
+            state.update((True,))
+            yield rows.sort_values(["pos", "massnahme"])[:1][["ags", "massnahme", "start", "pos"]]
 
+    keyed = findings.select("ags", "massnahme", "start", "pos", F.struct("ags", F.lower(F.trim("massnahme")).alias("m"), "start").alias("key")).groupBy("key")
+    new = keyed.applyInPandasWithState(step, "ags string, massnahme string, start string, pos long", "stored boolean", "append", GroupStateTimeout.NoTimeout)
+    return _write_batches(new, store, checkpoint)

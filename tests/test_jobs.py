@@ -40,21 +40,64 @@ def test_windows(spark, tmp_path):
     assert max(r.requests for r in run(jobs.rates(source), tmp_path, "rates").collect()) == 1
 
 
+def test_liveness_timer(spark, tmp_path):
+    """A run is told to be inactive by its timer, on time, without a later beat of its own."""
+    schema, at = "run string, t string", lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    args = (str(tmp_path / "out"), str(tmp_path / "check"))
+    for beats in ([("a", 0), ("a", 1), ("b", 1)], [("b", 2), ("b", 30)], [("b", 31), ("a", 32)], [("c", 90)], [("c", 91)]):
+        source = stream(spark, tmp_path, "beats", [(r, at(m)) for r, m in beats] + [("a", None)], schema).withColumn("ts", F.col("t").cast("timestamp"))
+        jobs._write_batches(jobs.liveness_changes(source, "2 minutes", "1 minute"), *args).awaitTermination(120)
+    rows = sorted((r.run, r["at"].hour * 60 + r["at"].minute, r.status) for r in spark.read.parquet(args[0]).collect())
+    assert rows == [("a", 0, "active"), ("a", 3, "inactive"), ("a", 32, "active"), ("a", 34, "inactive"), ("b", 1, "active"), ("b", 4, "inactive"), ("b", 30, "active"), ("b", 33, "inactive"), ("c", 90, "active")]
+
+
+def test_liveness_by_the_clock(spark, tmp_path):
+    """Without any further data the timer of the processing clock tells."""
+    import time
+
+    source = stream(spark, tmp_path, "beats", [("a", "2024-01-01 00:00:00")], "run string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    q = jobs.liveness_changes(source, "2 seconds", clock="processing").writeStream.format("memory").queryName("clock").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start()
+    until = time.time() + 60
+    while time.time() < until and spark.table("clock").count() < 2:
+        time.sleep(0.5)
+    q.stop()
+    assert sorted(r.status for r in spark.table("clock").collect()) == ["active", "inactive"]
+
+
 def test_page_changes(spark, tmp_path):
-    schema = "target string, url_key string, hash string, seen long"
-    args = [str(tmp_path / x) for x in ("state", "out", "check")]
-    for rows in ([("t", "a", "1", 1), ("t", "b", "1", 1)], [("t", "a", "2", 2), ("t", "b", "1", 2), ("t", "c", "1", 2)]):
-        jobs.page_changes(stream(spark, tmp_path, "pages", rows, schema), *args).awaitTermination(120)
-    found = spark.read.parquet(args[1]).collect()
-    assert sorted((r.batch, r.url_key, r.hash, r.is_new) for r in found) == [(0, "a", "1", True), (0, "b", "1", True), (1, "a", "2", False), (1, "c", "1", True)]
+    """Eight batches against a plain dictionary, then the last one again from the state before it."""
+    import random
+    import shutil
+
+    schema, args, rng, known = "target string, url_key string, hash string, seen long", [str(tmp_path / x) for x in ("out", "check")], random.Random(1), {}
+    for n in range(8):
+        rows = [(f"t{rng.randrange(3)}", f"u{rng.randrange(9)}", rng.choice("xyz"), rng.randrange(99)) for _ in range(15)] + [(None, "u", None, n)]
+        q = jobs.page_changes(stream(spark, tmp_path, "pages", rows, schema), *args)
+        q.awaitTermination(120)
+        state = q.lastProgress["stateOperators"][0]
+        last = {}
+        for t, u, h, s in sorted(rows, key=lambda r: (r[3], r[2] or "")):
+            last[t, u] = h or ""
+        want = {(*k, h, k not in known) for k, h in last.items() if known.get(k) != h}
+        found = spark.read.parquet(f"{args[0]}/batch={n}").collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+        assert state["numRowsUpdated"] == len(last)  # the state of this batch's pages, not of all before
+        known |= last
+    for kind in ("commits/7", "commits/.7.crc"):  # as after a failure between writing and committing
+        (tmp_path / "check" / kind).unlink(missing_ok=True)
+    shutil.rmtree(tmp_path / "out/batch=7")
+    jobs.page_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "pages")), *args).awaitTermination(120)
+    assert {tuple(r) for r in spark.read.parquet(f"{args[0]}/batch=7").collect()} == want
 
 
 def test_insert_findings(spark, tmp_path):
     schema = "ags string, massnahme string, start string, pos long"
     args = [str(tmp_path / x) for x in ("store", "check")]
-    for rows in ([(None, "Bau ", None, 1), (None, "bau", None, 2), ("1", "Bau", None, 3)], [(None, "BAU", None, 4), ("2", "Neu", None, 5)]):
-        jobs.insert_findings(stream(spark, tmp_path, "finds", rows, schema), *args).awaitTermination(120)
-    assert sorted(r.pos for r in spark.read.parquet(args[0]).collect()) == [1, 3, 5]
+    for rows in ([(None, "Bau ", None, 1), (None, "bau", None, 2), ("1", "Bau", None, 3), ("1", None, None, 9)], [(None, "BAU", None, 4), ("2", "Neu", None, 5), ("1", None, None, 8)]):
+        q = jobs.insert_findings(stream(spark, tmp_path, "finds", rows, schema), *args)
+        q.awaitTermination(120)
+    assert sorted(r.pos for r in spark.read.parquet(args[0]).collect()) == [1, 3, 5, 9]
+    assert q.lastProgress["stateOperators"][0]["numRowsUpdated"] <= 3
 
 
 def test_sources(spark, tmp_path):
