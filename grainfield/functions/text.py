@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,13 +60,16 @@ def keyword_pattern(keyword: str) -> str:
     return r"(?U)\b" + r"[\s-]".join(re.sub(r"([^\w])", r"\\\1", p) for p in parts) + PLURAL + r"\b"
 
 
+def longest_part(keyword: str) -> str:
+    return max(re.split("[- ]", normalized(keyword)), key=len)
+
+
 def keyword_hits(norm: Column, keywords: list[str]) -> Column:
     """The keywords of a list that occur in a normalised text, in the order of the list (J14 as one projection).
 
     A plain substring test goes first, so that the pattern only runs over texts that hold the keyword's longest part.
     """
-    part = lambda k: max(re.split("[- ]", normalized(k)), key=len)
-    return F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(part(k))) & norm.rlike(keyword_pattern(k)), F.lit(k)) for k in keywords]))
+    return F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(longest_part(k))) & norm.rlike(keyword_pattern(k)), F.lit(k)) for k in keywords]))
 
 
 def category_hits(norm: Column, model: dict[str, list[str]]) -> Column:
@@ -71,6 +77,49 @@ def category_hits(norm: Column, model: dict[str, list[str]]) -> Column:
     return F.create_map(*[x for c, ks in model.items() for x in (F.lit(c), keyword_hits(norm, ks))])
 
 
+@lru_cache(maxsize=4)
+def _automaton(keywords: tuple[str, ...]):
+    """Finds all keywords' longest parts in one pass over a text, and the keywords' patterns."""
+    import ahocorasick
+
+    by_part: dict[str, list[int]] = {}
+    for i, k in enumerate(keywords):
+        by_part.setdefault(longest_part(k), []).append(i)
+    anywhere, parts = by_part.pop("", []), ahocorasick.Automaton()
+    for part, ids in by_part.items():
+        parts.add_word(part, ids)
+    if by_part:
+        parts.make_automaton()
+    return parts, anywhere, [re.compile(keyword_pattern(k).removeprefix("(?U)")) for k in keywords]
+
+
+def keyword_numbers(keywords: list[str]) -> Callable[[Column], Column]:
+    """The numbers of the keywords that occur in a normalised text, in order, by one automaton over all of them.
+
+    Like keyword_hits(), it looks for a keyword's longest part first; patterns are tried only where the part is there, so the
+    cost follows what a text holds and not the number of keywords.
+    """
+
+    @F.pandas_udf("array<int>")
+    def found(texts: pd.Series) -> pd.Series:
+        parts, anywhere, patterns = _automaton(tuple(keywords))
+        held = ({*anywhere, *(i for _, ids in parts.iter(t) for i in ids)} if len(parts) else anywhere for t in texts)
+        return pd.Series([[i for i in sorted(some) if patterns[i].search(t)] for some, t in zip(held, texts)], dtype=object)
+
+    return found
+
+
+def numbered_hits(numbers: Column, model: dict[str, list[str]]) -> Column:
+    """The same map as category_hits(), from the numbers of all categories' keywords, one category after the other."""
+    within = lambda lo, hi: lambda i: (i >= lo) & (i < hi)
+    names, at, per = F.split(F.lit("\n".join(k for ks in model.values() for k in ks)), "\n"), 0, []
+    for ks in model.values():
+        mine = F.filter(numbers, within(at, at + len(ks)))
+        per.append(F.transform(mine, lambda i: F.get(names, i)))
+        at += len(ks)
+    return F.map_from_arrays(F.array(*[F.lit(c) for c in model]), F.array(*per))
+
+
 def coverage_score(hits: Column, model: dict[str, list[str]]) -> Column:
     """F4 from category_hits(): 0.6 x matched share of a tenth of all keywords + 0.4 x best category over twice their number, both at most 1; 4 decimals."""
     total = len({k for ks in model.values() for k in ks})

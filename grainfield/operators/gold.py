@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.functions.urls import compare_key, parent_key
@@ -83,10 +83,47 @@ def metric_table(reports: DataFrame) -> DataFrame:
     return both.join(rates, "scenario").select("scenario", names[F.col("m")].alias("metrik"), "focused", "bfs", delta.alias("delta"))
 
 
+def _grams(text: str, size: int) -> Column:
+    """The different pieces of so many characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(F.col(text), i, F.lit(size))))
+
+
+def contained_in(needles: DataFrame, texts: DataFrame, size: int = 4) -> DataFrame:
+    """Needle, text of every pair of rows of needles (needle) and texts (text) where the text contains the needle.
+
+    A needle is looked for only in texts that hold its rarest piece of `size` characters: texts are split into pieces, which are
+    counted, and each needle takes the one with the fewest texts. Shorter needles are their own piece and meet texts' pieces of
+    their length, which are made only if there are such needles. Nothing is broadcast by order and no pair is tried without a
+    piece in common. Null rows meet nothing; an empty needle is in every text; equal rows count once.
+    """
+    needles, texts = needles.select("needle").where("needle is not null").distinct(), texts.select("text").where("text is not null").distinct()
+    lengths = [r[0] for r in needles.select(F.least(F.length("needle"), F.lit(size))).distinct().collect()]  # at most size + 1 numbers
+    found = []
+    for n in lengths:
+        mine = needles.where(F.least(F.length("needle"), F.lit(size)) == n)
+        if not n:
+            found.append(texts.select(F.lit("").alias("needle"), "text"))
+            continue
+        pieces = texts.where(F.length("text") >= n).select("text", F.explode(_grams("text", n)).alias("piece"))
+        if n < size:
+            found.append(pieces.join(mine.withColumnRenamed("needle", "piece"), "piece").select(F.col("piece").alias("needle"), "text"))
+            continue
+        counts = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+        asked = mine.select("needle", F.explode(_grams("needle", n)).alias("piece")).join(counts, "piece", "left")
+        rarest = asked.groupBy("needle").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+        found.append(pieces.join(rarest, "piece").where(F.contains("text", "needle")).select("needle", "text"))
+    out = needles.select("needle", F.col("needle").alias("text")).limit(0)
+    for one in found:
+        out = out.unionByName(one)
+    return out
+
+
 def domain_mismatch(domains: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Per domain whether no host contains it or is contained in it. Domains are a short list (broadcast); each host meets each once."""
-    near = F.contains("host", F.col("domain")) | F.contains("domain", F.col("host"))
-    met = hosts.distinct().join(F.broadcast(domains), near).select("domain").distinct().withColumn("met", F.lit(True))
+    """Per domain whether no host contains it or is contained in it; any number of either."""
+    d, h = domains.select(F.col("domain").alias("needle")), hosts.select(F.col("host").alias("text"))
+    holds = contained_in(d, h).select(F.col("needle").alias("domain"))
+    held = contained_in(h.withColumnRenamed("text", "needle"), d.withColumnRenamed("needle", "text")).select(F.col("text").alias("domain"))
+    met = holds.union(held).distinct().withColumn("met", F.lit(True))
     return domains.join(met, "domain", "left").select("domain", F.col("met").isNull().alias("mismatch"))
 
 

@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainfield.functions.text import category_hits, coverage_score, normalize_text
+from grainfield.functions.text import category_hits, coverage_score, keyword_numbers, normalize_text, numbered_hits
 from grainfield.functions.urls import is_document, url_text
 
 THRESHOLD, PRIORITY, ENSEMBLE = 0.15, 0.10, (0.4, 0.6)
 # Weights of page, anchor, context and url in a link's priority, and the bonus of documents.
 WEIGHTS = {"page": 0.20, "anchor": 0.40, "context": 0.25, "url": 0.15}
 BONUS = 0.3
+#: Models of more keywords are matched by an automaton.
+MANY = 200
 
 
-def with_hits(df: DataFrame, text: Column | str, model: dict[str, list[str]], out: str) -> DataFrame:
-    """Adds category_hits() of a text. The normalised text is a column of its own, so it is made once and not for every keyword."""
-    return df.withColumn("_norm", normalize_text(text)).withColumn(out, category_hits(F.col("_norm"), model)).drop("_norm")
+def with_hits(df: DataFrame, text: Column | str, model: dict[str, list[str]], out: str, most: int = MANY) -> DataFrame:
+    """Adds category_hits() of a text. The normalised text is a column of its own, so it is made once and not for every keyword.
+
+    Up to `most` keywords are columns; more are looked for by one automaton in Arrow batches, which costs the same for any number.
+    """
+    rows = df.withColumn("_norm", normalize_text(text))
+    if sum(map(len, model.values())) <= most:
+        return rows.withColumn(out, category_hits(F.col("_norm"), model)).drop("_norm")
+    rows = rows.withColumn("_numbers", keyword_numbers([k for ks in model.values() for k in ks])(F.col("_norm")))
+    return rows.withColumn(out, numbered_hits(F.col("_numbers"), model)).drop("_norm", "_numbers")
 
 
 def classify(df: DataFrame, text: str, model: dict[str, list[str]], threshold: float = THRESHOLD, weights: tuple[float, float] = ENSEMBLE, most: int = 10) -> DataFrame:

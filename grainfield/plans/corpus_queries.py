@@ -141,13 +141,19 @@ def gold_distribution(spark, d):
     return table(spark, d, "gold").where("relevant and kategorie <> ''").groupBy("kategorie").agg(F.count("*").alias("n"))
 
 
+MET_SQL = f"SELECT DISTINCT {HOST} AS host FROM pages UNION SELECT 'www.ort' || cast(c_custkey AS string) || '.de' FROM customer WHERE c_acctbal > 0"
+
+
 @query("domain_mismatch", (
-    f"SELECT domain, NOT coalesce(bool_or(contains(host, domain) OR contains(domain, host)), false) AS mismatch "
-    f"FROM (SELECT unnest(['example.com', 'example.org', 'muster.de']) AS domain) LEFT JOIN (SELECT DISTINCT {HOST} AS host FROM pages) ON true GROUP BY 1"
+    f"SELECT domain, NOT coalesce(bool_or(contains(host, domain) OR contains(domain, host)), false) AS mismatch FROM (SELECT unnest(['example.com', 'example.org', 'muster.de', 'de', 'x']) AS domain "
+    f"UNION ALL SELECT 'ort' || cast(c_custkey AS string) || '.de' FROM customer) LEFT JOIN ({MET_SQL}) ON true GROUP BY 1"
 ))
 def domain_mismatch(spark, d):
-    domains = spark.createDataFrame([("example.com",), ("example.org",), ("muster.de",)], "domain string")
-    return gold.domain_mismatch(domains, table(spark, d, "pages").select(urls.authority("url").alias("host")))
+    customers = table(spark, d, "customer")
+    name = F.concat(F.lit("ort"), F.col("c_custkey").cast("string"), F.lit(".de"))
+    domains = spark.createDataFrame([(x,) for x in ("example.com", "example.org", "muster.de", "de", "x")], "domain string").union(customers.select(name))
+    hosts = table(spark, d, "pages").select(urls.authority("url").alias("host")).union(customers.where("c_acctbal > 0").select(F.concat(F.lit("www."), name)))
+    return gold.domain_mismatch(domains, hosts)
 
 
 RATES = (

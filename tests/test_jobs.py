@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from grainfield.operators import frontier, gold, operations, tables
-from grainfield.sources import files, sinks
+from grainfield.sources import files, keyed_store, sinks
 from grainfield.streaming import jobs
 
 
@@ -100,6 +101,39 @@ def test_insert_findings(spark, tmp_path):
     assert q.lastProgress["stateOperators"][0]["numRowsUpdated"] <= 3
 
 
+def test_keyed_store(spark, tmp_path):
+    """A write touches its keys' buckets alone; one that fails leaves the version before."""
+    path, rows = str(tmp_path / "store"), [(i, f"v{i}", None if i % 5 else i) for i in range(200)] + [(None, "n", 0)]
+    keyed_store.create_store(spark.createDataFrame(rows, "id int, v string, n int"), path, ["id"], 16)
+    read = lambda v=None: {r.id: (r.v, r.n) for r in keyed_store.read_store(spark, path, v).collect()}
+    known = {i: (v, n) for i, v, n in rows}
+    assert read() == known
+    files = lambda: {p.name for p in (tmp_path / "store/data").rglob("*.parquet")}
+    before = files()
+    batch = spark.createDataFrame([(7, "neu", 1)], "id int, v string, n int")
+    touched = keyed_store.merge_store(batch, path, lambda old, new: tables.upsert(old, new, ["id"]))
+    assert len(touched) == 1 and len(files() - before) == 1 and read() == known | {7: ("neu", 1)} and read(0) == known
+    keyed_store.merge_store(spark.createDataFrame([(7, None, 5), (8, "acht", None)], "id int, v string, n int"), path, lambda old, new: tables.apply_updates(old, new, "id"))
+    known |= {7: ("neu", 5), 8: ("acht", known[8][1])}
+    keyed_store.merge_store(spark.createDataFrame([(8, "x", 0), (900, "y", 0)], "id int, v string, n int"), path, lambda old, new: old.unionByName(tables.insert_if_absent(old, new, {"id": F.col("id")}, "v")))
+    known |= {900: ("y", 0)}
+    assert read() == known and keyed_store.merge_store(batch.limit(0), path, lambda old, new: old) == set()
+    keyed_store.merge_store(spark.createDataFrame([(900,)], "id int"), path, lambda old, new: old.join(new, "id", "left_anti"))
+    del known[900]
+    assert read() == known
+
+    def broken(old, new):
+        return old.unionByName(new).withColumn("v", F.expr("CASE WHEN id = 7 THEN raise_error('no') ELSE v END"))
+
+    with pytest.raises(Exception, match="no"):
+        keyed_store.merge_store(batch, path, broken)
+    assert read() == known
+    keyed_store.create_store(batch.limit(0), str(tmp_path / "none"), ["id"])
+    assert keyed_store.read_store(spark, str(tmp_path / "none")).collect() == []
+    keyed_store.merge_store(batch, str(tmp_path / "none"), lambda old, new: tables.upsert(old, new, ["id"]))
+    assert keyed_store.read_store(spark, str(tmp_path / "none")).count() == 1
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_text("﻿Internetadresse;AGS\nhttps://a.de;01001\n;01002\n", encoding="utf-8")
     assert [(r.Internetadresse, r.AGS) for r in files.master_targets(spark, str(tmp_path / "m.csv")).collect()] == [("https://a.de", "01001"), (None, "01002")]

@@ -3,10 +3,11 @@
 import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from grainfield.functions import text
-from grainfield.operators import bayes, corpus, frontier, html, operations, relevance, tables
+from grainfield.operators import bayes, corpus, frontier, gold, html, operations, relevance, tables
 from grainfield.plans import page_queries
 from grainfield.plans.views import table
 
@@ -277,6 +278,41 @@ def test_page_maps_are_whole(spark):
     assert {(r.t, r.piece): r.page_hashes for r in found if r.t != "big"} == {("small", 0): {"/a": "1"}, (None, 0): {"/n": "1"}}
 
 
+def test_many_keywords_by_one_automaton(spark, sf):
+    """The automaton's hits are those of the columns, and thousands of keywords cost little more than a few."""
+    import time
+
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" Der Bebauungspläne, öffentliche Bekanntmachungen; radweg-bau Satzung_x "))).otherwise(F.col("text")).alias("text"))
+    model = {**MODEL, **text.DEFAULT_KEYWORDS, "odd": ["", "a b", "x-", "naïve", "Straße", "the", "de la"], "none": []}
+    hits = {most: {r.doc_id: r.h for r in relevance.with_hits(docs, "text", model, "h", most).select("doc_id", "h").collect()} for most in (0, 10_000)}
+    assert hits[0] == hits[10_000] and any(h["bauen"] for h in hits[0].values()) and any(h["odd"] for h in hits[0].values())
+    texts, took = table(spark, sf, "documents").select("doc_id", "text").collect() * 3, {}
+    norm = [text.normalized(r.text or "") for r in texts]
+    for n in (50, 5000):
+        find = text.keyword_numbers([f"wort{i}lang" for i in range(n)]).func
+        find(pd.Series(norm[:1]))
+        began = time.time()
+        find(pd.Series(norm))
+        took[n] = time.time() - began
+    assert took[5000] < 2 * took[50] + 0.05
+
+
+def test_containment_by_pieces(spark):
+    """Against every pair: short and long needles, pieces many share, repeats, nulls, one that is every text; without a nested loop."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab.") for _ in range(n))
+    needles = [word(rng.randrange(9)) for _ in range(80)] + ["", "a", None, "zzzzz", "ab.ab.ab.ab.ab.ab"]
+    texts = [word(rng.randrange(14)) for _ in range(120)] + [None, "", "ab.ab.ab.ab.ab.ab"]
+    left, right = spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string")
+    joined = gold.contained_in(left, right)
+    found = [tuple(r) for r in joined.collect()]
+    assert set(found) == {(a, b) for a in needles for b in texts if a is not None and b is not None and a in b} and len(found) == len(set(found))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    empty = gold.contained_in(left.limit(0), right).collect() + gold.contained_in(left, right.limit(0)).collect()
+    assert empty == []
+
+
 def test_assembled_texts(spark):
     rows = [("a", 2, "v", "zwei"), ("a", 1, "u", "eins"), ("b", 1, None, "x" * 50), ("a", 3, "w", None)]
     got = {r.k: r.text for r in corpus.assemble_text(spark.createDataFrame(rows, "k string, n int, url string, text string"), "k", 30, "n").collect()}
