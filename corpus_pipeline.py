@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainfield.llm.bpe import bpe_round_trip
 from grainfield.llm.mixing import mix, word_count
-from grainfield.llm.shared import written
+from grainfield.llm.shared import row_keys, written
 from grainfield.llm.simhash_dedup import drop_near_duplicates
 from grainfield.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -17,8 +17,7 @@ TOXIC, WEIGHTS = 0.3, (5, 2, 1)
 
 def _packed(docs: DataFrame) -> DataFrame:
     """row (the whole row as one struct), text, source, and two hashes of all columns; so no column's name can clash with ours."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(F.struct(*columns).alias("row"), "text", "source", *[F.xxhash64(F.lit(k), *columns).alias(f"k{k}") for k in range(2)])
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "source", *row_keys(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and round trip of every document of the mix; null texts count as empty, repeated rows each have a row, an empty table gives an empty one."""
+    """Ids and round trip of every document of the mix; null texts count as empty, repeated rows each have a row, an empty table gives
+    an empty one; there are no ties, as every row is taken by itself; extra columns are left out, whatever their names."""
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: Tables of at most so many rows of a few numbers (some 10 MB) are broadcast.
 SMALL = 200_000
@@ -34,6 +35,18 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _held(kind: DataType, wanted: tuple[type, ...]) -> bool:
+    """Whether a type is one of these, or holds one at any depth."""
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else [kind.keyType, kind.valueType] if isinstance(kind, MapType) else []
+    return isinstance(kind, wanted) or any(_held(k, wanted) for k in inner)
+
+
+def row_keys(df: DataFrame, names: tuple[str, str] = ("k0", "k1")) -> list[Column]:
+    """Two 64-bit hashes of a row's columns, alike for equal rows; columns that hold maps or variants, which Spark doesn't hash, go in as JSON."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if _held(f.dataType, (MapType, VariantType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return [F.xxhash64(F.lit(i), *columns).alias(name) for i, name in enumerate(names)]
+
+
 def join_small(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """A join with a written table that is mostly small: broadcast if it has at most SMALL rows, else shuffled."""
     return rows.join(F.broadcast(table) if table.count() <= SMALL else table, key, how)

@@ -32,13 +32,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
 
 from grainfield.llm.bpe import batches
 from grainfield.llm.components import connected_components
 from grainfield.llm.gray_index import gray_rank
 from grainfield.llm.group_links import HUBS, group_links, start_forest
-from grainfield.llm.shared import written
+from grainfield.llm.shared import row_keys, written
 from grainfield.llm.simhash import majority, shingle_hashes
 
 WORDS, SIMILARITY, DIFFERENCES, RECALL = 5, 0.8, 60, 0.97
@@ -57,10 +56,8 @@ def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (the whole row as one struct), id, text, and k0, k1: two hashes of all columns that can be hashed, alike for equal rows alone."""
-    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    keys = [F.xxhash64(F.lit(k), *plain).alias(f"k{k}") for k in range(2)]
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *keys)
+    """row (the whole row as one struct), id, text, and k0, k1: two hashes of all columns, alike for equal rows alone (but for one chance in 2^128 a pair)."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *row_keys(docs))
 
 
 def wide_prints(rows: DataFrame, words: int) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import sys
+from collections import Counter
 import time
 import zlib
 
@@ -342,6 +343,22 @@ def test_stages_keep_clashing_columns(spark, sf):
     assert corpus_pipeline.encoding(spark, docs, sf).count() == docs.count() > 0
 
 
+def test_stages_keep_columns_of_any_type(spark, sf):
+    """Maps, variants, times, bytes and what holds them come through every stage but the last, also in repeated rows."""
+    plain = spark.createDataFrame([(i, f"wort {i} " * (5 + i), "de", "ab"[i % 2], i) for i in range(12)] + [(3, "wort 3 " * 8, "de", "b", 3)] * 2 + [(99, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.selectExpr(
+        "*", "map('a', doc_id, 'b', null) AS m", "parse_json(concat('{\"x\": ', coalesce(doc_id, 0), '}')) AS v", "timestamp '2024-01-01 00:00:00.123456' AS t", "timestamp_ntz '1500-02-03 00:00:00' AS z",
+        "cast(text AS binary) AS b", "array(named_struct('m', map(1, array(1.5D)), 'd', date '2024-02-29')) AS n", "cast(1.25 AS decimal(30, 4)) AS c", "cast(null AS map<string, int>) AS e", "array(map('k', doc_id)) AS am", "interval '1' day AS i",
+    )
+    shown = lambda df: Counter(map(str, df.withColumn("v", F.to_json("v")).collect()))
+    before, columns = shown(docs), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        found = shown(docs)
+        assert docs.columns == columns and found and set(found) <= set(before), name
+    assert corpus_pipeline.encoding(spark, docs, sf).count() == docs.count() > 0
+
+
 def test_pipeline_odd(spark, sf, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for rows in ([], [(1, None, None, None, None), (1, None, None, None, None), (2, "wort " * 20, "de", "a", 1), (2, "wort " * 20, "de", "a", 1), (None, "anderes", None, "b", 2)]):
