@@ -42,7 +42,7 @@ def cosine(doc_vectors: DataFrame, category_vectors: DataFrame, ident: str) -> D
 
 def best_cosine(found: DataFrame, docs: DataFrame, ident: str) -> DataFrame:
     """per document the greatest cosine (0 without any) and the categories over 0, best first, then by name."""
-    best = found.groupBy(ident).agg(F.max("cosine").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "category"))).alias("a"))
+    best = found.groupBy(ident).agg(F.max("cosine").alias("score"), F.array_sort(F.collect_list(F.struct((-F.round("cosine", 9)).alias("c"), "category"))).alias("a"))
     rows = docs.select(ident).join(best, ident, "left")
     return rows.select(ident, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.transform("a", lambda x: x["category"]), F.array().cast("array<string>")).alias("categories"))
 

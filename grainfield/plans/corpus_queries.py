@@ -294,28 +294,35 @@ OUTPUT = "'{\"massnahmen\":[' || string_agg('{' || " + " || ',' || ".join(f"'\"{
 LINES = "concat_ws(chr(10), " + ", ".join(f"'{label}' || nullif({c}, '')" for c, label in corpus.LABELS.items()) + ")"
 
 
-@query("training_pairs", (
+PAIRS_SQL = (
     f"SELECT p.url, sha256(substr(coalesce(nullif(t.text, ''), 'Offizielle Website von ' || p.url || chr(10) || chr(10) || made), 1, 8000)) AS "
     f"input_sha256, output, n FROM (SELECT url, string_agg({LINES}, chr(10) || chr(10) ORDER BY id, pos) AS made, {OUTPUT} AS output, count(*) AS n "
     f"FROM ({ENDED}) GROUP BY 1) p LEFT JOIN (SELECT 'https://www.ort' || cast(page_id AS string) || '.de' AS url, html AS text "
     f"FROM pages) t ON t.url = p.url"
-), "answers")
-def training_pairs(spark, d):
+)
+
+
+def _pairs(spark, d):
     """The stored text of a place is the page of its number; other places get a text made from the findings."""
     rows = answers.findings(answers.parse_answers(table(spark, d, "answers")))
     texts = table(spark, d, "pages").select(F.concat(F.lit("https://www.ort"), F.col("page_id").cast("string"), F.lit(".de")).alias("url"), F.col("html").alias("text"))
-    pairs = corpus.training_pairs(rows, texts, "url", "Finde Massnahmen")
-    return pairs.select("url", F.sha2("input", 256).alias("input_sha256"), "output", F.col("n").cast("long"))
+    return corpus.training_pairs(rows, texts, "url", "Finde Massnahmen")
 
 
-@query("pairs_with_negatives", f"SELECT (SELECT count(DISTINCT url) FROM ({FOUND})) AS positive, least(4, greatest(2, (SELECT count(DISTINCT url) FROM ({FOUND})) // 5)) AS negative", "answers")
+@query("training_pairs", PAIRS_SQL, "answers")
+def training_pairs(spark, d):
+    return _pairs(spark, d).select("url", F.sha2("input", 256).alias("input_sha256"), "output", F.col("n").cast("long"))
+
+
+@query("pairs_with_negatives", (
+    f"SELECT 'Finde Massnahmen' AS instruction, input_sha256, output, 'massnahmen_count=' || cast(n AS string) || ';url=' || url AS metadata FROM ({PAIRS_SQL}) UNION ALL "
+    f"SELECT 'Finde Massnahmen', sha256(text), '{{\"massnahmen\":[]}}', 'grund=Aufgabe;typ=negativ' FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) "
+    f"WHERE r <= greatest(2, (SELECT count(*) FROM ({PAIRS_SQL})) // 5)"
+), "answers")
 def pairs_with_negatives(spark, d):
-    rows = answers.findings(answers.parse_answers(table(spark, d, "answers")))
-    pairs = corpus.training_pairs(rows, table(spark, d, "pages").select("url", F.col("html").alias("text")), "url", "Finde Massnahmen")
-    pool = spark.createDataFrame([(i, f"Nachricht {i}", "Sonstiges") for i in range(4)], "pos int, input string, reason string")
-    every = corpus.with_negatives(pairs, pool, "Finde Massnahmen")
-    negative = F.coalesce(F.col("metadata")["typ"] == "negativ", F.lit(False))
-    return every.agg(F.count_if(~negative).alias("positive"), F.count_if(negative).alias("negative"))
+    pool = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("input"), F.lit("Aufgabe").alias("reason"))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return corpus.with_negatives(_pairs(spark, d), pool, "Finde Massnahmen").select("instruction", F.sha2("input", 256).alias("input_sha256"), "output", told.alias("metadata"))
 
 
 def _edges(spark, d):

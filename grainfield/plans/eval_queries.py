@@ -135,15 +135,14 @@ size AS (SELECT class, sum(n) AS words, (SELECT count(DISTINCT term) FROM pairs)
 lp AS (SELECT doc_id, class, ln(prior) + coalesce(s, 0) AS lp FROM (SELECT doc_id, class, prior FROM documents CROSS JOIN prior)
  LEFT JOIN (SELECT doc_id, z.class, sum(tf * ln((coalesce(n, 0) + 1) / (words + v))) AS s FROM tc CROSS JOIN size z LEFT JOIN pairs p ON p.term = tc.term AND p.class = z.class GROUP BY 1, 2) USING (doc_id, class)),
 post AS (SELECT doc_id, class, exp(lp - max(lp) OVER (PARTITION BY doc_id)) AS e FROM lp), ranked AS (SELECT doc_id, class, e / sum(e) OVER (PARTITION BY doc_id) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY round(e, 9) DESC, class) AS r FROM post),
-best AS (SELECT doc_id, max(p) FILTER (r = 1) AS posterior, max(p) FILTER (r = 1) - max(p) FILTER (r = 2) AS confidence FROM ranked GROUP BY 1),
+best AS (SELECT doc_id, max(class) FILTER (r = 1) AS class, max(p) FILTER (r = 1) AS posterior, max(p) FILTER (r = 1) - max(p) FILTER (r = 2) AS confidence FROM ranked GROUP BY 1),
 cos AS (SELECT doc_id, category, sum(w / norm * cw) AS cosine FROM (SELECT doc_id, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS norm FROM ({TOKENS}) JOIN ({IDF_SQL}) USING (term)) JOIN ({CATVEC}) USING (term) GROUP BY 1, 2),
-tops AS (SELECT doc_id, max(cosine) AS tfidf, count(*) AS n FROM cos WHERE cosine > 0 GROUP BY 1)"""
+tops AS (SELECT doc_id, max(cosine) AS tfidf, string_agg(category, ',' ORDER BY round(cosine, 9) DESC, category) AS categories FROM cos WHERE cosine > 0 GROUP BY 1)"""
 
 
 @query("legacy_ensemble", SEEDNB + (
-    " SELECT d.doc_id, round(coalesce(tfidf, 0), 3) AS tfidf_score, round(posterior, 3) AS bayes_score, round(confidence, 3) AS confidence, "
-    "cast(coalesce(n, 0) AS integer) AS n_categories, round(coalesce(tfidf, 0) * 0.5 + posterior * 0.5, 2) AS score FROM documents d "
-    "JOIN best USING (doc_id) LEFT JOIN tops USING (doc_id)"
+    " SELECT *, score >= 0.15 AS is_relevant FROM (SELECT d.doc_id, round(coalesce(tfidf, 0), 4) AS tfidf_score, round(posterior, 4) AS bayes_score, round(confidence, 4) AS confidence, "
+    "class AS top_category, coalesce(categories, '') AS categories, round(coalesce(tfidf, 0) * 0.4 + posterior * 0.6, 4) AS score FROM documents d JOIN best USING (doc_id) LEFT JOIN tops USING (doc_id))"
 ))
 def legacy_ensemble(spark, d):
     """The classifier is trained on the keywords alone."""
@@ -155,6 +154,4 @@ def legacy_ensemble(spark, d):
     counts = bayes.term_counts(docs, "doc_id", "text", weights)
     cats = bayes.unit_vectors(keyword_table(spark).withColumn("tf", F.lit(1)), "category", weights)
     best = bayes.best_cosine(bayes.cosine(bayes.unit_vectors(counts, "doc_id", weights), cats, "doc_id"), docs, "doc_id")
-    rows = best.join(bayes.classify(counts, docs, *trained, "doc_id"), "doc_id")
-    score = F.round(F.col("score") * 0.5 + F.col("posterior") * 0.5, 2)
-    return rows.select("doc_id", F.round("score", 3).alias("tfidf_score"), F.round("posterior", 3).alias("bayes_score"), F.round("confidence", 3).alias("confidence"), F.size("categories").alias("n_categories"), score.alias("score"))
+    return bayes.ensemble(best, bayes.classify(counts, docs, *trained, "doc_id"), "doc_id").withColumn("categories", F.array_join("categories", ","))
