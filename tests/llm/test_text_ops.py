@@ -523,7 +523,7 @@ def test_toxicity_long_and_repeated_texts(spark, monkeypatch, many):
     [
         ("Foo. Licensed under the Apache License, Version 2.0. Bar", ["Apache-2.0"]),
         ("Released under the MIT License.\nLicensed under CC BY-NC 4.0.", ["MIT", "CC-BY-NC-4.0"]),
-        ("".join(licences.SENTENCES[k][0] + ". " for k in ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAMES")), ["BSD-3-Clause"]),
+        ("".join(licences.SENTENCES[k][0] + ". " for k in ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY")) + "Neither the name of the X nor the names of its contributors may be used to endorse or promote products derived from this software", ["BSD-3-Clause"]),
         ("".join(licences.SENTENCES[k][0] + ". " for k in ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY")), ["BSD-2-Clause"]),
         ("This licence is my own.", ["Unknown"]), ("Copyright (c) 2020 X. All rights reserved.", ["Proprietary", "Unknown"]), ("nothing here", []), ("", []), (None, []),
     ],
@@ -615,5 +615,70 @@ def test_licence_files(spark, text, expected):
     assert licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences == expected
 
 
+BSD = """Copyright (c) 1990, {holder}.  All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+ 1. Redistributions of source code must retain the above copyright notice,
+    this list of conditions and the following disclaimer.
+ 2. Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY {holder} ``AS IS'' AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.  IN NO
+EVENT SHALL {holder} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES.
+"""
+GNU_NOTICE = """{what} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {kind}General Public License
+as published by the Free Software Foundation; {version}.
+
+{what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.  See the
+GNU {kind}General Public License for more details.
+"""
+
+
+def plain_licence(text):
+    """What a reader would say of these texts, from their words: shares no table or pattern with the operator."""
+    words = " ".join("".join(c if c.isalnum() or c == "." else " " for c in text.lower()).split())
+    if "redistribution and use in source and binary forms" in words:
+        return ["BSD-3-Clause" if "to endorse or promote products" in words else "BSD-2-Clause"]
+    family = "LGPL" if "gnu lesser general" in words or "gnu library general" in words else "AGPL" if "gnu affero" in words else "GPL"
+    number = words.split("version ")[1].split()[0].rstrip(".")
+    return [f"{family}-{number if '.' in number else number + '.0'}" + ("-or-later" if "any later version" in words else "")]
+
+
+def test_licences_of_any_holder_and_version(spark):
+    """Every holder's name, with or without a third clause; every version of the notices: against a plain reader."""
+    holders = ["the copyright holder", "The Regents of the University of X", "Foo Inc.", "J. Random Hacker and others", "Müller GmbH", "PyCA"]
+    thirds = ["", "3. Neither the name of {holder} nor the names of its\n   contributors may be used to endorse or promote products derived\n   from this software without specific prior written permission.\n", " 3. The name of the author may not be used to endorse or promote products derived from this software.\n"]
+    texts = [BSD.format(holder=h, third=t.format(holder=h)) for h in holders for t in thirds]
+    versions = {"": ("2", "3"), "Lesser ": ("2.1", "3"), "Library ": ("2",), "Affero ": ("3",)}
+    texts += [GNU_NOTICE.format(what=w, kind=k, version=form.format(v)) for k, vs in versions.items() for v in vs for w in ("This library", "Frob") for form in ("either version {} of the License, or (at your option) any later version", "version {} of the License")]
+    found = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == plain_licence(t), (t, found[i])
+
+
+def test_whole_licence_texts(spark):
+    """The published texts as systems carry them: each gives its licence alone."""
+    folder = "/usr/share/common-licenses"
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    there = [n for n in want if os.path.exists(f"{folder}/{n}")]
+    if not there:
+        pytest.skip("no licence texts on this system")
+    texts = [(n, open(f"{folder}/{n}").read()) for n in there]
+    whole = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+    assert whole == {n: [want[n]] for n in there}
+    if "Apache-2.0" in there:  # without its appendix, and beside another licence
+        text = dict(texts)["Apache-2.0"]
+        two = [("a", text[: text.index("APPENDIX")]), ("b", f"Copyright 2020 A. All rights reserved.\n\n{text}\n\nPortions are licensed under the MIT License.")]
+        found = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(two, "doc_id string, text string")).collect()}
+        assert found["a"] == ["Apache-2.0"] and found["b"] == ["Apache-2.0", "MIT", "Unknown"]
+
+
 def test_licences_odd(odd, none):
     assert licences.scan_licences(odd).count() == len(ODD) and licences.scan_licences(none).count() == 0
