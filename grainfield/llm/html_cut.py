@@ -52,7 +52,15 @@ BAD_WORDS = set(
     "overlay pagination pager toolbar copyright disclaimer skip header".split()
 )
 #: Words that boilerplate and articles share.
-WEAK_WORDS = set("notice notices alert discussion byline author meta tags".split())
+WEAK_WORDS = set("discussion byline author meta tags".split())
+#: Notices are no part of an article, also within one.
+NOTICES = set("notice notices alert alerts".split())
+BAD_WORDS |= NOTICES
+#: What a class or id says of readers' comments, whose text never counts, whatever elements they are made of; and what makes it
+#: a remark on an article instead. Elements that hold articles say so only by these very names.
+COMMENTS = set("comment comments commentlist disqus respond replies".split())
+REMARKS = set("open closed enabled disabled allowed count no has with without on policy".split())
+COMMENT_NAMES = {"comment", "comments", "comment-body", "comment-content", "reply"}
 GOOD_TAGS = {"article", "main"}
 GOOD_WORDS = set("article content post entry story body main text".split())
 PAGE = {"html", "body"}
@@ -66,7 +74,9 @@ WEIGHTS = {
     "words_4": 122,
 }
 #: Capacity of an edge between siblings, in hundredths of log-odds; it halves with each further step in the tree.
-JOINED = 500
+JOINED, BORDER = 500, 2
+#: What blocks that may be content gain, step by step, on a page where the cut would leave nothing.
+LIFTS = (0, 50, 100, 200, 400, 800)
 NEVER = -1_000_000
 
 
@@ -78,7 +88,7 @@ class Element:
     inner: str  # what the innermost ancestor (or this one) that says anything says
     good: bool  # what those around that one say
     bad: bool
-    hidden: bool
+    hidden: bool  # never seen, or a reader's comment
     article: bool
     link: bool
 
@@ -93,6 +103,14 @@ class Block:
     text: str = ""
 
 
+def _is_comment(name: str, value: str) -> bool:
+    """Whether a class or id names readers' comments."""
+    if name in GOOD_TAGS:
+        return any(token.lower() in COMMENT_NAMES for token in value.split())
+    words = [{w.lower() for w in WORD.findall(token)} for token in value.split()]
+    return any(w & COMMENTS and not w & REMARKS for w in words)
+
+
 def _says(name: str, rest: str, article: bool) -> tuple[str, bool]:
     """What an element says of its text ('' if nothing), and whether it is hidden."""
     good, bad = ["good_tag"] if name in GOOD_TAGS else [], ["bad_tag"] if name in BAD_TAGS or name == "header" and not article else []
@@ -103,7 +121,10 @@ def _says(name: str, rest: str, article: bool) -> tuple[str, bool]:
             words = [w.lower() for w in WORD.findall(value)]
             hit = {w for i, w in enumerate(words) if not (i and words[i - 1] in ("no", "has", "with", "without"))}
             good += ["good_word"] * bool(hit & GOOD_WORDS)
-            if name not in GOOD_TAGS:
+            hidden = hidden or _is_comment(name, value)
+            if name in GOOD_TAGS:
+                bad += ["bad_word"] * bool(hit & NOTICES and not hit & GOOD_WORDS)
+            else:
                 bad += ["bad_word"] * bool(hit & BAD_WORDS)
                 weak = weak or bool(hit & WEAK_WORDS)
         elif key == "role":
@@ -245,16 +266,18 @@ def features(block: Block) -> list[str]:
     return out + ["around_good"] * e.good + ["around_bad"] * e.bad
 
 
-def unary_costs(blocks: list[Block], weights: dict[str, int] | None = None) -> list[int]:
-    """What a block gains as content over boilerplate, in hundredths of log-odds; negative for boilerplate."""
+def unary_costs(blocks: list[Block], weights: dict[str, int] | None = None, lift: int = 0) -> list[int]:
+    """What a block gains as content over boilerplate, in hundredths of log-odds; negative for boilerplate.
+
+    lift is added to blocks that may be content: seen, not in boilerplate by what is around them, and no list of links.
+    """
     weights = WEIGHTS if weights is None else weights
     bias = weights.get("bias", 0)
-    out = [NEVER if b.parent.hidden else bias + sum(weights.get(f, 0) for f in features(b)) for b in blocks]
-    if blocks and max(out) <= 0:
-        open_ = [i for i, b in enumerate(blocks) if not (b.parent.hidden or b.parent.inner.startswith("bad"))]
-        lift = 50 - max((out[i] for i in open_), default=50)
-        for i in open_:
-            out[i] += lift
+    out = []
+    for b in blocks:
+        held = features(b)
+        may = not (b.parent.inner.startswith("bad") or "links_most" in held)
+        out.append(NEVER if b.parent.hidden else bias + sum(weights.get(f, 0) for f in held) + lift * may)
     return out
 
 
@@ -271,12 +294,16 @@ def _distance(a: Element, b: Element) -> int:
 
 
 def smoothness(blocks: list[Block], joined: int = JOINED) -> list[tuple[int, int, int]]:
-    """Edges (block, block, capacity) between neighbours in the page and between next blocks under one parent."""
+    """Edges (block, block, capacity) between neighbours in the page and between next blocks under one parent.
+
+    Where the elements around two neighbours say different things of their text, the edge counts as BORDER steps longer.
+    """
     edges, last = [], {}
     for i, b in enumerate(blocks):
         parent = id(b.parent)
         if i:
-            edges.append((i - 1, i, joined >> min(_distance(blocks[i - 1].parent, b.parent) - 2, 30)))
+            border = BORDER if blocks[i - 1].parent.inner[:3] != b.parent.inner[:3] else 0
+            edges.append((i - 1, i, joined >> min(_distance(blocks[i - 1].parent, b.parent) - 2 + border, 30)))
         if (j := last.get(parent, i - 1)) < i - 1:
             edges.append((j, i, joined))
         last[parent] = i
@@ -347,10 +374,19 @@ def min_cut(unary: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
             x = to[e]
 
 
+def content_of(blocks: list[Block], weights: dict[str, int] | None = None, joined: int = JOINED) -> list[bool]:
+    """Which blocks are content: the minimum cut, with the least lift that leaves something where anything may be content."""
+    edges, keep = smoothness(blocks, joined), []
+    for lift in LIFTS:
+        keep = min_cut(unary_costs(blocks, weights, lift), edges)
+        if any(keep):
+            break
+    return keep
+
+
 def main_text(page: str | None, weights: dict[str, int] | None = None, joined: int = JOINED) -> str:
     blocks = blocks_of(page or "")
-    keep = min_cut(unary_costs(blocks, weights), smoothness(blocks, joined))
-    return "\n".join(b.text for b, k in zip(blocks, keep) if k)
+    return "\n".join(b.text for b, k in zip(blocks, content_of(blocks, weights, joined)) if k)
 
 
 def fit_weights(pages: list[tuple[str, list[str]]], rounds: int = 400, ridge: float = 1e-3) -> dict[str, int]:

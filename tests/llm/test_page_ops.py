@@ -115,6 +115,11 @@ def test_main_text_attributes(page, text):
         (f"<aside><p>Side</p><article><h1>Title</h1><p>{LONG}</p></article>", f"Title\n{LONG}"),
         (f"<div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div><div><div><p>{LONG}</p><p>Yes</p><p>{LONG}</p></div></div>", f"{LONG}\nYes\n{LONG}"),
         (f'<p>{LONG}</p><p title="never closed>more</p><p>{LONG}</p>', f"{LONG}\nmore\n{LONG}"), ("a < b <p>c", "a < b\nc"), ("<p>a<p>b<a href", "a\nb"),
+        (f"<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>More</a></li></ul><div id=a><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+        (f'<article><p>{LONG}</p><p>Yes.</p></article><section id="comments"><article class="comment"><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article></section>', f"{LONG}\nYes."),
+        (f'<article><p>{LONG}</p></article><ol class="commentlist"><li id="comment-7"><article class="comment-body"><p>{LONG}</p></article></li></ol>', LONG),
+        (f'<article><h1>Title</h1><p>{LONG}</p><div class="notice"><p>Closed on Monday. {LONG}</p></div><p>{LONG}</p></article>', f"Title\n{LONG}\n{LONG}"),
+        (f'<div class="post comments-open"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"), ('<nav><a href="/">Home</a></nav><footer>Imprint</footer>', ""),
     ],
 )
 def test_main_text_layouts(page, text):
