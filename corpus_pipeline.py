@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.llm.bpe import bpe_round_trip
-from grainfield.llm.mixing import mix, word_count
+from grainfield.llm.mixing import length_tilt, mix, word_count
 from grainfield.llm.shared import row_keys, written
 from grainfield.llm.simhash_dedup import drop_near_duplicates
 from grainfield.llm.toxicity import fit_toxicity, score_toxicity
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken.
+    """The documents of the mix, each as many times as it is taken; longer ones are likelier, the sources' targets hold.
 
     A null source is a source of its own; rows without words are taken as their source's whole copies; repeated rows are
     ranked by one number and each taken by itself, so their copies are added up; an empty table gives an empty one; extra
@@ -49,7 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _packed(docs)
     sized = written(rows.select("k0", "k1", "source", word_count("text").alias("size")), "sizes")
-    copies = mix(sized, WEIGHTS, ["k0", "k1"]).groupBy("k0", "k1").agg(F.sum("copies").alias("copies"), F.count("*").alias("repeats"))
+    mixed = mix(sized.withColumn("tilt", length_tilt("size")), WEIGHTS, ["k0", "k1"], tilt="tilt")
+    copies = mixed.groupBy("k0", "k1").agg(F.sum("copies").alias("copies"), F.count("*").alias("repeats"))
     copies = written(copies.where("copies > 0"), "copies")
     rows = rows.select("row", "k0", "k1")
     if not copies.where("repeats > 1").isEmpty():  # rows equal in every column become one where they lie, and all copies come from it

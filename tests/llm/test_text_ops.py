@@ -187,7 +187,7 @@ def test_mix(spark, docs, odd, none):
 
 
 def test_mix_by_brute_force(spark):
-    """Every stratum by the definition: certain copies, Pareto order, what fits in later passes, a last one if that comes closer."""
+    """Every stratum by the definition: certain copies, Pareto order, what fits in later passes, then the steps that come closest, of all pairs."""
     random.seed(11)
     rows = [(i, random.choice("ab"), random.choice((0, 1, 3, 40, 41, 500))) for i in range(400)]
     rows += [(400 + i, "c", 7) for i in range(3)] + [(3, "a", 40), (3, "a", 40)]
@@ -216,14 +216,38 @@ def test_mix_by_brute_force(spark):
                     new += [j] if run <= gap else []
             into |= set(new)
             gap -= sum(members[j][1] for j in new)
-        free = [j for j in range(len(members)) if j not in into and p > 0 and members[j][1] < 2 * gap]
-        into |= {min(free, key=lambda j: (abs(members[j][1] - gap), u[members[j][0]]))} if free else set()
+        for _ in range(4 if p > 0 else 0):
+            free = [(members[j][1], n + 1, j) for n, j in enumerate(line) if j not in into] + [(0, 0, None)]
+            used = [(members[j][1], n + 1, j) for n, j in enumerate(line) if j in into] + [(0, 0, None)]
+            miss, _, _, add, drop = min(((abs(gap - a[0] + d[0]), a[1], d[1], a, d) for a in free for d in used if a[1] or d[1]), key=lambda x: x[:3])
+            if miss >= abs(gap):
+                break
+            gap += drop[0] - add[0]
+            into = (into | {add[2]} - {None}) - {drop[2]}
         want += [(i, n, c + (j in into)) for j, (i, n) in enumerate(members)]
     for shuffled in (df, df.repartition(2)):
         got = mixing.mix(shuffled, (5, 2, 1), ["id"], stratum=32).select("id", "size", "copies").collect()
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_mix_tilt(spark):
+    """Longer documents are likelier, targets hold, also where a target is all that may be taken; sources of ten documents come within a tenth."""
+    rows = spark.range(4000).select("id", F.lit("a").alias("source"), F.pow(2, F.col("id") % 12).cast("long").alias("size"))
+    rows = rows.union(spark.range(4000, 4400).select("id", F.lit("b"), (F.col("id") % 90 + 1).cast("long"))).withColumn("tilt", mixing.length_tilt("size"))
+    out = mixing.mix(rows, (1, 1), ["id"], tilt="tilt", stratum=256).cache()
+    taken = {r.source: (r.t, r.x) for r in out.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("x")).collect()}
+    assert all(abs(x - t) < 0.001 * t + 5 for t, x in taken.values())
+    assert out.where("source = 'b' and copies != 3").isEmpty() and out.where("copies < 0 or copies > 3").isEmpty()
+    rate = {r["size"]: r.c for r in out.where("source = 'a'").groupBy("size").agg(F.avg("copies").alias("c")).collect()}
+    assert rate[2048] > 1.2 * rate[1]
+    with pytest.raises(ValueError):
+        mixing.mix(rows, (1, 1), ["id"], merit="size", tilt="tilt")
+    few = queries.QUERIES["op4_mixing"](spark, "/root/testdata/sf0.001").toPandas().merge(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source").toPandas())
+    by = few.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((by.taken - by.target).abs() <= 0.1 * by.target).all()
+    assert {r.copies for r in mixing.mix(rows.where("id < 3").withColumn("tilt", F.lit(None).cast("double")), (1,), ["id"], tilt="tilt").collect()} == {1}
+
+
 def test_mix_clashing_columns(spark):
     rows = [(i, "ab"[i % 2], i % 7, 1, 2, 3, 4.0, True, 5) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, source string, size long, rows int, _u int, h int, p double, `in` boolean, target long")
