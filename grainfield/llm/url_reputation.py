@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfield.llm.shared import join_counted, join_small, written
+from grainfield.llm.shared import join_counted, written
 
 #: Block if posterior mean - Z deviations is over LIMIT. Strengths stay within bounds, so that no level is ignored.
 LIMIT, Z, WEAKEST, STRONGEST = 0.3, 1.645, 2.0, 1000.0
@@ -71,20 +71,30 @@ def _shrunk(level: DataFrame) -> DataFrame:
     return rows.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
+def _with_priors(level: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The level's rows with p0 of their parent; parents: key, members (rows of the level that have the key), p0."""
+    parents = written(parents, "priors")
+    total = parents.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    return join_counted(level, parents, key, "members", total)
+
+
 def host_reputation(outcomes: DataFrame, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """outcomes: host, bad (0/1, or null if not labelled), a row per page; other columns are left out. Returns host, pages, n, mean, lower for every host.
 
     Counts are taken per host first, so a host with many pages is summed where its pages lie; every level is written once,
-    with its parent's mean, and read for its strength and its posteriors.
+    with its parent's mean, and read for its strength and its posteriors. A domain of very many hosts, or a suffix of very
+    many domains, is a hot key: its prior is broadcast, those of the others are joined.
     """
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = written(hosts.withColumns({"domain": domain_of(F.col("host"), two_labels), "suffix": suffix_of(F.col("host"), two_labels)}), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     overall = hosts.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).first()[0]
-    suffixes = _shrunk(written(hosts.groupBy("suffix").agg(*sums).withColumn("p0", F.lit(overall)), "suffixes")).select("suffix", F.col("mean").alias("p0"))
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    domains = _shrunk(written(join_small(domains, suffixes, "suffix"), "domains")).select("domain", F.col("mean").alias("p0"))
-    found = _shrunk(written(hosts.join(domains, "domain"), "host-priors"))
+    domains = written(hosts.groupBy("domain", "suffix").agg(*sums, F.count("*").alias("members")), "domains")
+    suffixes = domains.groupBy("suffix").agg(*sums, F.count("*").alias("members")).withColumn("p0", F.lit(overall))
+    suffixes = _shrunk(written(suffixes, "suffixes")).select("suffix", "members", F.col("mean").alias("p0"))
+    domains = _shrunk(written(_with_priors(domains.withColumnRenamed("members", "hosts"), suffixes, "suffix"), "domain-priors"))
+    domains = domains.select("domain", F.col("hosts").alias("members"), F.col("mean").alias("p0"))
+    found = _shrunk(written(_with_priors(hosts, domains, "domain"), "host-priors"))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
     return found.select("host", "pages", "n", "mean", (F.col("mean") - Z * deviation).alias("lower"))
 

@@ -71,6 +71,40 @@ def test_reputation_clashing_columns(spark):
     assert url_reputation.host_reputation(df.limit(0)).count() == 0
 
 
+def test_reputation_of_large_domains(spark):
+    """A domain of many hosts and a suffix of many domains, joined by their counts, against the levels in plain Python."""
+    rows = [(f"h{i}.big.com", i % 3 // 2) for i in range(300)] + [(f"d{i}.com", i % 5 // 4) for i in range(200)] + [(f"x.e{i}.org", i % 2) for i in range(30)]
+    rows += [("h1.big.com", 1), ("h1.big.com", None), ("alone", None), ("", 1), ("", 0)]
+    got = {r.host: r.mean for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    hosts = {}
+    for h, b in rows:
+        n, k = hosts.get(h, (0, 0))
+        hosts[h] = (n + (b is not None), k + (b or 0))
+
+    def shrunk(level, prior):
+        seen = [(n, k, prior[x]) for x, (n, k) in level.items() if n and 0 < prior[x] < 1]
+        spread = sum((k - n * p) ** 2 / (n * p * (1 - p)) for n, k, p in seen) - len(seen)
+        over = sum(n - 1 for n, _, _ in seen)
+        rho = spread / over if over else 0
+        s = min(max(1 / rho - 1, url_reputation.WEAKEST), url_reputation.STRONGEST) if rho > 0 else url_reputation.STRONGEST
+        return {x: (prior[x] * s + k) / (s + n) for x, (n, k) in level.items()}
+
+    def up(level, name):
+        sums = {}
+        for x, (n, k) in level.items():
+            a, b = sums.get(name(x), (0, 0))
+            sums[name(x)] = (a + n, b + k)
+        return sums
+
+    domains = up(hosts, lambda h: ".".join(h.split(".")[-2:]))
+    suffixes = up(domains, lambda d: d.split(".")[-1])
+    total = [sum(v) for v in zip(*hosts.values())]
+    mean = shrunk(suffixes, dict.fromkeys(suffixes, (total[1] + 0.5) / (total[0] + 1)))
+    mean = shrunk(domains, {d: mean[d.split(".")[-1]] for d in domains})
+    want = shrunk(hosts, {h: mean[".".join(h.split(".")[-2:])] for h in hosts})
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-9 for h in want)
+
+
 def test_reputation_shrinks(spark):
     rows = [("bad.x.com", 1)] * 50 + [("good.x.com", 0)] * 50 + [("new.x.com", None)] + [("few.y.com", 1)] + [("many.y.com", 0)] * 200
     rep = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
