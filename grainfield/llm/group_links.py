@@ -20,6 +20,8 @@ from grainfield.llm.gray_index import Forest
 from grainfield.llm.shared import join_small, written
 
 HUBS = 24
+#: The root of a group's largest class, all of which is connected; keys are not negative.
+LARGEST = -1
 
 
 def start_forest(rows: pd.DataFrame) -> Forest:
@@ -31,6 +33,21 @@ def start_forest(rows: pd.DataFrame) -> Forest:
     return forest
 
 
+def still_asking(forest: Forest, members: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    """The asking members of a block that must meet all others of it: those outside the largest class, or, where all ask,
+    outside the largest tree. Where some don't ask and none is of the largest class, that is all that ask."""
+    ask, tree = rows["ask"].to_numpy(bool)[members], forest.find(members)
+    largest = rows["root"].to_numpy()[members] == LARGEST
+    if ask.all():
+        names, count = np.unique(tree, return_counts=True)
+        left = names[count.argmax()]
+    elif largest.any():
+        left = tree[largest.argmax()]
+    else:
+        return members[ask]
+    return members[(tree != left) & ask]
+
+
 def whole_blocks(frames: Iterator[pd.DataFrame], link: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The links of frames in order of (node, block), with link() called on rows of whole blocks."""
     held: list[pd.DataFrame] = []
@@ -55,7 +72,8 @@ def group_links(members: DataFrame, crowded: DataFrame, link: Callable[[pd.DataF
     members: node (the group, long), key (long, once in a group) and what link() needs. crowded: a written table of
     (node, blocks) of the groups that don't fit into one task. link() gets whole blocks, with block, root and ask added:
     it gives links between rows of one block, of which at least one asks, until every such pair that is near is connected;
-    rows of one root are connected already.
+    rows of one root are connected already. Keys are not negative, as root LARGEST means the largest class. Members with a
+    null node or key are not expected; no members, no links.
     """
     names = [c for c in members.columns if c != "node"]
     kinds = ", ".join(f"{k} {members.schema['key'].dataType.simpleString()}" for k in "ab")
@@ -85,6 +103,6 @@ def group_links(members: DataFrame, crowded: DataFrame, link: Callable[[pd.DataF
     asked = join_small(classed, biggest, "node").withColumn("ask", F.col("root") != F.col("big")).withColumn("turn", F.pmod(F.xxhash64(F.lit(2), "key"), F.col("turns")))
     others = asked.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1), lambda t: t * F.col("blocks") + block))).withColumn("ask", F.lit(False))
     asking = asked.where("ask").withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.col("turn") * F.col("blocks") + b)))
-    rows = asking.unionByName(others.where("root = big or turn <> floor(block / blocks)")).select("node", "key", "block", "root", "ask")
+    rows = asking.unionByName(others.where("root = big or turn <> floor(block / blocks)")).select("node", "key", "block", F.when(F.col("root") == F.col("big"), LARGEST).otherwise(F.col("root")).alias("root"), "ask")
     second = run(large.select("node", *names).join(rows, ["node", "key"]).select("node", "block", *names, "root", "ask"))
     return first.unionByName(second)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from grainfield.llm.bpe import batches
 from grainfield.llm.components import connected_components
 from grainfield.llm.gray_index import gray_rank
-from grainfield.llm.group_links import HUBS, group_links, start_forest
+from grainfield.llm.group_links import HUBS, group_links, start_forest, still_asking
 from grainfield.llm.shared import row_keys, written
 from grainfield.llm.simhash import majority, shingle_hashes
 
@@ -135,21 +135,13 @@ def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
                 break
             near_hub = near(np.full(n, rest[len(rest) // 2]), members)
             rest = rest[~near_hub[rest - h]]
-        for x in _askers(forest, members, ask):
+        for x in still_asking(forest, members, rows).tolist():
             near(np.full(n, x), members)
     key = rows["key"].to_numpy()
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": key[edges[:, 0]], "b": key[edges[:, 1]]})
 
 
-def _askers(forest, members: np.ndarray, ask: np.ndarray) -> list[int]:
-    """The asking members outside one tree: that of the others, which are connected; without others the largest."""
-    tree = forest.find(members)
-    others = ~ask[members]
-    left = tree[others][0] if others.any() else np.unique(tree)[np.unique(tree, return_counts=True)[1].argmax()]
-    return members[(tree != left) & ask[members]].tolist()
-
-
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """The rows with set (the different shingles' hashes in order, 8 bytes each) in place of the text."""
     rest = [c for c in texts.columns if c != "text"]
@@ -193,7 +185,7 @@ def _similar(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
                 break
             near = meet(int(rest[len(rest) // 2]))
             rest = rest[~near[rest] & ~done[rest]]
-        for i in np.flatnonzero(np.isin(members, _askers(forest, members, ask)) & ~done).tolist():
+        for i in np.flatnonzero(np.isin(members, still_asking(forest, members, rows)) & ~done).tolist():
             meet(i)
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": key[edges[:, 0]], "b": key[edges[:, 1]]})

@@ -436,6 +436,32 @@ def test_group_links_by_brute_force(spark, monkeypatch, most):
     assert {k: got.get(k, k) for _, k, _ in points} == want
 
 
+@pytest.mark.parametrize("most", [3, 8])
+def test_group_links_without_needless_meetings(spark, monkeypatch, most):
+    """Only those that still_asking() names meet all of a block: classes stay those of all pairs, also where many turns are needed."""
+    monkeypatch.setattr(group_links, "HUBS", 1)
+    for seed in range(3):
+        random.seed(seed)
+        points = [(0, i, random.randrange(260)) for i in range(90)] + [(1, 100 + i, random.choice((5, 6, 300 + 3 * i))) for i in range(60)]
+
+        def link(rows):
+            r = rows.reset_index(drop=True)
+            forest = group_links.start_forest(r)
+            for members in r.groupby(["node", "block"], sort=False).indices.values():
+                hub = [m for m in members if r.ask[m]][:1]
+                for turn in (lambda: hub, lambda: group_links.still_asking(forest, members, r)):
+                    for i in turn():
+                        near = members[abs(r.x.to_numpy()[members] - r.x[i]) <= 3]
+                        forest.join(np.full(len(near), i), near)
+            e = np.array(forest.edges, np.int64).reshape(-1, 2)
+            return pd.DataFrame({"a": r.key.to_numpy()[e[:, 0]], "b": r.key.to_numpy()[e[:, 1]]})
+
+        members = spark.createDataFrame(points, "node long, key long, x int").repartition(3)
+        crowded = members.groupBy("node").agg(F.ceil(F.count("*") / most).cast("long").alias("blocks"))
+        got = {r.node: r.root for r in components.connected_components(group_links.group_links(members, crowded, link, most)).collect()}
+        assert {k: got.get(k, k) for _, k, _ in points} == brute_line(points)
+
+
 def brute_line(points):
     out = {}
     for g in {p[0] for p in points}:
