@@ -8,7 +8,7 @@ then compared with the whole group, block by block. What a task holds is two blo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,7 +66,7 @@ def whole_blocks(frames: Iterator[pd.DataFrame], link: Callable[[pd.DataFrame],
         yield link(pd.concat(held, ignore_index=True))
 
 
-def group_links(members: DataFrame, crowded: DataFrame, link: Callable[[pd.DataFrame], pd.DataFrame], most: int, order: Sequence[str] = ()) -> DataFrame:
+def group_links(members: DataFrame, crowded: DataFrame, link: Callable[[pd.DataFrame], pd.DataFrame], most: int) -> DataFrame:
     """Links (a, b) between keys that connect what link() connects within each node.
 
     members: node (the group, long), key (long, once in a group) and what link() needs. crowded: a written table of
@@ -79,15 +79,16 @@ def group_links(members: DataFrame, crowded: DataFrame, link: Callable[[pd.DataF
     kinds = ", ".join(f"{k} {members.schema['key'].dataType.simpleString()}" for k in "ab")
 
     def run(rows: DataFrame) -> DataFrame:
-        dealt = rows.repartition("node", "block").sortWithinPartitions("node", "block", *order)
+        dealt = rows.repartition("node", "block").sortWithinPartitions("node", "block")
         return dealt.mapInPandas(lambda frames: whole_blocks(frames, link), kinds)
 
     alone = F.lit(True).alias("ask")
+    if crowded.isEmpty():
+        dealt = members.repartition("node").sortWithinPartitions("node").withColumns({"block": F.lit(0).cast("long"), "root": F.col("key"), "ask": F.lit(True)})
+        return dealt.mapInPandas(lambda frames: whole_blocks(frames, link), kinds)
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     placed = join_small(members, crowded, "node", "left")
     once = placed.select("node", F.coalesce(block, F.lit(0)).alias("block"), *names, F.col("key").alias("root"), alone)
-    if crowded.isEmpty():
-        return run(once)
     large = join_small(members, crowded, "node")
     picked = large.groupBy("node", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(HUBS)).alias("_h")).agg(F.min("key").alias("key")).select("node", "key")
     hubs = large.join(picked, ["node", "key"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where(F.col("other") != block)

@@ -5,16 +5,18 @@ on the sets themselves. Equal sets are one node from the start. A fingerprint of
 of similarity s have the cosine 2s/(1+s), so a bit differs with probability acos(cosine)/pi, and pairs with at most
 DIFFERENCES of the 256 bits are candidates (39 are expected at 0.8, the limit is more than three deviations above).
 
-Candidates: several hierarchies over differently chosen bits. The upper nodes of each, `depth` levels down, are groups
-that share a masked bit pattern; within a group the leaves lie in Gray order. The depth follows from the number of
-documents so that groups stay small, and the number of hierarchies from the depth so that a pair of similarity 0.8 meets
-in one of them with probability RECALL, whatever the size of its groups. Within a group every pair is compared but those
-that are already connected: in groups over PAIRS hubs come first, then all that are outside the largest tree meet all
-others. A group gives fewer links than it has members.
+Candidates: several hierarchies over differently chosen bits. Their upper nodes are cells that share a masked pattern of
+`depth` bits; only these travel. A cell has up to 2^CELL members at any number of documents beyond 2^(CELL + DEPTH), and
+DEPTH levels below that, so up to there a document is sent the same number of times however many there are. Within a cell of over
+WHOLE members lower nodes share further bits, over several choices of them, in the cell's own task; their leaves lie in Gray
+order. The numbers of choices follow from the depths so that a pair of similarity 0.8, whose bits differ as the binomial
+distribution says, meets with probability RECALL, whatever the size of its groups. Within a lower node every pair is compared
+but those that are already connected: in nodes over PAIRS hubs come first, then all that are outside the largest tree meet
+all others. A cell gives fewer links than it has members.
 
 Links: the connected candidates are a family, and every pair of candidates lies in one. Within a family every pair of
-shingle sets is counted but those already connected by links. Documents without candidates are left alone. Groups over
-CROWD members and families over FAMILY members or SET_HASHES shingles are worked off in blocks (group_links), with the
+shingle sets is counted but those already connected by links. Documents without candidates are left alone. Cells over
+CROWD members (more where cells are large) and families over FAMILY members or SET_HASHES shingles are worked off in blocks (group_links), with the
 same result.
 
 Cases: null and empty texts (and texts without words) have the empty set and are copies of one another; a shorter text is
@@ -24,7 +26,9 @@ column one; an empty table gives an empty one; all columns of the input come bac
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -41,6 +45,10 @@ from grainfield.llm.shared import row_keys, written
 from grainfield.llm.simhash import majority, shingle_hashes
 
 WORDS, SIMILARITY, DIFFERENCES, RECALL = 5, 0.8, 60, 0.97
+#: Least depth of the cells, binary logarithm of their members, recall within one, members of a cell that has no lower nodes.
+DEPTH, CELL, LOWER, WHOLE = 6, 18, 0.9, 256
+#: Leaves compared at a time.
+BATCH = 1 << 15
 LANES, PAIRS, CROWD, FAMILY, SET_HASHES = 4, 1024, 20_000, 256, 4_000_000
 _LANE = [f"w{k}" for k in range(LANES)]
 
@@ -74,41 +82,75 @@ def wide_prints(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "k0", "k1", "text").mapInPandas(run, f"id {kind}, k0 long, k1 long, key string, size long, " + ", ".join(f"{n} long" for n in _LANE))
 
 
-def hierarchies(count: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """Depth of the groups and number of hierarchies for so many documents."""
-    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    depth = max(10, math.ceil(math.log2(count + 1)) - 3)
-    return depth, math.ceil(math.log(1 - recall) / math.log(1 - same**depth))
+def meeting(depth: int, given: int = 0) -> np.ndarray:
+    """For 0 to DIFFERENCES differing bits, the chance that none is among `depth` chosen ones, if none is among `given` others."""
+    alike = 64 * LANES - np.arange(DIFFERENCES + 1)
+    return np.prod([(alike - i) / (64 * LANES - i) for i in range(given, given + depth)], axis=0)
+
+
+def tables(chance: np.ndarray, recall: float, similarity: float = SIMILARITY) -> int:
+    """How many tables that a pair meets in with this chance (by its differing bits) give a pair of this similarity the recall."""
+    q, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * LANES
+    weight = np.array([math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(DIFFERENCES + 1)])
+    weight /= weight.sum()
+    return next(t for t in itertools.count(1) if weight @ (1 - (1 - chance) ** t) >= recall)
+
+
+@functools.cache
+def lower_nodes(members: int, above: int) -> tuple[int, int]:
+    """Depth and number of the choices of lower nodes in a cell of so many members, which shares `above` bits."""
+    depth = max(1, math.ceil(math.log2(members + 1)) - 1)
+    return depth, tables(meeting(depth, above), LOWER)
+
+
+def hierarchies(count: int, recall: float = RECALL) -> tuple[int, int]:
+    """Depth of the cells and number of hierarchies for so many documents."""
+    depth = max(DEPTH, math.ceil(math.log2(count + 1)) - CELL)
+    chance, members = meeting(depth), count >> depth
+    if members > WHOLE // 2:
+        inner, choices = lower_nodes(members, depth)
+        chance = chance * (1 - (1 - meeting(inner, depth)) ** choices)
+    return depth, tables(chance, recall)
+
+
+def chosen_bits(table: int, depth: int) -> np.ndarray:
+    """All bits in the order of a hierarchy: its first `depth` make the cells."""
+    return np.random.default_rng([1, table, depth]).permutation(64 * LANES)
+
+
+def pattern(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The chosen bits of each code (a row of LANES words) as a number."""
+    out = np.zeros(len(words), np.uint64)
+    for i, b in enumerate(bits.tolist()):
+        out |= (words[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(i)
+    return out.view(np.int64)
 
 
 def near_links(nodes: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
-    """Links (a, b) between the keys of nodes (key long, w0..w3; different keys), fewer than a group's members per group."""
-    depth, tables = hierarchies(nodes.count())
-    rng = np.random.default_rng(1)
-    picked = [rng.permutation(64 * LANES)[:depth] for _ in range(tables)]
+    """Links (a, b) between the keys of nodes (key long, w0..w3; different keys), fewer than a cell's members per cell."""
+    count = nodes.count()
+    depth, many = hierarchies(count)
+    crowd = CROWD * max(1, (count >> depth) >> 12)
+    picked = [chosen_bits(t, depth)[:depth] for t in range(many)]
 
-    def grouped(frames: Iterator[pd.DataFrame], lean: bool):
-        powers = 1 << np.arange(depth, dtype=np.int64)
+    def celled(frames: Iterator[pd.DataFrame], columns: list[str]):
         for frame in frames:
-            for at in range(0, len(frame), 2048):
-                part = frame.iloc[at : at + 2048]
-                bits = np.unpackbits(np.ascontiguousarray(part[_LANE].to_numpy(np.int64), ">i8").view(np.uint8).reshape(len(part), -1), axis=1)
-                node = np.concatenate([bits[:, p] @ powers + (t << 40) for t, p in enumerate(picked)])
-                if lean:
-                    yield pd.DataFrame({"node": node})
-                    continue
-                rank = np.tile((gray_rank(part["w0"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(1)).view(np.int64), tables)
-                yield pd.DataFrame({"node": node, "rank": rank} | {c: np.tile(part[c].to_numpy(), tables) for c in ["key", *_LANE]})
-
-    sizes = nodes.select(*_LANE).mapInPandas(lambda f: grouped(f, True), "node long").groupBy("node").count()
-    crowded = written(sizes.where(F.col("count") > CROWD).select("node", F.ceil(F.col("count") / max(1, CROWD // 2)).cast("long").alias("blocks")), "crowded")
-    rows = nodes.select("key", *_LANE).mapInPandas(lambda f: grouped(f, False), "node long, rank long, key long, " + ", ".join(f"{n} long" for n in _LANE))
-    return group_links(rows, crowded, lambda frame: _links(frame, differences), max(1, CROWD // 2), ["rank"])
-
-
-def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
-    """Links within the blocks of rows, which lie together."""
-    word = rows[_LANE].to_numpy(np.int64).view(np.uint64)
+            for at in range(0, len(frame), 4096):
+                part = frame.iloc[at : at + 4096]
+                words = part[_LANE].to_numpy(np.int64).view(np.uint64)
+                node = np.concatenate([pattern(words, p) + (t << 40) for t, p in enumerate(picked)])
+                yield pd.DataFrame({"node": node} | {c: np.tile(part[c].to_numpy(), many) for c in columns})
+
+    sizes = nodes.select(*_LANE).mapInPandas(lambda f: celled(f, []), "node long").groupBy("node").count()
+    blocks = F.ceil(F.col("count") / max(1, crowd // 2)).cast("long")
+    crowded = written(sizes.where(F.col("count") > crowd).select("node", blocks.alias("blocks")), "crowded")
+    rows = nodes.select("key", *_LANE).mapInPandas(lambda f: celled(f, ["key", *_LANE]), "node long, key long, " + ", ".join(f"{n} long" for n in _LANE))
+    return group_links(rows, crowded, lambda frame: _links(frame, differences, depth), max(1, crowd // 2))
+
+
+def _links(rows: pd.DataFrame, differences: int, depth: int | None = None) -> pd.DataFrame:
+    """Links within the blocks of rows, which lie together; given the depth of the cells, only within lower nodes of large ones."""
+    word = np.ascontiguousarray(rows[_LANE].to_numpy(np.int64)).view(np.uint64)
     group, ask = rows[["node", "block"]].to_numpy(np.int64), rows["ask"].to_numpy(bool)
     head = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1)))) if len(group) else np.empty(0, np.int64)
     size = np.diff(np.append(head, len(group)))
@@ -116,27 +158,49 @@ def _links(rows: pd.DataFrame, differences: int) -> pd.DataFrame:
 
     def near(a, b):
         ok = np.bitwise_count(word[a] ^ word[b]).sum(axis=-1) <= differences
-        forest.join(np.broadcast_to(a, ok.shape)[ok], np.broadcast_to(b, ok.shape)[ok])
+        forest.join(a[ok], b[ok])
         return ok
 
-    end = np.repeat(head + np.where(size <= PAIRS, size, 0), size)
-    at = np.flatnonzero(np.arange(len(group)) + 1 < end)
-    step = 1
-    while len(at):
-        some = at[ask[at] | ask[at + step]]
-        near(some, some + step)
-        step += 1
-        at = at[at + step < end[at]]
-    for h, n in zip(head[size > PAIRS].tolist(), size[size > PAIRS].tolist()):
-        members = np.arange(h, h + n)
-        rest = members[ask[members]]
-        for _ in range(HUBS):
-            if not len(rest):
-                break
-            near_hub = near(np.full(n, rest[len(rest) // 2]), members)
-            rest = rest[~near_hub[rest - h]]
-        for x in still_asking(forest, members, rows).tolist():
-            near(np.full(n, x), members)
+    def meet(order: np.ndarray, size: np.ndarray) -> None:
+        """Compares within groups of so many rows each, which follow one another in this order."""
+        head = np.cumsum(size) - size
+        end = np.repeat(np.where(size <= PAIRS, head + size, 0), size)
+        at = np.flatnonzero(np.arange(len(order)) + 1 < end)
+        step = 1
+        while len(at):
+            a, b = order[at], order[at + step]
+            some = ask[a] | ask[b]
+            near(a[some], b[some])
+            step += 1
+            at = at[at + step < end[at]]
+        for h, n in zip(head[size > PAIRS].tolist(), size[size > PAIRS].tolist()):
+            members = order[h : h + n]
+            rest = np.flatnonzero(ask[members])
+            for _ in range(HUBS):
+                if not len(rest):
+                    break
+                near_hub = near(np.full(n, members[rest[len(rest) // 2]]), members)
+                rest = rest[~near_hub[rest]]
+            for x in still_asking(forest, members, rows).tolist():
+                near(np.full(n, x), members)
+
+    large = (size > WHOLE) & (depth is not None)
+    meet(np.flatnonzero(~np.repeat(large, size)), size[~large])
+    for h, n in zip(head[large].tolist(), size[large].tolist()):
+        table = int(group[h, 0]) >> 40
+        inner, choices = lower_nodes(n, depth)
+        free = chosen_bits(table, depth)[depth:]
+        mine, rng = word[h : h + n], np.random.default_rng([2, table])
+        leaves = np.argsort(gray_rank(mine[:, 0]), kind="stable")
+        at_once = max(1, BATCH // n)
+        for c in range(0, choices, at_once):
+            orders, sizes = [], []
+            for _ in range(c, min(c + at_once, choices)):
+                node = pattern(mine, rng.permutation(free)[:inner])[leaves]
+                place = np.argsort(node, kind="stable")
+                orders.append(h + leaves[place])
+                sizes.append(np.diff(np.append(np.flatnonzero(np.diff(node[place], prepend=-1)), n)))
+            meet(np.concatenate(orders), np.concatenate(sizes))
     key = rows["key"].to_numpy()
     edges = np.array(forest.edges, np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": key[edges[:, 0]], "b": key[edges[:, 1]]})
