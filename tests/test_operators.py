@@ -319,6 +319,15 @@ def test_assembled_texts(spark):
     assert got == {"a": "=== u ===\neins\n\n=== v ===\nzwei\n\n=== w ===\n"[:30], "b": ("===  ===\n" + "x" * 50)[:30]}
 
 
+def test_assembled_texts_cut_anywhere(spark):
+    """Limits that fall on a blank line and on either side of it; empty parts, so that the most parts fit."""
+    rows = [("a", i, "u" * (i % 3), "t" * (i % 2)) for i in range(9)] + [("b", i, "", "") for i in range(9)]
+    whole = {k: "\n\n".join(f"=== {u} ===\n{t}" for x, _, u, t in rows if x == k) for k in "ab"}
+    parts = spark.createDataFrame(rows, "k string, n int, url string, text string").localCheckpoint()
+    for limit in (8, 9, 10, 11, 12, 19, 20, 21, 22, 23, 24, 31):
+        assert {r.k: r.text for r in corpus.assemble_text(parts, "k", limit, "n").collect()} == {k: t[:limit] for k, t in whole.items()}
+
+
 def test_small_helpers(spark):
     one = spark.createDataFrame([("2024-01-02", None, "Bürgermeister-Straße 5!", "a\0b")], "a string, b string, s string, n string")
     r = one.select(text.date_range_text(F.col("a"), F.col("b")).alias("x"), text.map_range_text(F.col("a"), F.col("b")).alias("y"), text.map_range_text(F.col("b"), F.col("b")).alias("z"), text.slugify("s").alias("s"), text.sanitize_text("n", 5).alias("n")).first()
