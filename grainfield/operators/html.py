@@ -31,6 +31,8 @@ ENDED_BY = {t: (("p", _SCOPE),) for t in PARAGRAPH_ENDS} | {
     "tr": (("tr", _TABLE),), "td": (("td", _TABLE | {"tr"}), ("th", _TABLE | {"tr"})), "th": (("td", _TABLE | {"tr"}), ("th", _TABLE | {"tr"})), "option": (("option", frozenset({"select"})),),
 }
 TAG = re.compile("<[a-zA-Z/!?]")
+#: The ampersand of a character reference without its semicolon.
+UNENDED = re.compile("&(?=#?[a-zA-Z0-9]++(?!;))")
 DOCUMENT = r'https?://[^\s"<>]+\.[pP][dD][fF]'
 
 
@@ -130,8 +132,9 @@ class _Page(HTMLParser):
             self.inside["size"] += len(text) + 1
 
 
-def _parse(html: str | None) -> tuple[str, list[dict], list[dict]]:
+def _parse(html: str | None, unended: bool = True) -> tuple[str, list[dict], list[dict]]:
     page, html = _Page(), html or ""
+    html = html if unended else UNENDED.sub("&amp;", html)
     page.feed(html[: end.start()] if (end := TAG.search(html, html.rfind(">") + 1)) else html)  # a tag that never ends is none, and is looked for once
     page.close()
     while page.open:
@@ -143,16 +146,18 @@ def _parse(html: str | None) -> tuple[str, list[dict], list[dict]]:
     return " ".join(page.kept.texts), blocks, links
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, unended: bool = True) -> DataFrame:
     """page_id, url, text, blocks, links of every page; null html is an empty page.
 
+    Character references without their semicolon (&amp for &amp;) are decoded as browsers do, or with `unended` off stay as they stand.
+
     blocks are the places (start from 0, size) of the elements with text of their own in the page's text, in order of their
     begin; block_texts() gives their texts. A block inside more than DEEPEST others is not listed; its text is part of theirs.
     """
 
     def run(frames):
         for frame in frames:
-            text, blocks, links = zip(*map(_parse, frame["html"])) if len(frame) else ((), (), ())
+            text, blocks, links = zip(*(_parse(h, unended) for h in frame["html"])) if len(frame) else ((), (), ())
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text, "blocks": blocks, "links": links})
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, blocks array<struct<start:int,size:int>>, links array<struct<href:string,anchor:string,context:string>>")

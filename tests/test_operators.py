@@ -96,6 +96,18 @@ def test_parser_ends_elements_as_html_does():
     assert html._parse(None) == ("", [], []) and html._parse("</div>a<br/>b</p>c < d <a href='")[0] == "a b c < d"
 
 
+def test_texts_with_cut_references_as_the_sql(spark, tmp_path):
+    """References cut anywhere, as titles of a fixed length have them, beside whole ones."""
+    import duckdb
+
+    cut = ["&amp;&amp", "&amp;&am", "&amp;amp", "&&amp;", "&lt", "&quot", "&quo", "&copy; &copy", "&middot;&", "a&amp;lt;b&gt", "&nbsp;x&nbsp"]
+    rows = [(i, "https://h.de/", f"<html><title>T {x}</title><body><a href='/?a=1&copy=2'>l</a><h1>{x}</h1><p>{x} y {x}</p></body></html>") for i, x in enumerate(cut)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    asked = page_queries.ORACLE_SQL["html_text"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, page_queries.html_text(spark, str(tmp_path)).collect())) == sorted(duckdb.sql(asked).fetchall())
+    assert html._parse("<h1>a&amp</h1>")[0] == "a&" and html._parse("<h1>a&amp</h1>", False)[0] == "a&amp"
+
+
 def test_parser_is_linear():
     """A megabyte of elements that nobody closes, closed twice, or in one another."""
     import time
