@@ -1,12 +1,13 @@
-"""Pages (page_id, url, html) to text, content blocks and links. The parser is a small helper of mapInPandas; everything after it is columns."""
+"""Pages (page_id, url, html) to text, content blocks and links. The parser is a small helper of mapInArrow; everything after it is columns."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import partial
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 SPA_MARKERS = r'<div id="(root|app|__next)"|ng-app|data-reactroot|window\.__nuxt__'
 SHORT_HTML, SHORT_BLOCK, LONG_BLOCK, MOST_BLOCKS, MOST_CONTEXT, MOST_ANCHOR = 500, 100, 500, 10, 300, 200
 DEEPEST = 256
+#: So many pages are parsed before their texts and links are handed on.
+PAGES = 64
 # What a start tag ends, as HTML says: elements, each unless one of those after it lies between.
 PARAGRAPH_ENDS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 _TABLE, _SCOPE = frozenset({"table"}), frozenset({"button", "table", "td", "th"})
@@ -146,6 +149,17 @@ def _parse(html: str | None, unended: bool = True) -> tuple[str, list[dict], lis
     return " ".join(page.kept.texts), blocks, links
 
 
+def _parse_batches(batches: Iterator, unended: bool) -> Iterator:
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())])), pa.list_(pa.struct([(c, pa.string()) for c in ("href", "anchor", "context")]))]
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES):
+            some = batch.slice(at, PAGES)
+            parsed = zip(*(_parse(h, unended) for h in some.column("html").to_pylist()))
+            yield pa.RecordBatch.from_arrays([some.column("page_id").cast(pa.int64()), some.column("url"), *map(pa.array, parsed, kinds)], ["page_id", "url", "text", "blocks", "links"])
+
+
 def parse_pages(pages: DataFrame, unended: bool = True) -> DataFrame:
     """page_id, url, text, blocks, links of every page; null html is an empty page.
 
@@ -153,14 +167,10 @@ def parse_pages(pages: DataFrame, unended: bool = True) -> DataFrame:
 
     blocks are the places (start from 0, size) of the elements with text of their own in the page's text, in order of their
     begin; block_texts() gives their texts. A block inside more than DEEPEST others is not listed; its text is part of theirs.
+    A task holds what Spark sends it at a time and the results of PAGES pages, however many pages there are.
     """
 
-    def run(frames):
-        for frame in frames:
-            text, blocks, links = zip(*(_parse(h, unended) for h in frame["html"])) if len(frame) else ((), (), ())
-            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text, "blocks": blocks, "links": links})
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, blocks array<struct<start:int,size:int>>, links array<struct<href:string,anchor:string,context:string>>")
+    return pages.select("page_id", "url", "html").mapInArrow(partial(_parse_batches, unended=unended), "page_id long, url string, text string, blocks array<struct<start:int,size:int>>, links array<struct<href:string,anchor:string,context:string>>")
 
 
 def block_texts(blocks: Column | str = "blocks", text: Column | str = "text") -> Column:

@@ -96,6 +96,24 @@ def test_parser_ends_elements_as_html_does():
     assert html._parse(None) == ("", [], []) and html._parse("</div>a<br/>b</p>c < d <a href='")[0] == "a b c < d"
 
 
+def test_parser_hands_on_few_pages_at_a_time():
+    """A batch of many pages with many links: memory is that of PAGES pages, and none is lost."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = "<div>" + "<p>some words <a href='/x'>here</a></p>" * 50 + "</div>"
+    batch = pa.RecordBatch.from_pydict({"page_id": range(1, 1001), "url": ["https://h.de/"] * 1000, "html": [page] * 999 + [None]})
+    tracemalloc.start()
+    ids, found = [], 0
+    for out in html._parse_batches(iter([batch]), True):
+        assert out.num_rows <= html.PAGES
+        ids += out.column("page_id").to_pylist()
+        found += len(out.column("links").flatten())
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000 and ids == [*range(1, 1001)] and found == 999 * 50
+    tracemalloc.stop()
+
+
 def test_texts_with_cut_references_as_the_sql(spark, tmp_path):
     """References cut anywhere, as titles of a fixed length have them, beside whole ones."""
     import duckdb
