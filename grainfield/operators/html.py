@@ -220,8 +220,9 @@ def content_blocks(parsed: DataFrame, model: dict[str, list[str]], least: float
     """page_id, pos, block, score: the first blocks that are long enough and score."""
     long = F.filter("blocks", lambda b: b["size"] > SHORT_BLOCK)
     rows = parsed.select("page_id", "text", F.posexplode(long).alias("pos", "b")).select("page_id", "pos", F.substring("text", F.col("b.start") + 1, F.col("b.size")).alias("block"))
-    rows = with_hits(rows, "block", model, "_hits").withColumn("score", coverage_score(F.col("_hits"), model)).where(F.col("score") > least)
-    best = rows.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", F.substring("block", 1, LONG_BLOCK).alias("block"), "score"))), 1, MOST_BLOCKS).alias("b"))
+    rows = with_hits(rows, "block", model, "_hits").withColumn("score", coverage_score(F.col("_hits"), model))
+    kept = F.when(F.col("score") > least, F.struct("pos", F.substring("block", 1, LONG_BLOCK).alias("block"), "score"))  # no filter, which would be moved before the score and make it anew for every keyword
+    best = rows.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(kept)), 1, MOST_BLOCKS).alias("b"))
     return best.select("page_id", F.inline("b"))
 
 

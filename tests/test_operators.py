@@ -82,6 +82,13 @@ def test_html_blocks_and_harvest_by_plain_python(spark, sf):
         assert r.n_links == len(parsed[r.page_id].links) and near(r.score, text_score(parsed[r.page_id].text)) and r.is_relevant == (r.score >= 0.15)
 
 
+def test_texts_are_normalised_once(spark, sf):
+    """Not once for every keyword of a condition that Spark moved before the scores."""
+    for name in ("category_distribution", "html_blocks"):
+        plan = page_queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(coalesce(") == 1, name
+
+
 def test_parser_blocks_and_context(spark):
     page = "<div>a <p>b <a href='/x'>c</a> d</p><nav>n</nav><section>e</section></div><script>no</script><div></div><p>" + "w " * 400 + "<a href='/y'>z</a></p>"
     parsed = html.parse_pages(spark.createDataFrame([(1, "https://h.de/", page)], "page_id long, url string, html string"))
