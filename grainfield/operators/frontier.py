@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 ORDERS = {"focused": "is_priority and not is_document", "documents_first": "is_priority or is_document", "fifo": "false"}
 
 
+#: The links of so many pages are looked up by their keys; those of more are joined.
+FEW = 1000
+
+
 def _front(order: str | Column) -> Column:
     rule = order if isinstance(order, Column) else F.expr(ORDERS[order])
     return F.coalesce(rule.cast("boolean"), F.lit(False))
@@ -90,25 +96,41 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(label)
 
 
+def rows_of(rows: DataFrame, key: str, values: list) -> DataFrame:
+    """The rows with these keys, asked for ten at a time, as Spark hands no longer list on to Parquet: of a sorted file only the pages that may hold one are read."""
+    values = sorted(values)
+    tens = [F.col(key).isin(values[i : i + 10]) for i in range(0, len(values), 10)]
+    while len(tens) > 1:
+        tens = [reduce(or_, tens[i : i + 2]) for i in range(0, len(tens), 2)]
+    return rows.where(tens[0])
+
+
 def crawl(edges: DataFrame, seeds: DataFrame, budget: int, cap: int = 300, order: str | Column = "focused", pages: DataFrame | None = None, once: bool = False) -> DataFrame:
-    """Target, place, node: the pages that every target's crawl reads, in its order, until its budget is spent or its queue empty.
+    """Target, place, node: the pages that every target's crawl reads, in its order, until its budget is spent or its queue empty; as crawls() with one order."""
+    return crawls(edges, seeds, budget, cap, {"": order}, pages, once).drop("mode")
 
-    edges: src, dst, pos, and what the order's rule needs (is_priority, is_document, or any columns of a rule of one's own);
+
+def crawls(edges: DataFrame, seeds: DataFrame, budget: int, cap: int, orders: dict[str, str | Column], pages: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """Mode, target, place, node: the pages that every target's crawl reads, once in each of the orders, which are run beside each other (at most 62).
+
+    edges: src, dst, pos, and what the orders' rules need (is_priority, is_document, or any columns of a rule of one's own);
     seeds: target, node; nodes are urls in the form that tells pages apart. pages, if given: node, ok, hash; a page that isn't ok
     (blocked, failed, not stored) or whose hash the target has read before is passed over when its turn comes: it costs no budget
     and its links don't count. Queues work as in frontier_round(): links of a page go in as they stand while there is room.
 
-    A target is one row: its queue (at most cap entries and the seed), the pages seen and the pages read. Every round, each target
-    takes its next page, and its links are put into the queue by columns; links lie in buckets of their page, so a round shuffles
-    only the targets' rows. Rounds, at most as many as the budget, are tables in the shared folder, so that none is done twice.
+    A target in an order is one row: its queue (at most cap entries and the seed), the pages seen and the pages read. Every round,
+    each takes its next page, and its links are put into the queue by columns; links lie in sorted buckets of their page, so a
+    round shuffles only the targets' rows, and reads only the links it needs while it needs those of FEW pages at most. Rounds,
+    at most as many as the budget, are tables in the shared folder, so that none is done twice.
     """
     kind = edges.schema["dst"].dataType
-    known = edges.select("src", "pos", F.col("dst").alias("node"), _front(order).alias("front"))
+    fronts = reduce(lambda a, b: a.bitwiseOR(b), [F.when(_front(o), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, o in enumerate(orders.values())])
+    known = edges.select("src", "pos", F.col("dst").alias("node"), fronts.alias("fronts"))
     if pages is not None:
         known = known.join(pages.select("node", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("hash").cast("string").alias("hash")), "node", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     else:
         known = known.withColumns({"ok": F.lit(True), "hash": F.lit(None).cast("string")})
-    lists = known.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "front", "ok", "hash"))).alias("links"))
+    lists = known.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "fronts", "ok", "hash"))).alias("links"))
     lists = bucketed_table(lists.select(F.col("src").alias("now"), "links"), "links", "now")
     entry = "struct<node:{0},ok:boolean,hash:string>".format(kind.simpleString())
     first = seeds.select("target", F.col("node").cast(kind).alias("node"))
@@ -117,7 +139,9 @@ def crawl(edges: DataFrame, seeds: DataFrame, budget: int, cap: int = 300, order
     else:
         first = first.withColumns({"ok": F.lit(True), "hash": F.lit(None).cast("string")})
     none = F.array().cast(f"array<{kind.simpleString()}>")
-    state = first.select("target", F.array(F.struct("node", F.coalesce("ok", F.lit(False)).alias("ok"), "hash")).cast(f"array<{entry}>").alias("queue"), none.alias("seen"), F.array().cast("array<string>").alias("hashes"), none.alias("read"))
+    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(1 << i).cast("long").alias("bit")) for i, m in enumerate(orders)]))
+    first = first.withColumn("run", runs)
+    state = first.select("run.*", "target", F.array(F.struct("node", F.coalesce("ok", F.lit(False)).alias("ok"), "hash")).cast(f"array<{entry}>").alias("queue"), none.alias("seen"), F.array().cast("array<string>").alias("hashes"), none.alias("read"))
     state = shared_table(state, "crawl")
     for _ in range(budget):
         fits = lambda e: e["ok"] & ~F.array_contains("seen", e["node"]) & ~F.coalesce(F.array_contains("hashes", e["hash"]), F.lit(False))
@@ -127,8 +151,11 @@ def crawl(edges: DataFrame, seeds: DataFrame, budget: int, cap: int = 300, order
         seen = F.array_union("seen", F.transform(F.slice("queue", 1, F.col("at")), lambda e: e["node"]))
         hashes = F.when(F.col("e.hash").isNotNull(), F.array_append("hashes", F.col("e.hash"))).otherwise(F.col("hashes"))
         read = F.when(F.col("e").isNotNull(), F.array_append("read", F.col("e.node"))).otherwise(F.col("read"))
-        taken = taken.select("target", rest.alias("queue"), seen.alias("seen"), hashes.alias("hashes"), read.alias("read"), F.col("e.node").alias("now"))
-        found = taken.join(lists, "now", "left")
+        taken = taken.select("mode", "bit", "target", rest.alias("queue"), seen.alias("seen"), hashes.alias("hashes"), read.alias("read"), F.col("e.node").alias("now"))
+        asked = [r.now for r in taken.where("now is not null").select("now").distinct().limit(FEW + 1).collect()]
+        if not asked:
+            break
+        found = taken.join(lists if len(asked) > FEW else rows_of(lists, "now", asked), "now", "left")
         waits = F.transform("queue", lambda e: e["node"])
         fresh = F.filter(F.coalesce("links", F.array().cast(lists.schema["links"].dataType)), lambda x: ~F.array_contains("seen", x["node"]) & (~F.array_contains(waits, x["node"]) if once else F.lit(True)))
         if once:
@@ -136,13 +163,12 @@ def crawl(edges: DataFrame, seeds: DataFrame, budget: int, cap: int = 300, order
             found = found.withColumn("fresh", fresh).withColumn("nodes", F.transform("fresh", lambda x: x["node"]))
             fresh = F.filter("fresh", lambda x, i: F.array_position(nodes, x["node"]) == i + 1)
         put = F.col("put")
+        ahead = lambda x: x["fronts"].bitwiseAND(F.col("bit")) > 0
         found = found.withColumn("put", F.slice(fresh, 1, F.greatest(F.lit(cap) - F.size("queue"), F.lit(0))))
         plain = lambda xs: F.transform(xs, lambda x: F.struct(x["node"].alias("node"), x["ok"].alias("ok"), x["hash"].alias("hash")))
-        queue = F.concat(plain(F.reverse(F.filter(put, lambda x: x["front"]))), F.col("queue"), plain(F.filter(put, lambda x: ~x["front"])))
-        state = shared_table(found.select("target", queue.alias("queue"), "seen", "hashes", "read", F.col("now").isNotNull().alias("moved")), "crawl")
-        if state.where("moved").isEmpty():
-            break
-    return state.select("target", F.posexplode("read").alias("place", "node")).withColumn("place", F.col("place") + 1)
+        queue = F.concat(plain(F.reverse(F.filter(put, ahead))), F.col("queue"), plain(F.filter(put, lambda x: ~ahead(x))))
+        state = shared_table(found.select("mode", "bit", "target", queue.alias("queue"), "seen", "hashes", "read"), "crawl")
+    return state.select("mode", "target", F.posexplode("read").alias("place", "node")).withColumn("place", F.col("place") + 1)
 
 
 def harvest_at(visits: DataFrame, ks: list[int]) -> DataFrame:

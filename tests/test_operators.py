@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainfield.functions import text
 from grainfield.operators import bayes, corpus, frontier, gold, html, operations, relevance, tables
-from grainfield.plans import page_queries
+from grainfield.plans import corpus_queries, page_queries
 from grainfield.plans.views import table
 
 MODEL = page_queries.MODEL
@@ -251,6 +251,18 @@ def test_crawls_as_a_list(spark):
     assert nodes == {r.node for r in frontier.reach(near, seeds.where("node = 0").select("node")).collect()}
 
 
+def test_orders_share_their_links(spark, sf, monkeypatch):
+    """Both orders' crawls read one table of links, whether links are looked up or joined."""
+    links = lambda: sum(t.name.startswith("links_") for t in spark.catalog.listTables())
+    before, visits = links(), []
+    for few in (frontier.FEW, 0):
+        monkeypatch.setattr(frontier, "FEW", few)
+        visits.append(sorted(map(tuple, corpus_queries.crawl_visits(spark, sf).collect())))
+    assert links() == before + 2 and visits[0] == visits[1] and {v[0] for v in visits[0]} == {"focused", "fifo"}
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    assert sorted(r.k for r in frontier.rows_of(rows, "k", [*range(0, 200, 3)]).collect()) == [*range(0, 100, 3)]
+
+
 def test_classifier_by_plain_python(spark):
     import math
 
