@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfield.functions.text import tokens
+from grainfield.functions.text import TOKEN, tokens
 
 UNSEEN = 1e-6
 #: Terms with a larger share of a class are broadcast: fewer than classes / OFTEN.
 OFTEN = 1e-4
+#: The terms of so many texts are counted before they are handed on.
+TEXTS = 64
 
 
 def term_counts(docs: DataFrame, ident: str, text: str, among: DataFrame | None = None) -> DataFrame:
@@ -21,6 +26,25 @@ def term_counts(docs: DataFrame, ident: str, text: str, among: DataFrame | None
     return rows.groupBy(ident, "term").agg(F.count("*").alias("tf"))
 
 
+def _tallies(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    find = re.compile(TOKEN).findall
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(at, TEXTS)
+            found = [Counter(find(t)) for t in some.column(1).to_pylist()]
+            of = pa.array([i for i, c in enumerate(found) for _ in c], pa.int64())
+            terms, tf = pa.array([t for c in found for t in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column(0).take(of), terms, tf], [batch.schema.names[0], "term", "tf"])
+
+
+def term_tallies(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """As term_counts(), counted within each row and so without a shuffle: rows of the same ident count by themselves. train() and classify(), which only add up, take either."""
+    rows = docs.select(ident, F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    return rows.mapInArrow(_tallies, f"`{ident}` {docs.schema[ident].dataType.simpleString()}, term string, tf long")
+
+
 def idf(keywords: DataFrame) -> DataFrame:
     """ln(number of categories / categories of the term)."""
     n = keywords.select("category").distinct().count()

@@ -263,6 +263,15 @@ def test_orders_share_their_links(spark, sf, monkeypatch):
     assert sorted(r.k for r in frontier.rows_of(rows, "k", [*range(0, 200, 3)]).collect()) == [*range(0, 100, 3)]
 
 
+def test_terms_are_counted_without_shuffle(spark):
+    """The same counts as term_counts(), over odd letters, nulls and repeats."""
+    texts = ["Über über ÜBER a ab abc-abc abc--", "İstanbul ΣΑΣ straße STRASSE ẞẞẞ", "", None, "der der\nder-der 😀das", "x" * 5000 + " und" * 300, "-abc äöü-ß"]
+    docs = spark.createDataFrame([*enumerate(texts * 30)], "doc_id long, text string")
+    tallies = bayes.term_tallies(docs, "doc_id", "text")
+    assert sorted(map(tuple, tallies.collect())) == sorted(map(tuple, bayes.term_counts(docs, "doc_id", "text").collect()))
+    assert "Exchange" not in tallies._jdf.queryExecution().executedPlan().toString()
+
+
 def test_classifier_by_plain_python(spark):
     import math
 
