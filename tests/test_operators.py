@@ -386,6 +386,12 @@ def test_assembled_texts_cut_anywhere(spark):
         assert {r.k: r.text for r in corpus.assemble_text(parts, "k", limit, "n").collect()} == {k: t[:limit] for k, t in whole.items()}
 
 
+def test_answers_are_parsed_once(spark, sf):
+    """Not once more for a filter that Spark derives from the items."""
+    plan = corpus_queries.training_pairs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<think>") < 10
+
+
 def test_small_helpers(spark):
     one = spark.createDataFrame([("2024-01-02", None, "Bürgermeister-Straße 5!", "a\0b")], "a string, b string, s string, n string")
     r = one.select(text.date_range_text(F.col("a"), F.col("b")).alias("x"), text.map_range_text(F.col("a"), F.col("b")).alias("y"), text.map_range_text(F.col("b"), F.col("b")).alias("z"), text.slugify("s").alias("s"), text.sanitize_text("n", 5).alias("n")).first()
